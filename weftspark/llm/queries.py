@@ -5,20 +5,123 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import neardup
+from . import chat, decontam, jpeg, langid, mixing, neardup, sharding, toxicity, urlfilter, warc
+
+#: Fixed values of op8: verdict, host and path of each rule.
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse_and_render(_table(spark, sf_dir, "conversations"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_slots(_table(spark, sf_dir, "documents"), shards=16)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"), least=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.media_features(_table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_chat_formatting,
+        op2_language_id,
+        op3_sharding,
+        op4_warc,
+        op5_media_columns,
+        op6_mixing,
+        op7_toxicity,
+        op8_url_filters,
+        op9_benchmark_decontamination,
+        op10_minhash_near_dedup,
+    )
 }
 
 ORACLE: dict[str, str] = {}
+
+ORACLE["op1_chat_formatting"] = """
+WITH conv AS (
+  SELECT conv_id, count(*) AS n,
+         list(concat(CASE WHEN role IS NULL THEN 'r' ELSE '-' END, CASE WHEN text IS NULL THEN 't' ELSE '-' END, coalesce(role, ''), chr(0), coalesce(text, ''))
+              ORDER BY turn NULLS FIRST, role NULLS FIRST, (text IS NULL), md5(coalesce(text, ''))) AS turns,
+         string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), ''
+              ORDER BY turn NULLS FIRST, role NULLS FIRST, (text IS NULL), md5(coalesce(text, ''))) AS rendered
+  FROM conversations GROUP BY conv_id)
+SELECT a.conv_id, 0::BIGINT AS chunk, a.n::BIGINT AS n_turns, a.rendered
+FROM conv a
+WHERE NOT EXISTS (SELECT 1 FROM conv b WHERE b.turns[1] = a.turns[1] AND b.n > a.n AND b.turns[1:a.n] = a.turns)
+  AND NOT EXISTS (SELECT 1 FROM conv b WHERE b.turns[1] = a.turns[1] AND b.n = a.n AND b.turns = a.turns AND b.conv_id < a.conv_id)
+"""
+
+ORACLE["op8_url_filters"] = """
+WITH parts AS (
+  SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages),
+cut AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM parts),
+rules(verdict, rhost, rpath) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fits AS (
+  SELECT c.page_id, c.host, c.path, r.rhost || r.rpath AS rule, r.verdict, length(r.rhost || r.rpath) AS n
+  FROM cut c LEFT JOIN rules r ON (c.host = r.rhost OR ends_with(c.host, '.' || r.rhost)) AND starts_with(c.path, r.rpath)),
+best AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC NULLS LAST) AS rn FROM fits)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM best WHERE rn = 1
+"""
+
+ORACLE["op9_benchmark_decontamination"] = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+ig AS (SELECT DISTINCT item_id, least(5, len(w)) AS k, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS g
+       FROM iw, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS u(i) WHERE len(w) > 0),
+sizes AS (SELECT item_id, count(*) AS n FROM ig GROUP BY item_id),
+ks AS (SELECT DISTINCT k FROM ig),
+dg AS (SELECT DISTINCT doc_id, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM dw, ks, unnest(range(1, len(w) - k + 2)) AS u(i)),
+hits AS (SELECT doc_id, item_id, count(*) AS shared FROM dg JOIN ig USING (k, g) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n::BIGINT AS item_shingles, shared::BIGINT AS shared_shingles, shared::DOUBLE / n::DOUBLE AS containment
+FROM hits JOIN sizes USING (item_id) WHERE shared >= ceil(0.8 * n - 1e-9)
+"""
