@@ -5,8 +5,9 @@ candidate buckets; the low ``BITS`` bits of every minimum, packed into longs, gi
 chance collisions by counting equal fields; links are confirmed on the full sets.
 
 No bucket is expanded into pairs.  Every member of a bucket is compared with one hub, the verified links are joined
-into components, and only buckets that still hold several components go on: to other hubs, and at last to all pairs
-*across* components, so that no link between different texts is lost to the shape of a bucket.  A pair of similarity
+into components, and only buckets that still hold several components go on.  There the pairs *across* components are
+tested: all of them in small buckets, and in large ones those that pass an exact prefix filter, so that no link
+between different texts is lost to a bucket's shape.  A pair of similarity
 0.8 shares no band with probability (1 - 0.8**4)**32 < 1e-7, and the estimate rejects it with probability < 1e-6.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing; a text with fewer words than a
@@ -26,16 +27,14 @@ from pyspark.sql import functions as F
 
 from .._ship import ship
 from . import _tokens
-from ._cluster import Staged, in_ids, lookup
+from ._cluster import BROADCAST_ROWS, Staged
 
 PERMUTATIONS, BANDS, ROWS, BITS = 128, 32, 4, 2
 LONGS = PERMUTATIONS * BITS // 64
 #: The estimate may be this far below the threshold: five standard deviations at similarity 0.8.
 MARGIN = 0.22
-#: Rounds in which each unresolved bucket is compared with a hub, before all remaining pairs across components.
-HUB_ROUNDS = 3
-#: Rows of a pair join are dealt over so many salts of a shared document.
-SALTS = 1024
+#: Members of a bucket up to which its pairs across components are formed directly: at most so many for each member.
+SMALL = 24
 
 _MULTIPLIERS = np.random.default_rng(20240229).integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _U = np.uint64
@@ -53,7 +52,7 @@ def _signatures(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             fp = np.zeros((2, n), _U)
             bands, packed = np.zeros((n, BANDS), _U), np.zeros((n, LONGS), _U)
             if len(full):
-                fp[0, full] = np.add.reduceat(_tokens.mix(g), starts)
+                fp[0, full] = _fingerprint(g, starts)
                 fp[1, full] = np.bitwise_xor.reduceat(_tokens.mix(g ^ _U(0x5851F42D4C957F2D)), starts)
                 minima = np.empty((PERMUTATIONS, len(full)), _U)
                 for i, m in enumerate(_MULTIPLIERS):
@@ -93,12 +92,26 @@ def _sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             _, _, row, h = _tokens.words(raw, offsets)
             _, g, count = _tokens.distinct(*_tokens.shingles(row, h, n, k), n)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pa.array(g.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), lists], ["id", "items"])
+            fp = np.zeros(n, _U)
+            if len(full := np.flatnonzero(count)):
+                fp[full] = _fingerprint(g, np.concatenate(([0], np.cumsum(count[full])[:-1])))
+            out = pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), lists], ["id", "items"])
+            # a repeated doc_id may have several texts; the one that the representative stands for is kept
+            yield out.filter(pa.array(fp.view(np.int64) == batch.column(2).slice(first, n).to_numpy()))
 
 
-def shingle_sets(docs: DataFrame, k: int = 2) -> DataFrame:
-    """id and the distinct shingle hashes of each text; no shuffle."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _sets(k, it), "id long, items array<long>")
+def _fingerprint(g: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(_tokens.mix(g), starts)
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, n: int, k: int = 2) -> DataFrame:
+    """id and the distinct shingle hashes of the texts named by ``ids`` (doc_id, fp1), of which there are ``n``.
+
+    Few ids are broadcast and no text is moved; many are joined by a shuffle.
+    """
+    few = F.broadcast(ids) if n <= BROADCAST_ROWS else ids.hint("merge")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(few, "doc_id").select("doc_id", "text", "fp1")
+    return rows.mapInArrow(lambda it: _sets(k, it), "id long, items array<long>")
 
 
 def estimate(left: list[Column], right: list[Column]) -> Column:
@@ -114,11 +127,14 @@ def estimate(left: list[Column], right: list[Column]) -> Column:
 
 
 def _both_sides(pairs: DataFrame, table: DataFrame, values: list[str]) -> DataFrame:
-    """Join pairs (a, b) with ``table`` (unique ``id``) on both ends; ``b`` may be shared by very many pairs."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
-    hubs = salted.select("b", "salt").distinct().join(table.select(F.col("id").alias("b"), *[F.col(v).alias(f"b_{v}") for v in values]), "b")
-    ours = salted.join(table.select(F.col("id").alias("a"), *[F.col(v).alias(f"a_{v}") for v in values]), "a")
-    return ours.join(hubs, ["b", "salt"])
+    """Join pairs (a, b) with ``table`` (unique ``id``) on both ends.
+
+    ``b`` may be shared by very many pairs.  ``pairs`` and ``table`` are staged, so both sides of each join are plain
+    shuffles and Spark splits a partition that holds a hot ``b``.
+    """
+    for end in ("a", "b"):
+        pairs = pairs.join(table.select(F.col("id").alias(end), *[F.col(v).alias(f"{end}_{v}") for v in values]).hint("merge"), end)
+    return pairs
 
 
 def components(edges: DataFrame, staged: Staged) -> DataFrame:
@@ -152,51 +168,90 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     staged = Staged(spark, "neardup")
     all_docs = staged.write(signatures(docs, k))
     fp = ["fp1", "fp2", "n_shingles"]
-    classes = staged.write(all_docs.filter("n_shingles > 0").groupBy(*fp).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")))
+    classes = staged.write(all_docs.filter("n_shingles > 0").groupBy(*fp).agg(F.min("doc_id").alias("id")))
     named = all_docs.select(F.col("doc_id").alias("id"), *fp, *_PACKED, "bands").join(classes.select("id", *fp).hint("merge"), ["id", *fp], "left_semi")
-    reps = staged.write(named.select("id", *_PACKED, "n_shingles", "bands"))
+    reps = staged.write(named.select("id", *_PACKED, "fp1", "bands"))
+    if reps.count() > classes.count():  # repeated rows
+        reps = staged.write(reps.dropDuplicates(["id", "fp1"]))
+    links, comps = _link(docs, reps.select("id", *_PACKED, "fp1"), reps.select("id", F.explode("bands").alias("bucket")), staged, k, percent)
+    named_classes = staged.write(classes.join(comps, "id", "left").select(*fp, F.coalesce("component", "id").alias("component")))
+    # empty sets get keys of their own, so that they don't meet in one task
+    empty = F.col("n_shingles") == 0
+    rows = all_docs.select("doc_id", F.when(empty, F.xxhash64("doc_id")).otherwise(F.col("fp1")).alias("fp1"), "fp2", "n_shingles")
+    out = rows.join(named_classes.hint("merge"), fp, "left")
+    component = F.when(empty, F.col("doc_id")).otherwise(F.col("component"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _link(docs: DataFrame, reps: DataFrame, entries: DataFrame, staged: Staged, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between class representatives, and (id, component) of those that have one.
 
-    entries = reps.select("id", F.explode("bands").alias("bucket"))
-    sizes = entries.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    total = reps.count() * BANDS
-    members = staged.write(lookup(entries, sizes, "bucket", "members", total).filter("hub is not null"))
+    Joins on a bucket read staged tables on both sides, so that Spark can split a hot bucket.
+    """
+    sizes = staged.write(entries.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1"))
+    members = staged.write(entries.join(sizes.select("bucket", "hub").hint("merge"), "bucket"))
     links = staged.write(_confirm(members.filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), docs, reps, staged, k, percent))
     comps = components(links, staged)
-    for turn in range(HUB_ROUNDS + 1):
-        mine = members.select("bucket", "id").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_ = mine.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"), *[F.min(F.xxhash64("id", F.lit(turn))).alias("mark")])
-        rest = staged.write(lookup(mine, open_.filter("lo != hi"), "bucket", "members", total).filter("lo is not null").select("bucket", "id", "component", "mark"))
-        if not rest.limit(1).count():
-            break
-        if turn < HUB_ROUNDS:
-            hubs = rest.filter(F.xxhash64("id", F.lit(turn)) == F.col("mark")).groupBy("bucket").agg(F.min("id").alias("b"), F.min("component").alias("hub_component"))
-            hubs = staged.write(hubs)
-            pairs = rest.join(hubs, "bucket").filter("component != hub_component").select(F.col("id").alias("a"), "b").distinct()
-        else:
-            low = rest.join(reps.select("id", *_PACKED), "id")
-            other = low.select(F.col("bucket").alias("b_bucket"), F.col("id").alias("b"), F.col("component").alias("b_component"), *[F.col(c).alias(f"b_{c}") for c in _PACKED])
-            alike = estimate([F.col(c) for c in _PACKED], [F.col(f"b_{c}") for c in _PACKED]) >= percent / 100 - MARGIN
-            pairs = low.join(other, (F.col("bucket") == F.col("b_bucket")) & (F.col("component") < F.col("b_component")) & alike).select(F.col("id").alias("a"), "b").distinct()
-        more = staged.write(_confirm(pairs, docs, reps, staged, k, percent))
-        if more.limit(1).count():
-            links = staged.write(links.union(more))
-            comps = components(links, staged)
-    named_classes = classes.join(comps, "id", "left").select(F.struct(*fp).alias("class"), "copies", F.coalesce("component", "id").alias("component"))
-    rows = all_docs.select("doc_id", "n_shingles", F.struct(F.when(F.col("n_shingles") > 0, F.col("fp1")).otherwise(F.xxhash64("doc_id")).alias("fp1"), "fp2", "n_shingles").alias("class"))
-    out = lookup(rows, named_classes, "class", "copies", total // BANDS)
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    mine = staged.write(members.select("bucket", "id").join(comps.hint("merge"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")))
+    parts = mine.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    open_ = staged.write(parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("bucket", "n"))
+    rest = staged.write(mine.join(open_.hint("merge"), "bucket"))
+    staged.drop(sizes, members, mine)
+    low = rest.filter(F.col("n") <= SMALL).join(reps.hint("merge"), "id")
+    other = low.select(F.col("bucket").alias("b_bucket"), F.col("id").alias("b"), F.col("component").alias("b_component"), *[F.col(c).alias(f"b_{c}") for c in _PACKED])
+    alike = estimate([F.col(c) for c in _PACKED], [F.col(f"b_{c}") for c in _PACKED]) >= percent / 100 - MARGIN
+    pairs = low.join(other, (F.col("bucket") == F.col("b_bucket")) & (F.col("component") < F.col("b_component")) & alike).select(F.col("id").alias("a"), "b")
+    big = staged.write(rest.filter(F.col("n") > SMALL).select("id", "component").distinct().join(reps.select("id", "fp1").hint("merge"), "id"))
+    n = big.count()
+    if n:
+        pairs = pairs.union(_prefix_pairs(shingle_sets(docs, big.select(F.col("id").alias("doc_id"), "fp1"), n, k), big, staged, percent))
+    more = staged.write(_confirm(pairs.distinct(), docs, reps, staged, k, percent))
+    if more.limit(1).count():
+        links = staged.write(links.union(more))
+        comps = components(links, staged)
+    return links, comps
+
+
+def _prefix_pairs(sets: DataFrame, members: DataFrame, staged: Staged, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``members`` in different components that may be linked, by the exact prefix filter.
+
+    Each set is ordered by how few sets hold a shingle.  Two sets of the needed similarity share a shingle in the first
+    ``100 - percent`` hundredths of both, and what follows their first common shingle must still suffice.  Copies that
+    differ from their family by more than that have a prefix of shingles that nobody shares and meet no one, so a large
+    family of loose copies isn't expanded.  A shingle whose holders are all in one component is dropped, and pairs
+    inside a shingle's largest component are never formed.
+    """
+    tokens = staged.write(sets.select("id", F.size("items").alias("size"), F.explode("items").alias("token")))
+    shared = staged.write(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    known = tokens.join(shared.hint("merge"), "token")
+    ordered = known.groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("held"))
+    alone = F.col("size") - F.size("held")
+    length = F.col("size") - F.expr(f"({percent} * size + 99) div 100").cast("int") + 1 - alone
+    prefix = ordered.filter(length > 0).select("id", "size", alone.alias("alone"), F.posexplode(F.slice("held", F.lit(1), length)).alias("p", "t"))
+    entries = staged.write(prefix.select("id", "size", F.col("t.token").alias("token"), (F.col("alone") + F.col("p")).alias("pos")).join(members.select("id", "component").hint("merge"), "id"))
+    by_part = entries.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"))
+    stats = staged.write(by_part.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", "n").alias("top"), F.min("least").alias("least")).filter("parts > 1"))
+    # the largest partner for which the rest of the set still suffices must not be smaller than any
+    room = F.expr(f"({100 + percent} * (size - pos) - {percent} * size) >= {percent} * least")
+    live = staged.write(entries.join(stats.select("token", "top", "least").hint("merge"), "token").filter(room).select("token", "id", "component", "size", "pos", "top"))
+    minor = live.filter("component != top").select("token", F.col("id").alias("a"), F.col("component").alias("c"), F.col("size").alias("s"), F.col("pos").alias("q"))
+    enough = F.expr(f"{100 + percent} * least(size - pos, s - q) >= {percent} * (size + s)")
+    pairs = minor.join(live.select("token", "id", "component", "size", "pos"), "token").filter((F.col("c") != F.col("component")) & enough)
+    out = staged.write(pairs.select(F.greatest("a", "id").alias("a"), F.least("a", "id").alias("b")).distinct())
+    staged.drop(tokens, shared, entries, stats, live)
+    return out
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, staged: Staged, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of class representatives that are linked: by the estimate first, then on the full sets."""
-    likely = _both_sides(pairs, reps, _PACKED).filter(estimate([F.col(f"a_{c}") for c in _PACKED], [F.col(f"b_{c}") for c in _PACKED]) >= percent / 100 - MARGIN)
-    likely = staged.write(likely.select("a", "b"))
-    ids = staged.write(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    wanted = in_ids(docs.select(F.col("doc_id").cast("long"), "text"), ids, "doc_id", ids.count())
-    # a repeated doc_id may have other texts: the set that its class stands for is the one that counts
-    sets = shingle_sets(wanted, k).join(reps.select("id", "n_shingles").hint("merge"), "id").filter(F.size("items") == F.col("n_shingles")).select("id", "items")
-    sets = staged.write(sets)
+    likely = _both_sides(pairs, reps, [*_PACKED, "fp1"]).filter(estimate([F.col(f"a_{c}") for c in _PACKED], [F.col(f"b_{c}") for c in _PACKED]) >= percent / 100 - MARGIN)
+    likely = staged.write(likely.select("a", "b", "a_fp1", "b_fp1"))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("a_fp1").alias("fp1")), F.struct(F.col("b").alias("doc_id"), F.col("b_fp1").alias("fp1"))))
+    ids = staged.write(likely.select(ends.alias("e")).select("e.doc_id", "e.fp1").distinct())
+    named = ids.count()
+    sets = staged.write(shingle_sets(docs, ids, named, k))
+    if sets.count() > named:  # repeated rows
+        sets = staged.write(sets.dropDuplicates(["id"]))
     both = F.size(F.array_intersect("a_items", "b_items"))
     close = 100 * both >= percent * (F.size("a_items") + F.size("b_items") - both)
-    return _both_sides(likely, sets, ["items"]).filter(close).select("a", "b").distinct()
+    return _both_sides(likely.select("a", "b"), sets, ["items"]).filter(close).select("a", "b").distinct()
