@@ -14,8 +14,8 @@ Where a source's remainder is reached is found from histograms of words over has
 the range that is cut), so no source is sorted or collected.  The driver sees one row a source.
 
 Defined cases: a null or wordless text has size 0 and is taken 0 words; a source without words has target 0; rows that
-repeat a doc_id of one source are taken together; equal input gives equal output in any partitioning; other columns are kept by ``mix`` and
-ignored by ``mixture``.
+repeat a doc_id of one source are taken together; equal input gives equal output in any partitioning; other columns
+are kept by ``mix`` and ignored by ``mixture``.
 """
 
 from __future__ import annotations
@@ -133,7 +133,7 @@ def plan(docs: DataFrame, staged: Staged, weights=WEIGHTS, share: float = SHARE,
     """What to take of each source of ``docs`` (doc_id, text, source)."""
     spark = docs.sparkSession
     size = words_of(F.col("text"))
-    rows = staged.write(docs.select(source_key(F.col("source")).alias("s"), "source", order_key(F.col("doc_id"), F.col("source")).alias("k"), size.alias("size")))
+    rows = staged.write(docs.select(source_key(F.col("source")).alias("s"), "source", order_key(F.col("doc_id").cast("long"), F.col("source")).alias("k"), size.alias("size")))
     found = rows.groupBy("s", "source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     goal = targets([(r["source"], r["size"]) for r in found], weights, share, most)
     sources = [Source(r["source"], r["size"], r["n"], goal[r["source"]]) for r in sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))]
@@ -220,15 +220,18 @@ def mixture(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "mix.size", "mix.source_size", "mix.target", taken.cast("long").alias("taken"), F.col("mix.copies.shard").alias("shards"))
 
 
+def _copies(docs: DataFrame, shards: int) -> DataFrame:
+    """``row`` (all columns of ``docs``, whatever their names), ``shard`` and ``local_order`` of each copy."""
+    sources = plan(docs, Staged(docs.sparkSession, "mixing"), shards=shards)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
+    return with_copies(rows, sources).select("row", F.explode("mix.copies").alias("copy")).select("row", "copy.shard", "copy.local_order")
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """A row for each copy that the mix takes, with the columns of ``docs``; not yet in shard order."""
-    sources = plan(docs, Staged(docs.sparkSession, "mixing"))
-    return with_copies(docs, sources).withColumn("_copy", F.explode("mix.copies")).select(*docs.columns)
+    return _copies(docs, SHARDS).select("row.*")
 
 
 def mixed_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The mix with a ``shard`` column, dealt by shard and shuffled inside each by the second hash."""
-    sources = plan(docs, Staged(docs.sparkSession, "mixing"), shards=shards)
-    copies = with_copies(docs, sources).withColumn("_copy", F.explode("mix.copies"))
-    rows = copies.select(*docs.columns, F.col("_copy.shard").alias("shard"), F.col("_copy.local_order").alias("local_order"))
-    return rows.repartitionByRange("shard", "local_order").sortWithinPartitions("shard", "local_order")
+    """The mix with ``shard`` and ``local_order`` beside ``row``, dealt by shard and shuffled inside each by a second hash."""
+    return _copies(docs, shards).repartitionByRange("shard", "local_order").sortWithinPartitions("shard", "local_order")
