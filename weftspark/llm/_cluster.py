@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,11 +39,24 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/weftspark/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all that this application has staged; DataFrames that are still to be read from it fail afterwards."""
+    _remove(spark, _own_dir(spark))
+
+
 class Staged:
     """Tables written to the shared folder: each cuts the lineage, survives lost executors and is read back."""
 
+    #: The folders of this process, in the order in which they were begun.
+    begun: ClassVar[list[str]] = []
+
     def __init__(self, spark: SparkSession, what: str):
-        self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/weftspark/{what}-{uuid.uuid4().hex}", 0
+        self.spark, self.base, self.n = spark, f"{_own_dir(spark)}/{what}-{uuid.uuid4().hex}", 0
+        self.begun.append(self.base)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -52,6 +66,13 @@ class Staged:
         out._staged_at = path
         return out
 
+    @classmethod
+    def sweep(cls, spark: SparkSession, mark: int) -> None:
+        """Remove what has been staged since ``len(Staged.begun)`` was ``mark``."""
+        for path in cls.begun[mark:]:
+            _remove(spark, path)
+        del cls.begun[mark:]
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete staged tables that nothing will read again."""
         for t in tables:

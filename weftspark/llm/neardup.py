@@ -175,6 +175,7 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
         reps = staged.write(reps.dropDuplicates(["id", "fp1"]))
     links, comps = _link(docs, reps.select("id", *_PACKED, "fp1"), reps.select("id", F.explode("bands").alias("bucket")), staged, k, percent)
     named_classes = staged.write(classes.join(comps, "id", "left").select(*fp, F.coalesce("component", "id").alias("component")))
+    staged.drop(classes, reps, links)
     # empty sets get keys of their own, so that they don't meet in one task
     empty = F.col("n_shingles") == 0
     rows = all_docs.select("doc_id", F.when(empty, F.xxhash64("doc_id")).otherwise(F.col("fp1")).alias("fp1"), "fp2", "n_shingles")
@@ -190,7 +191,7 @@ def _link(docs: DataFrame, reps: DataFrame, entries: DataFrame, staged: Staged,
     """
     sizes = staged.write(entries.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1"))
     members = staged.write(entries.join(sizes.select("bucket", "hub").hint("merge"), "bucket"))
-    links = staged.write(_confirm(members.filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), docs, reps, staged, k, percent))
+    links = _confirm(members.filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), docs, reps, staged, k, percent)
     comps = components(links, staged)
     mine = staged.write(members.select("bucket", "id").join(comps.hint("merge"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")))
     parts = mine.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -205,7 +206,8 @@ def _link(docs: DataFrame, reps: DataFrame, entries: DataFrame, staged: Staged,
     n = big.count()
     if n:
         pairs = pairs.union(_prefix_pairs(shingle_sets(docs, big.select(F.col("id").alias("doc_id"), "fp1"), n, k), big, staged, percent))
-    more = staged.write(_confirm(pairs.distinct(), docs, reps, staged, k, percent))
+    more = _confirm(pairs.distinct(), docs, reps, staged, k, percent)
+    staged.drop(rest, big, open_)
     if more.limit(1).count():
         links = staged.write(links.union(more))
         comps = components(links, staged)
@@ -254,4 +256,6 @@ def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, staged: Staged,
         sets = staged.write(sets.dropDuplicates(["id"]))
     both = F.size(F.array_intersect("a_items", "b_items"))
     close = 100 * both >= percent * (F.size("a_items") + F.size("b_items") - both)
-    return _both_sides(likely.select("a", "b"), sets, ["items"]).filter(close).select("a", "b").distinct()
+    out = staged.write(_both_sides(likely.select("a", "b"), sets, ["items"]).filter(close).select("a", "b").distinct())
+    staged.drop(likely, ids, sets)
+    return out
