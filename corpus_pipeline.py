@@ -59,7 +59,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     staged = Staged(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
+        mark = len(Staged.begun)
         before, docs = docs, staged.write(stage(spark, docs, sf_dir))
+        Staged.sweep(spark, mark)
         if hasattr(before, "_staged_at"):
             staged.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
