@@ -125,3 +125,57 @@ hits AS (SELECT doc_id, item_id, count(*) AS shared FROM dg JOIN ig USING (k, g)
 SELECT doc_id, item_id, n::BIGINT AS item_shingles, shared::BIGINT AS shared_shingles, shared::DOUBLE / n::DOUBLE AS containment
 FROM hits JOIN sizes USING (item_id) WHERE shared >= ceil(0.8 * n - 1e-9)
 """
+
+# The CRC's table is built by its rule; capacities are all sums of consecutive groups that can be the least one.
+ORACLE["op3_sharding"] = """
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i::UBIGINT, [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                          lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END)) AS v
+    FROM unnest(range(0, 256)) AS u(i))),
+docs AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS key,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::UBIGINT) AS bytes FROM documents),
+groups AS (SELECT key, sum(size)::BIGINT AS s FROM docs GROUP BY key),
+run AS (SELECT key, s, sum(s) OVER (ORDER BY key)::BIGINT AS e FROM groups),
+lim AS (SELECT max(e) AS total, greatest((max(e) + 15) // 16, max(s)) AS low, max(s) AS most FROM run),
+cap AS (SELECT DISTINCT y.e - (x.e - x.s) AS c FROM run x JOIN lim ON true JOIN run y ON y.e - (x.e - x.s) BETWEEN lim.low AND lim.low + lim.most),
+fill AS (
+  SELECT c, 0 AS k, 0::BIGINT AS pos FROM cap
+  UNION ALL
+  SELECT f.c, f.k + 1, (SELECT max(e) FROM run WHERE e <= f.pos + f.c) FROM fill f, lim WHERE f.k < 16 AND f.pos < lim.total),
+best AS (SELECT min(c) AS c FROM fill, lim WHERE pos = total),
+cuts AS (SELECT pos FROM fill, best WHERE fill.c = best.c AND k > 0),
+placed AS (SELECT r.key, (SELECT count(*) FROM cuts WHERE pos <= r.e - r.s)::INTEGER AS shard FROM run r),
+cells AS (
+  SELECT d.doc_id, d.size, d.key, d.bytes, p.shard, ('0x' || substr(md5(concat_ws(':', d.doc_id, d.key)), 1, 15))::BIGINT % 16 AS cell
+  FROM docs d JOIN placed p USING (key))
+SELECT doc_id, size::BIGINT AS size,
+       xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda x, y: xor(x >> 8, t[(xor(x, y) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS text_crc32,
+       'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY cell, doc_id, key) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM cells, crc
+"""
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * k + 1}, 5))::INTEGER >> {shift}) & 31) + 1, 1)" for k in range(8) for shift in (15, 10, 5, 0))
+ORACLE["op4_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, h, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+ORACLE["op10_minhash_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+sh AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g
+  FROM w, unnest(range(1, greatest(len(w), 2))) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY x, y),
+links AS (SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT e.x, reach.r FROM reach JOIN edges e ON e.y = reach.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, d.r AS component_id, d.doc_id = d.r AS kept
+FROM (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id) d LEFT JOIN n USING (doc_id)
+"""

@@ -30,9 +30,14 @@ KEY_BITS, FIRST_BITS, STEP_BITS = 60, 12, 6
 CELL_ROWS = 100_000
 
 
+def _md5_long(text: Column) -> Column:
+    """The first 60 bits of an MD5."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def text_key(text: Column) -> Column:
-    """The order key of a text: the first 60 bits of its MD5."""
-    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 15), 16, 10).cast("long")
+    """The order key of a text."""
+    return _md5_long(F.coalesce(text, F.lit("")))
 
 
 def text_size(text: Column) -> Column:
@@ -151,7 +156,7 @@ def shard_slots(docs: DataFrame, shards: int = 16) -> DataFrame:
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # rows are numbered in cells of a bounded number of rows, dealt by hash so that a hot group is spread as well
     cells = max(16, total // (shards * CELL_ROWS))
-    placed = rows.withColumn("shard", shard_of(F.col("key"), cuts)).withColumn("cell", F.pmod(F.xxhash64("doc_id", "key"), F.lit(cells)))
+    placed = rows.withColumn("shard", shard_of(F.col("key"), cuts)).withColumn("cell", _md5_long(F.concat_ws(":", "doc_id", "key")) % F.lit(cells))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
     starts = starts.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
