@@ -127,3 +127,12 @@ def test_transposes(spark):
     with pytest.raises(TransposeError):
         exchange.LocalTranspose(a, b)
     assert [r["v"] for r in exchange.LocalTranspose(a, a.with_permutation((1, 0))).ordered(NDArray(x.df.coalesce(1), a, (), "i64")).collect()][:3] == [0, 6, 12]
+
+
+def test_gather_and_agreement(spark):
+    a = line(spark, [3.0, 1.0, 2.0], grid=(2,))
+    assert [r["v"] for r in reduce.gather(a, 1).collect()] == [3.0, 1.0, 2.0]
+    with pytest.raises(ReductionError):
+        reduce.gather(a, 2)
+    flags = spark.createDataFrame([(0, True), (1, False)], "block int, ok boolean")
+    assert value(reduce.agreed(flags)) is False and value(reduce.agreed(flags.limit(0))) is True

@@ -261,5 +261,20 @@ def test_local_plans():
         T.LocalC2c(5).forward(x)
 
 
+def test_plans_describe_themselves(spark):
+    plan = T.R2c((6, 4), (2,), T.Options("point_to_point", False), axes=[0, 1])
+    assert plan.stage_geometry == [(1, 0)] and plan.backend_kind() == "numpy"
+    assert plan.allocate_input(spark, "f64").validate_dense().shape == (6, 4)
+    assert plan.allocate_output(spark, "c128").validate_dense().shape == (6, 3)
+    x = signal(2, 6, 4, complex_=False)
+    a = NDArray.from_numpy(spark, x, extra_rank=1)
+    out, took = plan.with_timing(a)
+    assert took["total"] > 0 and np.allclose(dump(out), np.fft.rfft2(x)) and out.layout.permutation.axes == (0, 1)
+    assert np.allclose(dump(plan.with_overlap(a)), np.fft.rfft2(x))
+    with pytest.raises(TransformError):
+        T.C2c((2, 2)).with_overlap(load(spark, signal(2, 2)))
+    assert T.C2c((4, 4), axes=[]).stage_geometry == [] and T.C2r((4, 6)).stage_geometry == [(1, 0)]
+
+
 def test_axis_order_is_free():
     assert T.AxisSelection.from_indices(3, [2, 0]) == T.AxisSelection.from_indices(3, (0, 2))

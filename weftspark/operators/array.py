@@ -10,6 +10,8 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,6 +141,20 @@ class NDArray:
         cells = empty.df.select(*empty.coords, empty.physical().alias("k")).join(data, "k")
         return empty.with_df(cells.select(*empty.coords, *[F.col(c).cast(kind).alias(c) for c in empty.values]))
 
+    @classmethod
+    def from_numpy(cls, spark: SparkSession, x: np.ndarray, layout: Layout | None = None, extra_rank: int = 0, dtype: str | None = None) -> NDArray:
+        """From a driver-side numpy array whose first ``extra_rank`` axes are batches; it travels as Arrow columns."""
+        layout = layout or Layout.of(x.shape[extra_rank:])
+        if layout.shape != x.shape[extra_rank:]:
+            raise ShapeError(f"a buffer of {x.shape} for a shape of {layout.shape}")
+        dtype = dtype or ("c128" if np.iscomplexobj(x) else "f64")
+        names = [*(f"x{k}" for k in range(extra_rank)), *(f"i{k}" for k in range(x.ndim - extra_rank))]
+        flat = x.reshape(-1)
+        values = {"re": flat.real, "im": flat.imag} if dtype.startswith("c") else {"v": flat}
+        columns = dict(zip(names, np.indices(x.shape).reshape(x.ndim, -1), strict=True)) | values
+        df = spark.createDataFrame(pa.table({k: pa.array(np.ascontiguousarray(c)) for k, c in columns.items()}))
+        return cls.from_dense(df, layout, x.shape[:extra_rank], dtype)
+
     @classmethod
     def from_table(cls, df: DataFrame, layout: Layout, extra: Sequence[int] = (), dtype: str = "f64", fill=None) -> NDArray:
         """From a table of coordinates and values.

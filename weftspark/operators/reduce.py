@@ -229,6 +229,13 @@ def map_reduce_many(arrays: Sequence[NDArray], neutral, f: Callable[[Column], Co
     return map_reduce(arrays, neutral, lambda *v: f(F.array(*v)), reduce, kind)
 
 
-def gather(array: NDArray) -> DataFrame:
-    """All cells in logical row-major order, with their ``offset``."""
+def gather(array: NDArray, root: int = 0) -> DataFrame:
+    """All cells in logical row-major order, with their ``offset``, for one block of the grid to collect."""
+    if not 0 <= root < array.layout.grid.size:
+        raise ReductionError(f"there is no block {root}")
     return array.gather()
+
+
+def agreed(flags: DataFrame, ok: str = "ok") -> DataFrame:
+    """Whether every block reports success; true for no blocks."""
+    return flags.agg(F.coalesce(F.bool_and(ok), F.lit(True)).alias("value"))

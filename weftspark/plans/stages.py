@@ -136,6 +136,25 @@ def apply_steps(array: NDArray, steps: list[Step], shape_after: dict[int, int],
     return array.with_df(df.select(*array.coords, *values), layout=layout, dtype=dtype)
 
 
+def plane_norms(array: NDArray, axis: int, n: int) -> DataFrame:
+    """For each batch and each plane of a half spectrum that must be real: ``tall``, the largest imaginary part, ``re``
+    and ``im``, the norms of both parts (scaled, so that they don't overflow), and ``odd``, whether a value isn't finite."""
+    ends = [0, n // 2] if n % 2 == 0 else [0]
+    c = f"i{axis}"
+    big = F.greatest(F.abs(F.col("re")), F.abs(F.col("im")))
+    odd = F.isnan("re") | F.isnan("im") | (big == float("inf"))
+    planes = array.table().filter(F.col(c).isin(ends))
+    m = planes.groupBy(*array.batch, c).agg(F.max(big).alias("top"), F.max(F.abs(F.col("im"))).alias("tall"), F.bool_or(odd).alias("odd"))
+    scaled = planes.join(m, [*array.batch, c]).withColumn("s", F.when(F.col("top") > 0, F.col("top")).otherwise(1.0))
+    norm = lambda v: (F.max("s") * F.sqrt(F.sum((F.col(v) / F.col("s")) ** 2))).alias(v)
+    return scaled.groupBy(*array.batch, c).agg(F.max("tall").alias("tall"), F.bool_or("odd").alias("odd"), norm("re"), norm("im"))
+
+
+def is_real(absolute: float, relative: float):
+    """Whether a row of ``plane_norms`` is real within rounding."""
+    return ~F.col("odd") & ((F.col("tall") <= absolute) | (F.col("im") <= relative * F.col("re")))
+
+
 def check_boundary(array: NDArray, axis: int, n: int, relative: float, absolute: float) -> NDArray:
     """Let a half spectrum through if its DC and, for even ``n``, Nyquist planes are real within rounding.
 
@@ -143,18 +162,9 @@ def check_boundary(array: NDArray, axis: int, n: int, relative: float, absolute:
     ``absolute`` or the imaginary norm is at most ``relative`` times the real norm; its imaginary parts become 0.  The
     check is a scalar subquery: the query that reads the result fails if any plane doesn't pass.
     """
-    ends = [0, n // 2] if n % 2 == 0 else [0]
     c = f"i{axis}"
-    big = F.greatest(F.abs(F.col("re")), F.abs(F.col("im")))
-    odd = F.isnan("re") | F.isnan("im") | big.isin(float("inf"))
-    planes = array.table().filter(F.col(c).isin(ends))
-    m = planes.groupBy(*array.batch, c).agg(F.max(big).alias("top"), F.max(F.abs(F.col("im"))).alias("tall"), F.bool_or(odd).alias("odd"))
-    scaled = planes.join(m, [*array.batch, c]).withColumn("s", F.when(F.col("top") > 0, F.col("top")).otherwise(1.0))
-    norms = scaled.groupBy(*array.batch, c).agg(
-        F.max("tall").alias("tall"), F.bool_or("odd").alias("odd"), F.sqrt(F.sum((F.col("im") / F.col("s")) ** 2)).alias("im"), F.sqrt(F.sum((F.col("re") / F.col("s")) ** 2)).alias("re")
-    )
-    fails = F.coalesce(F.col("odd"), F.lit(False)) | ~((F.col("tall") <= absolute) | (F.col("im") <= relative * F.col("re")))
-    bad = norms.agg(F.coalesce(F.sum(F.when(fails, 1).otherwise(0)), F.lit(0)).alias("bad"))
+    passes = F.coalesce(is_real(absolute, relative), F.lit(False))
+    bad = plane_norms(array, axis, n).agg(F.coalesce(F.sum(F.when(passes, 0).otherwise(1)), F.lit(0)).alias("bad"))
     verdict = F.when(bad.scalar() > 0, F.raise_error(F.lit("InvalidSpectrum: a plane of the half spectrum that must be real isn't")).cast("double"))
-    im = F.when(F.col(c).isin(ends), F.lit(0.0)).otherwise(F.col("im"))
+    im = F.when(F.col(c).isin([0, n // 2] if n % 2 == 0 else [0]), F.lit(0.0)).otherwise(F.col("im"))
     return array.with_df(array.df.select(*array.coords, F.coalesce(verdict, F.col("re").cast("double")).alias("re"), im.cast("double").alias("im")), dtype="c128")

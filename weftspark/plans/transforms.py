@@ -8,10 +8,12 @@ pass through untouched and cost no exchange.  Batch axes are independent, and a
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, fields, replace
 
 import numpy as np
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import AxisError, CollectionError, TransformError, WrongState
@@ -19,7 +21,7 @@ from ..functions import kernels
 from ..functions.kernels import Step
 from ..operators.array import NDArray
 from .layout import Layout
-from .stages import apply_steps, check_boundary
+from .stages import apply_steps, check_boundary, stage_axes
 
 FORWARD, BACKWARD = -1, 1
 
@@ -156,6 +158,44 @@ class Plan:
     def in_place(self, array: NDArray) -> InPlace:
         return InPlace(self, array)
 
+    # what a plan says of itself
+
+    def _steps(self) -> list[int]:
+        """The axes that a forward transform works on, in order."""
+        raise NotImplementedError
+
+    @property
+    def stage_geometry(self) -> list[tuple[int, ...]]:
+        """The axes of each stage of a forward transform; a stage is one exchange."""
+        axes = self._steps()
+        cells = math.prod(self.shape) * math.prod(self.extra)
+        out, at = [], 0
+        for n in stage_axes([max(self.input_shape[k], self.output_shape[k]) for k in axes], cells) if axes else []:
+            out.append(tuple(axes[at : at + n]))
+            at += n
+        return out
+
+    def allocate_input(self, spark: SparkSession, dtype: str) -> NDArray:
+        """Zeros that the plan takes."""
+        return _zeros(spark, self.input_shape, self.extra, dtype)
+
+    def allocate_output(self, spark: SparkSession, dtype: str) -> NDArray:
+        """Zeros of the shape that a forward transform gives."""
+        return _zeros(spark, self.output_shape, self.extra, dtype)
+
+    def with_timing(self, array: NDArray, operation: str = "forward") -> tuple[NDArray, dict[str, float]]:
+        """The result, and the seconds that a job over it takes."""
+        out = getattr(self, operation)(array)
+        began = time.perf_counter()
+        out.df.write.format("noop").mode("overwrite").save()
+        return out, {"total": time.perf_counter() - began}
+
+    def with_overlap(self, array: NDArray, operation: str = "forward") -> NDArray:
+        """The same numbers; exchange and work overlap in Spark anyway, but only point-to-point plans may ask for it."""
+        if self.options.transpose_method != "point_to_point":
+            raise TransformError("overlap needs the point-to-point transport")
+        return getattr(self, operation)(array)
+
 
 def stack(arrays: Sequence[NDArray]) -> NDArray:
     """Members as a leading batch axis: one table, one job for all."""
@@ -221,6 +261,9 @@ class C2c(Plan):
             raise TransformError("an axis that isn't transformed has no direction")
         object.__setattr__(self, "directions", tuple(signs))
 
+    def _steps(self) -> list[int]:
+        return _order(self.axes.axes, True)
+
     @property
     def factor(self) -> int:
         return math.prod(self.shape[k] for k in self.axes.axes)
@@ -273,6 +316,9 @@ class R2c(Plan):
     def output_shape(self) -> tuple[int, ...]:
         return _half(self.shape, self.real_axis)
 
+    def _steps(self) -> list[int]:
+        return [self.real_axis, *(k for k in _order(self.axes.axes, True) if k != self.real_axis)]
+
     @property
     def factor(self) -> int:
         return math.prod(self.shape[k] for k in self.axes.axes)
@@ -330,6 +376,9 @@ class C2r(Plan):
     def input_shape(self) -> tuple[int, ...]:
         return _half(self.shape, self.real_axis)
 
+    def _steps(self) -> list[int]:
+        return [*(k for k in _order(self.axes.axes, True) if k != self.real_axis), self.real_axis]
+
     @property
     def factor(self) -> int:
         return math.prod(self.shape[k] for k in self.axes.axes)
@@ -371,6 +420,9 @@ class R2r(Plan):
                     raise TransformError(f"no real-to-real kind {kind}")
                 kernels.check_length(kind, n)
 
+    def _steps(self) -> list[int]:
+        return _order((k for k, x in enumerate(self.kinds) if x), True)
+
     @property
     def factor(self) -> int:
         return math.prod(kernels.factor(k, n) for k, n in zip(self.kinds, self.shape, strict=True) if k)
@@ -400,6 +452,9 @@ class Dht(Plan):
         super().__post_init__()
         object.__setattr__(self, "axes", _select(len(self.shape), self.axes))
 
+    def _steps(self) -> list[int]:
+        return _order(self.axes.axes, True)
+
     @property
     def factor(self) -> int:
         return math.prod(self.shape[k] for k in self.axes.axes)
@@ -449,6 +504,9 @@ class MixedC2c(Plan):
                 kernels.check_length(kind, n)
         object.__setattr__(self, "directions", _signs(self.transforms, self.directions))
 
+    def _steps(self) -> list[int]:
+        return self._axes(True)
+
     @property
     def factor(self) -> int:
         return math.prod(kernels.factor(k, n) for k, n in zip(self.transforms, self.shape, strict=True) if k)
@@ -503,6 +561,9 @@ class MixedR2c(Plan):
     def output_shape(self) -> tuple[int, ...]:
         return _half(self.shape, self.real_axis)
 
+    def _steps(self) -> list[int]:
+        return _order((k for k, t in enumerate(self.transforms) if t), True)
+
     @property
     def factor(self) -> int:
         return math.prod(kernels.factor(k, n) for k, n in zip(self.transforms, self.shape, strict=True) if k)
@@ -663,6 +724,5 @@ class LocalDht:
         return self.forward(x) / self.line_len
 
 
-def zeros(array_like: NDArray, shape: tuple[int, ...], dtype: str) -> NDArray:
-    """A zero-filled array for a plan's input or output."""
-    return NDArray.from_elem(array_like.df.sparkSession, Layout.of(shape), 0.0 if dtype[0] != "c" else 0j, array_like.extra, dtype)
+def _zeros(spark: SparkSession, shape: tuple[int, ...], extra: tuple[int, ...], dtype: str) -> NDArray:
+    return NDArray.from_elem(spark, Layout.of(shape), 0j if dtype.startswith("c") else 0.0, extra, dtype)
