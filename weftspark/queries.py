@@ -570,6 +570,8 @@ def _folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _scratch()
+    if "://" in base:
+        raise RuntimeError("array files need a mounted folder in spark.checkpoint.dir; the Parquet store doesn't")
     path = f"{base}/arrays-{uuid.uuid4().hex}"
     os.makedirs(path)
     return path
