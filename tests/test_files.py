@@ -138,3 +138,31 @@ def test_parquet_store(spark, tmp_path):
     with pytest.raises(IoError):
         store.read("none")
     assert store.catalog().first()["dtype"] == "i32"
+    b = a.with_df(a.df.withColumn("v", F.col("v") + 1))
+    store.write_collection("both", [a, b], parquet.Options("gzip", 1 << 20, 2))
+    assert [rows(x) for x in store.read_collection("both")] == [rows(a), rows(b)]
+    with pytest.raises(IoError):
+        store.write_collection("none", [])
+    with pytest.raises(IoError):
+        parquet.Options("zip")
+
+
+def test_parquet_tree(spark, tmp_path):
+    path = f"file://{tmp_path}/tree"
+    a = cells(spark, Layout.of((2, 3)))
+    with parquet.TreeSession(spark, path, "create") as t:
+        t.create_group("run")
+        t.create_group("run/ü")
+        t.write("run/ü/x", a)
+        t.write("top", a)
+        for bad in ("run", "top", "none/x", "a//b", "/".join("a" * 40)):
+            with pytest.raises(IoError):
+                t.write(bad, a)
+    with pytest.raises(IoError):
+        t.read("top")
+    with parquet.TreeSession(spark, path, "read") as t:
+        assert [r["name"] for r in t.catalog().collect()] == ["run/ü/x", "top"] and rows(t.read("run/ü/x")) == rows(a)
+        with pytest.raises(IoError):
+            t.create_group("more")
+    with pytest.raises(IoError):
+        parquet.TreeSession(spark, path, "create")
