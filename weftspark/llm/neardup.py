@@ -7,8 +7,8 @@ chance collisions by counting equal fields; links are confirmed on the full sets
 No bucket is expanded into pairs.  Every member of a bucket is compared with one hub, the verified links are joined
 into components, and only buckets that still hold several components go on.  There the pairs *across* components are
 tested: all of them in small buckets, and in large ones those that pass an exact prefix filter, so that no link
-between different texts is lost to a bucket's shape.  A pair of similarity
-0.8 shares no band with probability (1 - 0.8**4)**32 < 1e-7, and the estimate rejects it with probability < 1e-6.
+between different texts is lost to a bucket's shape.  A pair of similarity 0.8 shares no band with probability
+(1 - 0.8**4)**32 < 1e-7, and the estimate rejects it with probability < 1e-6.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing; a text with fewer words than a
 shingle has one shingle of all its words; equal sets are linked; rows that repeat a doc_id are one document; a null
@@ -256,6 +256,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, staged: Staged,
         sets = staged.write(sets.dropDuplicates(["id"]))
     both = F.size(F.array_intersect("a_items", "b_items"))
     close = 100 * both >= percent * (F.size("a_items") + F.size("b_items") - both)
-    out = staged.write(_both_sides(likely.select("a", "b"), sets, ["items"]).filter(close).select("a", "b").distinct())
+    # pairs are distinct already; an aggregation here would keep Spark from splitting a hot b
+    out = staged.write(_both_sides(likely.select("a", "b"), sets, ["items"]).filter(close).select("a", "b"))
     staged.drop(likely, ids, sets)
     return out

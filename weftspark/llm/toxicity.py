@@ -143,20 +143,22 @@ def fit(examples: list[tuple[str, int]]) -> Grammar:
     bad = [frozenset(_WORD.findall(t.lower())) for t, y in examples if y]
     if not good or not bad:
         return Grammar(base=-4.0 if not bad else 4.0)
-    clean: Counter[str] = Counter()
+    # first how many toxic texts have a stem, then how often others have the frequent ones, then which texts those are
+    often = Counter(x for words in bad for x in {*_stems(words)})
+    often = {x: n for x, n in often.items() if n >= SUPPORT}
+    inside = dict.fromkeys(often, 0)  # texts without the label, by stem; a text with two such words counts twice
     for t in good:
-        clean.update(frozenset(_WORD.findall(t.lower())))
-    inside: Counter[str] = Counter()  # texts without the label, by stem; a text with two such words counts twice
-    for w, n in clean.items():
-        for k in range(SHORTEST, min(len(w), LONGEST) + 1):
-            inside[w[:k]] += n
-    by_stem: dict[str, set[int]] = {}
-    for i, words in enumerate(bad):
-        for s in {w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)}:
-            by_stem.setdefault(s, set()).add(i)
+        for x in _stems(frozenset(_WORD.findall(t.lower()))):
+            if x in inside:
+                inside[x] += 1
     rate = len(bad) / len(good)
     # a stem must be at least 20 times as frequent in toxic texts
-    usable = {s: d for s, d in by_stem.items() if len(d) >= SUPPORT and len(d) >= 20 * rate * inside[s]}
+    pure = {x for x, n in often.items() if n >= 20 * rate * inside[x]}
+    by_stem: dict[str, set[int]] = {}
+    for i, words in enumerate(bad):
+        for x in pure.intersection(_stems(words)):
+            by_stem.setdefault(x, set()).add(i)
+    usable = dict(by_stem)
     open_, stems = set(range(len(bad))), {}
     while usable:
         gains = {s: len(d & open_) for s, d in usable.items()}
@@ -168,7 +170,7 @@ def fit(examples: list[tuple[str, int]]) -> Grammar:
             break
         stems[best] = (len(usable[best]) + 0.5) / (inside[best] + 0.5)
         open_ -= usable.pop(best)
-    for s, d in by_stem.items():  # other stems as pure and as frequent, which the cover didn't need
+    for s, d in sorted(by_stem.items(), key=lambda x: (-len(x[1]), -len(x[0]), x[0])):  # other stems as pure and as frequent, which the cover didn't need
         if len(d) >= max(SPARE, 0.02 * len(bad)) and not inside[s] and len(s) > SHORTEST and not any(s.startswith(x) or x.startswith(s) for x in stems):
             stems[s] = (len(d) + 0.5) / 0.5
     missed = sum(not any(w.startswith(tuple(stems)) for w in words) for words in bad) if stems else len(bad)
@@ -179,6 +181,11 @@ def fit(examples: list[tuple[str, int]]) -> Grammar:
     return grammar
 
 
+def _stems(words: frozenset[str]) -> Iterator[str]:
+    """All beginnings of words that may become stems."""
+    return (w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1))
+
+
 def _factors(grammar: Grammar, examples: list[tuple[str, int]]) -> dict[str, float]:
     """Share of toxic texts among those whose every insult is negated, or reported, against all with an insult."""
     seen = {"negation": [0, 0], "report": [0, 0], "target": [0, 0], "any": [0, 0]}
