@@ -12,14 +12,14 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
-#: Bytes of an Arrow batch, where the session has Spark's own value: workers hold a few copies of a batch.
+#: Bytes of an Arrow batch, where the session sets none: workers hold a few copies of a batch.
 BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Add a zip of the package to the session's Python files, once per application."""
     context = spark.sparkContext
-    if spark.conf.get(BATCH_KEY, "") in ("", "67108864b"):
+    if spark.conf.get(BATCH_KEY, None) is None:
         spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
     if context.applicationId in _shipped:
         return
