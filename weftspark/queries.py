@@ -70,7 +70,7 @@ LIN = """lin AS (SELECT g.i0, g.i1, g.i2, coalesce(r.v, 0.0)::DOUBLE AS v
   FROM (SELECT a.i0::BIGINT AS i0, b.i1::BIGINT AS i1, c.i2::BIGINT AS i2 FROM unnest(range(0, 7)) AS a(i0), unnest(range(0, 12)) AS b(i1), unnest(range(0, 8)) AS c(i2)) g
   LEFT JOIN (SELECT l_linenumber - 1 AS i0, month(l_shipdate) - 1 AS i1, l_suppkey % 8 AS i2, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) r USING (i0, i1, i2))"""
 LINC = LIN + """,
-linc AS (SELECT i0, i1, i2, v AS re, ((i0 + 2 * i1 + 3 * i2) % 5)::DOUBLE / 4 AS im FROM lin)"""
+linc AS (SELECT i0, i1, i2, v AS re, ((i0 + 2 * i1 + 3 * i2) % 5)::DOUBLE AS im FROM lin)"""
 
 
 def dft(name: str, source: str, axis: str, keys: list[str], n: str, sign: int, real: bool = False, half: bool = False, scale: str = "1.0") -> str:
@@ -125,8 +125,9 @@ C = ["re", "im"]
 
 
 def lin_complex(spark: SparkSession, sf_dir: str) -> NDArray:
+    """Whole parts, so that no value divided by 672 lies halfway between two rounded ones."""
     a = tables.lin(spark, sf_dir)
-    return a.with_df(a.df.select(*a.coords, F.col("v").alias("re"), ((F.col("i0") + 2 * F.col("i1") + 3 * F.col("i2")) % 5 / 4.0).alias("im")), dtype="c128")
+    return a.with_df(a.df.select(*a.coords, F.col("v").alias("re"), ((F.col("i0") + 2 * F.col("i1") + 3 * F.col("i2")) % 5).cast("double").alias("im")), dtype="c128")
 
 
 # layout and construction
