@@ -20,28 +20,70 @@ def test_held_out_is_the_crc(spark):
     assert {r["doc_id"]: r["h"] for r in rows} == {i: i is not None and held_out(i) for i in ids}
 
 
-def test_phrases_by_the_definition():
+def brute_phrases(seen, clean):
+    """Phrases of a whole text: a match is extended as long as the training text holds it."""
+    want, match = int(bool(seen)), ""
+    for c in seen:
+        if match + c in clean:
+            match += c
+        else:
+            want += 1
+            match = c if c in clean else ""
+    return want
+
+
+@pytest.mark.parametrize("block, cells", [(256, 1 << 22), (4, 1 << 22), (16, 16 * 2 * 3)])
+def test_phrases_are_those_of_an_unblocked_parse(monkeypatch, block, cells):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    monkeypatch.setattr(langid, "CELLS", cells)
     rng = random.Random(2)
-    train = {"a": "".join(rng.choice("abc ") for _ in range(200)), "b": "".join(rng.choice("bcd ") for _ in range(200))}
+    train = {"a": "".join(rng.choice("abc ") for _ in range(200)) + "a" * 40, "b": "".join(rng.choice("bcd ") for _ in range(200))}
     model = langid.learn({k: [v] for k, v in train.items()})
     clean = {k: "".join(map(chr, langid.normalise([v])[0])) for k, v in train.items()}
-    for text in ("a", "abcabc", "dd bb", "".join(rng.choice("abcd ") for _ in range(700))):
-        points, ends, _ = langid.normalise([text])
-        got = langid.phrases(model, points, ends)[:, 0]
-        seen = "".join(map(chr, points))
-        for j, k in enumerate(model.langs):
-            # a parse that restarts with the character that ended a phrase counts one phrase for each restart
-            want = 0
-            for at in range(0, len(seen), langid.BLOCK):
-                block, match = seen[at : at + langid.BLOCK], ""
-                want += 1
-                for c in block:
-                    if match + c in clean[k]:
-                        match += c
-                    else:
-                        want += 1
-                        match = c if c in clean[k] else ""
-            assert got[j] == want, (text, k)
+    texts = ["a", "", "abcabc", "dd bb", "a" * 1000, "ba" * 300, "xyz" * 50, *("".join(rng.choice("abcde ") for _ in range(n)) for n in (3, 255, 256, 257, 512, 1500))]
+    points, ends, _ = langid.normalise(texts)
+    got = langid.phrases(model, points, ends)
+    for i, text in enumerate(texts):
+        seen = "".join(map(chr, langid.normalise([text])[0]))
+        assert got[:, i].tolist() == [brute_phrases(seen, clean[k]) for k in model.langs], text[:20]
+
+
+def scripts(rng, n):
+    """Texts in five scripts, two of them with thousands of letters, most of which both have."""
+    word = lambda letters, low, high: "".join(rng.choice(letters) for _ in range(rng.randrange(low, high)))
+    alphabets = {"latin": "abcdefghijklmnoprstuvwy", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "cyrillic": "абвгдежзиклмнопрстуфхцчшщыя"}
+    out = []
+    for name, letters in alphabets.items():
+        stems = [word(letters, 2, 6) for _ in range(300)]
+        out += [(name, " ".join(rng.choice(stems) for _ in range(40))) for _ in range(n)]
+    for name, first in (("han", 0x4E00), ("mixed", 0x4E80)):
+        letters = [chr(first + i) for i in range(3000)]
+        stems = [word(letters, 1, 3) for _ in range(1500)]
+        out += [(name, "".join(rng.choice(stems) for _ in range(100))) for _ in range(n)]
+    rng.shuffle(out)
+    return out
+
+
+def test_five_scripts_and_a_language_of_long_texts(spark):
+    rng = random.Random(8)
+    rows = [(i, lang, text) for i, (lang, text) in enumerate(scripts(rng, 120))]
+    long = "".join(chr(0x10A0 + rng.randrange(30)) for _ in range(60_000))
+    rows += [(10**4 + i, "long", " ".join(long[k : k + 9] for k in range(i, len(long), 10))) for i in range(2) if not held_out(10**4 + i)] + [(10**5, None, long[500:900]), (10**5 + 1, None, long * 8)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, lang string, text string, score string")
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    right = [got[i]["lang_pred"] == lang for i, lang, _ in rows if held_out(i) and lang]
+    assert len(right) > 60 and np.mean(right) > 0.95
+    assert got[10**5]["lang_pred"] == got[10**5 + 1]["lang_pred"] == "long"
+
+
+def test_samples_are_bounded_and_every_language_is_in(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TOTAL_CHARS", 5000)
+    free = [i for i in range(3000) if not held_out(i)]
+    rows = [(free[k], f"l{k % 90}", f"word{k} " * 400) for k in range(900)] + [(free[950], "many", "same text")] * 500 + [(free[951], "empty", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    found = langid.sample(docs)
+    assert set(found) == {f"l{k}" for k in range(90)} | {"many"} and found["many"] == ["same text"]
+    assert all(0 < sum(map(len, v)) <= langid.LEAST_CHARS for v in found.values())
 
 
 def test_normalise():

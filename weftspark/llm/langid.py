@@ -5,18 +5,21 @@ that occur in a language's text; the fewer phrases, the nearer the language.  Ph
 length and by the logarithm of the language's text length (the Ziv-Merhav estimate of cross entropy, in bits a
 character), and the language with the lowest estimate wins.
 
-The automaton is turned into a table whose entry says where a character leads, a new phrase's start where the longest
-match ends, and whether a phrase ended: parsing is one look-up a character.  Whole batches are parsed at once, a lane
-for each block of ``BLOCK`` characters, in all languages together; a phrase doesn't cross a block's end, in any
-language.
+The automata are stored sparsely, so that alphabets of thousands of letters cost no more than small ones: every edge
+has a slot in one array, found by the state XOR the letter's code, and a slot whose owner is another state means that
+the match ends there.  Whole batches are parsed at once, a lane for each block of ``BLOCK`` characters, in all languages
+together.  A lane begins as if a phrase began with it; then each lane is parsed again from the state in which the lane
+before it really ended, until both parses agree, so phrases cross blocks and the parse is that of the whole text.
 
 Texts are lower-cased, and runs of anything but letters become one space.  Learning is from a bounded sample: of each
-language the ``SLOTS`` rows with the smallest id hash in their slot, whole texts in hash order while they fit into
-``TRAIN_CHARS`` characters.
+language the ``SLOTS`` rows with the smallest id hash in their slot, of each of them a part (all of it, if that is the
+only row), in hash order until ``TRAIN_CHARS`` characters, or an equal share of ``TOTAL_CHARS`` for each language if
+there are many, are held.  Every language with a labelled text is learned, and every letter that was seen.
 
 Defined cases: ``und`` with score 0 for a null text or one without letters, and for every text when nothing could be
-learned; ties go to the language that sorts first; repeated rows are judged one by one; a null doc_id is neither held
-out nor learned from.
+learned; ties go to the language that sorts first; repeated rows are judged one by one, and of rows that repeat a
+doc_id one is learned from; a null doc_id is neither held out nor learned from; very long texts are parsed in pieces
+that hand on their state; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,21 +29,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .._ship import ship
 from .toxicity import held_out
 
-#: Sample rows of a language, characters learned of each, languages at most (the most frequent), letters told apart.
-SLOTS, TRAIN_CHARS, LANGUAGES, LETTERS = 128, 24_000, 64, 60
-#: Characters of a lane, and characters parsed at once.
-BLOCK, CHUNK = 256, 1 << 20
+#: Sample rows of a language, characters learned of each language, and of all together (at least LEAST_CHARS of each).
+SLOTS, TRAIN_CHARS, TOTAL_CHARS, LEAST_CHARS = 128, 24_000, 400_000, 500
+#: Characters of a lane, characters of texts parsed at once, and cells (a character in a language) of a step's trace.
+BLOCK, CHUNK, CELLS = 256, 1 << 20, 1 << 22
 UNKNOWN = "und"
+#: Random numbers that are tried for a state before the room is doubled.
+TRIES = 100
 #: How sharply the difference of two estimates, in bits a character, speaks for one language.
 SHARPNESS = 8.0
 
 _state: dict[str, np.ndarray] = {}
+_LOW = (1 << 32) - 1
 
 
 def _letters() -> np.ndarray:
@@ -102,79 +108,179 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 @dataclass
 class Model:
-    """Languages, the code of each known code point (0: any other), and the parsing tables one after another."""
+    """Languages, known code points, and the automata.
+
+    A state is a number of its own choice; its edge by code c is in ``edges[state ^ c]``, as 2**32 * state + next state.
+    ``first`` holds the start of each language and ``restart`` the state that a single character leads to from there.
+    """
 
     langs: list[str]
     points: np.ndarray
-    table: np.ndarray
+    edges: np.ndarray
     first: np.ndarray
+    restart: np.ndarray
     bits: np.ndarray
 
-    @property
-    def width(self) -> int:
-        return len(self.points) + 1
+
+def place(move: list[dict[int, int]], size: int, rng: np.random.Generator) -> tuple[list[int], int]:
+    """Numbers for all states such that no two edges share a slot, and a power of two above them.
+
+    States with many edges go first; where no number fits in ``TRIES`` random ones, there is too little room, and the
+    power is doubled.
+    """
+    names, used, taken = [0] * len(move), set(), set()
+    guesses: list[int] = []
+    for s in sorted(range(len(move)), key=lambda s: -len(move[s])):
+        codes = list(move[s])
+        tries = 0
+        while True:
+            if tries == TRIES:
+                size, tries, guesses = 2 * size, 0, []
+            if not guesses:
+                guesses = rng.integers(0, size, 1 << 14).tolist()
+            x = guesses.pop()
+            tries += 1
+            if x not in taken and used.isdisjoint([x ^ c for c in codes]):
+                break
+        taken.add(x)
+        used.update([x ^ c for c in codes])
+        names[s] = x
+    return names, size
 
 
 def learn(samples: dict[str, list[str]]) -> Model:
     langs = sorted(samples)
     texts = {lang: normalise(samples[lang])[0] for lang in langs}
-    every = np.concatenate(list(texts.values())) if langs else np.zeros(0, np.uint32)
-    found, count = np.unique(every, return_counts=True)
-    points = np.sort(found[np.argsort(-count, kind="stable")[:LETTERS]])
-    width = len(points) + 1
-    tables, first, bits, at = [], [], [], 0
-    for lang in langs:
-        codes = _codes(points, texts[lang])
-        # a character outside the table ends every phrase, so learning skips over it
-        move = suffix_automaton([int(c) for c in codes if c])
-        table = np.zeros((len(move), width), np.int64)
-        start = np.zeros(width, np.int64)
-        for c, s in move[0].items():
-            start[c] = s
-        table[:] = (start + at) * 2 + 1  # the match ends: a phrase is counted and the next begins here
-        for s, go in enumerate(move):
-            for c, t in go.items():
-                table[s, c] = (t + at) * 2
-        first.append(at)
-        at += len(move)
-        tables.append(table)
-        bits.append(np.log2(max(2, len(codes))))
-    table = np.concatenate(tables).astype(np.int32) if tables else np.zeros((0, width), np.int32)
-    return Model(langs, points, table, np.array(first, np.int64), np.array(bits))
+    points = np.unique(np.concatenate([*texts.values(), np.zeros(0, np.uint32)]))
+    moves = [suffix_automaton(_codes(points, texts[lang]).tolist()) for lang in langs]
+    placed = []
+    for i, move in enumerate(moves):
+        least = max(2 * len(move), 2 * sum(map(len, move)), len(points) + 1)
+        placed.append(place(move, 1 << least.bit_length(), np.random.default_rng(i)))
+    # the largest first, so that each begins at a multiple of its own power of two
+    offsets, total = [0] * len(langs), 0
+    for i in sorted(range(len(langs)), key=lambda i: -placed[i][1]):
+        offsets[i] = total
+        total += placed[i][1]
+    edges = np.full(total, -1, np.int64)
+    first, restart = np.zeros(len(langs), np.int64), np.zeros((len(langs), len(points) + 1), np.int64)
+    for i, move in enumerate(moves):
+        names = [x + offsets[i] for x in placed[i][0]]
+        flat = np.array([(names[s] ^ c, names[s], names[t]) for s, go in enumerate(move) for c, t in go.items()], np.int64).reshape(-1, 3)
+        edges[flat[:, 0]] = (flat[:, 1] << 32) | flat[:, 2]
+        first[i] = names[0]
+        restart[i] = names[0]
+        for c, t in move[0].items():
+            restart[i, c] = names[t]
+    return Model(langs, points, edges, first, restart, np.array([np.log2(max(2, len(texts[lang]))) for lang in langs]))
 
 
 def _codes(points: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The number of each letter from 1 in order of code points; 0 for a letter that wasn't seen in learning."""
     if not len(points):
         return np.zeros(len(text), np.int64)
     at = np.minimum(np.searchsorted(points, text), len(points) - 1)
     return np.where(points[at] == text, at + 1, 0)
 
 
-def phrases(model: Model, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Number of phrases of each text in each language: lanes of a block each step through the tables together."""
-    n, langs = len(ends), len(model.langs)
+def _step(model: Model, state: np.ndarray, code: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Next states, and whether a phrase ended before the character; ``row`` is each state's row in ``restart`` (flat)."""
+    edge = model.edges[state ^ code]
+    go = (edge >> 32) == state
+    return np.where(go, edge & _LOW, model.restart.ravel()[row + code]), ~go
+
+
+def breaks(model: Model, codes: np.ndarray, ends: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often a phrase ends and another begins in each text, in each language, and the states at the texts' ends.
+
+    ``begin`` holds the states in which each text is entered (languages by texts).
+    """
+    n, langs, width = len(ends), len(model.langs), model.restart.shape[1]
     starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
     lengths = ends - starts
     blocks = -(-lengths // BLOCK)
     owner = np.repeat(np.arange(n), blocks)
     index = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    begin = starts[owner] + index * BLOCK
-    size = np.minimum(BLOCK, lengths[owner] - index * BLOCK)
+    at, size = starts[owner] + index * BLOCK, np.minimum(BLOCK, lengths[owner] - index * BLOCK)
+    # longest lanes first, so that the lanes that are still running are always the first ones
     order = np.argsort(-size, kind="stable")
-    begin, size = begin[order], size[order]
-    codes = _codes(model.points, text).astype(np.int32)
-    flat, width = model.table.ravel(), model.width
-    total = np.zeros((langs, n))
-    live_at = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")
-    state = np.repeat(model.first.astype(np.int32)[:, None] * width, len(begin), axis=1)
-    count = np.ones((langs, len(begin)), np.int32)
-    for i, live in enumerate(live_at.tolist()):
-        step = flat[state[:, :live] + codes[begin[:live] + i]]
-        count[:, :live] += step & 1
-        state[:, :live] = (step >> 1) * width
+    where = np.empty(len(order), np.int64)
+    where[order] = np.arange(len(order))
+    owner, index, at, size = owner[order], index[order], at[order], size[order]
+    state = np.where(index == 0, begin[:, owner], model.first[:, None])
+    rows = (np.arange(langs) * width)[:, None]
+    count = np.zeros(state.shape, np.int64)
+    trace = np.zeros((int(size[0]) if len(size) else 0, *state.shape), np.int32)
+    ended = np.zeros((len(trace), *state.shape), bool)
+    for i, live in enumerate(np.searchsorted(-size, -np.arange(len(trace)), "left").tolist()):
+        state[:, :live], new = _step(model, state[:, :live], codes[at[:live] + i], rows)
+        count[:, :live] += new
+        trace[i, :, :live], ended[i, :, :live] = state[:, :live], new
+    # Lanes that follow another are entered in the state where that one ended.  ``entered`` is the state that a lane's
+    # trace belongs to; of each text and language the first lane whose predecessor now ends elsewhere is parsed again.
+    before = np.where(index > 0, where[np.maximum((np.cumsum(blocks) - blocks)[owner] + index - 1, 0)], -1)
+    entered = np.where(index == 0, begin[:, owner], model.first[:, None])
+    later = np.flatnonzero(before >= 0)
+    speculative = True
+    while len(later):
+        lang, lane = np.nonzero(state[:, before[later]] != entered[:, later])
+        lane = later[lane]
+        if not len(lane):
+            break
+        if not speculative:
+            # only a lane whose predecessors are all settled has its true entry
+            first = np.lexsort((index[lane], owner[lane], lang))
+            lang, lane = lang[first], lane[first]
+            lead = np.ones(len(lane), bool)
+            lead[1:] = (lang[1:] != lang[:-1]) | (owner[lane][1:] != owner[lane][:-1])
+            lang, lane = lang[lead], lane[lead]
+        speculative = False
+        s = state[lang, before[lane]]
+        entered[lang, lane] = s
+        i = 0
+        while len(lane):
+            s, new = _step(model, s, codes[at[lane] + i], lang * width)
+            count[lang, lane] += new.astype(np.int64) - ended[i, lang, lane]
+            ended[i, lang, lane] = new
+            done = trace[i, lang, lane] == s
+            trace[i, lang, lane] = s
+            i += 1
+            over = ~done & (size[lane] == i)
+            state[lang[over], lane[over]] = s[over]
+            going = ~done & ~over
+            lang, lane, s = lang[going], lane[going], s[going]
+    total = np.zeros((langs, n), np.int64)
     for j in range(langs):
-        total[j] = np.bincount(owner[order], weights=count[j], minlength=n)
-    return total
+        total[j] = np.bincount(owner, weights=count[j], minlength=n)
+    end = begin.copy()
+    last = index == blocks[owner] - 1
+    end[:, owner[last]] = state[:, last]
+    return total, end
+
+
+def phrases(model: Model, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Number of phrases of each whole text in each language."""
+    langs, n = len(model.langs), len(ends)
+    out = np.zeros((langs, n))
+    codes = _codes(model.points, text)
+    starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+    room = max(1, CELLS // (BLOCK * max(1, langs)))  # lanes of one step
+    lanes = np.cumsum(-(-(ends - starts) // BLOCK))
+    first = 0
+    while first < n:
+        done = lanes[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(lanes, done + room, "right")))
+        state = np.repeat(model.first[:, None], last - first, axis=1)
+        if last == first + 1:  # perhaps a long text: piece after piece
+            for at in range(int(starts[first]), int(ends[first]), room * BLOCK):
+                piece = codes[at : min(at + room * BLOCK, int(ends[first]))]
+                more, state = breaks(model, piece, np.array([len(piece)]), state)
+                out[:, first : first + 1] += more
+        else:
+            lo = int(starts[first])
+            out[:, first:last], _ = breaks(model, codes[lo : int(ends[last - 1])], ends[first:last] - lo, state)
+        first = last
+    return out + (ends > starts)
 
 
 def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -201,20 +307,26 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
 
 
 def sample(docs: DataFrame) -> dict[str, list[str]]:
-    """Whole labelled texts of each language, by two scans: ids and labels first, then the chosen rows."""
-    marks = docs.filter("lang is not null and text is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
-    h = F.xxhash64("doc_id")
-    slots = marks.groupBy("lang", F.pmod(h, F.lit(SLOTS)).alias("slot")).agg(F.min(h).alias("h"), F.count(F.lit(1)).alias("n"))
-    top = slots.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    chosen = slots.join(F.broadcast(top.select("lang")), "lang").select("lang", "h")
-    rows = marks.withColumn("h", h).join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", "doc_id", "text").filter(F.length("text") <= TRAIN_CHARS).collect()
+    """Labelled texts, or parts of long ones, of each language by two scans: ids and labels first, then the chosen rows."""
+    marks = docs.select(F.col("doc_id"), F.col("lang"), F.col("text")).filter("lang is not null and text is not null and text != '' and doc_id is not null")
+    marks = marks.filter(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
+    slots = marks.groupBy("lang", F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(F.min("h").alias("h"))
+    chosen = slots.select("lang", "h", F.count(F.lit(1)).over(Window.partitionBy("lang")).alias("n"))
+    langs = max(1, marks.select("lang").distinct().count())
+    share = max(LEAST_CHARS, min(TRAIN_CHARS, TOTAL_CHARS // langs))
+    # a row gives a quarter of its language's share at most, or more where there are fewer than four
+    part = F.greatest(F.lit(share // 4), F.ceil(F.lit(share) / F.col("n"))).cast("int")
+    spare = F.greatest(F.length("text") - part, F.lit(0)).cast("long")
+    cut = F.substring(F.col("text"), (F.pmod(F.col("h"), spare + 1) + 1).cast("int"), part)
+    rows = marks.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h", "doc_id").agg(F.min(cut).alias("text"))
+    run = Window.partitionBy("lang").orderBy("h", "doc_id")
+    held = F.sum(F.length("text")).over(run.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("held", F.coalesce(held, F.lit(0))).filter(F.col("held") < share)
     out: dict[str, list[str]] = {}
-    held: dict[str, int] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["doc_id"], r["text"])):
-        if r["text"] not in out.setdefault(r["lang"], []) and held.get(r["lang"], 0) + len(r["text"]) <= TRAIN_CHARS:
-            out[r["lang"]].append(r["text"])
-            held[r["lang"]] = held.get(r["lang"], 0) + len(r["text"])
-    return {k: v for k, v in out.items() if v}
+    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["h"], r["doc_id"])):
+        if r["text"] not in out.setdefault(r["lang"], []):
+            out[r["lang"]].append(r["text"][: share - r["held"]])
+    return out
 
 
 def identify(docs: DataFrame) -> DataFrame:
