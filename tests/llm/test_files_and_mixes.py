@@ -42,21 +42,49 @@ def brute_chat(rows):
     return sorted(keep, key=str)
 
 
-@pytest.mark.parametrize("block", [1024, 2])
-def test_maximal_conversations(spark, monkeypatch, block):
-    monkeypatch.setattr(chat, "BLOCK", block)
-    rows = conversations(random.Random(block), 25)
-    rows += [(1000, 0, None, "x"), (1001, 0, "", "x"), (1002, 0, "user", None), (1003, 0, "user", ""), (None, 0, "user", "lonely"), (None, 1, "user", "lonely"), (1004, None, "user", "z"), (1004, 3, "user", "a"), (1005, 1, "user", "dup"), (1005, 1, "user", "dup")]
-    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"block": F.lit(1), "total": F.lit("t"), "digest": F.lit(None)})
-    got = defaultdict(list)
-    for r in chat.collapse_and_render(frame).collect():
-        got[(r["conv_id"], r["n_turns"])].append((r["chunk"], r["rendered"]))
-    out = sorted([(c, n, "".join(t for _, t in sorted(v))) for (c, n), v in got.items()], key=str)
-    assert out == brute_chat(rows)
-    assert all([k for k, _ in sorted(v)] == list(range(len(v))) for v in got.values())
+ODD_TURNS = [(1000, 0, None, "x"), (1001, 0, "", "x"), (1002, 0, "user", None), (1003, 0, "user", ""), (None, 0, "user", "lonely"), (None, 1, "user", "lonely"), (1004, None, "user", "z"), (1004, 3, "user", "a"), (1005, 1, "user", "dup"), (1005, 1, "user", "dup")]
+SPARSE_TURNS = [(2000, None, "user", "n"), (2000, 0, "user", "zero"), (2000, 5000, "user", "far"), (2001, -3, "user", "n"), (2001, 2**40, "user", "zero")]
+LONG_TURNS = [(3000, k, "user" if k % 2 == 0 else "assistant", f"turn {k}") for k in range(10_000)] + [(3001, k, "user" if k % 2 == 0 else "assistant", f"turn {k}") for k in range(9_000)] + [(3002, None, "user", f"null {k % 7}") for k in range(9000)]
+
+
+@pytest.mark.parametrize("case", ["many", "long"])
+def test_maximal_conversations(spark, case):
+    rows = conversations(random.Random(3), 25) + ODD_TURNS + SPARSE_TURNS if case == "many" else LONG_TURNS + [(3003, 0, "user", "w" * 2_000_000)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"block": F.lit(1), "total": F.lit("t"), "digest": F.lit(None), "none": F.lit(3)})
+    got = sorted([(r["conv_id"], r["n_turns"], r["rendered"]) for r in chat.collapse_and_render(frame).filter("chunk = 0").collect()], key=str)
+    assert got == brute_chat(rows)
+    parts = defaultdict(list)
+    for r in chat.collapse_and_render(frame, chunked=True).collect():
+        parts[(r["conv_id"], r["n_turns"])].append((r["chunk"], r["rendered"]))
+    assert sorted([(c, n, "".join(t for _, t in sorted(v))) for (c, n), v in parts.items()], key=str) == got
+    assert all([k for k, _ in sorted(v)] == list(range(len(v))) for v in parts.values())
     assert chat.collapse_and_render(frame.limit(0)).count() == 0
 
 
+def test_equal_turns_of_one_conversation_are_spread_over_tasks(spark):
+    turns = spark.range(20_000).select(F.lit(None).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("same").alias("text"))
+    staged = Staged(spark, "test")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        most = chat.blocks_of(turns, staged).groupBy("block").count().agg(F.count(F.lit(1)), F.max("count")).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert most[0] >= 4 and most[1] < 10_000
+
+
+def test_chat_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from weftspark.llm import queries
+
+    rows = conversations(random.Random(5), 12) + ODD_TURNS + SPARSE_TURNS
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = queries.op1_chat_formatting(spark, str(tmp_path)).select("conv_id", "chunk", "n_turns", "rendered").collect()
+    db = duckdb.connect()
+    db.sql(f"create view conversations as from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert sorted(map(tuple, got), key=str) == sorted(db.sql(queries.ORACLE["op1_chat_formatting"]).select("conv_id, chunk, n_turns, rendered").fetchall(), key=str)
+
+
 def need(sizes, capacity):
     shards, held = 1, 0
     for x in sizes:
@@ -109,6 +137,32 @@ def test_sharding_edge_rows(spark):
     assert sharding.shard_slots(docs.limit(0)).count() == 0 and sharding.assign(docs.limit(0)).count() == 0
 
 
+def test_thousands_of_shards(spark):
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 9000).cast("string")).alias("text"), F.lit("mine").alias("Shard"), F.lit(1).alias("a.b"))
+    rows = sharding.shard_slots(docs, shards=10_000).collect()
+    sizes, of = Counter(), {}
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+        of[r["doc_id"]] = r["shard"]
+    assert len(rows) == 12_000 and set(sizes) <= set(range(10_000)) and all(of[i] == of[i + 9000] for i in range(3000))
+    groups = Counter()
+    for i in range(12_000):
+        groups[int(hashlib.md5(f"text {i % 9000}".encode()).hexdigest()[:15], 16)] += len(f"text {i % 9000}") + 1
+    assert max(sizes.values()) == minimax([groups[k] for k in sorted(groups)], 10_000)
+    assigned = sharding.assign(docs, shards=10_000)
+    assert assigned.columns == ["doc_id", "text", "input_shard", "a.b", "shard"]
+    assert {r["doc_id"]: r["shard"] for r in assigned.collect()} == of and assigned.filter("input_shard != 'mine'").count() == 0
+
+
+def test_equal_rows_share_runs_of_slots(spark):
+    docs = spark.range(30_000, numPartitions=6).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.lit("cold")).alias("text"))
+    rows = sharding.shard_slots(docs, shards=3).collect()
+    for s in {r["shard"] for r in rows}:
+        mine = sorted(r["slot"] for r in rows if r["shard"] == s)
+        assert mine == list(range(len(mine)))
+    assert len(rows) == 30_000
+
+
 def test_lookup_deals_hot_keys(spark):
     df = spark.range(5000).select(F.when(F.col("id") < 3000, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 700)).alias("k"), "id")
     table = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 2")

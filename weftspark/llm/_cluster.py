@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from typing import ClassVar
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join may be broadcast after it has been counted.
@@ -48,15 +50,33 @@ def clean(spark: SparkSession) -> None:
     _remove(spark, _own_dir(spark))
 
 
+#: Where the folders that are begun inside ``collecting`` are noted; each thread has its own.
+_begun: ContextVar[list[str] | None] = ContextVar("begun", default=None)
+
+
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """A list of the folders that this thread begins to stage meanwhile."""
+    mine: list[str] = []
+    before = _begun.set(mine)
+    try:
+        yield mine
+    finally:
+        _begun.reset(before)
+
+
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    for path in folders:
+        _remove(spark, path)
+
+
 class Staged:
     """Tables written to the shared folder: each cuts the lineage, survives lost executors and is read back."""
 
-    #: The folders of this process, in the order in which they were begun.
-    begun: ClassVar[list[str]] = []
-
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.base, self.n = spark, f"{_own_dir(spark)}/{what}-{uuid.uuid4().hex}", 0
-        self.begun.append(self.base)
+        if (mine := _begun.get()) is not None:
+            mine.append(self.base)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -66,13 +86,6 @@ class Staged:
         out._staged_at = path
         return out
 
-    @classmethod
-    def sweep(cls, spark: SparkSession, mark: int) -> None:
-        """Remove what has been staged since ``len(Staged.begun)`` was ``mark``."""
-        for path in cls.begun[mark:]:
-            _remove(spark, path)
-        del cls.begun[mark:]
-
     def drop(self, *tables: DataFrame) -> None:
         """Delete staged tables that nothing will read again."""
         for t in tables:
@@ -100,3 +113,16 @@ def lookup(df: DataFrame, table: DataFrame, key: str, weight: str, total: int, p
 def in_ids(df: DataFrame, ids: DataFrame, key: str, n: int, how: str = "left_semi") -> DataFrame:
     """Keep (``left_semi``) or drop (``left_anti``) rows by id; ``n`` ids have been counted, and are broadcast if few."""
     return df.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids.hint("merge"), key, how)
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def set_aside(df: DataFrame, name: str) -> DataFrame:
+    """Rename a column called ``name`` (in any case of letters) ``input_name``, or ``input_input_name`` and so on."""
+    new = f"input_{name}"
+    while any(c.lower() == new.lower() for c in df.columns):
+        new = f"input_{new}"
+    return df.select(*[c.alias(new) if n.lower() == name.lower() else c for n, c in zip(df.columns, columns(df), strict=True)])

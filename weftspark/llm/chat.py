@@ -5,13 +5,16 @@ Each turn is hashed with its position, role and text; the running XOR of these h
 hash of its turn prefixes.  A conversation whose whole hash is the hash of a proper prefix elsewhere, or whose twin has
 a smaller conv_id, is dropped by an anti-join; what stays is maximal and is rendered.
 
-XOR composes, so positions and prefix hashes are made in blocks of ``BLOCK`` turns and joined up over the blocks: a
-single huge conversation is spread over many tasks.  It is rendered in chunks of the same blocks for the same reason;
-a usual conversation is one chunk.
+All turns are dealt by ranges of (conversation, turn, role, text), so blocks of a conversation are runs of its sorted
+turns, however its turns are numbered, and a single huge conversation is spread over many tasks, also where all its
+turns are equal.  Positions and prefix hashes are made in each block and joined up over the blocks, as XOR composes.
 
-Defined cases: turns are ordered by turn, then role, then text, nulls first, and repeated rows are repeated turns; a
-null role or text is rendered as an empty one but differs from it when compared; turns whose conv_id is null are one
-conversation; other columns are ignored.
+Each maximal conversation is one row, whose text must fit into one value.  ``chunked=True`` gives a row for each block
+of it instead, numbered by ``chunk``, for conversations that are too large for that.
+
+Defined cases: turns are ordered by turn, then role, then text's digest, nulls first, and repeated rows are repeated
+turns; a null role or text is rendered as an empty one but differs from it when compared; turns whose conv_id is null
+are one conversation, which is dropped if another one continues or repeats it; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,85 +24,78 @@ from pyspark.sql import functions as F
 
 from ._cluster import Staged
 
-#: Turn numbers in a block.
-BLOCK = 1024
+_CONV = ["none", "conv"]
+_KEY = [*_CONV, "block"]
+_ORDER = ["turn", "role", "null", "digest"]
 
 
 def _hash(seed: int, *columns):
     return F.xxhash64(F.lit(seed), *columns)
 
 
-def _digests(turns: DataFrame) -> DataFrame:
-    """Turns with conversation key, block, and a digest in place of the text."""
+def blocks_of(turns: DataFrame, staged: Staged) -> DataFrame:
+    """Turns with a null-free conversation key, their block (from the range that they were dealt to), and a digest."""
     null = F.concat(F.when(F.col("role").isNull(), F.lit("r")).otherwise(F.lit("-")), F.when(F.col("text").isNull(), F.lit("t")).otherwise(F.lit("-")))
-    return turns.select(
-        F.col("conv_id").cast("long"),
-        F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**40))).cast("long").alias("block"),
-        F.col("turn").cast("long"),
-        F.col("role").cast("string"),
-        F.md5(F.coalesce("text", F.lit(""))).alias("digest"),
+    conv = F.col("conv_id").cast("long")
+    rows = turns.select(
+        conv.isNull().alias("none"),
+        F.coalesce(conv, F.lit(0)).alias("conv"),
+        F.col("turn").cast("long").alias("turn"),
+        F.col("role").cast("string").alias("role"),
         null.alias("null"),
-        F.col("text").cast("string"),
+        F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("digest"),
+        F.col("text").cast("string").alias("text"),
+        F.rand(7).alias("salt"),  # equal rows may be told apart, so that they don't meet in one task
     )
+    dealt = rows.repartitionByRange(*_CONV, *_ORDER, "salt").drop("salt")
+    return staged.write(dealt.withColumn("block", F.spark_partition_id().cast("long")))
 
 
-_KEY = ["conv_id", "block"]
-
-
-def _same(left: str, right: str):
-    return (F.col(f"{left}.conv_id").eqNullSafe(F.col(f"{right}.conv_id"))) & (F.col(f"{left}.block") == F.col(f"{right}.block"))
-
-
-def prefixes(turns: DataFrame, staged: Staged) -> tuple[DataFrame, DataFrame]:
-    """Rolling prefix hashes (conv_id, block, place, h1, h2) and blocks (conv_id, block, total, w1, w2).
+def prefixes(rows: DataFrame, staged: Staged) -> tuple[DataFrame, DataFrame]:
+    """Rolling prefix hashes (key, place, total, h1, h2) and blocks (key, total, w1, w2).
 
     ``place`` counts from 1, ``total`` is the conversation's number of turns and w1, w2 the hash of the whole.
     """
-    rows = _digests(turns).select(*_KEY, "turn", "role", "digest", "null")
-    order = [F.asc_nulls_first("turn"), F.asc_nulls_first("role"), "null", "digest"]
-    inside = Window.partitionBy(*_KEY).orderBy(*order)
-    rows = staged.write(rows.withColumn("within", F.row_number().over(inside)))
-    along = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("conv_id")
+    along = Window.partitionBy(*_CONV).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*_CONV)
     counts = rows.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.select(*_KEY, F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("total"))
-    placed = rows.alias("r").join(counts.alias("c"), _same("r", "c")).select("r.conv_id", "r.block", (F.col("before") + F.col("within")).alias("place"), "role", "digest", "null", "total")
+    counts = staged.write(counts.select(*_KEY, F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("total")))
+    inside = Window.partitionBy(*_KEY).orderBy(*[F.asc_nulls_first(c) for c in _ORDER])
+    placed = rows.select(*_KEY, *_ORDER, F.row_number().over(inside).alias("within")).join(counts.hint("merge"), _KEY).withColumn("place", F.col("before") + F.col("within"))
     keyed = placed.select(*_KEY, "place", "total", *[_hash(s, "place", "role", "digest", "null").alias(f"t{s}") for s in (1, 2)])
     running = Window.partitionBy(*_KEY).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    local = staged.write(keyed.select(*_KEY, "place", "total", *[F.expr(f"bit_xor(t{s})").over(running).alias(f"l{s}") for s in (1, 2)], *[F.col(f"t{s}") for s in (1, 2)]))
-    blocks = local.groupBy(*_KEY).agg(F.max("total").alias("total"), *[F.expr(f"bit_xor(t{s})").alias(f"b{s}") for s in (1, 2)])
-    blocks = blocks.select(*_KEY, "total", *[F.coalesce(F.expr(f"bit_xor(b{s})").over(along), F.lit(0)).alias(f"p{s}") for s in (1, 2)], *[F.expr(f"bit_xor(b{s})").over(whole).alias(f"w{s}") for s in (1, 2)])
-    blocks = staged.write(blocks)
-    joined = local.alias("l").join(blocks.alias("b"), _same("l", "b"))
-    rolled = joined.select("l.conv_id", "l.block", "place", "l.total", *[F.col(f"l{s}").bitwiseXOR(F.col(f"p{s}")).alias(f"h{s}") for s in (1, 2)])
-    return rolled, blocks
-
-
-def maximal(turns: DataFrame, staged: Staged) -> DataFrame:
-    """Blocks (conv_id, block, total) of the conversations that no other one continues or repeats."""
-    rolled, blocks = prefixes(turns, staged)
+    local = staged.write(keyed.select(*_KEY, "place", "total", *[F.expr(f"bit_xor(t{s})").over(running).alias(f"l{s}") for s in (1, 2)]))
+    # a block's own hash is that of its last turn
+    ends = local.groupBy(*_KEY).agg(F.max("total").alias("total"), *[F.max_by(f"l{s}", "place").alias(f"b{s}") for s in (1, 2)])
+    blocks = staged.write(ends.select(*_KEY, "total", *[F.coalesce(F.expr(f"bit_xor(b{s})").over(along), F.lit(0)).alias(f"p{s}") for s in (1, 2)], *[F.expr(f"bit_xor(b{s})").over(whole).alias(f"w{s}") for s in (1, 2)]))
+    rolled = local.join(blocks.select(*_KEY, "p1", "p2").hint("merge"), _KEY)
+    return rolled.select(*_KEY, "place", "total", *[F.col(f"l{s}").bitwiseXOR(F.col(f"p{s}")).alias(f"h{s}") for s in (1, 2)]), blocks
+
+
+def maximal(rows: DataFrame, staged: Staged) -> DataFrame:
+    """Conversations (none, conv, total) that no other one continues or repeats."""
+    rolled, blocks = prefixes(rows, staged)
     proper = rolled.filter("place < total").select(F.col("place").alias("total"), F.col("h1").alias("w1"), F.col("h2").alias("w2")).distinct()
-    kinds = blocks.groupBy("total", "w1", "w2").agg(F.min("conv_id").alias("keep"))
-    kinds = staged.write(kinds.join(proper.hint("merge"), ["total", "w1", "w2"], "left_anti"))
-    # a kept conversation is found by its own id: one row for each distinct content
-    kept = kinds.select(F.col("keep").alias("conv_id"), "total", "w1", "w2")
-    same = F.col("b.conv_id").eqNullSafe(F.col("k.conv_id")) & (F.col("b.total") == F.col("k.total")) & (F.col("b.w1") == F.col("k.w1")) & (F.col("b.w2") == F.col("k.w2"))
-    return blocks.alias("b").join(kept.alias("k"), same, "left_semi").select("conv_id", "block", "total")
-
-
-def render(turns: DataFrame, kept: DataFrame) -> DataFrame:
-    """conv_id, chunk (from 0), n_turns of the conversation and the rendered text of each chunk."""
-    rows = _digests(turns)
-    rows = rows.alias("r").join(kept.alias("k"), _same("r", "k")).select("r.*", "k.total")
+    # of twins the smallest conv_id stays, and one without a conv_id only if it is alone
+    kinds = blocks.groupBy("total", "w1", "w2").agg(F.min(F.struct("none", "conv")).alias("keep"))
+    return kinds.join(proper.hint("merge"), ["total", "w1", "w2"], "left_anti").select("keep.none", "keep.conv", "total")
+
+
+def render(rows: DataFrame, kept: DataFrame, chunked: bool = False) -> DataFrame:
+    """conv_id, chunk, n_turns of the conversation and the rendered text of each kept conversation (or block of it)."""
+    mine = rows.join(kept.hint("merge"), _CONV)
     turn = F.struct(F.col("turn").isNotNull().alias("a"), "turn", F.col("role").isNotNull().alias("b"), "role", "null", "digest", "text")
-    chunks = rows.groupBy(*_KEY, "total").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     line = lambda t: F.concat(F.lit("<|im_start|>"), F.coalesce(t["role"], F.lit("")), F.lit("\n"), F.coalesce(t["text"], F.lit("")), F.lit("<|im_end|>\n"))
-    text = F.array_join(F.transform("turns", line), "")
-    chunk = F.row_number().over(Window.partitionBy("conv_id").orderBy("block")) - 1
-    return chunks.select("conv_id", chunk.cast("long").alias("chunk"), F.col("total").cast("long").alias("n_turns"), text.alias("rendered"))
+    pieces = mine.groupBy(*_KEY, "total").agg(F.array_join(F.transform(F.sort_array(F.collect_list(turn)), line), "").alias("rendered"))
+    if chunked:
+        pieces = pieces.withColumn("chunk", F.row_number().over(Window.partitionBy(*_CONV).orderBy("block")) - 1)
+    else:
+        pieces = pieces.groupBy(*_CONV, "total").agg(F.array_join(F.sort_array(F.collect_list(F.struct("block", "rendered")))["rendered"], "").alias("rendered")).withColumn("chunk", F.lit(0))
+    return pieces.select(F.when(~F.col("none"), F.col("conv")).alias("conv_id"), F.col("chunk").cast("long"), F.col("total").cast("long").alias("n_turns"), "rendered")
 
 
-def collapse_and_render(turns: DataFrame) -> DataFrame:
-    """Chat-formatted chunks of the maximal conversations of ``turns`` (conv_id, turn, role, text, ...)."""
+def collapse_and_render(turns: DataFrame, chunked: bool = False) -> DataFrame:
+    """The maximal conversations of ``turns`` (conv_id, turn, role, text, ...), chat-formatted."""
     staged = Staged(turns.sparkSession, "chat")
-    return render(turns, staged.write(maximal(turns, staged)))
+    rows = blocks_of(turns, staged)
+    return render(rows, staged.write(maximal(rows, staged)), chunked)

@@ -94,7 +94,7 @@ WITH conv AS (
 SELECT a.conv_id, 0::BIGINT AS chunk, a.n::BIGINT AS n_turns, a.rendered
 FROM conv a
 WHERE NOT EXISTS (SELECT 1 FROM conv b WHERE b.turns[1] = a.turns[1] AND b.n > a.n AND b.turns[1:a.n] = a.turns)
-  AND NOT EXISTS (SELECT 1 FROM conv b WHERE b.turns[1] = a.turns[1] AND b.n = a.n AND b.turns = a.turns AND b.conv_id < a.conv_id)
+  AND NOT EXISTS (SELECT 1 FROM conv b WHERE b.turns[1] = a.turns[1] AND b.n = a.n AND b.turns = a.turns AND (b.conv_id < a.conv_id OR (a.conv_id IS NULL AND b.conv_id IS NOT NULL)))
 """
 
 ORACLE["op8_url_filters"] = """

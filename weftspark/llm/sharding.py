@@ -8,21 +8,26 @@ The ordered groups are never collected.  The driver sees a histogram of them ove
 then 64 sub-ranges of each range in which some cut may lie).  Over a histogram the greedy check gives a capacity that
 surely suffices (ranges kept whole) and one that is surely needed (ranges cut anywhere); ranges that can hold a cut
 for a capacity between the two are refined, until both agree.  What is collected depends on the number of shards,
-not on the data.
+not on the data: about 64 ranges for each of the ``shards ** 2`` that a cut may lie in, so at most as many as there are
+groups for thousands of shards.
+
+A row's shard is looked up in a table of the cuts by the first bits of its key, for any number of shards.  Slots are
+given out in cells of a shard: 16, or more in large tables so that a cell stays at about ``CELL_ROWS`` rows; rows that
+are equal in doc_id and text are counted before they are moved, so a hot row isn't collected in one task.
 
 Defined cases: a null text counts as an empty one; the size of a row is its UTF-8 bytes plus 1; fewer groups than
 shards leave the last shards empty; rows that repeat a doc_id, or have none, are rows of their own; other columns pass
-through ``assign`` untouched, whatever their names.
+through ``assign`` untouched, but if one is called like the new column it is renamed ``input_<name>``.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._cluster import BROADCAST_ROWS, Staged
+from ._cluster import BROADCAST_ROWS, Staged, set_aside
 
 #: Bits of the order key, of the first histogram, and of each refinement.
 KEY_BITS, FIRST_BITS, STEP_BITS = 60, 12, 6
@@ -111,9 +116,9 @@ def cut_keys(groups: DataFrame, shards: int) -> tuple[list[int], int]:
         keep = [r for i, r in enumerate(ranges.rows) if i not in set(doubtful)]
         rows = keep
         for bits in {r[1] for r in split}:
-            starts = [r[0] for r in split if r[1] == bits]
+            starts = groups.sparkSession.range(1).select(F.explode(_longs([r[0] >> bits for r in split if r[1] == bits])).alias("range"))
             fine = max(0, bits - STEP_BITS)
-            mine = groups.filter(F.shiftleft(F.shiftright("key", bits), bits).isin(starts))
+            mine = groups.withColumn("range", F.shiftright("key", bits)).join(F.broadcast(starts), "range")
             rows = rows + _collect(mine.withColumn("start", F.shiftleft(F.shiftright("key", fine), fine)), fine)
 
 
@@ -122,12 +127,22 @@ def _collect(cells: DataFrame, bits: int) -> list[tuple[int, int, int, int]]:
     return [(r["start"], bits, r["n"], r["size"]) for r in found]
 
 
+def _longs(values: list[int]) -> Column:
+    """An array literal of any length."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def shard_of(key: Column, cuts: list[int]) -> Column:
-    """The number of cuts at or before the key."""
-    out = F.lit(0)
-    for c in cuts:
-        out = out + (key >= F.lit(c)).cast("int")
-    return out.cast("int")
+    """The number of cuts at or before the key: those before its range of keys, and those inside that aren't after it."""
+    if not cuts:
+        return F.lit(0)
+    shift = KEY_BITS - FIRST_BITS
+    before = [bisect_left(cuts, cell << shift) for cell in range((1 << FIRST_BITS) + 1)]
+    cell = F.shiftright(key, shift).cast("int")
+    table = _longs(before)
+    first, end = F.element_at(table, cell + 1).cast("int"), F.element_at(table, cell + 2).cast("int")
+    inside = F.filter(F.slice(_longs(cuts), first + 1, end - first), lambda c: c <= key)
+    return F.when(first == end, first).otherwise(first + F.size(inside)).cast("int")
 
 
 def plan(docs: DataFrame, shards: int = 16, staged: Staged | None = None) -> tuple[list[int], int]:
@@ -140,10 +155,10 @@ def plan(docs: DataFrame, shards: int = 16, staged: Staged | None = None) -> tup
     return found
 
 
-def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """``docs`` with a column ``shard``: a projection, no shuffle of texts."""
+def assign(docs: DataFrame, shards: int = 16, name: str = "shard") -> DataFrame:
+    """``docs`` with a column ``name``: a projection, no shuffle of texts."""
     cuts, _ = plan(docs, shards)
-    return docs.withColumn("shard", shard_of(text_key(F.col("text")), cuts))
+    return set_aside(docs, name).withColumn(name, shard_of(text_key(F.col("text")), cuts))
 
 
 def shard_slots(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -160,8 +175,11 @@ def shard_slots(docs: DataFrame, shards: int = 16) -> DataFrame:
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
     starts = starts.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "cell").orderBy("doc_id", "key")
-    numbered = placed.withColumn("place", F.row_number().over(within) - 1)
+    # equal rows of one input partition travel as one row with their number, and get a run of slots
+    alike = ["shard", "cell", "doc_id", "key", "size", "text_crc32"]
+    counted = placed.withColumn("part", F.spark_partition_id()).groupBy(*alike, "part").agg(F.count(F.lit(1)).alias("n"))
+    within = Window.partitionBy("shard", "cell").orderBy("doc_id", "key", "part").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = counted.withColumn("place", F.coalesce(F.sum("n").over(within), F.lit(0)))
     side = F.broadcast(starts) if shards * cells <= BROADCAST_ROWS else starts
-    out = numbered.join(side, ["shard", "cell"])
-    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("place")).cast("long").alias("slot"))
+    out = numbered.join(side, ["shard", "cell"]).withColumn("first", F.col("start") + F.col("place"))
+    return out.select("doc_id", "size", "text_crc32", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
