@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftspark.llm import decontam, mixing, neardup, sharding, toxicity
-from weftspark.llm._cluster import Staged, in_ids
+from weftspark.llm._cluster import Staged, collecting, in_ids, remove
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -59,9 +59,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     staged = Staged(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        mark = len(Staged.begun)
-        before, docs = docs, staged.write(stage(spark, docs, sf_dir))
-        Staged.sweep(spark, mark)
+        with collecting() as begun:
+            before, docs = docs, staged.write(stage(spark, docs, sf_dir))
+        remove(spark, begun)
         if hasattr(before, "_staged_at"):
             staged.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
