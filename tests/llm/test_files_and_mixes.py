@@ -192,18 +192,54 @@ def test_archives_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
-def test_archives_are_gzip_files_of_records(spark, tmp_path, monkeypatch):
+def test_archives_are_gzip_files_of_records(spark, tmp_path):
     import gzip
 
-    pages = spark.createDataFrame([(i, f"http://h/{i}", f"page {i % 3}") for i in range(9)], "page_id long, url string, html string")
-    archives = warc.write_archives(pages, Staged(spark, "warc"))
-    warc.export(archives, str(tmp_path))
-    text = b"".join(gzip.decompress(p.read_bytes()) for p in tmp_path.iterdir())
-    assert text.count(b"WARC/1.1\r\n") == 9 and text.count(b"WARC-Type: revisit") == 6
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"page {i % 3}") for i in range(90)], "page_id long, url string, html string")
+    archives = warc.write_archives(pages, Staged(spark, "warc"), folder=f"file://{tmp_path}/a")
+    listed = {r["name"]: r for r in archives.collect()}
+    assert len(listed) > 1 and {p.name for p in (tmp_path / "a").iterdir()} == set(listed) and all(r["content"] is None for r in listed.values())
+    assert warc.export(archives, str(tmp_path / "b")) == len(listed)
+    for folder in ("a", "b"):
+        text = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / folder).iterdir())
+        assert text.count(b"WARC/1.1\r\n") == 90 and text.count(b"WARC-Type: revisit") == 87
     one = warc.member(warc.record(1, "u", b"abc", warc.digest(b"abc"), None))
     assert [f["WARC-Type"] for f, _ in warc.read_records(one + one)] == ["response"] * 2
-    with pytest.raises(ValueError):
-        list(warc.read_records(warc.member(warc.record(1, "u", b"abc", warc.digest(b"abc"), None).replace(b"abc", b"abd"))))
+    for bad in (warc.member(warc.record(1, "u", b"abc", warc.digest(b"abc"), None).replace(b"abc", b"abd")), one[:-3]):
+        with pytest.raises(ValueError):
+            list(warc.read_records(bad))
+
+
+def test_archives_stay_rows_where_a_store_cannot_be_opened(spark, monkeypatch):
+    monkeypatch.setattr(warc, "open_store", lambda folder: None)
+    pages = spark.createDataFrame([(i, None, f"page {i % 3}") for i in range(9)], "page_id long, url string, html string")
+    archives = warc.write_archives(pages, Staged(spark, "warc"))
+    assert archives.filter("content is null").count() == 0 and warc.read_archives(archives).filter("record_type = 'revisit'").count() == 6
+
+
+def test_reading_archives_takes_linear_time():
+    import time
+
+    def seconds(n):
+        archive = b"".join(warc.member(warc.record(i, "u", b"x%d" % i, "d", None)) for i in range(n))
+        began = time.process_time()
+        assert sum(1 for _ in warc.read_records(archive)) == n
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 8 * seconds(4_000)
+
+
+@pytest.mark.parametrize("few", [10**6, 10])
+def test_half_of_the_payloads_are_repeated(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", few)
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("p"), F.col("id"))).when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("r"), F.col("id") % 50)).alias("html"))
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    first = {}
+    for i in sorted(html):
+        first.setdefault(html[i], i)
+    got = {r["page_id"]: r["refers_to"] for r in warc.round_trip(pages).collect()}
+    assert got == {i: first[h] if first[h] != i else None for i, h in html.items()}
 
 
 @settings(max_examples=40, deadline=None)

@@ -1,36 +1,46 @@
 """Deduplicated WARC archives: revisit records for payloads that another record holds already.
 
-Headers (page_id, url, payload size and digest) are dealt by payload digest; the smallest page_id of a digest is the
-original response and all others become revisit records that refer to it.  Archives are then written with fresh
-headers, revisits without a payload, and read back record by record.
+Headers (page_id and payload digest) are dealt by payload digest, without the payloads; the smallest page_id of a digest
+is the original response and all others become revisit records that refer to it.  The digests that are found more than
+once are joined back to the pages: by a broadcast if a count says that they are few, so that no page moves; by a
+shuffle of the pages, safe against hot digests, if they are many.  Archives are then written with fresh headers,
+revisits without a payload, and read back record by record.
 
-Archives are rows of a Parquet table in the shared folder (name, bytes): each holds gzip members, one per record, as
-in a ``.warc.gz`` file of at most about ``ARCHIVE_BYTES``, committed by Spark's own writer so that a lost executor
-leaves no half archive.  ``export`` writes them out as files.
+Archives are ``.warc.gz`` files of one gzip member a record and at most about ``ARCHIVE_BYTES``, which the executors
+write into a shared folder.  A file is named after its content, written under a passing name and renamed; the table of
+archives that Spark commits lists the files that count, so a lost executor leaves at most a file that nobody reads.
+Where the folder's store can't be opened from Python, archives are rows of that table instead (``content``).
 
 Defined cases: a null html is an empty payload, and a null url an empty target; payloads of fewer than ``least`` bytes
 are always responses; records that share the smallest page_id of a payload (repeated rows) are all responses; a null
 page_id is written as an empty id, read back as null, and never referred to unless no other page has that payload,
-in which case all are responses; other columns are ignored.
+in which case all are responses; a very long payload is a record of its own archive; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
+from pyarrow import fs as stores
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .._ship import ship
-from ._cluster import Staged, lookup
+from ._cluster import BROADCAST_ROWS, Staged, lookup
 
 #: Bytes after which an archive is closed.
 ARCHIVE_BYTES = 8 << 20
+#: Compressed bytes given to the decompressor at once: what follows a member's end is copied, so this bounds that copy.
+SLICE = 16 << 10
+#: Tasks that read archives, at most.
+READERS = 20_000
 _DATE = "1970-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the namespace of URLs in RFC 4122
@@ -71,14 +81,18 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def read_records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of every record, member after member."""
-    at = 0
-    view = memoryview(archive)
-    while at < len(archive):
-        z = zlib.decompressobj(31)
-        data = z.decompress(view[at:])
-        at = len(archive) - len(z.unused_data)
+def read_records(archive: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of every record, member after member, in time linear in the archive's size."""
+    stream = io.BytesIO(archive) if isinstance(archive, bytes) else archive
+    left = stream.read(SLICE)
+    while left:
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if not left:
+                raise ValueError("an archive ends inside a record")
+            parts.append(z.decompress(left))
+            left = z.unused_data or stream.read(SLICE)
+        data = b"".join(parts)
         head, _, rest = data.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/1."):
@@ -93,30 +107,57 @@ def read_records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def resolve(pages: DataFrame, staged: Staged, least: int = 0) -> DataFrame:
-    """page_id, url, html (binary) and, for revisits, refers_to."""
+    """page_id, url, html (binary), its SHA-1 and, for revisits, refers_to."""
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("html"))
-    hashed = rows.withColumn("payload", F.sha1("html"))
+    hashed = rows.withColumn("payload", F.unhex(F.sha1("html")))
     headers = hashed.filter(F.octet_length("html") >= least).select("payload", "page_id")
-    originals = staged.write(headers.groupBy("payload").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("records")))
-    total = originals.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
-    out = lookup(hashed, originals.filter("records > 1 and first is not null"), "payload", "records", total)
+    originals = headers.groupBy("payload").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("records"))
+    originals = staged.write(originals.filter("records > 1 and first is not null"))
+    found, total = originals.agg(F.count(F.lit(1)), F.coalesce(F.sum("records"), F.lit(0))).first()
+    if found <= BROADCAST_ROWS:
+        out = hashed.join(F.broadcast(originals.select("payload", "first")), "payload", "left")
+    else:
+        out = lookup(hashed, originals, "payload", "records", total)
     again = F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull()) & (F.octet_length("html") >= least)
-    return out.select("page_id", "url", "html", F.when(again, F.col("first")).alias("refers_to"))
+    return out.select("page_id", "url", "html", "payload", F.when(again, F.col("first")).alias("refers_to"))
 
 
-def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def open_store(folder: str) -> tuple[stores.FileSystem, str] | None:
+    """The store of a folder's URI and the path in it; None where Python has no access to such a store."""
+    try:
+        return stores.FileSystem.from_uri(folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return None
+
+
+def _put(folder: str, name: str, content: bytes) -> None:
+    store, path = open_store(folder)
+    store.create_dir(path, recursive=True)
+    passing = f"{path}/.{name}.{uuid.uuid4().hex}"
+    with store.open_output_stream(passing, compression=None) as out:
+        out.write(content)
+    store.move(passing, f"{path}/{name}")
+
+
+_ARCHIVE = pa.schema([("name", pa.string()), ("folder", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("content", pa.binary())])
+_ARCHIVE_SQL = "name string, folder string, records long, bytes long, content binary"
+
+
+def _write(folder: str | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts: list[bytes] = []
     held = n = 0
 
     def archive() -> pa.RecordBatch:
         whole = b"".join(parts)
         name = f"{hashlib.sha256(whole).hexdigest()[:24]}.warc.gz"
-        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([whole], pa.binary())], ["name", "records", "content"])
+        if folder is not None:
+            _put(folder, name, whole)
+        return pa.RecordBatch.from_pylist([{"name": name, "folder": folder, "records": n, "bytes": len(whole), "content": None if folder is not None else whole}], _ARCHIVE)
 
     for batch in batches:
         for row in range(batch.num_rows):
-            page_id, url, html, refers_to = (batch.column(c)[row].as_py() for c in range(4))
-            parts.append(member(record(page_id, url, html, digest(html), refers_to)))
+            page_id, url, html, sha, refers_to = (batch.column(c)[row].as_py() for c in range(5))
+            parts.append(member(record(page_id, url, html, base64.b32encode(sha).decode(), refers_to)))
             held, n = held + len(parts[-1]), n + 1
             if held >= ARCHIVE_BYTES:
                 yield archive()
@@ -125,45 +166,70 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield archive()
 
 
-def write_archives(pages: DataFrame, staged: Staged, least: int = 0) -> DataFrame:
-    """name, records and content of the archives, written to the shared folder."""
-    return staged.write(resolve(pages, staged, least).mapInArrow(_write, "name string, records long, content binary"))
+def write_archives(pages: DataFrame, staged: Staged, least: int = 0, folder: str | None = None) -> DataFrame:
+    """name, folder, records, bytes and content (null where it is a file) of the archives, written by the executors.
+
+    ``folder`` is a URI that the driver and all executors see; unless given, one in the shared folder.
+    """
+    ship(pages.sparkSession)
+    folder = folder or f"{staged.base}/archives"
+    into = folder if open_store(folder) else None
+    return staged.write(resolve(pages, staged, least).mapInArrow(lambda it: _write(into, it), _ARCHIVE_SQL))
+
+
+def _get(name: str, folder: str | None, content: bytes | None) -> BinaryIO:
+    if content is not None:
+        return io.BytesIO(content)
+    store, path = open_store(folder)
+    return store.open_input_stream(f"{path}/{name}", compression=None)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "archive"]
     for batch in batches:
         for row in range(batch.num_rows):
+            name, folder, content = (batch.column(c)[row].as_py() for c in range(3))
             out = []
-            for fields, block in read_records(batch.column(1)[row].as_py()):
-                http, _, payload = block.partition(b"\r\n\r\n")
-                size = int(next(x for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
-                kind, hashed = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                if kind == "response" and (len(payload) != size or digest(payload) != hashed):
-                    raise ValueError("a record's payload is damaged")
-                refers = fields.get("X-Refers-To-Page-ID")
-                out.append((int(fields["X-Page-ID"]) if fields["X-Page-ID"] else None, size, hashed, kind, int(refers) if refers else None, fields["WARC-Target-URI"], batch.column(0)[row].as_py()))
+            with _get(name, folder, content) as stream:
+                for fields, block in read_records(stream):
+                    http, _, payload = block.partition(b"\r\n\r\n")
+                    size = int(next(x for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
+                    kind, hashed = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                    if kind == "response" and (len(payload) != size or digest(payload) != hashed):
+                        raise ValueError("a record's payload is damaged")
+                    refers = fields.get("X-Refers-To-Page-ID")
+                    out.append((int(fields["X-Page-ID"]) if fields["X-Page-ID"] else None, size, hashed, kind, int(refers) if refers else None, fields["WARC-Target-URI"], name))
             columns = list(zip(*out, strict=True)) or [()] * 7
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "archive"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+
+def _spread(archives: DataFrame) -> DataFrame:
+    """A task for each archive, as their table is small but what it lists isn't."""
+    return archives.repartition(max(1, min(READERS, archives.count())))
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """A row per record: page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri, archive."""
     ship(archives.sparkSession)
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, archive string"
-    return archives.select("name", "content").mapInArrow(_read, schema)
+    return _spread(archives.select("name", "folder", "content")).mapInArrow(_read, schema)
+
 
+def _copy(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            with _get(*(batch.column(c)[row].as_py() for c in range(3))) as stream:
+                _put(folder, batch.column(0)[row].as_py(), stream.read())
+        yield batch.select([0])
 
-def export(archives: DataFrame, folder: str) -> None:
-    """Write each archive as a file of its own, one at a time, into a folder that the driver sees."""
-    from pathlib import Path
 
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    for r in archives.select("name", "content").toLocalIterator():
-        (Path(folder) / r["name"]).write_bytes(r["content"])
+def export(archives: DataFrame, folder: str) -> int:
+    """Copy all archives into a folder that the executors see, in parallel; how many there are."""
+    ship(archives.sparkSession)
+    return _spread(archives.select("name", "folder", "content")).mapInArrow(lambda it: _copy(folder, it), "name string").count()
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     """Write the archives of ``pages`` (page_id, url, html) and read them back."""
-    ship(pages.sparkSession)
     return read_archives(write_archives(pages, Staged(pages.sparkSession, "warc"), least))
