@@ -375,7 +375,43 @@ def test_mixture(spark):
     assert copies.columns == docs.columns and sum(size(r["text"]) for r in copies.collect()) == sum(r["taken"] for r in out)
     dealt = mixing.mixed_shards(docs, 4).collect()
     assert {r["shard"] for r in dealt} <= {0, 1, 2, 3} and len(dealt) == copies.count()
-    assert mixing.mixture(docs.limit(0)).count() == 0
+    order = [(r["shard"], r["local_order"]) for r in mixing.mixed_shards(docs, mixing.SHARDS).collect()]
+    assert order == sorted(order) == sorted((s, o) for r in out for s, o in zip(r["shards"], r["orders"], strict=True))
+    assert mixing.mixture(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_partitions_of_a_shard_are_in_order(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_WORDS", 40)
+    docs = spark.createDataFrame([(i, "a b c " * (1 + i % 5), f"s{i % 2}") for i in range(500)] + [(900, "long " * 300_000, "s0")], "doc_id long, text string, source string")
+    rows = mixing.mixed_shards(docs, 3).select("shard", "local_order", F.spark_partition_id().alias("p")).collect()
+    assert len({r["p"] for r in rows}) > 10
+    order = [(r["shard"], r["local_order"]) for r in rows]
+    assert order == sorted(order) and len({r["shard"] for r in rows}) == 3
+
+
+def brute_mixture(sources, rows):
+    """What each document is taken, from the tree's deal: block after block of the permuted hash ranges."""
+    width = mixing.KEY_BITS - 8
+    by = {s.key: s for s in sources}
+    taken = []
+    for r in rows:
+        s, n = by[r["s"]], 0
+        for e in range(s.passes + 1):
+            if s.deal[e * mixing.BLOCKS + (r["k"] >> width)] >= 0 and (e < s.passes or r["k"] < s.cut or r["k"] in s.fill):
+                n += 1
+        taken.append((r["doc_id"], r["size"], n * r["size"]))
+    return sorted(taken, key=str)
+
+
+def test_taken_is_what_the_shards_draw(spark, sf_dir):
+    rows = Staged(spark, "test").write(mixing.sized(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    sources = mixing.plan(rows)
+    got = mixing.with_copies(rows, sources).select("doc_id", "size", (F.col("size") * F.size("copies")).alias("taken")).collect()
+    assert sorted(map(tuple, got), key=str) == brute_mixture(sources, rows.collect())
+    # nothing is taken of a block that no shard has drawn
+    sources[0].deal = tuple(-1 for _ in sources[0].deal)
+    got = mixing.with_copies(rows, sources).filter(F.col("s") == sources[0].key).agg(F.sum(F.size("copies"))).first()[0]
+    assert got == 0
 
 
 def test_many_sources_are_joined_without_a_broadcast(spark, monkeypatch):

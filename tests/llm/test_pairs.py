@@ -78,6 +78,22 @@ def test_neardup_edge_rows(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_keeps_one_row(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, 5), (1, long, 4), (1, long, 6), (2, long + " end", 1), (3, "other text of five words", 1), (None, long, 1), (None, "only here without an id", 2), (None, "only here without an id", 1), (4, None, 1), (4, None, 1), (5, "", 1), (6, "", 1), (3, "another text that has the id", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest int").withColumns({"row": F.lit(1), "kept": F.lit(None), "a.b": F.lit(2)})
+    kept = neardup.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted([(r[0], r[1], r[2]) for r in kept.collect()], key=str) == sorted([(1, long, 4), (3, "other text of five words", 1), (None, "only here without an id", 1), (4, None, 1), (5, "", 1), (6, "", 1), (3, "another text that has the id", 2)], key=str)
+    assert neardup.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_word_counts():
+    texts = ["a b", None, "", " ", "one\x0btwo\x0cthree ", "é\u00a0é x", "end", "start next", " x"]
+    assert _tokens.word_counts(pa.array(texts)).to_pylist() == [len(WORD.findall(t or "")) for t in texts]
+    assert _tokens.word_counts(pa.array(texts[2:8])).to_pylist() == [len(WORD.findall(t or "")) for t in texts[2:8]] and _tokens.word_counts(pa.array([], pa.string())).to_pylist() == []
+
+
 def test_word_hashes_agree_with_words():
     texts = ["Ab  ab\tAB x", "", None, "é é\x0bz", " lead and trail ", "x"]
     ((_, _, raw, offsets),) = _tokens.chunks(pa.array(texts))
@@ -145,13 +161,41 @@ def test_containment_equals_brute_force(spark):
     assert kept.columns == frame.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in docs if i not in bad)
 
 
-def test_item_blocks_give_the_same(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, f"a b c d e f{i} g h i j") for i in range(9)], "doc_id long, text string")
-    bench = spark.createDataFrame([(i, f"b c d e f{i} g h i") for i in range(0, 9, 2)], "item_id long, text string")
-    whole = sorted(map(tuple, decontam.contaminated(docs, bench).collect()))
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 20)
-    assert sorted(map(tuple, decontam.contaminated(docs, bench).collect())) == whole and len(whole) == 5
-    assert decontam.contaminated(docs, bench.limit(0)).count() == 0
+@pytest.mark.parametrize("bits, size", [(6, 0), (20, 1 << 20)])
+def test_a_crowded_bitmap_and_merge_joins_give_the_same(spark, monkeypatch, bits, size):
+    docs = spark.createDataFrame([(i % 8, f"a b c d e f{i} g h i j") for i in range(9)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, f"b c d e f{i} g h i") for i in range(0, 9, 2)] + [(50 + i, "all begin like this " + f"x{i} y z") for i in range(40)], "item_id long, text string")
+    monkeypatch.setattr(decontam, "LEAST_BITS", bits)
+    monkeypatch.setattr(decontam, "MOST_BITS", bits)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", size)
+    got = sorted(map(tuple, decontam.contaminated(docs, bench).collect()))
+    assert got == sorted((i % 8, i, 4, 4, 1.0) for i in range(0, 9, 2))
+    assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_sketches_by_size_class(spark):
+    items = [(n, " ".join(f"w{n}x{i}" for i in range(n + 4))) for n in (1, 2, 3, 7, 8, 40, 500)]
+    table = decontam.item_table(spark.createDataFrame(items, "item_id long, text string"), 5)
+    rows = decontam.sketches(table, 0.8).groupBy("item", "size_class").agg(F.count(F.lit(1)).alias("length"), F.max("must_meet").alias("m")).collect()
+    for n, _ in items:
+        (r,) = [r for r in rows if r["size_class"] == n.bit_length() - 1 and (n not in (2, 3) or r["length"] == n)]
+        need = max(1, -(-8 * n // 10))
+        assert r["m"] == r["length"] - (n - need) >= 1
+
+
+def test_rows_are_judged_by_id_and_text(spark):
+    item = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, f"x {item} y", 1), (1, "clean words here", 2), (None, item, 3), (None, "clean", 4), (2, None, 5), (3, item, 6), (3, item, 7)], "doc_id long, text string, `a.b` int").withColumns({"row": F.lit(1), "digest": F.lit("d")})
+    kept = decontam.decontaminate(docs, spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(r["a.b"] for r in kept.collect()) == [2, 4, 5]
+
+
+def test_long_documents_and_items(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120_000)]
+    docs = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(words[::-1]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(words[100:130])), (1, " ".join(words[1000:60_000])), (2, " ".join(words[5:9]))], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()) == [(0, 0), (0, 1), (0, 2)]
 
 
 def brute_rule(host, path, rules):

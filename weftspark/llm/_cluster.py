@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join may be broadcast after it has been counted.
 BROADCAST_ROWS = 1_000_000
+#: Bytes up to which it may be, where its rows have been measured.
+BROADCAST_BYTES = 64 << 20
 
 _own: dict[str, tempfile.TemporaryDirectory] = {}
 
@@ -110,9 +112,21 @@ def lookup(df: DataFrame, table: DataFrame, key: str, weight: str, total: int, p
     return out.select(*df.columns, *[F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in values])
 
 
-def in_ids(df: DataFrame, ids: DataFrame, key: str, n: int, how: str = "left_semi") -> DataFrame:
-    """Keep (``left_semi``) or drop (``left_anti``) rows by id; ``n`` ids have been counted, and are broadcast if few."""
-    return df.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids.hint("merge"), key, how)
+def keyed(docs: DataFrame) -> DataFrame:
+    """The whole row as ``row``, and what names it: doc_id and the text's MD5."""
+    return docs.select(F.struct(*columns(docs)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.col("text").cast("string"))).alias("digest"))
+
+
+def without(docs: DataFrame, gone: DataFrame, n: int) -> DataFrame:
+    """``docs`` without the rows named in ``gone`` (doc_id, digest; nulls name nulls), of which ``n`` have been counted."""
+    return matching(keyed(docs), gone, n, "left_anti").select("row.*")
+
+
+def matching(rows: DataFrame, named: DataFrame, n: int, how: str) -> DataFrame:
+    """``keyed`` rows that are (``left_semi``) or aren't (``left_anti``) in ``named``, which is broadcast if it is small."""
+    side = named.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("digest").eqNullSafe(F.col("_digest"))
+    return rows.join(F.broadcast(side) if n <= BROADCAST_ROWS else side.hint("merge"), on, how)
 
 
 def columns(df: DataFrame) -> list[Column]:

@@ -86,6 +86,20 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end, row, h
 
 
+def word_counts(texts: pa.Array) -> pa.Array:
+    """Number of words of each text."""
+    out = [np.zeros(0, np.int64)]
+    for _, _, raw, offsets in chunks(texts):
+        inside = ~SPACE[raw]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        cut = offsets[:-1][offsets[:-1] < len(raw)]
+        first[cut] = inside[cut]
+        run = np.concatenate(([0], np.cumsum(first)))
+        out.append(run[offsets[1:]] - run[offsets[:-1]])
+    return pa.array(np.concatenate(out))
+
+
 def shingles(row: np.ndarray, h: np.ndarray, rows: int, k: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of every run of ``k`` words; with ``short``, a text with fewer words gives one run of all its words."""
     count = np.bincount(row, minlength=rows)
@@ -95,14 +109,14 @@ def shingles(row: np.ndarray, h: np.ndarray, rows: int, k: int, short: bool = Tr
     out_row, out = [], []
     if len(row) >= k:
         whole = row[: len(row) - k + 1] == row[k - 1 :]
-        g = _join([h[i : len(h) - k + 1 + i] for i in range(k)])
+        g = join([h[i : len(h) - k + 1 + i] for i in range(k)])
         out_row.append(row[: len(row) - k + 1][whole])
         out.append(g[whole])
     if short:
         for size in range(1, k):
             if len(few := np.flatnonzero(count == size)):
                 out_row.append(few)
-                out.append(_join([h[first[few] + i] for i in range(size)]))
+                out.append(join([h[first[few] + i] for i in range(size)]))
     if not out:
         return row[:0], h[:0]
     at, g = np.concatenate(out_row), np.concatenate(out)
@@ -110,7 +124,8 @@ def shingles(row: np.ndarray, h: np.ndarray, rows: int, k: int, short: bool = Tr
     return at[order], g[order]
 
 
-def _join(parts: list[np.ndarray]) -> np.ndarray:
+def join(parts: list[np.ndarray]) -> np.ndarray:
+    """One hash for each tuple of hashes."""
     g = np.full(len(parts[0]), len(parts), _U)
     for p in parts:
         g = mix(g * _U(_P) + p)

@@ -4,18 +4,21 @@ Targets: the sources, in code point order with null last, share ``share`` times
 ``most`` times its source's words, and what a capped source can't take is shared again by weight among the others.
 
 A source's documents are permuted by a hash of their id and cut into ``BLOCKS`` blocks of equal hash ranges.  A target
-of c whole passes and a remainder takes every block c times and, of one more pass, the blocks before the hash at which
-the remainder is reached; a few documents after that point are chosen to fill the last gap.  The block quotas are then
-split over the output shards by a binary tree: each node draws its left half's blocks of every source from the exact
-multivariate hypergeometric distribution, so sources spread as in a random deal, yet every block goes to exactly one
-shard.  The blocks of a source are dealt in a permuted order, and a second hash orders the copies inside a shard.
+of c whole passes and a remainder has a quota of every block c times and, of one more pass, the blocks before the hash
+at which the remainder is reached, the last one in part; a few documents after that point are chosen to fill the last
+gap.  The block quotas are then split over the output shards by a binary tree: each node draws its left half's blocks of
+every source from the exact multivariate hypergeometric distribution, so sources spread as in a random deal, yet every
+block goes to exactly one shard.  Each shard draws its number of a source's blocks from their permutation, and a
+document is taken as often as its block was drawn.  A second hash orders the copies inside a shard: ``mixed_shards``
+and ``mix`` write them in that order, as many partitions a shard as its words need.
 
 Where a source's remainder is reached is found from histograms of words over hash ranges (4,096, then 4,096 more in
-the range that is cut), so no source is sorted or collected.  The driver sees one row a source.
+the range that is cut), so no source is sorted or collected.  The driver sees one row a source, of about 2 KB with its
+deal; sources are a bounded dimension, and their plan is broadcast only up to ``PLAN_ROWS`` of them.
 
 Defined cases: a null or wordless text has size 0 and is taken 0 words; a source without words has target 0; rows that
-repeat a doc_id of one source are taken together; equal input gives equal output in any partitioning; other columns
-are kept by ``mix`` and ignored by ``mixture``.
+repeat a doc_id of one source are taken together; very long texts are whole documents as any other; equal input gives
+equal output in any partitioning; other columns are kept by ``mix``, whatever their names, and ignored by ``mixture``.
 """
 
 from __future__ import annotations
@@ -23,23 +26,34 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from ._cluster import Staged, lookup
+from .._ship import ship
+from . import _tokens
+from ._cluster import Staged, columns, lookup
 
 #: Weights by source, repeating; the mix's words as a multiple of all; a target's as a multiple of its source's.
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Blocks of a source, output shards, bits of the order key and of one histogram, and documents that may fill a gap.
 BLOCKS, SHARDS, KEY_BITS, STEP_BITS, FILL = 256, 16, 60, 12, 64
+#: Words of a partition of a mixed shard, about.
+PART_WORDS = 8_000_000
 #: Sources up to which their plan is broadcast (about 2 KB each).
 PLAN_ROWS = 4096
 SEED = 20_240
 
 
+@F.arrow_udf(LongType())
+def _count_words(texts: pa.Array) -> pa.Array:
+    return _tokens.word_counts(texts)
+
+
 def words_of(text: Column) -> Column:
     """Number of words ``[^\\x20\\x09-\\x0D]+`` of a text."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return _count_words(text.cast("string"))
 
 
 def source_key(source: Column) -> Column:
@@ -129,11 +143,16 @@ def _histogram(rows: DataFrame, goals: DataFrame, shift: int) -> list:
     return ends.collect()
 
 
-def plan(docs: DataFrame, staged: Staged, weights=WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS) -> list[Source]:
-    """What to take of each source of ``docs`` (doc_id, text, source)."""
-    spark = docs.sparkSession
-    size = words_of(F.col("text"))
-    rows = staged.write(docs.select(source_key(F.col("source")).alias("s"), "source", order_key(F.col("doc_id").cast("long"), F.col("source")).alias("k"), size.alias("size")))
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, s (its key, never null), k (the order key) and size of every row of ``docs`` (doc_id, text, source)."""
+    ship(docs.sparkSession)
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), "source", source_key(F.col("source")).alias("s"), order_key(doc_id, F.col("source")).alias("k"), words_of(F.col("text")).alias("size"))
+
+
+def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS) -> list[Source]:
+    """What to take of each source of ``rows``, which ``sized`` has made and which are staged."""
+    spark = rows.sparkSession
     found = rows.groupBy("s", "source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     goal = targets([(r["source"], r["size"]) for r in found], weights, share, most)
     sources = [Source(r["source"], r["size"], r["n"], goal[r["source"]]) for r in sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))]
@@ -141,7 +160,8 @@ def plan(docs: DataFrame, staged: Staged, weights=WEIGHTS, share: float = SHARE,
         s.passes = int(s.target // s.size) if s.size else 0
     cut = {s.key: s for s in sources if s.size and s.rest > 0.5}
     if cut:
-        frame = lambda data: F.broadcast(spark.createDataFrame(data, "s string, rest double, done long, low long, high long"))
+        table = lambda data: spark.createDataFrame(data, "s string, rest double, done long, low long, high long")
+        frame = lambda data: F.broadcast(table(data)) if len(data) <= PLAN_ROWS else table(data)
         coarse, fine = KEY_BITS - STEP_BITS, KEY_BITS - 2 * STEP_BITS
         first = {r["s"]: r for r in _histogram(rows, frame([(k, s.rest, 0, 0, 0) for k, s in cut.items()]), coarse) if r["cell"] is not None}
         marks = frame([(k, cut[k].rest, r["before"], r["cell"] << coarse, (r["cell"] + 1) << coarse) for k, r in first.items()])
@@ -169,69 +189,71 @@ def plan(docs: DataFrame, staged: Staged, weights=WEIGHTS, share: float = SHARE,
             if spare:
                 fill.append(min(spare)[1])
             cut[k].fill = tuple(sorted(fill))
-    staged.drop(rows)
     deal(sources, shards)
     return sources
 
 
 def deal(sources: list[Source], shards: int) -> None:
-    """Give each block of each pass of each source its shard."""
+    """Give each block of each pass of each source the shard that draws it; -1 where none does."""
     width = KEY_BITS - (BLOCKS - 1).bit_length()
     last = [max([s.cut - 1, *s.fill]) >> width for s in sources]
     blocks = [[b for b in range(BLOCKS * s.passes)] + [BLOCKS * s.passes + b for b in range(n + 1)] for s, n in zip(sources, last, strict=True)]
     counts = split(np.array([len(b) for b in blocks], np.int64), shards)
     for i, (s, mine) in enumerate(zip(sources, blocks, strict=True)):
         order = np.random.default_rng([SEED, i]).permutation(len(mine))
-        out = [0] * (BLOCKS * (s.passes + 1))
+        out = [-1] * (BLOCKS * (s.passes + 1))
         for place, shard in zip(order, np.repeat(np.arange(shards), counts[i]), strict=True):
             out[mine[place]] = int(shard)
         s.deal = tuple(out)
 
 
-def with_copies(docs: DataFrame, sources: list[Source]) -> DataFrame:
-    """``docs`` with ``mix``: source_size, target, size, and for each time it is taken its pass, shard and local order."""
-    spark = docs.sparkSession
+def with_copies(rows: DataFrame, sources: list[Source]) -> DataFrame:
+    """``rows`` (with s, k, size, doc_id, source) with source_size, target and, for each time a row is taken, its pass,
+    shard and local order."""
+    spark = rows.sparkSession
     width = KEY_BITS - (BLOCKS - 1).bit_length()
-    schema = "_s string, _rows long, _plan struct<source_size: long, target: double, passes: int, cut: long, fill: array<long>, deal: array<int>>"
+    schema = "s string, _rows long, _plan struct<source_size: long, target: double, passes: int, cut: long, fill: array<long>, deal: array<int>>"
     table = spark.createDataFrame([(s.key, s.rows, (s.size, s.target, s.passes, s.cut, list(s.fill), list(s.deal))) for s in sources], schema)
-    rows = docs.withColumn("_s", source_key(F.col("source")))
     if len(sources) <= PLAN_ROWS:
-        rows = rows.join(F.broadcast(table.select("_s", "_plan")), "_s")
+        out = rows.join(F.broadcast(table.select("s", "_plan")), "s")
     else:
-        rows = lookup(rows, table, "_s", "_rows", sum(s.rows for s in sources))
-    k = order_key(F.col("doc_id"), F.col("source"))
-    p = F.col("_plan")
-    once_more = ((k < p["cut"]) | F.array_contains(p["fill"], k)).cast("int")
-    size = words_of(F.col("text"))
-    times = F.when(size > 0, p["passes"] + once_more).otherwise(0)
+        out = lookup(rows, table, "s", "_rows", sum(s.rows for s in sources))
+    p, k = F.col("_plan"), F.col("k")
+    once_more = (k < p["cut"]) | F.array_contains(p["fill"], k)
     block = F.shiftright(k, width).cast("int")
     copy = lambda e: F.struct(e.alias("pass"), F.element_at(p["deal"], e * BLOCKS + block + 1).alias("shard"), F.xxhash64(F.lit(SEED + 1), F.col("doc_id"), F.col("source"), e).alias("local_order"))
-    copies = F.when(times > 0, F.transform(F.sequence(F.lit(0), times - 1), copy)).otherwise(F.array().cast("array<struct<pass: int, shard: int, local_order: bigint>>"))
-    mix = F.struct(size.alias("size"), p["source_size"].alias("source_size"), p["target"].alias("target"), copies.alias("copies"))
-    return rows.withColumn("mix", mix).drop("_s", "_plan")
+    drawn = F.filter(F.transform(F.sequence(F.lit(0), p["passes"]), copy), lambda c: (c["shard"] >= 0) & ((c["pass"] < p["passes"]) | once_more))
+    out = out.withColumn("copies", F.when(F.col("size") > 0, drawn).otherwise(F.filter(drawn, lambda c: F.lit(False))))
+    return out.withColumn("source_size", p["source_size"]).withColumn("target", p["target"]).drop("_plan")
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and the shards of the copies, of every row."""
-    staged = Staged(docs.sparkSession, "mixing")
-    sources = plan(docs, staged)
-    rows = with_copies(docs.select(F.col("doc_id").cast("long"), "text", "source"), sources)
-    taken = F.col("mix.size") * F.size("mix.copies")
-    return rows.select("doc_id", "mix.size", "mix.source_size", "mix.target", taken.cast("long").alias("taken"), F.col("mix.copies.shard").alias("shards"))
-
+    """doc_id, size, source_size, target, taken, and the shards of the copies with their place keys, of every row."""
+    rows = Staged(docs.sparkSession, "mixing").write(sized(docs))
+    out = with_copies(rows, plan(rows))
+    taken = F.col("size") * F.size("copies")
+    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("copies.shard").alias("shards"), F.col("copies.local_order").alias("orders"))
 
-def _copies(docs: DataFrame, shards: int) -> DataFrame:
-    """``row`` (all columns of ``docs``, whatever their names), ``shard`` and ``local_order`` of each copy."""
-    sources = plan(docs, Staged(docs.sparkSession, "mixing"), shards=shards)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
-    return with_copies(rows, sources).select("row", F.explode("mix.copies").alias("copy")).select("row", "copy.shard", "copy.local_order")
 
+def mixed_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """``row`` (all columns of ``docs``, whatever their names), ``shard`` and ``local_order`` of each copy.
 
-def mix(docs: DataFrame) -> DataFrame:
-    """A row for each copy that the mix takes, with the columns of ``docs``; not yet in shard order."""
-    return _copies(docs, SHARDS).select("row.*")
+    Partitions are dealt by shard and, inside a shard, by ranges of the local order, and are sorted: read one after
+    another they are the shards, each shuffled.  The bounds are known, so nothing is sampled.
+    """
+    staged = Staged(docs.sparkSession, "mixing")
+    sizes = staged.write(sized(docs))
+    sources = plan(sizes, shards=shards)
+    staged.drop(sizes)
+    whole = docs.select(F.struct(*columns(docs)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
+    rows = whole.select("row", "doc_id", "source", source_key(F.col("source")).alias("s"), order_key(F.col("doc_id"), F.col("source")).alias("k"), words_of(F.col("text")).alias("size"))
+    copies = with_copies(rows, sources).select("row", F.explode("copies").alias("copy")).select("row", "copy.shard", "copy.local_order")
+    bits = max(0, int(sum(s.target for s in sources) / (shards * PART_WORDS))).bit_length()
+    part = F.shiftrightunsigned(F.col("local_order").bitwiseXOR(F.lit(-(2**63))), 64 - bits) if bits else F.lit(0)
+    dealt = copies.repartitionById(shards << bits, (F.col("shard") * (1 << bits) + part).cast("int"))
+    return dealt.sortWithinPartitions("shard", "local_order")
 
 
-def mixed_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The mix with ``shard`` and ``local_order`` beside ``row``, dealt by shard and shuffled inside each by a second hash."""
-    return _copies(docs, shards).repartitionByRange("shard", "local_order").sortWithinPartitions("shard", "local_order")
+def mix(docs: DataFrame) -> DataFrame:
+    """A row for each copy that the mix takes, with the columns of ``docs``, in the order of the mixed shards."""
+    return mixed_shards(docs).select("row.*")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .._ship import ship
 from . import _tokens
-from ._cluster import BROADCAST_ROWS, Staged
+from ._cluster import BROADCAST_ROWS, Staged, keyed, matching, without
 
 PERMUTATIONS, BANDS, ROWS, BITS = 128, 32, 4, 2
 LONGS = PERMUTATIONS * BITS // 64
@@ -42,7 +42,7 @@ _U = np.uint64
 
 def _signatures(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
+        ids, texts, digests = (batch.column(i) for i in range(3))
         for first, last, raw, offsets in _tokens.chunks(texts):
             n = last - first
             _, _, row, h = _tokens.words(raw, offsets)
@@ -71,18 +71,20 @@ def _signatures(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                     packed[full, w] = word
             wide = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(count > 0, BANDS, 0)))).astype(np.int32)), pa.array(bands[full].ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(first, n), pa.array(count.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in fp), *(pa.array(np.ascontiguousarray(packed[:, w]).view(np.int64)) for w in range(LONGS)), wide],
-                ["doc_id", "n_shingles", "fp1", "fp2", *_PACKED, "bands"],
+                [ids.slice(first, n), digests.slice(first, n), pa.array(count.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in fp), *(pa.array(np.ascontiguousarray(packed[:, w]).view(np.int64)) for w in range(LONGS)), wide],
+                ["doc_id", "digest", "n_shingles", "fp1", "fp2", *_PACKED, "bands"],
             )
 
 
 _PACKED = [f"low{w}" for w in range(LONGS)]
 
 
-def signatures(docs: DataFrame, k: int = 2) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit fingerprint of the shingle set, the packed low bits and the band keys; no shuffle."""
-    schema = "doc_id long, n_shingles long, fp1 long, fp2 long, " + "".join(f"{c} long, " for c in _PACKED) + "bands array<long>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _signatures(k, it), schema)
+def signatures(docs: DataFrame, k: int = 2, digest: Column | None = None) -> DataFrame:
+    """doc_id, digest (as given), n_shingles, a 128-bit fingerprint of the shingle set, the packed low bits and the band
+    keys; no shuffle."""
+    schema = "doc_id long, digest binary, n_shingles long, fp1 long, fp2 long, " + "".join(f"{c} long, " for c in _PACKED) + "bands array<long>"
+    digest = F.lit(None).cast("binary") if digest is None else digest
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), digest).mapInArrow(lambda it: _signatures(k, it), schema)
 
 
 def _sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,9 +97,10 @@ def _sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             fp = np.zeros(n, _U)
             if len(full := np.flatnonzero(count)):
                 fp[full] = _fingerprint(g, np.concatenate(([0], np.cumsum(count[full])[:-1])))
-            out = pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), lists], ["id", "items"])
-            # a repeated doc_id may have several texts; the one that the representative stands for is kept
-            yield out.filter(pa.array(fp.view(np.int64) == batch.column(2).slice(first, n).to_numpy()))
+            wanted = batch.column(2).slice(first, n)
+            out = pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), wanted, lists], ["id", "fp1", "items"])
+            # a repeated doc_id may have several texts; those that a representative stands for are kept
+            yield out.filter(pa.array(fp.view(np.int64) == wanted.to_numpy()))
 
 
 def _fingerprint(g: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -105,13 +108,13 @@ def _fingerprint(g: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, n: int, k: int = 2) -> DataFrame:
-    """id and the distinct shingle hashes of the texts named by ``ids`` (doc_id, fp1), of which there are ``n``.
+    """id, fp1 and the distinct shingle hashes of the texts named by ``ids`` (doc_id, fp1), of which there are ``n``.
 
     Few ids are broadcast and no text is moved; many are joined by a shuffle.
     """
     few = F.broadcast(ids) if n <= BROADCAST_ROWS else ids.hint("merge")
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(few, "doc_id").select("doc_id", "text", "fp1")
-    return rows.mapInArrow(lambda it: _sets(k, it), "id long, items array<long>")
+    return rows.mapInArrow(lambda it: _sets(k, it), "id long, fp1 long, items array<long>")
 
 
 def estimate(left: list[Column], right: list[Column]) -> Column:
@@ -163,10 +166,33 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
 
     Documents are linked when 100 * intersection >= ``percent`` * union of their sets of ``k``-word shingles.
     """
+    return _judged(docs, k, percent, None).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, all its columns, and of its equal rows one.
+
+    Rows without a doc_id go if their text's class has a document with one; else they stay, one of each text.
+    """
+    staged = Staged(docs.sparkSession, "neardup-rows")
+    judged = staged.write(_judged(docs, k, percent, F.unhex(F.md5(F.col("text").cast("string")))))
+    stays = F.col("kept") & (F.col("doc_id").isNotNull() | F.col("component_id").isNull())
+    rows = staged.write(judged.groupBy("doc_id", "digest").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("n")).filter("n > 1 or not stays"))
+    named, repeated = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("stays")).cast("long")), F.lit(0))).first()
+    out = without(docs, rows, named)
+    if repeated:
+        alike = matching(keyed(docs), rows.filter("stays"), repeated, "left_semi")
+        # the smallest in its other columns, where these have an order
+        one = F.first("row") if "map<" in docs.schema.simpleString() else F.min("row")
+        out = out.unionByName(alike.groupBy("doc_id", "digest").agg(one.alias("row")).select("row.*"))
+    return out
+
+
+def _judged(docs: DataFrame, k: int, percent: int, digest: Column | None) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     staged = Staged(spark, "neardup")
-    all_docs = staged.write(signatures(docs, k))
+    all_docs = staged.write(signatures(docs, k, digest))
     fp = ["fp1", "fp2", "n_shingles"]
     classes = staged.write(all_docs.filter("n_shingles > 0").groupBy(*fp).agg(F.min("doc_id").alias("id")))
     named = all_docs.select(F.col("doc_id").alias("id"), *fp, *_PACKED, "bands").join(classes.select("id", *fp).hint("merge"), ["id", *fp], "left_semi")
@@ -178,10 +204,10 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     staged.drop(classes, reps, links)
     # empty sets get keys of their own, so that they don't meet in one task
     empty = F.col("n_shingles") == 0
-    rows = all_docs.select("doc_id", F.when(empty, F.xxhash64("doc_id")).otherwise(F.col("fp1")).alias("fp1"), "fp2", "n_shingles")
+    rows = all_docs.select("doc_id", "digest", F.when(empty, F.xxhash64("doc_id")).otherwise(F.col("fp1")).alias("fp1"), "fp2", "n_shingles")
     out = rows.join(named_classes.hint("merge"), fp, "left")
     component = F.when(empty, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "digest", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def _link(docs: DataFrame, reps: DataFrame, entries: DataFrame, staged: Staged, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -223,10 +249,10 @@ def _prefix_pairs(sets: DataFrame, members: DataFrame, staged: Staged, percent:
     family of loose copies isn't expanded.  A shingle whose holders are all in one component is dropped, and pairs
     inside a shingle's largest component are never formed.
     """
-    tokens = staged.write(sets.select("id", F.size("items").alias("size"), F.explode("items").alias("token")))
+    tokens = staged.write(sets.select("id", "fp1", F.size("items").alias("size"), F.explode("items").alias("token")))
     shared = staged.write(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     known = tokens.join(shared.hint("merge"), "token")
-    ordered = known.groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("held"))
+    ordered = known.groupBy("id", "fp1", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("held"))
     alone = F.col("size") - F.size("held")
     length = F.col("size") - F.expr(f"({percent} * size + 99) div 100").cast("int") + 1 - alone
     prefix = ordered.filter(length > 0).select("id", "size", alone.alias("alone"), F.posexplode(F.slice("held", F.lit(1), length)).alias("p", "t"))
@@ -253,7 +279,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, staged: Staged,
     named = ids.count()
     sets = staged.write(shingle_sets(docs, ids, named, k))
     if sets.count() > named:  # repeated rows
-        sets = staged.write(sets.dropDuplicates(["id"]))
+        sets = staged.write(sets.dropDuplicates(["id", "fp1"]))
     both = F.size(F.array_intersect("a_items", "b_items"))
     close = 100 * both >= percent * (F.size("a_items") + F.size("b_items") - both)
     # pairs are distinct already; an aggregation here would keep Spark from splitting a hot b
