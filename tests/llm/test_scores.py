@@ -1,6 +1,9 @@
 """Language identification and toxicity."""
 
+import itertools
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -128,16 +131,129 @@ def test_nothing_to_learn_from(spark):
 
 
 def test_clauses_not_words():
-    g = toxicity.Grammar(base=-5.0, stems={"idiot": 8.0, "lowei": 8.0})
+    g = toxicity.Grammar(base=-5.0, stems={"idiot": 0, "lowei": 0}, levels=[8.0])
     plain, negated, reported, aimed = (g.weight(t) for t in ("this idiot here", "this is not an idiot", "he said idiot", "you idiot"))
     assert plain == 8.0 and negated < plain and reported < plain and aimed > plain
     assert g.weight("not here. an idiot") == plain
     assert g.weight("idiot! idiot") == 2 * plain
     assert g.weight("midiot") == 0 and g.weight("IDIOTS loweix") == 16.0
     assert g.weight("i will kill you") > 0 and g.weight("kill time") == 0 and g.weight("kill a b c d e you") == 0
+    assert g.weight("i won't ever not kill you") == 0 == g.weight("she said kill you")
+    assert g.weight("idiot, you") == g.weight("you idiot") and g.weight("not idiot, you") == negated
     assert g.weight(None) == g.weight("") == g.weight("...") == 0 and g.score("") == g.score(None) < 0.5 < g.score("idiot")
 
 
+def every_path(machine, symbols):
+    """All sequences of states that a transducer's arcs allow, with what is written and the features passed."""
+    states = {machine.start} | {s for s, _ in machine.arcs} | {a[0] for a in machine.arcs.values()}
+    paths = []
+    for seq in itertools.product(states, repeat=len(symbols)):
+        s, written, passed = machine.start, [], []
+        for t, x in zip(seq, symbols, strict=True):
+            if (s, x) in machine.arcs:
+                to, y, f = machine.arcs[s, x]
+            else:
+                to, y, f = s, x, ()
+            if to != t:
+                break
+            s = t
+            written.append(y)
+            passed.append(list(f))
+        else:
+            paths.append((written, passed))
+    return paths
+
+
+def test_the_composed_table_equals_all_paths():
+    rng = random.Random(1)
+    g = toxicity.Grammar(-3.0, {}, [2.0, 5.0], {"negated": -1.5, "reported": -3.0, "aimed": 0.75, "threat": 2.5})
+    alphabet = [toxicity.OTHER, toxicity.NEGATION, toxicity.REPORT, toxicity.TARGET, toxicity.THREAT, toxicity.insult(0), toxicity.insult(1)]
+    seen = set()
+    for _ in range(700):
+        symbols = [rng.choice(alphabet) for _ in range(rng.randrange(1, 6))]
+        total, read = 0.0, symbols
+        for machine in toxicity.transducers(2):
+            ((read, passed),) = every_path(machine, read)
+            total += sum(g.weigh(f) for at in passed for f in at)
+            seen |= {f for at in passed for f in at}
+        assert abs(g.clause([alphabet.index(x) for x in symbols]) - total) < 1e-9, symbols
+    assert {"aimed", "threat", (1, frozenset()), (0, frozenset({"negated"})), (1, frozenset({"reported"})), (0, frozenset({"negated", "reported"}))} <= seen
+
+
+def brute_score(g, text):
+    """Clause after clause of the whole text, with the rules as they are told, and no table."""
+    total = 0.0
+    for clause in re.split(r"[.!?;:\n]+", (text or "").lower()):
+        words = re.findall(r"[^\W\d_]+", clause)
+        reported = insulted = aimed = False
+        last_negation, last_threat = -99, -99
+        for i, w in enumerate(words):
+            stem = max((s for s in g.stems if w.startswith(s)), key=len, default=None)
+            if stem is not None or w in toxicity.THREATS:
+                marks = (["negated"] if i - last_negation <= toxicity.REACH else []) + (["reported"] if reported else [])
+                if stem is not None:
+                    total += max(0.0, g.levels[g.stems[stem]] + sum(g.context[m] for m in marks))
+                    if not marks:
+                        if aimed and not insulted:
+                            total += g.context["aimed"]
+                        insulted = True
+                elif not marks:
+                    last_threat = i
+            elif w in toxicity.NEGATIONS:
+                last_negation = i
+            elif w in toxicity.REPORTS:
+                reported = True
+            elif w in toxicity.TARGETS:
+                if insulted and not aimed:
+                    total += g.context["aimed"]
+                aimed = True
+                if i - last_threat <= toxicity.REACH:
+                    total += g.context["threat"]
+                    last_threat = -99
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, g.base + total))))
+
+
+def test_scores_equal_the_rules():
+    rng = random.Random(6)
+    g = toxicity.Grammar(-3.0, {"idio": 0, "idiotic": 1, "mor": 0, "kil": 1}, [2.0, 5.0], {"negated": -1.5, "reported": -3.0, "aimed": 0.75, "threat": 2.5})
+    words = ["a", "thing", "not", "never", "said", "you", "tu", "kill", "hurt", "idiot", "idiotically", "moron", "x1y", "."]
+    for _ in range(400):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(0, 30))).replace(" .", rng.choice([".", "!", "\n", ";"]))
+        assert abs(g.score(text) - brute_score(g, text)) < 1e-9, text
+
+
+def contexts(rng, n):
+    """Texts that are toxic if one of two insults is said outright, and not if it is only negated or reported."""
+    filler = lambda k: " ".join("".join(rng.choice("bcdfgjklm") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4))) for _ in range(k))
+    out = []
+    for _ in range(n):
+        word, toxic = rng.choice(["zkrapp", "qolthen"]), rng.random() < 0.5
+        middle = f"{word} {filler(1)}" if toxic else rng.choice([f"not {filler(1)} {word}", f"he said {filler(2)} {word}"])
+        out.append((f"{filler(20)}. {filler(3)} {middle} {filler(2)}. {filler(20)}", int(toxic)))
+    return out
+
+
+def test_context_decides():
+    rng = random.Random(11)
+    g = toxicity.fit(contexts(rng, 600))
+    test = contexts(rng, 300)
+    right = np.mean([(g.score(t) >= 0.5) == y for t, y in test])
+    blind = g.without_context()
+    assert right > 0.97 and np.mean([(blind.score(t) >= 0.5) == y for t, y in test]) < 0.7
+    assert g.context["negated"] < toxicity.PRIOR["negated"] and g.context["reported"] < toxicity.PRIOR["reported"]
+
+
+@pytest.mark.parametrize("text", ["idiot and so on. ", "idiot and so on ", "nothing to see here, "])
+def test_long_texts_take_linear_time(text):
+    import time
+
+    g = toxicity.Grammar(base=-5.0, stems={"idiot": 0}, levels=[8.0])
+    text = text * (1_200_000 // len(text))
+    began = time.process_time()
+    g.score(text)
+    assert time.process_time() - began < 1.0
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_stems_are_found(seed):
     rng = random.Random(seed)
@@ -163,5 +279,8 @@ def test_toxicity_query_and_filter(spark, sf_dir):
     assert len(rows) == docs.count() + 4 and all(r["predicted"] == int(r["score"] >= 0.5) for r in rows)
     kept = toxicity.drop_toxic(docs, grammar)
     assert kept.schema == docs.schema
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(abs(r["score"] - brute_score(grammar, texts[r["doc_id"]])) < 1e-9 for r in rows if r["doc_id"] in texts and r["doc_id"] not in (7, 8))
+    assert toxicity.score(docs.limit(0), grammar).count() == 0
     bad = {r["doc_id"] for r in rows if r["predicted"]}
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()} - bad

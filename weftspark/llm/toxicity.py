@@ -1,24 +1,29 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is read as clauses; a clause is read word by word by five transducers that run in step:
-
-* *insult*: a trie of word stems with weights, learned from labelled texts; it accepts a word that begins with a stem;
-* *threat*: verbs of harm, which count once a target follows within a few words;
-* *target*: second- and third-person words, which raise the insults of their clause;
-* *negation*: lowers the insults of the next few words;
-* *reported speech*: lowers what follows in its clause.
-
-Their composition gives each clause a weight, and the weights of all clauses of the whole text give its score.  What
-negation, reported speech, targets and threats do to a clause is learned as well: each has a factor estimated from
-labelled texts in which it meets an insult, and falls back to a fixed value where too few do.
-
-Stems are learned from a bounded sample of labelled texts (``POSITIVES`` and ``NEGATIVES`` rows with the smallest
-hashes of their id, each text once), by greedy cover: the trie node that explains most toxic texts not yet explained
-and almost no other text is taken, until no node explains ``SUPPORT`` more.
+A text is read as clauses, and a clause word by word.  A lexicon, a trie of word stems learned from labelled texts and
+a few closed word classes, gives each word a symbol: an insult of some level, a threat, a target, a negation, a report
+or none.  Five sequential transducers read these symbols one after another, each what the one before it writes:
+
+* *negation* marks insults and threats within a few words after a negation;
+* *reported speech* marks those that follow a verb of saying in their clause;
+* *target* gives a weight to a clause in which an unmarked insult meets a second-person word, in either order;
+* *threat* gives a weight to an unmarked verb of harm whose target follows within a few words;
+* *insult* gives each insult the weight of its level and its marks.
+
+They are composed once into one table of states and symbols (``compose``), so a clause costs a look-up a word, and a
+text's log-odds are a constant plus the weights along the paths of all its clauses.  Clauses without an insult or threat
+have no weight and are skipped.
+
+Stems are learned from words that are neither negated nor reported, by greedy cover: the trie node that explains most
+toxic texts not yet explained and almost no other text is taken, until no node explains ``SUPPORT`` more.  Then the
+arcs' weights are learned from the arcs that the labelled texts' clauses pass: a logistic regression whose prior means
+are the stems' log-odds and ``PRIOR``.  The sample is bounded: ``POSITIVES`` and ``NEGATIVES`` rows with the smallest
+hashes of their id, one text of each id, each text once.
 
 Defined cases: a null or wordless text gets the score of a text without clauses that match; without labelled rows of
-both kinds every score is that of the prior; repeated rows are scored one by one; a null doc_id is neither held out
-nor learned from.
+both kinds every score is that of the prior; a word of several classes has the first of insult, threat, negation, report
+and target; repeated rows are scored one by one; very long texts are read whole, in linear time; a null doc_id is
+neither held out nor learned from; other columns are ignored, and kept by ``drop_toxic``.
 """
 
 from __future__ import annotations
@@ -26,9 +31,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +50,8 @@ SUPPORT, SHORTEST, LONGEST = 5, 3, 16
 SPARE = 6
 #: Words within which a negation or a threat acts.
 REACH = 4
+#: Prior means of the context weights, in units of log-odds, and how firmly these and the others are held.
+PRIOR, HELD, HELD_STEMS = {"negated": -2.0, "reported": -2.0, "aimed": 1.0, "threat": 1.0}, 0.05, 1.0
 
 # Closed word classes of the grammar in the four languages of the corpus.
 NEGATIONS = frozenset("not never neither nor cannot nicht kein keine keinen niemals jamais aucun aucune nunca jamás tampoco ningún ninguna".split())
@@ -52,70 +60,194 @@ TARGETS = frozenset("you your yours yourself du dich dir dein deine ihr euch tu
 THREATS = frozenset("kill hurt destroy beat shoot stab töten schlagen vernichten tuer frapper détruire matar golpear destruir".split())
 
 _WORD = re.compile(r"[^\W\d_]+")
-_CLAUSE = re.compile(r"[.!?;:\n]+")
+_MARKS = ".!?;:\n"
+_CLAUSE = re.compile("[" + _MARKS + "]+")
+
+#: Symbols that the lexicon writes; an insult is ("insult", level, marks) and a threat ("threat", marks).
+OTHER, NEGATION, REPORT, TARGET = "other", "negation", "report", "target"
+THREAT = ("threat", frozenset())
+
+
+def insult(level: int) -> tuple:
+    return ("insult", level, frozenset())
+
+
+@dataclass
+class Transducer:
+    """States, and for a state and a symbol one arc: next state, symbol written, and the features that weigh it.
+
+    Where there is no arc, a symbol is passed on and the state stays.
+    """
+
+    start: Hashable
+    arcs: dict[tuple, tuple] = field(default_factory=dict)
+
+    def arc(self, state: Hashable, symbol: Hashable) -> tuple:
+        return self.arcs.get((state, symbol), (state, symbol, ()))
+
+
+def _marked(symbol: tuple, mark: str) -> tuple:
+    return (*symbol[:-1], symbol[-1] | {mark})
+
+
+def _with_marks(symbols: Iterable[tuple], marks: Iterable[str]) -> list[tuple]:
+    out = list(symbols)
+    for m in marks:
+        out += [_marked(s, m) for s in out]
+    return out
+
+
+def transducers(levels: int) -> list[Transducer]:
+    """Negation, reported speech, target, threat and insult for insults of so many levels."""
+    plain = [*map(insult, range(levels)), THREAT]
+    negation = Transducer(0)
+    for s in range(REACH + 1):
+        for x in (OTHER, REPORT, TARGET):
+            negation.arcs[s, x] = (max(0, s - 1), x, ())
+        for x in plain:
+            negation.arcs[s, x] = (max(0, s - 1), _marked(x, "negated") if s else x, ())
+        negation.arcs[s, NEGATION] = (REACH, NEGATION, ())
+    report = Transducer("direct", {("direct", REPORT): ("reported", REPORT, ())})
+    for x in _with_marks(plain, ["negated"]):
+        report.arcs["reported", x] = ("reported", _marked(x, "reported"), ())
+    target = Transducer("nothing")
+    for x in plain[:-1]:
+        target.arcs["nothing", x] = ("insult", x, ())
+        target.arcs["target", x] = ("both", x, ("aimed",))
+    target.arcs["nothing", TARGET] = ("target", TARGET, ())
+    target.arcs["insult", TARGET] = ("both", TARGET, ("aimed",))
+    threat = Transducer(0)
+    every = [OTHER, NEGATION, REPORT, *_with_marks(plain, ["negated", "reported"])]
+    for s in range(REACH + 1):
+        for x in every:
+            threat.arcs[s, x] = (max(0, s - 1), x, ())
+        threat.arcs[s, THREAT] = (REACH, THREAT, ())
+        threat.arcs[s, TARGET] = (0, TARGET, ("threat",) if s else ())
+    weigh = Transducer("only")
+    for x in _with_marks(plain[:-1], ["negated", "reported"]):
+        weigh.arcs["only", x] = ("only", OTHER, ((x[1], x[2]),))
+    return [negation, report, target, threat, weigh]
+
+
+def compose(first: Transducer, second: Transducer, symbols: Iterable[Hashable]) -> Transducer:
+    """The transducer that writes what ``second`` does on reading what ``first`` writes, over its reachable states."""
+    out = Transducer((first.start, second.start))
+    todo, seen = [out.start], {out.start}
+    while todo:
+        a, b = state = todo.pop()
+        for x in symbols:
+            to_a, y, f = first.arc(a, x)
+            to_b, z, g = second.arc(b, y)
+            to = (to_a, to_b)
+            out.arcs[state, x] = (to, z, f + g)
+            if to not in seen:
+                seen.add(to)
+                todo.append(to)
+    return out
+
+
+def compose_all(machines: list[Transducer], symbols: list[Hashable]) -> Transducer:
+    out = machines[0]
+    for m in machines[1:]:
+        out = compose(out, m, symbols)
+    return out
 
 
 @dataclass
 class Grammar:
-    """Stem weights, what the context factors are, and the log-odds of a text in which nothing matches."""
+    """Log-odds of a text in which nothing matches, each stem's level, the levels' weights, and the context weights.
+
+    The composed table is made from these: ``step[state][symbol]`` and ``gain[state][symbol]``.
+    """
 
     base: float = -2.0
-    stems: dict[str, float] = field(default_factory=dict)
-    factors: dict[str, float] = field(default_factory=lambda: {"negation": 0.6, "report": 0.6, "target": 1.2, "threat": 1.0})
+    stems: dict[str, int] = field(default_factory=dict)
+    levels: list[float] = field(default_factory=list)
+    context: dict[str, float] = field(default_factory=lambda: dict(PRIOR))
 
     def __post_init__(self):
+        symbols = [OTHER, NEGATION, REPORT, TARGET, THREAT, *map(insult, range(len(self.levels)))]
+        number = {x: i for i, x in enumerate(symbols)}
+        whole = compose_all(transducers(len(self.levels)), symbols)
+        states = {whole.start: 0}
+        for (s, _), _ in whole.arcs.items():
+            states.setdefault(s, len(states))
+        self.step = [[0] * len(symbols) for _ in states]
+        self.passed: list[list[tuple]] = [[()] * len(symbols) for _ in states]
+        for (s, x), (t, _, f) in whole.arcs.items():
+            self.step[states[s]][number[x]] = states[t]
+            self.passed[states[s]][number[x]] = f
+        self.gain = [[sum(map(self.weigh, f)) for f in row] for row in self.passed]
+        closed = [(TARGETS, TARGET), (REPORTS, REPORT), (NEGATIONS, NEGATION), (THREATS, THREAT)]
+        self.words = {w: number[x] for words, x in closed for w in words}
+        self.first_insult = number[THREAT] + 1
         self.lengths = sorted({len(s) for s in self.stems}, reverse=True)
+        self.known: dict[str, int] = {}
         # one scan finds the words that begin with a stem or are verbs of harm; clauses without any have weight 0
-        heads = sorted(map(re.escape, {*self.stems}), key=len, reverse=True)
-        whole = "|".join(sorted(map(re.escape, THREATS)))
-        self.trigger = re.compile(r"(?<![^\W\d_])(?:" + "".join(f"{h}|" for h in heads) + rf"(?:{whole})(?![^\W\d_]))")
-
-    def stem(self, word: str) -> float:
-        """Weight of the longest stem that the word begins with."""
-        for n in self.lengths:
-            if word[:n] in self.stems and n <= len(word):
-                return self.stems[word[:n]]
-        return 0.0
-
-    def clause(self, words: list[str]) -> float:
-        """Weight of one clause under the composed transducers."""
-        f, total, negated, reported, aimed, armed = self.factors, 0.0, 0, False, False, 0
-        for w in words:
-            insult = self.stem(w)
-            if insult:
-                total += insult * (f["negation"] if negated else 1.0) * (f["report"] if reported else 1.0)
-            if w in NEGATIONS:
-                negated = REACH + 1
-            elif w in REPORTS:
-                reported = True
-            elif w in TARGETS:
-                aimed = True
-                if armed:
-                    total += f["threat"]
-            if w in THREATS:
-                armed = REACH + 1
-            negated, armed = max(0, negated - 1), max(0, armed - 1)
-        return total * (f["target"] if aimed else 1.0)
-
-    def weight(self, text: str | None) -> float:
-        """Sum over the clauses of a whole text that hold a trigger."""
-        if not text:
-            return 0.0
-        low, total, done = text.lower(), 0.0, -1
-        for m in self.trigger.finditer(low):
-            if m.start() < done:
-                continue
+        heads = "".join(f"{re.escape(h)}|" for h in sorted(self.stems, key=len, reverse=True))
+        self.trigger = re.compile(rf"(?<![^\W\d_])(?:{heads}(?:{'|'.join(sorted(map(re.escape, THREATS)))})(?![^\W\d_]))")
+
+    def weigh(self, feature) -> float:
+        """Weight of a feature: a context's, or an insult's by its level and marks, which don't bring it below 0."""
+        if isinstance(feature, str):
+            return self.context[feature]
+        level, marks = feature
+        return max(0.0, self.levels[level] + sum(self.context[m] for m in marks))
+
+    def symbol(self, word: str) -> int:
+        """The lexicon: the longest stem that the word begins with, or else the word's class."""
+        found = self.known.get(word)
+        if found is None:
+            found = self.words.get(word, 0)
+            for n in self.lengths:
+                if n <= len(word) and word[:n] in self.stems:
+                    found = self.first_insult + self.stems[word[:n]]
+                    break
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[word] = found
+        return found
+
+    def clauses(self, text: str | None) -> Iterator[list[int]]:
+        """Symbols of each clause of a whole text that holds a trigger; every character is read a fixed number of times."""
+        low, done = (text or "").lower(), 0
+        while (m := self.trigger.search(low, done)) is not None:
             at = m.start()
-            start = max(low.rfind(c, 0, at) for c in ".!?;:\n") + 1 if at else 0
+            start = max(done, *(low.rfind(c, done, at) + 1 for c in _MARKS))
             stop = _CLAUSE.search(low, at)
             done = stop.start() if stop else len(low)
-            total += self.clause(_WORD.findall(low, max(start, 0), done))
+            symbol = self.symbol
+            yield [symbol(w) for w in _WORD.findall(low, start, done)]
+
+    def clause(self, symbols: list[int]) -> float:
+        """Weight of the clause's path."""
+        state, total, step, gain = 0, 0.0, self.step, self.gain
+        for x in symbols:
+            total += gain[state][x]
+            state = step[state][x]
         return total
 
+    def features(self, text: str | None) -> Counter:
+        """How often the paths of a text's clauses pass each feature."""
+        out: Counter = Counter()
+        for symbols in self.clauses(text):
+            state = 0
+            for x in symbols:
+                out.update(self.passed[state][x])
+                state = self.step[state][x]
+        return out
+
+    def weight(self, text: str | None) -> float:
+        return sum(map(self.clause, self.clauses(text)))
+
     def score(self, text: str | None) -> float:
         x = max(-30.0, min(30.0, self.base + self.weight(text)))
         return 1.0 / (1.0 + math.exp(-x))
 
+    def without_context(self) -> Grammar:
+        """The same stems and levels, with no weight for anything around them."""
+        return Grammar(self.base, self.stems, self.levels, dict.fromkeys(self.context, 0.0))
+
 
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves no remainder modulo 5."""
@@ -123,32 +255,63 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """The bounded labelled sample, in the order of its ids' hashes, each text once."""
-    marks = labels.filter("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic").filter(~held_out(F.col("doc_id")))
+    """The bounded labelled sample, in the order of its ids, each text once; of an id with several texts, one."""
+    marks = labels.filter("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic").filter(~held_out(F.col("doc_id"))).distinct()
     chosen = None
     for label, bound in ((1, POSITIVES), (0, NEGATIVES)):
         some = marks.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
         chosen = some if chosen is None else chosen.union(some)
     texts = docs.select("doc_id", "text").filter(F.length("text") <= EXAMPLE_CHARS)
-    rows = texts.join(F.broadcast(chosen.distinct()), "doc_id").select("doc_id", "text", "toxic").collect()
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     seen: dict[str, int] = {}
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["toxic"], r["text"])):
         seen.setdefault(r["text"], r["toxic"])
     return list(seen.items())
 
 
+def plain_words(text: str) -> frozenset[str]:
+    """Words that a negation or report doesn't act on: what the first two transducers leave unmarked."""
+    out: set[str] = set()
+    for clause in _CLAUSE.split(text.lower()):
+        words = _WORD.findall(clause)
+        if NEGATIONS.isdisjoint(words) and REPORTS.isdisjoint(words):
+            out.update(words)
+            continue
+        reach = 0
+        for w in words:
+            if w in NEGATIONS:
+                reach = REACH
+            elif w in REPORTS:
+                break
+            else:
+                if not reach:
+                    out.add(w)
+                reach = max(0, reach - 1)
+    return frozenset(out)
+
+
 def fit(examples: list[tuple[str, int]]) -> Grammar:
-    """Learn stems, their weights and the context factors from (text, toxic) pairs."""
-    good = [t for t, y in examples if not y]
-    bad = [frozenset(_WORD.findall(t.lower())) for t, y in examples if y]
+    """Learn stems and their levels, then all weights, from (text, toxic) pairs."""
+    good = [plain_words(t) for t, y in examples if not y]
+    bad = [plain_words(t) for t, y in examples if y]
     if not good or not bad:
         return Grammar(base=-4.0 if not bad else 4.0)
+    base, odds = _learn_stems(good, bad)
+    # a level is a weight that brings a text without matches to the odds of texts in which the stem occurs
+    rough = {s: max(0.5, round(2 * (x - base)) / 2) for s, x in odds.items()}
+    levels = sorted(set(rough.values()))
+    return _learn_weights(Grammar(base, {s: levels.index(w) for s, w in rough.items()}, levels), examples)
+
+
+def _learn_stems(good: list[frozenset[str]], bad: list[frozenset[str]]) -> tuple[float, dict[str, float]]:
+    """Log-odds of texts without a stem, and of those with each."""
     # first how many toxic texts have a stem, then how often others have the frequent ones, then which texts those are
     often = Counter(x for words in bad for x in {*_stems(words)})
     often = {x: n for x, n in often.items() if n >= SUPPORT}
     inside = dict.fromkeys(often, 0)  # texts without the label, by stem; a text with two such words counts twice
-    for t in good:
-        for x in _stems(frozenset(_WORD.findall(t.lower()))):
+    heads = {x[:SHORTEST] for x in often}
+    for words in good:
+        for x in _stems(w for w in words if w[:SHORTEST] in heads):
             if x in inside:
                 inside[x] += 1
     rate = len(bad) / len(good)
@@ -174,33 +337,44 @@ def fit(examples: list[tuple[str, int]]) -> Grammar:
         if len(d) >= max(SPARE, 0.02 * len(bad)) and not inside[s] and len(s) > SHORTEST and not any(s.startswith(x) or x.startswith(s) for x in stems):
             stems[s] = (len(d) + 0.5) / 0.5
     missed = sum(not any(w.startswith(tuple(stems)) for w in words) for words in bad) if stems else len(bad)
-    base = math.log((missed + 0.5) / (len(good) + 1))
-    # a weight brings a text without matches to the odds of texts in which the stem occurs
-    grammar = Grammar(base, {s: math.log(odds) - base for s, odds in stems.items()})
-    grammar.factors |= _factors(grammar, examples)
-    return grammar
+    return math.log((missed + 0.5) / (len(good) + 1)), {s: math.log(x) for s, x in stems.items()}
 
 
-def _stems(words: frozenset[str]) -> Iterator[str]:
+def _stems(words: Iterable[str]) -> Iterator[str]:
     """All beginnings of words that may become stems."""
     return (w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1))
 
 
-def _factors(grammar: Grammar, examples: list[tuple[str, int]]) -> dict[str, float]:
-    """Share of toxic texts among those whose every insult is negated, or reported, against all with an insult."""
-    seen = {"negation": [0, 0], "report": [0, 0], "target": [0, 0], "any": [0, 0]}
-    for text, y in examples:
-        kinds = set()
-        for c in _CLAUSE.split(text.lower()):
-            words = _WORD.findall(c)
-            if any(grammar.stem(w) for w in words):
-                kinds.add("negation" if NEGATIONS & set(words) else "report" if REPORTS & set(words) else "target" if TARGETS & set(words) else "any")
-        if len(kinds) == 1:
-            n = seen[kinds.pop()]
-            n[0] += 1
-            n[1] += y
-    plain = (seen["any"][1] + 1) / (seen["any"][0] + 2)
-    return {k: min(1.5, ((seen[k][1] + 1) / (seen[k][0] + 2)) / plain) for k in ("negation", "report", "target") if seen[k][0] >= 10}
+def _learn_weights(rough: Grammar, examples: list[tuple[str, int]]) -> Grammar:
+    """Weights of levels and contexts that make the examples' labels likely, near the prior where few speak for others."""
+    names = [*range(len(rough.levels)), *PRIOR]
+    at = {n: i + 1 for i, n in enumerate(names)}
+    x = np.zeros((len(examples), len(names) + 1))
+    x[:, 0] = 1.0
+    for row, (text, _) in zip(x, examples, strict=True):
+        for feature, n in rough.features(text).items():
+            if isinstance(feature, str):
+                row[at[feature]] += n
+            else:
+                row[at[feature[0]]] += n
+                for mark in feature[1]:
+                    row[at[mark]] += n
+    y = np.array([label for _, label in examples], float)
+    prior = np.array([rough.base, *rough.levels, *PRIOR.values()])
+    hold = np.array([HELD_STEMS] * (1 + len(rough.levels)) + [HELD] * len(PRIOR))
+    theta = prior.copy()
+    loss = lambda t: float(np.logaddexp(0.0, (1 - 2 * y) * (x @ t)).sum() + (hold * (t - prior) ** 2).sum() / 2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        slope = x.T @ (p - y) + hold * (theta - prior)
+        move = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(hold), slope)
+        size = 1.0
+        while loss(theta - size * move) > loss(theta) and size > 1e-6:
+            size /= 2
+        theta = theta - size * move
+        if np.abs(size * move).max() < 1e-6:
+            break
+    return Grammar(float(theta[0]), rough.stems, theta[1 : 1 + len(rough.levels)].tolist(), dict(zip(PRIOR, theta[1 + len(rough.levels) :].tolist(), strict=True)))
 
 
 def _scores(grammar: Grammar, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
