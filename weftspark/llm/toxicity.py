@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .._ship import ship
 
@@ -396,13 +397,12 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """The rows of ``docs`` that the grammar doesn't call toxic, with all their columns."""
+    """The rows of ``docs`` that the grammar doesn't call toxic, with all their columns; only texts are sent to Python."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
-    at = docs.columns.index("text")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([shared.value.score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
+    @F.arrow_udf(DoubleType())
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.score(t.as_py()) for t in texts], pa.float64())
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.filter(scored(F.col("text").cast("string")) < 0.5)
