@@ -6,8 +6,10 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -258,6 +260,39 @@ def test_jpeg_sizes(monkeypatch):
     assert all(w <= 65535 and h <= 65535 for w, h, _ in several[0])
 
 
+def brute_feature(payload):
+    """Dimensions, and for each of 64 equal runs of bytes whether their mean is above the whole's, image by image."""
+    parts = []
+    for (w, h), (first, last) in zip(jpeg._sides(len(payload)), jpeg._pieces(len(payload)), strict=True):
+        s = payload[first:last]
+        mean = Fraction(sum(s), len(s))
+        bits = 0
+        for i in range(64):
+            run = s[i * len(s) // 64 : (i + 1) * len(s) // 64]
+            bits = 2 * bits + (Fraction(sum(run), len(run)) > mean)
+        parts.append(f"{8 * w}x{8 * h}:{bits:016x}")
+    return "+".join(parts)
+
+
+@pytest.mark.parametrize("n", [0, 1, 191, 192, 193, 5000, jpeg.IMAGE - 1, jpeg.IMAGE + 1, 3 * jpeg.IMAGE + 100])
+def test_features_by_the_definition(n):
+    text = random.Random(n).randbytes(n // 2) + b"a" * (n - n // 2)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([b"first", text], pa.binary())], ["doc_id", "text"])
+    row = [r for b in jpeg._features(iter([batch])) for r in b.to_pylist()][1]
+    payload = text + b" " * (-n % 192 if n else 192)
+    stored = jpeg.encode([payload])[0]
+    assert row == {"doc_id": 2, "n_bytes": n, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_bytes": len(stored), "media_sha256": hashlib.sha256(stored).hexdigest(), "feature": brute_feature(payload)}
+
+
+def test_long_texts_need_little_memory():
+    import resource
+
+    text = b"0123456789abcdef" * (30 << 16)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    jpeg._long_features(text)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000  # KB, of 30 MB of text
+
+
 def test_jpeg_with_other_tables_and_ac_coefficients():
     """A hand-made image: 3 x 2 blocks, no restart markers, ordinary tables, AC coefficients with runs and a ZRL."""
     dc_counts = bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0])

@@ -221,3 +221,13 @@ def test_trie_equals_brute_force(spark):
         assert (got[i]["host"], got[i]["path"], got[i]["verdict"], got[i]["rule"]) == (host, path, *(want or ("allow", None))), u
     trie = urlfilter.UrlTrie([("allow", "a.b", "/x"), ("block", "a.b", "/x"), ("allow", "b", "/xyz")])
     assert trie.find("c.a.b", "/xyz") == ("block", "a.b/x") and trie.find("b", "/xyz/") == ("allow", "b/xyz")
+
+
+def test_url_edges(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://org/" + "a/" * 50_000, 0), (None, "http://b.com/de/", 0), (None, "http://b.com/de/", 0)], "page_id long, url string, verdict int")
+    got = sorted([(r["page_id"], len(r["path"]), r["verdict"], r["rule"]) for r in urlfilter.judge(pages, URL_RULES).collect()], key=str)
+    assert got == sorted([(1, 100_001, "allow", "org/"), (None, 4, "block", "com/de/"), (None, 4, "block", "com/de/")], key=str)
+    assert urlfilter.judge(pages.limit(0), URL_RULES).count() == 0 and {r["verdict"] for r in urlfilter.judge(pages, [], default="block").collect()} == {"block"}
+    monkeypatch.setattr(urlfilter, "MAX_COST", 300)
+    with pytest.raises(ValueError):
+        urlfilter.UrlTrie([("allow", "a", "/"), ("allow", "b", "/")])

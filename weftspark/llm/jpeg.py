@@ -9,9 +9,11 @@ all lanes decode their next block in one step.
 The reader takes any one-component 8-bit baseline image with any tables and AC coefficients.  Without restart markers
 an image is one lane, which is right but slow.
 
-Defined cases: a null text is empty; the payload is padded with spaces to a positive multiple of 192 bytes; a payload
-too large for one image becomes several images, one after another; equal texts give equal results; a null doc_id stays
-null; other columns are ignored.
+A payload of more than ``IMAGE`` bytes becomes several images, one after another, which are written and read one at a
+time, so that a long text needs no more memory than a batch of short ones beside the text itself.
+
+Defined cases: a null text is empty; the payload is padded with spaces to a positive multiple of 192 bytes; equal texts
+give equal results; a null doc_id stays null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from .._ship import ship
 
 #: Blocks in a restart interval, and the largest image side in blocks (65,535 samples; a multiple of the interval).
 INTERVAL, SIDE = 24, 8184
-#: Payload bytes encoded or decoded at once.
-CHUNK = 1 << 20
+#: Payload bytes encoded or decoded at once, and of the images that a longer payload is cut into (a multiple of PAD).
+CHUNK, IMAGE = 1 << 20, 5184 * 192
 PAD = 192
 
 # The zigzag-ordered quantiser (8 for DC, 1 else) and Huffman tables whose DC codes plus extra bits are all 9 bits long.
@@ -64,10 +66,11 @@ def _sides(n: int) -> list[tuple[int, int]]:
     """Width and height in blocks of the images that hold ``n`` payload bytes, a multiple of the interval."""
     out = []
     while n:
+        most = min(n, IMAGE)
         width = INTERVAL
-        while width * SIDE < n and 2 * width <= SIDE:
+        while width * SIDE < most and 2 * width <= SIDE:
             width *= 2
-        height = min(SIDE, max(1, n // width))
+        height = min(SIDE, max(1, most // width))
         out.append((width, height))
         n -= width * height
     return out
@@ -317,6 +320,30 @@ def pad(text: bytes) -> bytes:
     return text + b" " * (-len(text) % PAD if text else PAD)
 
 
+def _pieces(n: int) -> Iterator[tuple[int, int]]:
+    """First and last byte of the payload of each image."""
+    at = 0
+    for w, h in _sides(n):
+        yield at, at + w * h
+        at += w * h
+
+
+def _long_features(text: bytes) -> tuple:
+    """What ``_features`` says of a long text, image after image."""
+    n = len(text) + (-len(text) % PAD if text else PAD)
+    payload, media, size, tail, parts = hashlib.sha256(), hashlib.sha256(), 0, b"", []
+    for first, last in _pieces(n):
+        piece = text[first:last]
+        (stored,) = encode([piece + b" " * (last - first - len(piece))])
+        ((image,),) = thumbnails([stored])
+        samples = image[2].tobytes()
+        payload.update(samples)
+        media.update(stored)
+        size, tail = size + len(stored), (tail + samples)[-16:]
+        parts.append(thumbnail_hash([image]))
+    return len(text), n, payload.hexdigest(), zlib.crc32(tail), size, media.hexdigest(), "+".join(parts)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, column = batch.column(0), batch.column(1).cast(pa.large_binary())
@@ -324,13 +351,21 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while row < batch.num_rows:
             texts, held = [], 0
             while row + len(texts) < batch.num_rows and (not texts or held < CHUNK):
-                texts.append(column[row + len(texts)].as_py() or b"")
-                held += len(texts[-1])
-            media = encode([pad(t) for t in texts])
-            out = []
-            for text, stored, images in zip(texts, media, thumbnails(media), strict=True):
-                payload = b"".join(s.tobytes() for _, _, s in images)
-                out.append((len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), thumbnail_hash(images)))
+                text = column[row + len(texts)].as_py() or b""
+                if texts and len(text) > IMAGE - PAD:
+                    break
+                texts.append(text)
+                held += len(text)
+                if held > IMAGE - PAD and len(texts) == 1:
+                    break
+            if len(texts[0]) > IMAGE - PAD:
+                out = [_long_features(texts[0])]
+            else:
+                media = encode([pad(t) for t in texts])
+                out = []
+                for text, stored, images in zip(texts, media, thumbnails(media), strict=True):
+                    payload = b"".join(s.tobytes() for _, _, s in images)
+                    out.append((len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), thumbnail_hash(images)))
             columns = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([ids.slice(row, len(texts)), *(pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True))], _NAMES)
             row += len(texts)
@@ -351,7 +386,9 @@ def _media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             text = batch.column(1)[row].as_py() or b""
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([len(text)], pa.int64()), pa.array(encode([pad(text)]), pa.binary())], ["doc_id", "n_bytes", "media"])
+            payload = pad(text)
+            media = b"".join(encode([payload[first:last]])[0] for first, last in _pieces(len(payload)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([len(text)], pa.int64()), pa.array([media], pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
 def store_media(docs: DataFrame) -> DataFrame:

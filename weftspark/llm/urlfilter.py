@@ -6,7 +6,8 @@ path; of two equal rules the block wins.  The trie is built from a rule list who
 broadcast; a larger list is an error, not a truncation.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and fits no rule; an unmatched url gets
-the default verdict; empty labels (``a..b``) are labels; repeated rows give repeated results; a null page_id is kept.
+the default verdict; empty labels (``a..b``) are labels; repeated rows give repeated results; a null page_id is kept;
+very long urls are walked as others, a step a segment and a look-up a character; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .._ship import ship
 
-#: Rules that may be broadcast.
-MAX_RULES = 1_000_000
+#: Characters of hosts and paths, with ``RULE_COST`` more for each rule, that may be broadcast: a trie of about 400 MB.
+MAX_COST, RULE_COST = 40_000_000, 200
 
 Rule = tuple[str, str, str]  # verdict, host, path
 
@@ -30,9 +31,11 @@ class UrlTrie:
 
     def __init__(self, rules: Iterable[Rule]):
         self.root: dict = {}
-        for n, (verdict, host, path) in enumerate(rules):
-            if n >= MAX_RULES:
-                raise ValueError(f"more than {MAX_RULES} rules can't be broadcast")
+        cost = 0
+        for verdict, host, path in rules:
+            cost += len(host) + len(path) + RULE_COST
+            if cost > MAX_COST:
+                raise ValueError("so many rules can't be broadcast")
             node = self.root
             for label in reversed(host.lower().split(".")):
                 node = node.setdefault(("label", label), {})
