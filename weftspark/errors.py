@@ -1,4 +1,13 @@
-"""Errors; all are raised before a Spark job is built unless they concern the data itself."""
+"""Errors; all are raised before a Spark job is built unless they concern the data itself.
+
+A query finds out about its data when it runs, and Spark then raises an error of its own, whose text begins with the
+name of one of these.  Inside ``typed`` it comes out as that one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 
 class ArrayError(ValueError):
@@ -75,3 +84,18 @@ class IoError(ArrayError):
 
 class CatalogError(IoError):
     """A catalog that can't be read."""
+
+
+@contextmanager
+def typed() -> Iterator[None]:
+    """Run actions; what a query says about its data is raised as the error that it names."""
+    try:
+        yield
+    except ArrayError:
+        raise
+    except Exception as e:
+        text = str(e)
+        for kind in (InvalidSpectrum, ReductionError, TransformError, ShapeError):
+            if (at := text.find(f"{kind.__name__}: ")) >= 0:
+                raise kind(text[at + len(kind.__name__) + 2 :].splitlines()[0]) from e
+        raise

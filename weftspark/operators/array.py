@@ -169,11 +169,11 @@ class NDArray:
         for c, n in zip(coords, (*extra, *layout.shape), strict=True):
             inside = inside & F.col(c).between(0, n - 1)
         given = df.select(*[F.col(c).cast("long").alias(c) for c in coords], *[F.col(v).cast(kind).alias(v) for v in values])
-        given = given.withColumn(values[0], F.when(F.coalesce(inside, F.lit(False)), F.col(values[0])).otherwise(F.raise_error(F.lit("a cell lies outside the shape")).cast(kind)))
+        given = given.withColumn(values[0], F.when(F.coalesce(inside, F.lit(False)), F.col(values[0])).otherwise(F.raise_error(F.lit("ShapeError: a cell lies outside the shape")).cast(kind)))
         one = given.groupBy(*coords).agg(F.count(F.lit(1)).alias("n"), *[F.first(v).alias(v) for v in values])
-        twice = F.when(F.col("n") > 1, F.raise_error(F.lit("a cell is given twice")).cast(kind))
+        twice = F.when(F.col("n") > 1, F.raise_error(F.lit("ShapeError: a cell is given twice")).cast(kind))
         cells = cls.grid(spark, layout, extra).join(one, coords, "left")
-        blank = F.raise_error(F.lit("a cell is missing")).cast(kind) if fill is None else F.lit(fill).cast(kind)
+        blank = F.raise_error(F.lit("ShapeError: a cell is missing")).cast(kind) if fill is None else F.lit(fill).cast(kind)
         return cls(cells.select(*coords, *[F.coalesce(twice, F.col(v), blank).alias(v) for v in values]), layout, tuple(extra), dtype)
 
     @classmethod
@@ -207,21 +207,33 @@ class NDArray:
             out = out.filter(F.col(c) == F.lit(i))
         return out if block is None else out.filter(self.block() == block)
 
+    def with_cell(self, value, index: Sequence[int], extra: Sequence[int] = (), block: int | None = None) -> NDArray:
+        """The array with another value in one cell; unchanged if it is outside, or not in ``block``."""
+        if len(index) != self.rank or len(extra) != len(self.extra):
+            raise ShapeError("the index has another rank than the array")
+        here = F.lit(True) if block is None else self.block() == block
+        for c, i in zip(self.coords, (*extra, *index), strict=True):
+            here = here & (F.col(c) == F.lit(i))
+        news = (value.real, value.imag) if self.complex else (value,)
+        return self.with_df(self.df.withColumns({v: F.when(here, F.lit(x).cast(DTYPES[self.dtype])).otherwise(F.col(v)) for v, x in zip(self.values, news, strict=True)}))
+
     def with_block(self) -> DataFrame:
         return self.table().withColumn("block", self.block())
 
     def local_grid(self, axes: Sequence[DataFrame]) -> DataFrame:
         """Cells with the coordinate values ``c0..`` of one table (index, value) per axis; each must be whole.
 
-        Axis tables are as long as one axis, so they are joined one by one and broadcast where Spark finds them small.
+        An axis table names each index of its axis once.  They are as long as one axis, so they are joined one by one and
+        broadcast where Spark finds them small.
         """
         if len(axes) != self.rank:
             raise LocalGridError("one coordinate table for each axis is needed")
         out = self.table()
         for k, axis in enumerate(axes):
-            n = axis.count()
-            if n != self.shape[k]:
-                raise LocalGridError(f"axis {k} has {n} coordinates for an extent of {self.shape[k]}")
+            index = F.col(axis.columns[0])
+            n, different, inside = axis.agg(F.count(F.lit(1)), F.count_distinct(index), F.coalesce(F.bool_and(index.between(0, self.shape[k] - 1)), F.lit(False))).first()
+            if not n == different == self.shape[k] or not inside:
+                raise LocalGridError(f"axis {k} has {n} coordinates, {different} of them different, for an extent of {self.shape[k]}")
             out = out.join(axis.select(F.col(axis.columns[0]).alias(f"i{k}"), F.col(axis.columns[1]).alias(f"c{k}")), f"i{k}")
         return out.select(*self.coords, *[f"c{k}" for k in range(self.rank)], *self.values)
 
@@ -232,7 +244,11 @@ class NDArray:
 
 @dataclass
 class MultiLayout:
-    """One array under several layouts, of which one is active."""
+    """One array under several layouts, of which one is active.
+
+    A failed overwrite poisons it if the operation had begun to replace the array, which a DataFrame never is: what was
+    active stays so.
+    """
 
     array: NDArray
     layouts: tuple[Layout, ...]
@@ -241,6 +257,17 @@ class MultiLayout:
     def __post_init__(self):
         if not self.layouts or any(x.grid != self.layouts[0].grid for x in self.layouts):
             raise ArrayError("the layouts must share a grid of blocks")
+        if not 0 <= self.active < len(self.layouts) or self.array.layout != self.layouts[self.active]:
+            raise ArrayError("the array doesn't have the active layout")
+
+    @classmethod
+    def from_elem(cls, spark: SparkSession, layouts: Sequence[Layout], elem, extra: Sequence[int] = (), dtype: str = "f64", active: int = 0) -> MultiLayout:
+        return cls(NDArray.from_elem(spark, layouts[active], elem, extra, dtype), tuple(layouts), active)
+
+    @classmethod
+    def from_values(cls, spark: SparkSession, layouts: Sequence[Layout], values: Sequence, extra: Sequence[int] = (), dtype: str = "f64", active: int = 0) -> MultiLayout:
+        """From a driver-side list in storage order of the active layout."""
+        return cls(NDArray.from_values(spark, layouts[active], values, extra, dtype), tuple(layouts), active)
 
     def view(self, k: int | None = None) -> NDArray:
         if k is not None and k != self.active:
@@ -254,3 +281,11 @@ class MultiLayout:
             raise ArrayError(f"the result doesn't have layout {k}")
         self.array, self.active = after, k
         return after
+
+    def into_storage(self) -> DataFrame:
+        """The cells alone."""
+        return self.array.table()
+
+    def into_parts(self) -> tuple[DataFrame, tuple[Layout, ...], int]:
+        """Cells, layouts and which of these was active."""
+        return self.array.table(), self.layouts, self.active

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..errors import RemapError, TransposeError
 from ..plans.layout import Layout
-from .array import NDArray
+from .array import MultiLayout, NDArray
 
 
 @dataclass(frozen=True)
@@ -39,6 +39,17 @@ class LocalTranspose:
         out = self.apply(array)
         return out.table().sortWithinPartitions(*out.batch, *self.target.memory_order(out.space))
 
+    def in_place(self, held: MultiLayout) -> MultiLayout:
+        """Make the target the active layout of an array of several layouts."""
+        held.overwrite_with(_known(held, self.target), self.apply)
+        return held
+
+
+def _known(held: MultiLayout, layout: Layout) -> int:
+    if layout not in held.layouts:
+        raise TransposeError("the array doesn't know the target layout")
+    return held.layouts.index(layout)
+
 
 @dataclass(frozen=True)
 class Transpose:
@@ -76,12 +87,26 @@ class Transpose:
         """Cells with their new ``block``, dealt by it: one exchange."""
         return self.apply(array).with_block().repartition(self.target.grid.size, "block")
 
+    def in_place(self, held: MultiLayout) -> MultiLayout:
+        """Make the target the active layout of an array of several layouts."""
+        held.overwrite_with(_known(held, self.target), self.apply)
+        return held
+
+    def volume(self, array: NDArray) -> DataFrame:
+        """How many cells go from which block to which: ``source``, ``target`` and ``cells``, the room that both need."""
+        moved = array.df.select(array.block().alias("source"), self.apply(array).block().alias("target"))
+        return moved.groupBy("source", "target").agg(F.count(F.lit(1)).alias("cells"))
+
     def with_timing(self, array: NDArray) -> tuple[DataFrame, dict[str, float]]:
-        """``materialise`` and the seconds that a job over it takes."""
-        began = time.perf_counter()
+        """``materialise``, and the seconds of jobs that only name the new blocks (``pack``), of what the exchange adds to
+        that (``exchange``), and of both (``total``)."""
         out = self.materialise(array)
-        out.write.format("noop").mode("overwrite").save()
-        return out, {"total": time.perf_counter() - began}
+        took = []
+        for df in (self.apply(array).with_block(), out):
+            began = time.perf_counter()
+            df.write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - began)
+        return out, {"pack": took[0], "exchange": max(0.0, took[1] - took[0]), "total": took[1]}
 
     def with_callback(self, array: NDArray, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """``f`` becomes the next narrow step over the moved cells."""

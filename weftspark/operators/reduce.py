@@ -1,11 +1,14 @@
 """Global reductions.  Each gives a DataFrame of one row with column ``value``, so that it composes lazily.
 
 * sums of floats: NaN if an input is NaN or both infinities occur, else the infinity that occurs, else the IEEE sum;
-* sums of integers are checked: ``ordered`` fails if any partial sum in storage order, block by block and then over
-  blocks, leaves the type; ``total`` is one plain aggregation that checks only the total, for speed at scale;
+* sums of integers are checked, also of mapped, zipped and many arrays: ``ordered`` fails if any partial sum in storage
+  order, block by block and then over blocks, leaves the type; ``total`` is one plain aggregation that checks only the
+  total, for speed at scale;
 * min and max are NaN if an input is, and null for no inputs;
-* the 2-norm is scaled by the largest magnitude: NaN beats infinity beats numbers, no inputs give 0;
+* the 2-norm is one aggregation of squares at three scales: NaN beats infinity beats numbers, no inputs give 0;
 * any and all take every value but zero as true, NaN too.
+
+What a query finds wrong with the data is raised when it runs; inside ``errors.typed()`` as one of this library's errors.
 """
 
 from __future__ import annotations
@@ -17,10 +20,12 @@ from pyspark.sql import functions as F
 
 from ..errors import ReductionError
 from .array import DTYPES, NDArray
-from .pointwise import aligned, batch_shape, many
+from .norms import norm_of, squares
+from .pointwise import aligned, batch_shape
 
 _INTS = {"i8": (-(2**7), 2**7 - 1), "u8": (0, 2**8 - 1), "i16": (-(2**15), 2**15 - 1), "u16": (0, 2**16 - 1), "i32": (-(2**31), 2**31 - 1), "u32": (0, 2**32 - 1), "i64": (-(2**63), 2**63 - 1), "u64": (0, 2**64 - 1)}
 _INF = float("inf")
+OVERFLOW = "ReductionError: integer overflow in a global sum"
 
 
 def _is_float(dtype: str) -> bool:
@@ -38,11 +43,13 @@ def int_sum(v: Column, dtype: str) -> Column:
     low, high = _INTS[dtype]
     total = F.coalesce(F.sum(v.cast("decimal(20,0)")), F.lit(0))
     inside = total.between(F.lit(low).cast("decimal(38,0)"), F.lit(high).cast("decimal(38,0)"))
-    return F.when(inside, total).otherwise(F.raise_error(F.lit("integer overflow in a global sum")).cast("decimal(38,0)")).cast(DTYPES[dtype])
+    return F.when(inside, total).otherwise(F.raise_error(F.lit(OVERFLOW)).cast("decimal(38,0)")).cast(DTYPES[dtype])
 
 
 #: Cells folded in order by one task; longer blocks are folded in pieces that keep to the order.
 PIECE = 1 << 16
+#: Results of pieces that one task folds.
+FAN = 1 << 12
 
 
 def ordered_int_sum(array: NDArray, v: Column, dtype: str) -> DataFrame:
@@ -66,10 +73,14 @@ def ordered_int_sum(array: NDArray, v: Column, dtype: str) -> DataFrame:
     blocks = blocks.withColumn("t", F.sum("s").over(over))
     ok = F.coalesce((F.min("lo") >= low) & (F.max("hi") <= high) & (F.min("t") >= low) & (F.max("t") <= high), F.lit(True))
     total = F.coalesce(F.sum("s"), F.lit(0))
-    return blocks.agg(F.when(ok, total).otherwise(F.raise_error(F.lit("integer overflow in a global sum")).cast("decimal(38,0)")).cast(DTYPES[dtype]).alias("value"))
+    return blocks.agg(F.when(ok, total).otherwise(F.raise_error(F.lit(OVERFLOW)).cast("decimal(38,0)")).cast(DTYPES[dtype]).alias("value"))
 
 
-def _sum_of(df: DataFrame, v: Column, dtype: str) -> DataFrame:
+def _sum_of(array: NDArray, v: Column, dtype: str, checked: str = "ordered") -> DataFrame:
+    """Sum of a column of the array's table."""
+    df = array.df
+    if not _is_float(dtype) and checked == "ordered":
+        return ordered_int_sum(array, v, dtype)
     if dtype.startswith("c"):
         return df.agg(F.struct(float_sum(v["re"]).cast(DTYPES[dtype]).alias("re"), float_sum(v["im"]).cast(DTYPES[dtype]).alias("im")).alias("value"))
     out = float_sum(v).cast(DTYPES[dtype]) if _is_float(dtype) else int_sum(v, dtype)
@@ -80,10 +91,8 @@ def global_sum(array: NDArray, checked: str = "ordered") -> DataFrame:
     if array.dtype == "bool":
         raise ReductionError("truth values have no sum")
     if _is_float(array.dtype):
-        return _sum_of(array.df, array.value, array.dtype)
-    if checked == "total":
-        return array.df.agg(int_sum(F.col("v"), array.dtype).alias("value"))
-    return ordered_int_sum(array, F.col("v"), array.dtype)
+        return _sum_of(array, array.value, array.dtype)
+    return _sum_of(array, F.col("v"), array.dtype, checked)
 
 
 def _extreme(v: Column, pick: Callable, dtype: str) -> Column:
@@ -105,19 +114,13 @@ def _magnitude(v: Column, dtype: str) -> Column:
 
 
 def _norm_of(df: DataFrame, v: Column, dtype: str) -> DataFrame:
-    """Two aggregations: the largest magnitude, then the scaled squares (as a scalar subquery)."""
     kind = "float" if dtype in ("f32", "c64") else "double"
-    if dtype.startswith("c"):
-        nan = F.isnan(v["re"]) | F.isnan(v["im"])
-        rows = df.select(F.when(nan, F.lit(float("nan"))).otherwise(_magnitude(v, dtype)).alias("m"))
-    else:
-        rows = df.select(_magnitude(v, dtype).alias("m"))
-    top = rows.agg(F.coalesce(F.max("m"), F.lit(0.0))).scalar()
-    whole = rows.withColumn("top", top)
-    plain = whole.agg(F.max("top").alias("top"), F.when((F.max("top") > 0) & (F.max("top") < _INF), F.max("top") * F.sqrt(F.sum(F.when((F.col("top") > 0) & (F.col("top") < _INF), (F.col("m") / F.col("top")) ** 2)))).alias("n"))
-    # Spark orders NaN above infinity, so the largest magnitude says which special value wins
-    value = F.when(F.isnan("top"), F.lit(float("nan"))).when(F.col("top") == _INF, F.lit(_INF)).otherwise(F.coalesce("n", F.lit(0.0)))
-    return plain.select(value.cast(kind).alias("value"))
+    parts = [v["re"], v["im"]] if dtype.startswith("c") else [v]
+    nan, infinite = F.lit(False), F.lit(False)
+    for p in parts:
+        nan, infinite = nan | F.isnan(p.cast("double")), infinite | (F.abs(p.cast("double")) == _INF)
+    sums = df.agg(F.coalesce(F.bool_or(nan), F.lit(False)).alias("nan"), F.coalesce(F.bool_or(infinite), F.lit(False)).alias("infinite"), *squares(parts, "n"))
+    return sums.select(F.when(F.col("nan"), F.lit(float("nan"))).when(F.col("infinite"), F.lit(_INF)).otherwise(norm_of("n")).cast(kind).alias("value"))
 
 
 def l2_norm(array: NDArray) -> DataFrame:
@@ -146,8 +149,8 @@ def all_by(array: NDArray, predicate: Callable[[Column], Column]) -> DataFrame:
     return array.df.agg(F.coalesce(F.bool_and(predicate(array.value)), F.lit(True)).alias("value"))
 
 
-def sum_by(array: NDArray, f: Callable[[Column], Column], dtype: str | None = None) -> DataFrame:
-    return _sum_of(array.df, f(array.value), dtype or array.dtype)
+def sum_by(array: NDArray, f: Callable[[Column], Column], dtype: str | None = None, checked: str = "ordered") -> DataFrame:
+    return _sum_of(array, f(array.value), dtype or array.dtype, checked)
 
 
 def norm_by(array: NDArray, f: Callable[[Column], Column], dtype: str | None = None) -> DataFrame:
@@ -163,39 +166,46 @@ def max_by(array: NDArray, f: Callable[[Column], Column], dtype: str | None = No
     return array.df.agg(_extreme(f(array.value), F.max, dtype or array.dtype).alias("value"))
 
 
-def _zip(arrays: Sequence[NDArray]) -> DataFrame:
-    return aligned(arrays, batch_shape(arrays, ReductionError))
+def _zip(arrays: Sequence[NDArray]) -> NDArray:
+    """The inputs side by side, as ``a0``, ``a1`` and so on, under the coordinates that they have in common."""
+    if not arrays:
+        raise ReductionError("an input is needed")
+    extra = batch_shape(arrays, ReductionError)
+    blank = [F.lit(None).cast(DTYPES[arrays[0].dtype]).alias(v) for v in arrays[0].values]
+    return arrays[0].with_df(aligned(arrays, extra).select("*", *blank), extra=extra)
 
 
-def zip_sum_by(a: NDArray, b: NDArray, f: Callable[[Column, Column], Column], dtype: str | None = None) -> DataFrame:
+def zip_sum_by(a: NDArray, b: NDArray, f: Callable[[Column, Column], Column], dtype: str | None = None, checked: str = "ordered") -> DataFrame:
     """Sum of f over two arrays whose batch axes expand both ways."""
-    return _sum_of(_zip([a, b]), f(F.col("a0"), F.col("a1")), dtype or a.dtype)
+    return _sum_of(_zip([a, b]), f(F.col("a0"), F.col("a1")), dtype or a.dtype, checked)
 
 
 def zip_norm_by(a: NDArray, b: NDArray, f: Callable[[Column, Column], Column], dtype: str | None = None) -> DataFrame:
-    return _norm_of(_zip([a, b]).select(f(F.col("a0"), F.col("a1")).alias("w")), F.col("w"), dtype or a.dtype)
+    return _norm_of(_zip([a, b]).df.select(f(F.col("a0"), F.col("a1")).alias("w")), F.col("w"), dtype or a.dtype)
 
 
-def _many(arrays: Sequence[NDArray]) -> DataFrame:
-    if not arrays:
-        raise ReductionError("an input is needed")
-    return many(arrays)
+def _many(arrays: Sequence[NDArray]) -> NDArray:
+    """The inputs' values as one array column ``values``."""
+    if any(a.dtype != arrays[0].dtype for a in arrays):
+        raise ReductionError("the inputs differ in type")
+    side = _zip(arrays)
+    return side.with_df(side.df.withColumn("values", F.array(*[f"a{m}" for m in range(len(arrays))])))
 
 
-def sum_many_by(arrays: Sequence[NDArray], f: Callable[[Column], Column], dtype: str | None = None) -> DataFrame:
-    return _sum_of(_many(arrays), f(F.col("values")), dtype or arrays[0].dtype)
+def sum_many_by(arrays: Sequence[NDArray], f: Callable[[Column], Column], dtype: str | None = None, checked: str = "ordered") -> DataFrame:
+    return _sum_of(_many(arrays), f(F.col("values")), dtype or arrays[0].dtype, checked)
 
 
 def norm_many_by(arrays: Sequence[NDArray], f: Callable[[Column], Column], dtype: str | None = None) -> DataFrame:
-    return _norm_of(_many(arrays).select(f(F.col("values")).alias("w")), F.col("w"), dtype or arrays[0].dtype)
+    return _norm_of(_many(arrays).df.select(f(F.col("values")).alias("w")), F.col("w"), dtype or arrays[0].dtype)
 
 
 def min_many_by(arrays: Sequence[NDArray], f: Callable[[Column], Column], dtype: str | None = None) -> DataFrame:
-    return _many(arrays).agg(_extreme(f(F.col("values")), F.min, dtype or arrays[0].dtype).alias("value"))
+    return _many(arrays).df.agg(_extreme(f(F.col("values")), F.min, dtype or arrays[0].dtype).alias("value"))
 
 
 def max_many_by(arrays: Sequence[NDArray], f: Callable[[Column], Column], dtype: str | None = None) -> DataFrame:
-    return _many(arrays).agg(_extreme(f(F.col("values")), F.max, dtype or arrays[0].dtype).alias("value"))
+    return _many(arrays).df.agg(_extreme(f(F.col("values")), F.max, dtype or arrays[0].dtype).alias("value"))
 
 
 #: Reducers that Spark aggregates natively: with these no order is kept, as none is needed.
@@ -205,8 +215,8 @@ NATIVE = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product, "and":
 def map_reduce(arrays: Sequence[NDArray], neutral, f: Callable[..., Column], reduce: str | Callable[[Column, Column], Column], kind: str = "double") -> DataFrame:
     """Map aligned values and reduce them from ``neutral``: a native reducer by name, or an associative function.
 
-    A function is folded in storage order within pieces of a block and then over pieces in order, so that it need not
-    commute; no task folds more than a piece or a block's list of pieces.
+    A function is folded in storage order within pieces of a block, then over runs of ``FAN`` of these, over runs of
+    runs, and over blocks, so that it need not commute; no task holds more than a piece or ``FAN`` results.
     """
     if not arrays:
         raise ReductionError("an input is needed")
@@ -219,9 +229,17 @@ def map_reduce(arrays: Sequence[NDArray], neutral, f: Callable[..., Column], red
         return like.df.agg(F.coalesce(NATIVE[reduce]("v").cast(kind), start).alias("value"))
     rows = like.df.select(like.block().alias("block"), like.physical().alias("at"), "v").withColumn("piece", F.expr(f"at div {PIECE}"))
     step = lambda acc, x: reduce(acc, x["v"]).cast(kind)
-    pieces = rows.groupBy("block", "piece").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("at", "v"))), start, step).alias("v"))
-    blocks = pieces.groupBy("block").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("piece", "v"))), start, step).alias("v"))
-    return blocks.agg(F.aggregate(F.array_sort(F.collect_list(F.struct("block", "v"))), start, step).alias("value"))
+    fold = lambda order: F.aggregate(F.array_sort(F.collect_list(F.struct(order, "v"))), start, step)
+    out = rows.groupBy("block", "piece").agg(fold("at").alias("v"))
+    most = -(-like.cells // PIECE)
+    while most > 1:
+        out = out.withColumn("run", F.expr(f"piece div {FAN}")).groupBy("block", "run").agg(fold("piece").alias("v")).withColumnRenamed("run", "piece")
+        most = -(-most // FAN)
+    most = first.layout.grid.size
+    while most > FAN:
+        out = out.withColumn("run", F.expr(f"block div {FAN}")).groupBy("run").agg(fold("block").alias("v")).withColumnRenamed("run", "block")
+        most = -(-most // FAN)
+    return out.agg(fold("block").alias("value"))
 
 
 def map_reduce_many(arrays: Sequence[NDArray], neutral, f: Callable[[Column], Column], reduce, kind: str = "double") -> DataFrame:

@@ -119,6 +119,22 @@ class BlockGrid:
             out.append(c)
         return tuple(reversed(out))
 
+    @classmethod
+    def from_cartesian(cls, dims: tuple[int, ...], periodic: tuple[bool, ...] | None = None) -> BlockGrid:
+        """A grid with given extents; it has no ends that could meet, so ``periodic`` must name the same axes and is dropped."""
+        if periodic is not None and len(periodic) != len(dims):
+            raise TopologyError("a period, or none, is needed for each axis")
+        return cls(tuple(dims))
+
+    def line(self, rank: int, axis: int) -> list[int]:
+        """The blocks that differ from one in a grid axis only, that one included, in order."""
+        at = list(self.coords_of(rank))
+        out = []
+        for c in range(self.line_size(axis)):
+            at[axis] = c
+            out.append(self.rank_at(tuple(at)))
+        return out
+
     def line_size(self, axis: int) -> int:
         """Blocks that differ in one grid axis only."""
         if not 0 <= axis < len(self.shape):

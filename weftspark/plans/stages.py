@@ -4,12 +4,18 @@ Steps on neighbouring selected axes share a stage: the table is dealt by the oth
 partition, and every group (a line or slab) is one contiguous run of rows that numpy transforms in a batch.  Axes that
 are not selected cost nothing.  A stage takes an axis in as long as a slab stays under ``SLAB_CELLS`` and enough
 groups remain to keep a cluster busy.
+
+A line is transformed by one task, up to ``LINE_CELLS``.  Longer lines of Fourier and real Hartley axes are split: n =
+n1 n2 makes the axis two axes, with a factor for each cell between the transforms of the one and of the other, so that
+two exchanges and tasks of n1 and n2 cells do what one task of n would.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextvars import ContextVar
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +27,44 @@ from ..errors import TransformError
 from ..functions import kernels
 from ..functions.kernels import Step
 from ..operators.array import DTYPES, NDArray
+from ..operators.norms import norm_of, squares
+from .layout import Layout
+
+#: Cells of the largest slab, cells of an array that may be one slab, groups wanted beside that, and cells of a line
+#: from which on it is split.
+SLAB_CELLS, SMALL_CELLS, GROUPS, LINE_CELLS = 1 << 22, 1 << 16, 256, 1 << 22
+
+#: Tables after each stage of the transform that is being built, where somebody wants to know them.
+stages_seen: ContextVar[list[tuple[tuple[int, ...], DataFrame]] | None] = ContextVar("stages_seen", default=None)
+
+
+@dataclass(frozen=True)
+class Tuning:
+    """Sizes at which stages are cut; None takes the module's."""
 
-#: Cells of the largest slab, cells of an array that may be one slab, and groups wanted beside that.
-SLAB_CELLS, SMALL_CELLS, GROUPS = 1 << 22, 1 << 16, 256
+    slab_cells: int | None = None
+    small_cells: int | None = None
+    line_cells: int | None = None
 
+    @property
+    def slab(self) -> int:
+        return SLAB_CELLS if self.slab_cells is None else self.slab_cells
 
-def stage_axes(extents: list[int], cells: int, slab: int = SLAB_CELLS) -> list[int]:
+    @property
+    def small(self) -> int:
+        return SMALL_CELLS if self.small_cells is None else self.small_cells
+
+    @property
+    def line(self) -> int:
+        return LINE_CELLS if self.line_cells is None else self.line_cells
+
+
+def stage_axes(extents: list[int], cells: int, tuning: Tuning = Tuning()) -> list[int]:
     """How many of the steps' axes (extents in order) go into each stage."""
     out, size = [], 0
     for n in extents:
         joined = size * n
-        if size and joined <= slab and (cells <= SMALL_CELLS or cells // joined >= GROUPS):
+        if size and joined <= tuning.slab and (cells <= tuning.small or cells // joined >= GROUPS):
             out[-1] += 1
             size = joined
         else:
@@ -49,11 +82,11 @@ def _run(steps: list[Step], axes: list[int], shape: list[int], keys: int, real_i
         for k in range(keys):
             one = columns[k].reshape(groups, cells)
             if (one != one[:, :1]).any():
-                raise TransformError("the array isn't dense: a line is incomplete")
+                raise TransformError("TransformError: the array isn't dense: a line is incomplete")
         want = np.indices(shape).reshape(len(shape), cells)
         for a in range(len(axes)):
             if (columns[keys + a].reshape(groups, cells) != want[a]).any():
-                raise TransformError("the array isn't dense: a cell is missing or twice there")
+                raise TransformError("TransformError: the array isn't dense: a cell is missing or twice there")
         v = columns[keys + len(axes) :]
         x = (v[0] if real_in else v[0] + 1j * v[1]).reshape(groups, *shape)
         for step in steps:
@@ -81,28 +114,53 @@ def _run(steps: list[Step], axes: list[int], shape: list[int], keys: int, real_i
                 held, n = [[c[end:] for c in whole]], n - end
         if n:
             if n % cells:
-                raise TransformError("the array isn't dense: a line is incomplete")
+                raise TransformError("TransformError: the array isn't dense: a line is incomplete")
             yield transform([np.concatenate(c) for c in zip(*held, strict=True)])
 
     return run
 
 
-def apply_steps(array: NDArray, steps: list[Step], shape_after: dict[int, int], complex_after: bool, scale: float = 1.0) -> NDArray:
+def _becomes_complex(complex_: bool, steps: list[Step]) -> bool:
+    for s in steps:
+        if s[0] in ("rfft", "crfft"):
+            complex_ = s[0] == "rfft"
+    return complex_
+
+
+def _dtype(array: NDArray, complex_: bool) -> str:
+    wide = array.dtype in ("f64", "c128")
+    return ("c128" if wide else "c64") if complex_ else ("f64" if wide else "f32")
+
+
+def scaled(array: NDArray, scale: float) -> NDArray:
+    values = [(F.col(v) * F.lit(scale)).cast(DTYPES[array.dtype]).alias(v) for v in array.values] if scale != 1.0 else array.values
+    return array.with_df(array.df.select(*array.coords, *values))
+
+
+def apply_steps(array: NDArray, steps: list[Step], shape_after: dict[int, int], complex_after: bool, scale: float = 1.0, tuning: Tuning = Tuning()) -> NDArray:
     """Apply ``steps`` in order.  ``shape_after`` gives extents that change, ``complex_after`` the kind of the result.
 
     A step that makes a real array complex or back must be the first or the last of all.
     """
     ship(array.df.sparkSession)
-    wide = array.dtype in ("f64", "c128")
-    real = {True: "f64" if wide else "f32", False: "c128" if wide else "c64"}
+    if _becomes_complex(array.complex, steps) != complex_after:
+        raise TransformError("the steps don't lead to the kind of result that was asked for")
+    for n, step in enumerate(steps):
+        if (parts := _split(array, step, shape_after, tuning)) is not None:
+            before = _staged(array, steps[:n], shape_after, 1.0, tuning)
+            long = _long_line(before, step, shape_after, parts, tuning)
+            return apply_steps(long, steps[n + 1 :], shape_after, complex_after, scale, tuning)
+    return _staged(array, steps, shape_after, scale, tuning)
+
+
+def _staged(array: NDArray, steps: list[Step], shape_after: dict[int, int], scale: float, tuning: Tuning) -> NDArray:
     if not steps:
-        values = [(F.col(v) * F.lit(scale)).cast(DTYPES[array.dtype]).alias(v) for v in array.values] if scale != 1.0 else array.values
-        return array.with_df(array.df.select(*array.coords, *values))
+        return scaled(array, scale)
     shape = list(array.shape)
     df, is_real = array.table(), not array.complex
     df = df.select(*array.coords, *[F.col(v).cast("double").alias(v) for v in array.values])
     at = 0
-    counts = stage_axes([max(shape[s[1]], shape_after.get(s[1], 0)) for s in steps], array.cells)
+    counts = stage_axes([max(shape[s[1]], shape_after.get(s[1], 0)) for s in steps], array.cells, tuning)
     for done, count in enumerate(counts):
         mine = steps[at : at + count]
         at += count
@@ -110,10 +168,7 @@ def apply_steps(array: NDArray, steps: list[Step], shape_after: dict[int, int],
         axes = sorted({s[1] for s in mine})
         keys = [*array.batch, *(f"i{k}" for k in range(array.rank) if k not in axes)]
         local = [f"i{k}" for k in axes]
-        becomes_real = is_real
-        for s in mine:
-            if s[0] in ("rfft", "crfft"):
-                becomes_real = s[0] == "crfft"
+        becomes_real = not _becomes_complex(not is_real, mine)
         out_values = ["v"] if becomes_real else ["re", "im"]
         names = [*keys, *local, *out_values]
         types = [pa.int64()] * (len(keys) + len(local)) + [pa.float64()] * len(out_values)
@@ -123,31 +178,80 @@ def apply_steps(array: NDArray, steps: list[Step], shape_after: dict[int, int],
         run = _run(mine, axes, [shape[k] for k in axes], len(keys), is_real, scale if last else 1.0, names, types)
         schema = ", ".join(f"{c} {'long' if t == pa.int64() else 'double'}" for c, t in zip(names, types, strict=True))
         df = dealt.mapInArrow(run, schema)
+        if (seen := stages_seen.get()) is not None:
+            seen.append((tuple(s[1] for s in mine), df))
         for s in mine:
             if s[0] in ("rfft", "crfft"):
                 shape[s[1]] = shape_after[s[1]]
         is_real = becomes_real
-    if is_real == complex_after:
-        raise TransformError("the steps don't lead to the kind of result that was asked for")
-    dtype = real[is_real]
-    kind = DTYPES[dtype]
-    values = [F.col(v).cast(kind).alias(v) for v in (["v"] if is_real else ["re", "im"])]
-    layout = array.layout.with_shape(tuple(shape))
-    return array.with_df(df.select(*array.coords, *values), layout=layout, dtype=dtype)
+    dtype = _dtype(array, not is_real)
+    values = [F.col(v).cast(DTYPES[dtype]).alias(v) for v in (["v"] if is_real else ["re", "im"])]
+    return array.with_df(df.select(*array.coords, *values), layout=array.layout.with_shape(tuple(shape)), dtype=dtype)
+
+
+def _split(array: NDArray, step: Step, shape_after: dict[int, int], tuning: Tuning) -> tuple[int, int] | None:
+    """The two most even factors of a line that is too long for a task; None if it isn't, or can't be split."""
+    name, axis, _ = step
+    n = shape_after[axis] if name == "crfft" else array.shape[axis]
+    if n <= tuning.line or name not in ("fft", "rfft", "crfft", "dht") or name == "dht" and array.complex:
+        return None
+    n1 = next(d for d in range(math.isqrt(n), 0, -1) if n % d == 0)
+    return (n1, n // n1) if n1 > 1 else None
+
+
+def _long_line(array: NDArray, step: Step, shape_after: dict[int, int], parts: tuple[int, int], tuning: Tuning) -> NDArray:
+    """A step along an axis whose lines are split: index n2 a + b becomes c + n1 d.
+
+    Real steps are made of complex ones: a half spectrum is cut from the whole one, or mirrored to it.
+    """
+    name, axis, parameter = step
+    n1, n2 = parts
+    n, c = n1 * n2, f"i{axis}"
+    sign = {"fft": parameter, "rfft": parameter, "dht": -1}.get(name, 1 if parameter > 0 else -1)
+    df = array.table()
+    if name in ("rfft", "dht"):
+        df = df.withColumnsRenamed({"v": "re"}).withColumn("im", F.lit(0.0))
+    if name == "crfft":
+        own = (F.col(c) == 0) | (2 * F.col(c) == n)
+        cell = lambda i, im: F.struct(i.alias("i"), im.alias("im"))
+        both = F.when(own, F.array(cell(F.col(c), F.lit(0.0)))).otherwise(F.array(cell(F.col(c), F.col("im").cast("double")), cell(n - F.col(c), -F.col("im").cast("double"))))
+        df = df.withColumn("_to", F.explode(both)).select(*[x for x in array.coords if x != c], "re", F.col("_to.i").alias(c), F.col("_to.im").alias("im"))
+    later = {f"i{k}": f"i{k + 1}" for k in range(axis + 1, array.rank)}
+    names = [x for x in array.coords if x != c]
+    shape = (*array.shape[:axis], n1, n2, *array.shape[axis + 1 :])
+    df = df.select(*[F.col(x).alias(later.get(x, x)) for x in names], F.expr(f"{c} div {n2}").alias(c), (F.col(c) % n2).alias(f"i{axis + 1}"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
+    two = NDArray(df, Layout.of(shape), array.extra, "c128")
+    two = apply_steps(two, [("fft", axis, sign)], {}, True, 1.0, tuning)
+    turn = F.lit(sign * 2 * math.pi / n) * ((F.col(c) * F.col(f"i{axis + 1}")) % n)
+    turned = two.df.select(*two.coords, (F.col("re") * F.cos(turn) - F.col("im") * F.sin(turn)).alias("re"), (F.col("im") * F.cos(turn) + F.col("re") * F.sin(turn)).alias("im"))
+    two = apply_steps(two.with_df(turned), [("fft", axis + 1, sign)], {}, True, 1.0, tuning)
+    df = two.df.select(*[F.col(later.get(x, x)).alias(x) for x in names], (F.col(c) + n1 * F.col(f"i{axis + 1}")).alias(c), "re", "im")
+    after = n
+    if name == "rfft":
+        after = shape_after[axis]
+        df = df.filter(F.col(c) < after)
+    if name == "crfft":
+        df = df.withColumnsRenamed({"re": "v"})
+    if name == "dht":
+        df = df.withColumn("v", F.col("re") - F.col("im"))
+    dtype = _dtype(array, _becomes_complex(array.complex, [step]))
+    out = array.with_df(df, layout=array.layout.with_shape(tuple(after if k == axis else m for k, m in enumerate(array.shape))), dtype=dtype)
+    return out.with_df(df.select(*out.coords, *[F.col(v).cast(DTYPES[dtype]).alias(v) for v in out.values]))
+
+
+def ends(array: NDArray, axis: int, n: int) -> NDArray:
+    """The planes of a half spectrum that must be real."""
+    return array.with_df(array.table().filter(F.col(f"i{axis}").isin([0, n // 2] if n % 2 == 0 else [0])))
 
 
 def plane_norms(array: NDArray, axis: int, n: int) -> DataFrame:
     """For each batch and each plane of a half spectrum that must be real: ``tall``, the largest imaginary part, ``re``
-    and ``im``, the norms of both parts (scaled, so that they don't overflow), and ``odd``, whether a value isn't finite."""
-    ends = [0, n // 2] if n % 2 == 0 else [0]
-    c = f"i{axis}"
+    and ``im``, the norms of both parts, and ``odd``, whether a value isn't finite; one aggregation."""
     big = F.greatest(F.abs(F.col("re")), F.abs(F.col("im")))
     odd = F.isnan("re") | F.isnan("im") | (big == float("inf"))
-    planes = array.table().filter(F.col(c).isin(ends))
-    m = planes.groupBy(*array.batch, c).agg(F.max(big).alias("top"), F.max(F.abs(F.col("im"))).alias("tall"), F.bool_or(odd).alias("odd"))
-    scaled = planes.join(m, [*array.batch, c]).withColumn("s", F.when(F.col("top") > 0, F.col("top")).otherwise(1.0))
-    norm = lambda v: (F.max("s") * F.sqrt(F.sum((F.col(v) / F.col("s")) ** 2))).alias(v)
-    return scaled.groupBy(*array.batch, c).agg(F.max("tall").alias("tall"), F.bool_or("odd").alias("odd"), norm("re"), norm("im"))
+    sums = [F.max(F.abs(F.col("im"))).alias("tall"), F.bool_or(odd).alias("odd"), *squares(F.col("re"), "r"), *squares(F.col("im"), "i")]
+    planes = ends(array, axis, n).df.groupBy(*array.batch, f"i{axis}").agg(*sums)
+    return planes.select(*array.batch, f"i{axis}", "tall", "odd", norm_of("r").alias("re"), norm_of("i").alias("im"))
 
 
 def is_real(absolute: float, relative: float):
@@ -155,16 +259,23 @@ def is_real(absolute: float, relative: float):
     return ~F.col("odd") & ((F.col("tall") <= absolute) | (F.col("im") <= relative * F.col("re")))
 
 
-def check_boundary(array: NDArray, axis: int, n: int, relative: float, absolute: float) -> NDArray:
+def rejected(planes: NDArray, axis: int, n: int, relative: float, absolute: float) -> DataFrame:
+    """One row: in ``bad`` how many planes aren't real within rounding."""
+    passes = F.coalesce(is_real(absolute, relative), F.lit(False))
+    return plane_norms(planes, axis, n).agg(F.coalesce(F.sum(F.when(passes, 0).otherwise(1)), F.lit(0)).alias("bad"))
+
+
+def check_boundary(array: NDArray, planes: NDArray, axis: int, n: int, relative: float, absolute: float) -> NDArray:
     """Let a half spectrum through if its DC and, for even ``n``, Nyquist planes are real within rounding.
 
     A plane of a batch passes if all its values are finite and either the largest imaginary part is at most
-    ``absolute`` or the imaginary norm is at most ``relative`` times the real norm; its imaginary parts become 0.  The
-    check is a scalar subquery: the query that reads the result fails if any plane doesn't pass.
+    ``absolute`` or the imaginary norm is at most ``relative`` times the real norm; its imaginary parts become 0.
+    ``planes`` holds these planes, computed from themselves alone, so the check costs the share of the array that they
+    are.  It is a scalar subquery: the query that reads the result fails if any plane doesn't pass.
     """
     c = f"i{axis}"
-    passes = F.coalesce(is_real(absolute, relative), F.lit(False))
-    bad = plane_norms(array, axis, n).agg(F.coalesce(F.sum(F.when(passes, 0).otherwise(1)), F.lit(0)).alias("bad"))
+    bad = rejected(planes, axis, n, relative, absolute)
     verdict = F.when(bad.scalar() > 0, F.raise_error(F.lit("InvalidSpectrum: a plane of the half spectrum that must be real isn't")).cast("double"))
     im = F.when(F.col(c).isin([0, n // 2] if n % 2 == 0 else [0]), F.lit(0.0)).otherwise(F.col("im"))
-    return array.with_df(array.df.select(*array.coords, F.coalesce(verdict, F.col("re").cast("double")).alias("re"), im.cast("double").alias("im")), dtype="c128")
+    kind = DTYPES[array.dtype]
+    return array.with_df(array.df.select(*array.coords, F.coalesce(verdict, F.col("re").cast("double")).cast(kind).alias("re"), im.cast(kind).alias("im")))

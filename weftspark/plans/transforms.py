@@ -9,19 +9,22 @@ from __future__ import annotations
 
 import math
 import time
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field, fields, replace
 
 import numpy as np
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from ..errors import AxisError, CollectionError, TransformError, WrongState
+from .._ship import ship
+from ..errors import AxisError, CollectionError, InvalidSpectrum, TransformError, WrongState
 from ..functions import kernels
 from ..functions.kernels import Step
 from ..operators.array import NDArray
 from .layout import Layout
-from .stages import apply_steps, check_boundary, stage_axes
+from .stages import Tuning, apply_steps, check_boundary, ends, rejected, stage_axes, stages_seen
 
 FORWARD, BACKWARD = -1, 1
 
@@ -72,10 +75,16 @@ def _select(rank: int, axes) -> AxisSelection:
 
 @dataclass(frozen=True)
 class Options:
-    """Transport and output order; they are recorded in the output layout and change no value."""
+    """Transport and output order, which are recorded in the output layout, and the sizes at which stages are cut; none
+    of them changes a value."""
 
     transpose_method: str = "alltoallv"
     permute_dims: bool = True
+    tuning: Tuning = Tuning()
+
+    def __post_init__(self):
+        if self.transpose_method not in ("alltoallv", "point_to_point"):
+            raise TransformError(f"no transport {self.transpose_method}")
 
 
 @dataclass(frozen=True)
@@ -109,6 +118,29 @@ class Plan:
     def backend_kind(self) -> str:
         return "numpy"
 
+    def backend_options(self) -> dict[str, str]:
+        """The kernels have no options."""
+        return {}
+
+    def _apply(self, array: NDArray, steps: list[Step], shape_after: dict[int, int], complex_after: bool, scale: float = 1.0) -> NDArray:
+        return apply_steps(array, steps, shape_after, complex_after, scale, self.options.tuning)
+
+    def _real_planes(self, array: NDArray, steps: list[Step], axis: int, n: int, limits: tuple[float, float]) -> NDArray:
+        """A half spectrum after ``steps`` along other axes than the real one, checked at the planes that must be real."""
+        return check_boundary(self._apply(array, steps, {}, True), self._apply(ends(array, axis, n), steps, {}, True), axis, n, *limits)
+
+    def _spectrum(self, array: NDArray, operation: str) -> tuple[list[Step], int, int, tuple[float, float]]:
+        """Of an operation that takes a half spectrum: steps before the check, real axis, real length, and limits."""
+        raise TransformError("the plan takes no half spectrum")
+
+    def check_spectrum(self, array: NDArray, operation: str = "inverse") -> NDArray:
+        """The array, if ``operation`` takes it (runs a job over the planes that must be real)."""
+        steps, axis, n, limits = self._spectrum(array, operation)
+        bad = rejected(self._apply(ends(array, axis, n), steps, {}, True), axis, n, *limits).first()[0]
+        if bad:
+            raise InvalidSpectrum(f"{bad} planes of the half spectrum that must be real aren't")
+        return array
+
     def _check(self, array: NDArray, shape: tuple[int, ...], complex_: bool | None) -> None:
         if array.shape != shape or array.extra != self.extra:
             raise TransformError(f"the plan is for {self.extra} x {shape}, the array is {array.extra} x {array.shape}")
@@ -132,15 +164,23 @@ class Plan:
 
     # collections
 
-    def _many(self, arrays: Sequence[NDArray], operation: str) -> list[NDArray]:
+    def _members(self, arrays: Sequence[NDArray]) -> None:
+        """All members are checked before anything is built."""
         if not arrays:
             raise CollectionError("a collection needs a member")
         for m, a in enumerate(arrays):
             if a.shape != arrays[0].shape or a.extra != self.extra or a.dtype != arrays[0].dtype:
                 raise CollectionError(f"member {m} isn't like the first", m)
-        joined = stack(arrays)
-        plan = self.batched(len(arrays))
-        return unstack(getattr(plan, operation)(joined))
+
+    def _many(self, arrays: Sequence[NDArray], operation: str) -> list[NDArray]:
+        """Each member's result is a table of its own: reading one computes that one, reading all computes each once."""
+        self._members(arrays)
+        return [getattr(self, operation)(a) for a in arrays]
+
+    def stacked(self, arrays: Sequence[NDArray], operation: str = "forward") -> NDArray:
+        """All members' results in one job, under a leading member axis."""
+        self._members(arrays)
+        return getattr(self.batched(len(arrays)), operation)(stack(arrays))
 
     def batched(self, members: int):
         """The same plan with one more leading batch axis."""
@@ -158,6 +198,13 @@ class Plan:
     def in_place(self, array: NDArray) -> InPlace:
         return InPlace(self, array)
 
+    def in_place_many(self, arrays: Sequence[NDArray]) -> list[InPlace]:
+        self._members(arrays)
+        return [InPlace(self, a) for a in arrays]
+
+    def allocate_in_place(self, spark: SparkSession, dtype: str) -> InPlace:
+        return InPlace(self, self.allocate_input(spark, dtype))
+
     # what a plan says of itself
 
     def _steps(self) -> list[int]:
@@ -170,7 +217,7 @@ class Plan:
         axes = self._steps()
         cells = math.prod(self.shape) * math.prod(self.extra)
         out, at = [], 0
-        for n in stage_axes([max(self.input_shape[k], self.output_shape[k]) for k in axes], cells) if axes else []:
+        for n in stage_axes([max(self.input_shape[k], self.output_shape[k]) for k in axes], cells, self.options.tuning) if axes else []:
             out.append(tuple(axes[at : at + n]))
             at += n
         return out
@@ -183,12 +230,24 @@ class Plan:
         """Zeros of the shape that a forward transform gives."""
         return _zeros(spark, self.output_shape, self.extra, dtype)
 
-    def with_timing(self, array: NDArray, operation: str = "forward") -> tuple[NDArray, dict[str, float]]:
-        """The result, and the seconds that a job over it takes."""
-        out = getattr(self, operation)(array)
-        began = time.perf_counter()
-        out.df.write.format("noop").mode("overwrite").save()
-        return out, {"total": time.perf_counter() - began}
+    def with_timing(self, array: NDArray, operation: str = "forward") -> tuple[NDArray, Timing]:
+        """The result, and the seconds that jobs over it and over each of its stages take.
+
+        A stage can't be run without those before it, so its time is what it adds to theirs: a diagnosis, not a cost
+        to pay in production.
+        """
+        seen: list = []
+        mark = stages_seen.set(seen)
+        try:
+            out = getattr(self, operation)(array)
+        finally:
+            stages_seen.reset(mark)
+        took, before = [], 0.0
+        for axes, df in seen:
+            until = _seconds(df)
+            took.append((axes, max(0.0, until - before)))
+            before = until
+        return out, Timing(tuple(took), _seconds(out.df))
 
     def with_overlap(self, array: NDArray, operation: str = "forward") -> NDArray:
         """The same numbers; exchange and work overlap in Spark anyway, but only point-to-point plans may ask for it."""
@@ -197,6 +256,20 @@ class Plan:
         return getattr(self, operation)(array)
 
 
+@dataclass(frozen=True)
+class Timing:
+    """Seconds of each stage (its axes, what it adds) and of the whole operation."""
+
+    stages: tuple[tuple[tuple[int, ...], float], ...]
+    total: float
+
+
+def _seconds(df: DataFrame) -> float:
+    began = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - began
+
+
 def stack(arrays: Sequence[NDArray]) -> NDArray:
     """Members as a leading batch axis: one table, one job for all."""
     first = arrays[0]
@@ -221,6 +294,12 @@ class InPlace:
     array: NDArray
     state: str = "input"
 
+    def view(self, state: str) -> NDArray:
+        """What it holds, if that is the ``input`` or ``output`` asked for."""
+        if self.state != state:
+            raise WrongState(f"there is no view of the {state} in state {self.state}")
+        return self.array
+
     def _to(self, operation: str, need: str, after: str) -> InPlace:
         if self.state != need:
             raise WrongState(f"{operation} needs an array in state {need}, this one is in state {self.state}")
@@ -271,7 +350,7 @@ class C2c(Plan):
     def _run(self, array: NDArray, way: int, scale: float) -> NDArray:
         self._check(array, self.shape, True)
         steps: list[Step] = [("fft", k, self.directions[k] * -way) for k in _order(self.axes.axes, way < 0)]
-        return self._named(apply_steps(array, steps, {}, True, scale), way < 0)
+        return self._named(self._apply(array, steps, {}, True, scale), way < 0)
 
     def forward(self, array: NDArray) -> NDArray:
         return self._run(array, FORWARD, 1.0)
@@ -327,22 +406,25 @@ class R2c(Plan):
         self._check(array, self.shape, False)
         r = self.real_axis
         steps: list[Step] = [("rfft", r, -1), *(("fft", k, -1) for k in _order(self.axes.axes, True) if k != r)]
-        return self._named(apply_steps(array, steps, {r: self.output_shape[r]}, True), True)
+        return self._named(self._apply(array, steps, {r: self.output_shape[r]}, True), True)
 
-    def _reverse(self, array: NDArray, scale: float, raw: bool) -> NDArray:
+    def _spectrum(self, array: NDArray, operation: str):
         self._check(array, self.output_shape, True)
-        r, others = self.real_axis, [k for k in _order(self.axes.axes, False) if k != self.real_axis]
-        mid = apply_steps(array, [("fft", k, 1) for k in others], {}, True)
-        grown = math.prod(self.shape[k] for k in others) if raw else 1
-        mid = check_boundary(mid, r, self.real_len, *_limits(array.dtype, 1 + sum(_levels(self.shape[k]) for k in others), grown))
-        mid = mid if array.dtype == "c128" else mid.with_df(mid.df.select(*mid.coords, *[F.col(v).cast("float").alias(v) for v in ("re", "im")]), dtype="c64")
-        return self._named(apply_steps(mid, [("crfft", r, self.real_len)], {r: self.real_len}, False, scale), False)
+        others = [k for k in _order(self.axes.axes, False) if k != self.real_axis]
+        grown = math.prod(self.shape[k] for k in others) if operation == "backward" else 1
+        limits = _limits(array.dtype, 1 + sum(_levels(self.shape[k]) for k in others), grown)
+        return [("fft", k, 1) for k in others], self.real_axis, self.real_len, limits
+
+    def _reverse(self, array: NDArray, scale: float, operation: str) -> NDArray:
+        mid = self._real_planes(array, *self._spectrum(array, operation))
+        r = self.real_axis
+        return self._named(self._apply(mid, [("crfft", r, self.real_len)], {r: self.real_len}, False, scale), False)
 
     def backward(self, array: NDArray) -> NDArray:
-        return self._reverse(array, 1.0, True)
+        return self._reverse(array, 1.0, "backward")
 
     def inverse(self, array: NDArray) -> NDArray:
-        return self._reverse(array, 1.0 / self.factor, False)
+        return self._reverse(array, 1.0 / self.factor, "inverse")
 
 
 def _half(shape: tuple[int, ...], axis: int) -> tuple[int, ...]:
@@ -383,19 +465,25 @@ class C2r(Plan):
     def factor(self) -> int:
         return math.prod(self.shape[k] for k in self.axes.axes)
 
-    def forward(self, array: NDArray) -> NDArray:
+    def _spectrum(self, array: NDArray, operation: str):
         self._check(array, self.input_shape, True)
-        r, others = self.real_axis, [k for k in _order(self.axes.axes, True) if k != self.real_axis]
-        mid = apply_steps(array, [("fft", k, 1) for k in others], {}, True)
-        mid = check_boundary(mid, r, self.real_len, *_limits(array.dtype, 1 + sum(_levels(self.shape[k]) for k in others), math.prod(self.shape[k] for k in others)))
-        mid = mid if array.dtype == "c128" else mid.with_df(mid.df.select(*mid.coords, *[F.col(v).cast("float").alias(v) for v in ("re", "im")]), dtype="c64")
-        return self._named(apply_steps(mid, [("crfft", r, self.real_len)], {r: self.real_len}, False), True)
+        others = [k for k in _order(self.axes.axes, True) if k != self.real_axis]
+        limits = _limits(array.dtype, 1 + sum(_levels(self.shape[k]) for k in others), math.prod(self.shape[k] for k in others))
+        return [("fft", k, 1) for k in others], self.real_axis, self.real_len, limits
+
+    def check_spectrum(self, array: NDArray, operation: str = "forward") -> NDArray:
+        return super().check_spectrum(array, operation)
+
+    def forward(self, array: NDArray) -> NDArray:
+        mid = self._real_planes(array, *self._spectrum(array, "forward"))
+        r = self.real_axis
+        return self._named(self._apply(mid, [("crfft", r, self.real_len)], {r: self.real_len}, False), True)
 
     def _reverse(self, array: NDArray, scale: float) -> NDArray:
         self._check(array, self.shape, False)
         r = self.real_axis
         steps: list[Step] = [("rfft", r, -1), *(("fft", k, -1) for k in _order(self.axes.axes, False) if k != r)]
-        return self._named(apply_steps(array, steps, {r: self.input_shape[r]}, True, scale), False)
+        return self._named(self._apply(array, steps, {r: self.input_shape[r]}, True, scale), False)
 
     def backward(self, array: NDArray) -> NDArray:
         return self._reverse(array, 1.0)
@@ -430,7 +518,7 @@ class R2r(Plan):
     def _run(self, array: NDArray, forward: bool, scale: float) -> NDArray:
         self._check(array, self.shape, None)
         steps: list[Step] = [(self.kinds[k] if forward else kernels.REVERSE[self.kinds[k]], k, 0) for k in _order((k for k, x in enumerate(self.kinds) if x), forward)]
-        return self._named(apply_steps(array, steps, {}, array.complex, scale), forward)
+        return self._named(self._apply(array, steps, {}, array.complex, scale), forward)
 
     def forward(self, array: NDArray) -> NDArray:
         return self._run(array, True, 1.0)
@@ -461,7 +549,7 @@ class Dht(Plan):
 
     def _run(self, array: NDArray, forward: bool, scale: float) -> NDArray:
         self._check(array, self.shape, None)
-        return self._named(apply_steps(array, [("dht", k, 0) for k in _order(self.axes.axes, forward)], {}, array.complex, scale), forward)
+        return self._named(self._apply(array, [("dht", k, 0) for k in _order(self.axes.axes, forward)], {}, array.complex, scale), forward)
 
     def forward(self, array: NDArray) -> NDArray:
         return self._run(array, True, 1.0)
@@ -516,12 +604,12 @@ class MixedC2c(Plan):
 
     def forward(self, array: NDArray) -> NDArray:
         self._check(array, self.shape, True)
-        return self._named(apply_steps(array, [(self.transforms[k], k, self.directions[k]) for k in self._axes(True)], {}, True), True)
+        return self._named(self._apply(array, [(self.transforms[k], k, self.directions[k]) for k in self._axes(True)], {}, True), True)
 
     def _reverse(self, array: NDArray, scale: float) -> NDArray:
         self._check(array, self.shape, True)
         steps = [_reverse_step(self.transforms[k], k, self.directions[k]) for k in self._axes(False)]
-        return self._named(apply_steps(array, steps, {}, True, scale), False)
+        return self._named(self._apply(array, steps, {}, True, scale), False)
 
     def backward(self, array: NDArray) -> NDArray:
         return self._reverse(array, 1.0)
@@ -578,28 +666,30 @@ class MixedR2c(Plan):
         r = self.real_axis
         steps: list[Step] = [(self.transforms[k], k, 0) for k in _order(real, True)] + [("rfft", r, -1)]
         steps += [(self.transforms[k], k, self.directions[k]) for k in _order(complex_, True)]
-        return self._named(apply_steps(array, steps, {r: self.output_shape[r]}, True), True)
+        return self._named(self._apply(array, steps, {r: self.output_shape[r]}, True), True)
 
-    def _reverse(self, array: NDArray, scale: float, raw: bool) -> NDArray:
+    def _spectrum(self, array: NDArray, operation: str):
         self._check(array, self.output_shape, True)
-        real, complex_ = self._parts()
-        r = self.real_axis
-        mid = apply_steps(array, [_reverse_step(self.transforms[k], k, self.directions[k]) for k in _order(complex_, False)], {}, True)
+        _, complex_ = self._parts()
         depth = 1 + sum(_levels(kernels.embedding_length(self.transforms[k], self.shape[k])) + (0 if self.transforms[k] == "fft" else 2) for k in complex_)
-        grown = math.prod(kernels.factor(self.transforms[k], self.shape[k]) for k in complex_) if raw else 1
-        mid = check_boundary(mid, r, self.original_n, *_limits(array.dtype, depth, grown))
-        mid = mid if array.dtype == "c128" else mid.with_df(mid.df.select(*mid.coords, *[F.col(v).cast("float").alias(v) for v in ("re", "im")]), dtype="c64")
+        grown = math.prod(kernels.factor(self.transforms[k], self.shape[k]) for k in complex_) if operation == "backward" else 1
+        steps = [_reverse_step(self.transforms[k], k, self.directions[k]) for k in _order(complex_, False)]
+        return steps, self.real_axis, self.original_n, _limits(array.dtype, depth, grown)
+
+    def _reverse(self, array: NDArray, scale: float, operation: str) -> NDArray:
+        mid = self._real_planes(array, *self._spectrum(array, operation))
+        real, r = self._parts()[0], self.real_axis
         steps: list[Step] = [("crfft", r, self.original_n)] + [(kernels.REVERSE[self.transforms[k]], k, 0) for k in _order(real, False)]
-        return self._named(apply_steps(mid, steps, {r: self.original_n}, False, scale), False)
+        return self._named(self._apply(mid, steps, {r: self.original_n}, False, scale), False)
 
     def backward(self, array: NDArray) -> NDArray:
-        return self._reverse(array, 1.0, True)
+        return self._reverse(array, 1.0, "backward")
 
     def inverse(self, array: NDArray) -> NDArray:
-        return self._reverse(array, 1.0 / self.factor, False)
+        return self._reverse(array, 1.0 / self.factor, "inverse")
 
 
-# transforms of flat driver-side lines, for use without Spark
+# transforms of flat lines in memory; ``transform_lines`` applies them to the rows of a DataFrame
 
 
 def _lines(x, n: int) -> np.ndarray:
@@ -724,5 +814,38 @@ class LocalDht:
         return self.forward(x) / self.line_len
 
 
+def transform_lines(df: DataFrame, plan, operation: str = "forward", re: str = "re", im: str | None = None) -> DataFrame:
+    """Apply a local plan to each row's line, held in array columns ``re`` and, for complex lines, ``im``.
+
+    Lines are whole rows, so no row moves: a projection.  The other columns are kept; the result is in ``re`` and, if
+    it is complex, ``im``.  Each row's array is some whole number of lines.
+    """
+    ship(df.sparkSession)
+    keep = [c for c in df.columns if c not in (re, im)]
+    fields_ = [df.schema[c] for c in keep]
+    probe = getattr(plan, operation)(np.zeros(0, complex if im else float))
+    complex_out = np.iscomplexobj(probe)
+    out_names = [re, *([im or "im"] if complex_out else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            values = [batch.column(batch.schema.get_field_index(c)) for c in ((re, im) if im else (re,))]
+            counts = [np.diff(v.offsets.to_numpy()) for v in values]
+            if im and (counts[0] != counts[1]).any():
+                raise TransformError("a line's parts differ in length")
+            flat = [v.flatten().to_numpy(zero_copy_only=False) for v in values]
+            x = flat[0] + 1j * flat[1] if im else flat[0]
+            y = getattr(plan, operation)(x)
+            ratio = len(y) / max(1, len(x))
+            ends_ = np.concatenate(([0], np.cumsum(np.round(counts[0] * ratio).astype(np.int64)))).astype(np.int32)
+            parts = [y.real, y.imag] if complex_out else [y]
+            lists = [pa.ListArray.from_arrays(pa.array(ends_), pa.array(np.ascontiguousarray(p))) for p in parts]
+            yield pa.RecordBatch.from_arrays([*columns, *lists], [*keep, *out_names])
+
+    schema = StructType([*fields_, *(StructField(c, ArrayType(DoubleType())) for c in out_names)])
+    return df.select(*keep, re, *([im] if im else [])).mapInArrow(run, schema)
+
+
 def _zeros(spark: SparkSession, shape: tuple[int, ...], extra: tuple[int, ...], dtype: str) -> NDArray:
     return NDArray.from_elem(spark, Layout.of(shape), 0j if dtype.startswith("c") else 0.0, extra, dtype)
