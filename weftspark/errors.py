@@ -95,7 +95,7 @@ def typed() -> Iterator[None]:
         raise
     except Exception as e:
         text = str(e)
-        for kind in (InvalidSpectrum, ReductionError, TransformError, ShapeError):
+        for kind in (InvalidSpectrum, ReductionError, TransformError, ShapeError, IoError):
             if (at := text.find(f"{kind.__name__}: ")) >= 0:
                 raise kind(text[at + len(kind.__name__) + 2 :].splitlines()[0]) from e
         raise

@@ -3,9 +3,11 @@
 All integers are little-endian 64-bit words.  A file is created exclusively, marked incomplete, filled, and marked
 committed last; a reader takes committed files only and checks every word of the header.
 
-Cells are encoded on the executors in order of their position and streamed through the driver into the file, one piece
-at a time; readers split the payload into byte ranges that executors decode.  Paths are those of a folder that all
-machines share, or URIs that ``pyarrow.fs`` opens.
+Both ways a file is many byte ranges.  A writer gives the file its head and its full length first; executors then
+write disjoint ranges of encoded cells, each range a partition that holds exactly the cells of these positions, and
+writing a range again after a lost executor gives the same bytes.  The driver writes only the head and the commit word.
+Readers split the payload into ranges that executors decode.  Files are written to a folder that all machines share;
+they are read from there, or from any URI that ``pyarrow.fs`` opens.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .._ship import ship
-from ..errors import CatalogError, IoError
+from ..errors import CatalogError, IoError, typed
 from ..operators.array import DTYPES, NDArray
 from ..plans.layout import Layout, partition_range
-from ..plans.transforms import stack, unstack
+from ..plans.transforms import stack
 from .codec import Scalar
 
 # Magics, versions, commit words and limits of the formats.
@@ -35,8 +37,21 @@ CHUNK_MAGIC, CHUNK_VERSION = b"PNCHUNK3", 3
 COMMIT, INCOMPLETE = 0x434F4D4D49545445, 0x494E434F4D504C45
 MAX_HEADER, MAX_RANK, MAX_NAME, MAX_DATASETS = 1 << 20, 1024, 1024, 65_536
 
-#: Cells encoded or decoded as one piece.
-PIECE = 1 << 18
+#: Cells encoded or decoded as one piece, and ranges of a file at most.
+PIECE, MOST_RANGES = 1 << 18, 100_000
+
+
+@dataclass(frozen=True)
+class WriteOptions:
+    """How a file is transferred, and hints to its store: taken and recorded as other array libraries do, and without
+    effect, since every range is written by a task of its own anyway."""
+
+    mode: str = "collective"
+    hints: tuple[tuple[str, str], ...] = ()
+
+    def __post_init__(self):
+        if self.mode not in ("collective", "independent") or any(not k or "\0" in k + v for k, v in self.hints):
+            raise IoError("no such transfer mode or hint")
 
 
 def _words(*values: int) -> bytes:
@@ -86,48 +101,67 @@ def _local(path: str) -> str:
     return where
 
 
-def _encode(scalar: Scalar, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        at = batch.column(0).to_numpy()
-        if (np.diff(at) != 1).any():
-            at = np.array([-1])  # the driver refuses this: the array isn't dense
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
-        if scalar.name == "u64":
-            columns = [np.array([int(x) for x in columns[0]], np.uint64)]
-        yield pa.RecordBatch.from_arrays([pa.array([int(at[0])], pa.int64()), pa.array([len(at)], pa.int64()), pa.array([scalar.encode(columns)], pa.binary())], ["at", "n", "data"])
+def _write_ranges(scalar: Scalar, where: str, start: int, span: int, total: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Write the cells of one partition, which are sorted and must be all those of a range, to their place."""
+    first = at = None
+    f = None
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            places = batch.column(0).to_numpy()
+            if f is None:
+                first = at = int(places[0]) // span * span
+                f = open(where, "r+b")
+                f.seek(start + first * scalar.width)
+            if int(places[0]) != at or (np.diff(places) != 1).any():
+                raise IoError("IoError: the array isn't dense")
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
+            if scalar.name == "u64":
+                columns = [np.array([int(x) for x in columns[0]], np.uint64)]
+            f.write(scalar.encode(columns))
+            at += len(places)
+        if f is not None:
+            if at != min(total, first + span):
+                raise IoError("IoError: the array isn't dense")
+            f.flush()
+            os.fsync(f.fileno())
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([at - first], pa.int64())], ["at", "n"])
+    finally:
+        if f is not None:
+            f.close()
 
 
-def payload(array: NDArray, position=None) -> Iterator[bytes]:
-    """Encoded cells in order of ``position`` (logical row-major by default), piece by piece."""
+def write_payload(path: str, start: int, array: NDArray, position=None) -> None:
+    """Fill a file from byte ``start`` on with cells in order of ``position`` (logical row-major by default)."""
     ship(array.df.sparkSession)
-    scalar = Scalar(array.dtype)
-    rows = array.df.select((array.linear() if position is None else position).alias("at"), *array.values)
-    parts = max(1, -(-array.cells // PIECE))
-    ordered = rows.repartitionByRange(parts, "at").sortWithinPartitions("at")
-    pieces = ordered.mapInArrow(lambda it: _encode(scalar, it), "at long, n long, data binary")
-    done = 0
-    for r in pieces.toLocalIterator():
-        if r["at"] != done:
-            raise IoError("the array isn't dense")
-        done += r["n"]
-        yield r["data"]
-    if done != array.cells:
+    scalar, where, total = Scalar(array.dtype), _local(path), array.cells
+    span = max(PIECE, -(-total // MOST_RANGES))
+    rows = array.df.select((array.linear() if position is None else position).cast("long").alias("at"), *array.values)
+    # positions are known to be dense, so ranges are dealt by arithmetic and nothing is sampled
+    ranges = max(1, -(-total // span))
+    dealt = rows.repartitionById(ranges, F.expr(f"cast(pmod(at div {span}, {ranges}) as int)")).sortWithinPartitions("at")
+    done = dealt.mapInArrow(lambda it: _write_ranges(scalar, where, start, span, total, it), "at long, n long")
+    with typed():
+        n, different = done.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct("at")).first()
+    if n != total or different != -(-total // span):
         raise IoError("the array isn't dense")
 
 
-def cells(spark: SparkSession, path: str, start: int, layout: Layout, extra: Sequence[int], dtype: str, big_endian: bool = False, physical: bool = False) -> NDArray:
+def cells(spark: SparkSession, path: str, start: int, layout: Layout, extra: Sequence[int], dtype: str, big_endian: bool = False) -> NDArray:
     """The array whose payload begins at byte ``start`` of a file; each task reads its own byte ranges."""
+    extra = tuple(extra)
+    stored = (*extra, *layout.shape)
+    return _decoded(spark, path, start, math.prod(stored), lambda first, last: np.unravel_index(np.arange(first, last), stored), layout, extra, dtype, big_endian)
+
+
+def _decoded(spark: SparkSession, path: str, start: int, total: int, coordinates, layout: Layout, extra: tuple[int, ...], dtype: str, big_endian: bool) -> NDArray:
+    """``total`` stored cells as an array; ``coordinates`` names those of a range of positions."""
     ship(spark)
     scalar = Scalar(dtype)
-    extra = tuple(extra)
-    total = math.prod(extra) * math.prod(layout.shape)
     if _size(path) < start + total * scalar.width:
         raise IoError(f"{path} is too short")
-    order = layout.permutation.axes if physical else tuple(range(len(layout.shape)))
-    stored = (*extra, *(layout.shape[a] for a in order))
-    names = [*(f"x{k}" for k in range(len(extra))), *(f"i{k}" for k in order)]
+    names = [*(f"x{k}" for k in range(len(extra))), *(f"i{k}" for k in range(len(layout.shape)))]
     values = ["re", "im"] if dtype.startswith("c") else ["v"]
     arrow = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64(), "decimal(20,0)": pa.decimal128(20, 0)}[DTYPES[dtype]]
 
@@ -136,16 +170,14 @@ def cells(spark: SparkSession, path: str, start: int, layout: Layout, extra: Seq
             for piece in batch.column(0).to_pylist():
                 first, last = piece * PIECE, min(total, (piece + 1) * PIECE)
                 columns = scalar.decode(_read(path, start + first * scalar.width, (last - first) * scalar.width), big_endian)
-                at = np.unravel_index(np.arange(first, last), stored) if stored else ()
-                out = [pa.array(np.asarray(c, np.int64)) for c in at]
+                out = [pa.array(np.asarray(c, np.int64)) for c in coordinates(first, last)]
                 for c in columns:
                     out.append(pa.array([Decimal(int(x)) for x in c], arrow) if dtype == "u64" else pa.array(c).cast(arrow))
                 yield pa.RecordBatch.from_arrays(out, [*names, *values])
 
     schema = ", ".join([*(f"{c} long" for c in names), *(f"{v} {DTYPES[dtype]}" for v in values)])
     df = spark.range(-(-total // PIECE)).mapInArrow(decode, schema) if total else spark.createDataFrame([], schema)
-    out = NDArray(df, layout, extra, dtype)
-    return out.with_df(out.table())
+    return NDArray(df, layout, extra, dtype)
 
 
 @dataclass(frozen=True)
@@ -171,7 +203,7 @@ def catalog_frame(spark: SparkSession, found: Sequence[DatasetInfo]) -> DataFram
     return spark.createDataFrame(rows, "name string, dtype string, global_shape array<bigint>, extra_shape array<bigint>, provenance binary")
 
 
-def _create(path: str, head: bytes, mark_at: int | None, parts: Iterator[bytes]) -> None:
+def _create(path: str, head: bytes, mark_at: int | None, array: NDArray | None = None, position=None) -> None:
     """Write head and payload; the commit word at ``mark_at`` goes in last.  A failed write leaves an incomplete file."""
     where = _local(path)
     try:
@@ -180,28 +212,35 @@ def _create(path: str, head: bytes, mark_at: int | None, parts: Iterator[bytes])
         raise IoError(f"{path} exists") from None
     with f:
         f.write(head)
-        for p in parts:
-            f.write(p)
+        if array is not None:
+            f.truncate(len(head) + array.cells * Scalar(array.dtype).width)
+        f.flush()
+        os.fsync(f.fileno())
+    if array is not None:
+        write_payload(path, len(head), array, position)
+    if mark_at is not None:
+        _mark(where, mark_at, COMMIT)
+
+
+def _mark(where: str, at: int, word: int) -> None:
+    with open(where, "r+b") as f:
+        f.seek(at)
+        f.write(_words(word))
         f.flush()
         os.fsync(f.fileno())
-        if mark_at is not None:
-            f.seek(mark_at)
-            f.write(_words(COMMIT))
-            f.flush()
-            os.fsync(f.fileno())
 
 
 # self-describing files
 
 
-def write_array(path: str, array: NDArray) -> None:
+def write_array(path: str, array: NDArray, options: WriteOptions = WriteOptions()) -> None:
     scalar, layout = Scalar(array.dtype), array.layout
     tail = _words(*array.shape, *array.extra, *layout.grid.shape, *layout.permutation.axes)
     size = PREFIX + len(tail)
     if array.rank + len(array.extra) > MAX_RANK or size > MAX_HEADER:
         raise IoError("the array has too many axes")
     head = FILE_MAGIC + _words(FILE_VERSION, size, INCOMPLETE, array.rank, scalar.code, scalar.width, len(array.extra), size, array.cells * scalar.width, len(layout.grid.shape), 0)
-    _create(path, head + tail, 24, payload(array))
+    _create(path, head + tail, 24, array)
 
 
 def describe(path: str) -> DatasetInfo:
@@ -244,8 +283,9 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
 # headerless files
 
 
-def write_raw(path: str, array: NDArray) -> None:
-    _create(path, b"", None, payload(array))
+def write_raw(path: str, array: NDArray, head: bytes = b"", options: WriteOptions = WriteOptions()) -> None:
+    """Nothing but cells, after whatever ``head`` the reader is to skip."""
+    _create(path, head, None, array)
 
 
 def read_raw(spark: SparkSession, path: str, layout: Layout, extra: Sequence[int] = (), dtype: str = "f64", byte_offset: int = 0, byte_order: str = "native") -> NDArray:
@@ -306,7 +346,7 @@ def named_datasets(path: str) -> tuple[list[DatasetInfo], int, bool]:
 def write_named(path: str, name: str, array: NDArray) -> None:
     """Create a container with its first dataset."""
     record = _record(name, array)
-    _create(path, NAMED_MAGIC + _words(NAMED_VERSION, CONTAINER, 0), None, iter(()))
+    _create(path, NAMED_MAGIC + _words(NAMED_VERSION, CONTAINER, 0), None)
     _append(path, CONTAINER, record, array)
 
 
@@ -321,24 +361,27 @@ def append_named(path: str, name: str, array: NDArray) -> None:
 
 
 def _append(path: str, at: int, record: bytes, array: NDArray) -> None:
-    with open(_local(path), "r+b") as f:
+    where, end = _local(path), at + len(record) + array.cells * Scalar(array.dtype).width
+    with open(where, "r+b") as f:
         f.seek(at)
         f.write(record)
-        for p in payload(array):
-            f.write(p)
-        f.write(_words(INCOMPLETE))
-        f.flush()
-        os.fsync(f.fileno())
-        f.seek(-8, os.SEEK_END)
-        f.write(_words(COMMIT))
+        f.truncate(end + 8)
         f.flush()
         os.fsync(f.fileno())
+    _mark(where, end, INCOMPLETE)
+    write_payload(path, at + len(record), array)
+    _mark(where, end, COMMIT)
 
 
-def read_named(spark: SparkSession, path: str, name: str, layout: Layout, extra: Sequence[int] = (), dtype: str = "f64") -> NDArray:
+def _named(path: str, name: str) -> DatasetInfo:
     info = next((x for x in named_datasets(path)[0] if x.name == name), None)
     if info is None:
         raise IoError(f"{path} has no dataset {name!r}")
+    return info
+
+
+def read_named(spark: SparkSession, path: str, name: str, layout: Layout, extra: Sequence[int] = (), dtype: str = "f64") -> NDArray:
+    info = _named(path, name)
     info.check(layout, tuple(extra), dtype)
     return cells(spark, path, info.start, layout, extra, dtype)
 
@@ -358,7 +401,7 @@ class FileSession:
             raise IoError(f"no mode {mode}")
         self.spark, self.path, self.mode, self.closed, self.poisoned = spark, path, mode, False, False
         if mode == "create":
-            _create(path, NAMED_MAGIC + _words(NAMED_VERSION, CONTAINER, 0), None, iter(()))
+            _create(path, NAMED_MAGIC + _words(NAMED_VERSION, CONTAINER, 0), None)
         elif not named_datasets(path)[2] and mode == "append":
             raise IoError(f"{path} has a damaged tail")
 
@@ -416,61 +459,76 @@ def _chunk_head(layout: Layout, extra: tuple[int, ...], scalar: Scalar) -> tuple
 
 
 def _block_position(array: NDArray):
-    """Position of a cell in the concatenation of all blocks, each in its own physical order."""
+    """Position of a cell in the concatenation of all blocks, each in its own physical order.
+
+    The cells in blocks before a block follow from its coordinates: along the first cut axis whole slices of the array,
+    along the next one slices of the block's own slice, and so on.
+    """
     layout, extra = array.layout, array.extra
-    coords = dict(zip(layout.decomposition.axes, range(len(layout.grid.shape)), strict=True))
-    block = array.block()
+    grid = dict(zip(layout.decomposition.axes, layout.grid.shape, strict=True))
+    first, length = {}, {}
+    for a, n in enumerate(layout.shape):
+        i, p = F.col(f"i{a}"), grid.get(a, 1)
+        c = F.floor(((i + 1) * p - 1) / n).cast("long")
+        first[a] = F.expr("0L") if p == 1 else F.floor(c * n / p).cast("long")
+        length[a] = F.lit(n).cast("long") if p == 1 else F.floor((c + 1) * n / p).cast("long") - first[a]
+    before, slice_, rest = F.lit(0).cast("long"), F.lit(1).cast("long"), array.cells
+    for a in layout.decomposition.axes:
+        rest //= layout.shape[a]
+        before = before + slice_ * first[a] * rest
+        slice_ = slice_ * length[a]
     inside = F.lit(0).cast("long")
-    counts = [c for _, c, _ in _chunk_head(layout, extra, Scalar(array.dtype))[1]]
-    starts = [sum(counts[:k]) for k in range(len(counts))]
-    before = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts]), (block + 1).cast("int"))
     for c, n in zip(array.batch, extra, strict=True):
         inside = inside * n + F.col(c)
     for a in layout.permutation.axes:
-        i, n = F.col(f"i{a}"), layout.shape[a]
-        if a in coords:
-            p = layout.grid.shape[coords[a]]
-            c = F.floor(((i + 1) * p - 1) / n).cast("long")
-            first = F.floor(c * n / p).cast("long")
-            length = F.floor((c + 1) * n / p).cast("long") - first
-        else:
-            first, length = F.lit(0).cast("long"), F.lit(n).cast("long")
-        inside = inside * length + (i - first)
+        inside = inside * length[a] + (F.col(f"i{a}") - first[a])
     return before + inside
 
 
-def write_chunked(path: str, array: NDArray) -> None:
+def write_chunked(path: str, array: NDArray, options: WriteOptions = WriteOptions()) -> None:
     """One contiguous block of the file for each block of the layout, in physical order."""
     head, _ = _chunk_head(array.layout, array.extra, Scalar(array.dtype))
     where = _local(path)
     partial = where + ".incomplete"
     if os.path.exists(where):
         raise IoError(f"{path} exists")
-    _create(partial, head, None, payload(array, _block_position(array)))
+    _create(partial, head, None, array, _block_position(array))
     os.link(partial, where)
     os.remove(partial)
 
 
 def read_chunked(spark: SparkSession, path: str, layout: Layout, extra: Sequence[int] = (), dtype: str = "f64") -> NDArray:
-    """Read under exactly the writer's grid, decomposition and memory order."""
+    """Read under exactly the writer's grid, decomposition and memory order: one scan of pieces of the payload, each of
+    which finds its blocks."""
     extra, scalar = tuple(extra), Scalar(dtype)
     head, blocks = _chunk_head(layout, extra, scalar)
     if _size(path) != blocks[-1][0] + blocks[-1][1] * scalar.width or _read(path, 0, len(head)) != head:
         raise IoError(f"{path} was written with another layout, shape or type")
     ship(spark)
-    values = ["re", "im"] if dtype.startswith("c") else ["v"]
-    parts = None
-    names = [*(f"x{k}" for k in range(len(extra))), *(f"i{k}" for k in range(len(layout.shape)))]
-    for start, count, ranges in blocks:
-        if not count:
-            continue
-        local = Layout.of(tuple(b - a for a, b in ranges), permutation=layout.permutation.axes)
-        block = cells(spark, path, start, local, extra, dtype, physical=True)
-        moved = block.df.select(*block.batch, *[(F.col(f"i{k}") + a).alias(f"i{k}") for k, (a, _) in enumerate(ranges)], *values)
-        parts = moved if parts is None else parts.unionByName(moved)
-    if parts is None:
-        parts = spark.createDataFrame([], ", ".join([*(f"{c} long" for c in names), *(f"{v} {DTYPES[dtype]}" for v in values)]))
-    return NDArray(parts.select(*names, *values), layout, extra, dtype)
+    counts = np.array([n for _, n, _ in blocks], np.int64)
+    starts = np.concatenate(([0], np.cumsum(counts)))
+    ranges = [r for _, _, r in blocks]
+    shared = spark.sparkContext.broadcast((starts, ranges))  # as small as the header, 1 MB at most
+    order = layout.permutation.axes
+    e, rank = len(extra), len(layout.shape)
+
+    def coordinates(first: int, last: int) -> list[np.ndarray]:
+        starts, ranges = shared.value
+        out: list[list[np.ndarray]] = [[] for _ in range(e + rank)]
+        b = int(np.searchsorted(starts, first, "right")) - 1
+        while first < last:
+            until = min(last, int(starts[b + 1]))
+            if until > first:
+                sides = [(lo, hi - lo) for lo, hi in ranges[b]]
+                at = np.unravel_index(np.arange(first, until) - int(starts[b]), (*extra, *(sides[a][1] for a in order)))
+                for k in range(e):
+                    out[k].append(at[k])
+                for k, a in enumerate(order):
+                    out[e + a].append(at[e + k] + sides[a][0])
+            first, b = until, b + 1
+        return [np.concatenate(c) for c in out]
+
+    return _decoded(spark, path, len(head), int(starts[-1]), coordinates, layout, extra, dtype, False)
 
 
 def chunked_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -505,8 +563,20 @@ def _collected(arrays: Sequence[NDArray]) -> NDArray:
     return stack(arrays)
 
 
+def _member_cells(spark: SparkSession, path: str, info: DatasetInfo, count: int, layout: Layout, extra: tuple[int, ...], dtype: str) -> list[NDArray]:
+    """Each member from its own byte range, so that reading one reads nothing of the others."""
+    info.check(layout, (count, *extra), dtype)
+    size = math.prod(extra) * math.prod(layout.shape) * Scalar(dtype).width
+    return [cells(spark, path, info.start + m * size, layout, extra, dtype) for m in range(count)]
+
+
 def read_collection(spark: SparkSession, path: str, count: int, layout: Layout, extra: Sequence[int] = (), dtype: str = "f64") -> list[NDArray]:
-    return unstack(read_array(spark, path, layout, (count, *extra), dtype))
+    return _member_cells(spark, path, describe(path), count, layout, tuple(extra), dtype)
+
+
+def read_stacked(spark: SparkSession, path: str, count: int, layout: Layout, extra: Sequence[int] = (), dtype: str = "f64") -> NDArray:
+    """All members in one scan, under a leading member axis."""
+    return read_array(spark, path, layout, (count, *extra), dtype)
 
 
 def write_named_collection(path: str, name: str, arrays: Sequence[NDArray]) -> None:
@@ -518,4 +588,4 @@ def append_named_collection(path: str, name: str, arrays: Sequence[NDArray]) ->
 
 
 def read_named_collection(spark: SparkSession, path: str, name: str, count: int, layout: Layout, extra: Sequence[int] = (), dtype: str = "f64") -> list[NDArray]:
-    return unstack(read_named(spark, path, name, layout, (count, *extra), dtype))
+    return _member_cells(spark, path, _named(path, name), count, layout, tuple(extra), dtype)

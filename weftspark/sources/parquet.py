@@ -1,7 +1,8 @@
 """Arrays as Parquet folders: the native form, on any storage that Spark reaches.
 
 Cells are dealt by range of their position and sorted before they are written, so row groups cover narrow coordinate
-ranges and filters on coordinates skip them.  The description is written last, as the commit mark.
+ranges and filters on coordinates skip them.  Positions of a dense array are known, so the ranges are arithmetic and
+nothing is sampled.  The description is written last, as the commit mark.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import IoError
 from ..operators.array import NDArray
@@ -19,8 +21,8 @@ from ..plans.layout import Layout
 from ..plans.transforms import stack, unstack
 from .files import MAX_DATASETS, MAX_NAME
 
-#: Groups above an array of a tree.
-MAX_DEPTH = 32
+#: Groups above an array of a tree, cells of a file unless the number of files is given, and such files at most.
+MAX_DEPTH, FILE_CELLS, MOST_FILES = 32, 1 << 23, 100_000
 
 
 @dataclass(frozen=True)
@@ -36,12 +38,20 @@ class Options:
             raise IoError("no such storage options")
 
 
+def _linear(array: NDArray) -> str:
+    """The position in logical order, as SQL."""
+    out = "0L"
+    for c, n in zip(array.coords, (*array.extra, *array.shape), strict=True):
+        out = f"({out}) * {n}L + {c}"
+    return out
+
+
 def write(array: NDArray, path: str, options: Options = Options()) -> None:
     spark, partitions = array.df.sparkSession, options.partitions
-    rows = array.table()
-    order = [*array.batch, *array.space]
-    rows = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
-    writer = rows.sortWithinPartitions(*order).write.mode("errorifexists").option("compression", options.codec)
+    partitions = partitions or max(1, min(MOST_FILES, -(-array.cells // FILE_CELLS)))
+    span = max(1, -(-array.cells // partitions))
+    rows = array.table().repartitionById(partitions, F.expr(f"cast(pmod(({_linear(array)}) div {span}, {partitions}) as int)"))
+    writer = rows.sortWithinPartitions(*array.coords).write.mode("errorifexists").option("compression", options.codec)
     if options.row_group_bytes:
         writer = writer.option("parquet.block.size", options.row_group_bytes)
     writer.parquet(path)
