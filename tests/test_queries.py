@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from weftspark import queries as core
+from weftspark import queries_forms  # noqa: F401  (adds to core)
 from weftspark.streaming.reductions import running
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -23,9 +23,17 @@ def partition_range(length: int, parts: int, coord: int) -> tuple[int, int]:
     return length * coord // parts, length * (coord + 1) // parts
 
 
-def block_of(index: Column, length: int, parts: int) -> Column:
+def range_of(length: Column, parts: Column, coord: Column) -> tuple[Column, Column]:
+    """``partition_range`` as expressions."""
+    at = lambda c: F.floor(length * c / parts).cast("long")
+    return at(coord), at(coord + 1)
+
+
+def block_of(index: Column, length: int | Column, parts: int | Column) -> Column:
     """The block that holds an index: the inverse of ``partition_range`` as an expression."""
-    return F.lit(0).cast("long") if parts == 1 else F.floor(((index + 1) * F.lit(parts) - 1) / F.lit(length)).cast("long")
+    if isinstance(parts, int) and parts == 1:
+        return F.lit(0).cast("long")
+    return F.floor(((index + 1) * F.lit(parts) - 1) / F.lit(length)).cast("long")
 
 
 def row_major_offset(shape: tuple[int, ...], index: tuple[int, ...]) -> int:

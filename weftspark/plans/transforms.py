@@ -720,7 +720,7 @@ class LocalC2c:
 
 @dataclass(frozen=True)
 class LocalC2cNd:
-    """Column-major blocks (axis 0 is the fastest), transformed along ``axes`` in the order given."""
+    """A batch of column-major blocks (axis 0 is the fastest), transformed along ``axes`` in the order given."""
 
     shape: tuple[int, ...]
     axes: tuple[int, ...]
@@ -732,16 +732,19 @@ class LocalC2cNd:
 
     def _run(self, x, sign: int, scale: float):
         x = np.asarray(x)
-        if x.size != math.prod(self.shape):
-            raise TransformError(f"{x.size} values for a shape of {self.shape}")
-        out = x.reshape(self.shape, order="F").astype(np.complex128)
+        if x.size % math.prod(self.shape):
+            raise TransformError(f"{x.size} values for blocks of {self.shape}")
+        out = x.reshape(-1, *reversed(self.shape)).astype(np.complex128)
         for a in self.axes:
-            out = kernels.fft(out, a, sign)
-        return (out * scale).ravel(order="F")
+            out = kernels.fft(out, len(self.shape) - a, sign)
+        return (out * scale).ravel()
 
     def forward(self, x):
         return self._run(x, -1, 1.0)
 
+    def backward(self, x):
+        return self._run(x, 1, 1.0)
+
     def inverse(self, x):
         return self._run(x, 1, 1.0 / math.prod(self.shape[a] for a in self.axes))
 

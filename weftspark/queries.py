@@ -5,6 +5,7 @@ Values are rounded here and in the SQL, never inside operators; ``+ 0.0`` makes
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
 import shutil
@@ -19,7 +20,7 @@ from . import tables
 from .functions.kernels import R2R_KINDS, REVERSE, factor
 from .operators import exchange, pointwise, reduce
 from .operators.array import NDArray
-from .plans.layout import Layout, partition_range
+from .plans.layout import Layout, block_of, range_of
 from .plans.transforms import BACKWARD, FORWARD, C2c, C2r, Dht, MixedC2c, MixedR2c, R2c, R2r
 from .plans.stages import is_real, plane_norms
 from .sources import files, parquet
@@ -155,8 +156,17 @@ def q_from_elem_fill(spark, sf):
 
 @query("SELECT l.n::BIGINT AS length, p.n::BIGINT AS parts, c.n::BIGINT AS coord, (l.n * c.n // p.n)::BIGINT AS first, (l.n * (c.n + 1) // p.n)::BIGINT AS last FROM unnest(range(0, 20)) l(n), unnest(range(1, 7)) p(n), unnest(range(0, 6)) c(n) WHERE c.n < p.n")
 def q_partition_ranges(spark, sf):
-    rows = [(n, p, c, *partition_range(n, p, c)) for n in range(20) for p in range(1, 7) for c in range(p)]
-    return spark.createDataFrame(rows, "length long, parts long, coord long, first long, last long")
+    cases = spark.range(20).select(F.col("id").alias("length"), F.explode(F.sequence(F.expr("1L"), F.expr("6L"))).alias("parts"))
+    cases = cases.select("length", "parts", F.explode(F.sequence(F.expr("0L"), F.col("parts") - 1)).alias("coord"))
+    first, last = range_of(F.col("length"), F.col("parts"), F.col("coord"))
+    return cases.select("length", "parts", "coord", first.alias("first"), last.alias("last"))
+
+
+@query("SELECT l.n::BIGINT AS length, p.n::BIGINT AS parts, i.n::BIGINT AS i, c.n::BIGINT AS block FROM unnest(range(1, 20)) l(n), unnest(range(1, 7)) p(n), unnest(range(0, 19)) i(n), unnest(range(0, 6)) c(n) WHERE i.n < l.n AND c.n < p.n AND i.n >= l.n * c.n // p.n AND i.n < l.n * (c.n + 1) // p.n")
+def q_block_of_index(spark, sf):
+    cases = spark.range(1, 20).select(F.col("id").alias("length"), F.explode(F.sequence(F.expr("1L"), F.expr("6L"))).alias("parts"))
+    cases = cases.select("length", "parts", F.explode(F.sequence(F.expr("0L"), F.col("length") - 1)).alias("i"))
+    return cases.withColumn("block", block_of(F.col("i"), F.col("length"), F.col("parts")))
 
 
 @query(with_(LIN, "SELECT i0, i1, i2, ((i0 * 12 + i1) * 8 + i2)::BIGINT AS row_major, ((i2 * 7 + i0) * 12 + i1)::BIGINT AS permuted FROM lin"))
@@ -545,6 +555,28 @@ def q_collection_forward_many(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+def _two_members(spark, sf) -> list[NDArray]:
+    a = lin_complex(spark, sf)
+    return [a, a.with_df(a.df.select(*a.coords, (2 * F.col("re")).alias("re"), (-F.col("im")).alias("im")))]
+
+
+_MEMBERS = (LINC, "m AS (SELECT 0::BIGINT AS x0, * FROM linc UNION ALL SELECT 1::BIGINT AS x0, i0, i1, i2, 2 * re AS re, -im AS im FROM linc)")
+
+
+@query(with_(*_MEMBERS, dft("a", "m", "i2", ["x0", "i0", "i1"], "8", 1), dft("b", "a", "i1", ["x0", "i0", "i2"], "12", 1, scale="1.0 / 96"), final("b", ["x0", *E3], C)))
+def q_collection_inverse_many(spark, sf):
+    """All members in one job."""
+    pair = _two_members(spark, sf)
+    return rounded(C2c.like(pair[0], axes=[1, 2]).stacked(pair, "inverse"))
+
+
+@query(with_(*_MEMBERS, dft("a", "m", "i2", ["x0", "i0", "i1"], "8", 1), dft("b", "a", "i1", ["x0", "i0", "i2"], "12", 1), final("b", ["x0", *E3], C)))
+def q_collection_backward_many(spark, sf):
+    pair = _two_members(spark, sf)
+    parts = [rounded(x).withColumn("x0", F.lit(m).cast("long")) for m, x in enumerate(C2c.like(pair[0], axes=[1, 2]).backward_many(pair))]
+    return parts[0].unionByName(parts[1])
+
+
 @query(with_(EVT, "p AS (SELECT x0, i0, f.k::BIGINT AS i1, sum(v * CASE WHEN f.k = 12 AND i1 % 2 = 1 THEN -1 ELSE 1 END) AS e FROM evt, (VALUES (0), (12)) AS f(k) GROUP BY x0, i0, f.k)", "SELECT x0, i1, round(sqrt(sum(e * e)), 3) + 0.0 AS norm, true AS passes FROM p GROUP BY x0, i1"))
 def q_endpoint_check(spark, sf):
     """The planes that must be real, of each batch of a half spectrum of real lines, with the verdict on each."""
@@ -565,23 +597,26 @@ def q_c2c_parseval(spark, sf):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder of this query in the shared folder of the cluster, or in local mode a temporary one."""
+    """A new folder of this query in the shared folder of the cluster, or in local mode a temporary one.
+
+    It is the application's own, and goes when the application ends; what reads it lazily must have run by then.
+    """
     base = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _scratch()
     if "://" in base:
         raise RuntimeError("array files need a mounted folder in spark.checkpoint.dir; the Parquet store doesn't")
     path = f"{base}/arrays-{uuid.uuid4().hex}"
     os.makedirs(path)
+    atexit.register(shutil.rmtree, path, True)
     return path
 
 
 @functools.cache
 def _scratch() -> str:
-    import atexit
-
     path = tempfile.mkdtemp(prefix="weftspark-files-")
     atexit.register(shutil.rmtree, path, True)
     return path
