@@ -166,3 +166,42 @@ def test_parquet_tree(spark, tmp_path):
             t.create_group("more")
     with pytest.raises(IoError):
         parquet.TreeSession(spark, path, "create")
+
+
+@pytest.mark.parametrize("piece", [1, 4, 7])
+def test_ranges_of_any_size(spark, tmp_path, monkeypatch, piece):
+    monkeypatch.setattr(files, "PIECE", piece)
+    layout = Layout.of((3, 5), (2, 2), (1, 0), (1, 0))
+    a = cells(spark, layout, (2,))
+    files.write_array(str(tmp_path / "a"), a)
+    files.write_chunked(str(tmp_path / "c"), a, files.WriteOptions("independent", (("striping_factor", "4"),)))
+    files.write_raw(str(tmp_path / "r"), a, head=b"head")
+    assert rows(files.read_array(spark, str(tmp_path / "a"), layout, (2,), "i32")) == rows(a) == rows(files.read_chunked(spark, str(tmp_path / "c"), layout, (2,), "i32"))
+    assert rows(files.read_raw(spark, str(tmp_path / "r"), layout, (2,), "i32", 4)) == rows(a)
+    files.write_collection(str(tmp_path / "m"), [a, a.with_df(a.df.withColumn("v", -F.col("v")))])
+    assert [v for *_, v in rows(files.read_collection(spark, str(tmp_path / "m"), 2, layout, (2,), "i32")[1])] == [-v for *_, v in rows(a)]
+    for bad in (a.with_df(a.df.filter("v > 0")), a.with_df(a.df.union(a.df.limit(1))), a.with_df(a.df.withColumn("i0", F.lit(0).cast("long")))):
+        with pytest.raises(IoError):
+            files.write_array(str(tmp_path / f"bad{id(bad)}"), bad)
+
+
+def test_more_blocks_than_cells(spark, tmp_path):
+    layout = Layout.of((2, 3), (3, 4))
+    a = cells(spark, layout)
+    files.write_chunked(str(tmp_path / "c"), a)
+    assert rows(files.read_chunked(spark, str(tmp_path / "c"), layout, (), "i32")) == rows(a)
+
+
+def test_transfer_options():
+    for bad in (("all", ()), ("collective", (("", "x"),)), ("collective", (("k", "a\0"),))):
+        with pytest.raises(IoError):
+            files.WriteOptions(*bad)
+
+
+def test_parquet_files_are_in_order(spark, tmp_path):
+    a = cells(spark, Layout.of((6, 7)), (2,))
+    parquet.write(a, str(tmp_path / "p"), parquet.Options(partitions=5))
+    parts = sorted(p for p in (tmp_path / "p").iterdir() if p.suffix == ".parquet")
+    seen = [(r["x0"], r["i0"], r["i1"]) for p in parts for r in spark.read.parquet(str(p)).collect()]
+    assert len(parts) == 5 and seen == sorted(seen) and len(seen) == 84
+    assert rows(parquet.read(spark, str(tmp_path / "p"))) == rows(a)

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftspark.errors import AxisError, GeometryError, LayoutError, ShapeError, TopologyError
+from weftspark.errors import ArrayError, AxisError, GeometryError, LayoutError, ShapeError, TopologyError
 from weftspark.operators.array import MultiLayout, NDArray
 from weftspark.plans.layout import AxisPermutation, BlockGrid, Decomposition, Layout, block_of, partition_range, row_major_offset
 
@@ -108,3 +108,15 @@ def test_many_layouts_share_one_array(spark):
     assert m.active == 0
     m.overwrite_with(1, lambda x: x.with_df(x.df, layout=b))
     assert m.active == 1 and m.view(1).layout == b
+    assert m.into_parts()[1:] == ((a, b), 1) and m.into_storage().count() == 4
+    two = MultiLayout.from_values(spark, (a, b), [1.0, 2.0, 3.0, 4.0], active=1)
+    assert two.view().at((0, 1)).first()["v"] == 3.0 and MultiLayout.from_elem(spark, (a,), 2.0).view(0).at((1, 1)).first()["v"] == 2.0
+    with pytest.raises(ArrayError):
+        MultiLayout(two.view(), (a, b), 0)
+
+
+def test_lines_of_a_grid():
+    grid = BlockGrid.from_cartesian((2, 3), (False, True))
+    assert grid == BlockGrid((2, 3)) and grid.line(4, 1) == [3, 4, 5] and grid.line(4, 0) == [1, 4]
+    with pytest.raises(TopologyError):
+        BlockGrid.from_cartesian((2, 3), (True,))

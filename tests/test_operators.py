@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from weftspark.errors import MultiInputError, PointwiseError, ReductionError, RemapError, TransposeError
+from weftspark.errors import LocalGridError, MultiInputError, PointwiseError, ReductionError, RemapError, TransposeError, typed
 from weftspark.operators import exchange, pointwise, reduce
 from weftspark.operators.array import NDArray
 from weftspark.plans.layout import Layout
@@ -54,6 +54,8 @@ def test_integer_sums_are_checked_in_order(spark):
         value(reduce.global_sum(line(spark, [100, 100], "i8"), checked="total"))
     with pytest.raises(Exception, match="overflow"):
         value(reduce.global_sum(line(spark, [100, 0, 100, -100], "i8")))
+    with pytest.raises(ReductionError, match="overflow"), typed():
+        value(reduce.global_sum(line(spark, [100, 0, 100, -100], "i8")))
     # each block folds its own cells first
     assert value(reduce.global_sum(line(spark, [100, 0, 100, -100], "i8", grid=(2,)))) == 100
     assert value(reduce.global_sum(line(spark, [2**63 - 1, -1, 1], "i64"))) == 2**63 - 1
@@ -136,3 +138,56 @@ def test_gather_and_agreement(spark):
         reduce.gather(a, 2)
     flags = spark.createDataFrame([(0, True), (1, False)], "block int, ok boolean")
     assert value(reduce.agreed(flags)) is False and value(reduce.agreed(flags.limit(0))) is True
+
+
+def test_mapped_integer_sums_are_checked_in_order(spark):
+    a = line(spark, [100, 27, -50], "i8")
+    one, up = line(spark, [1, 1, 1], "i8"), lambda v: v + F.lit(0)
+    assert value(reduce.sum_by(a, up)) == 77
+    for f in (lambda c: reduce.sum_by(a, lambda v: v + 1, checked=c), lambda c: reduce.zip_sum_by(a, one, lambda x, y: x + y, checked=c), lambda c: reduce.sum_many_by([a, one], lambda v: v[0] + v[1], checked=c)):
+        with pytest.raises(ReductionError, match="overflow"), typed():
+            value(f("ordered"))
+        assert value(f("total")) == 80
+    assert value(reduce.sum_by(a, lambda v: v * 2, "i16")) == 154
+
+
+@pytest.mark.parametrize("fan", [2, 3, 4096])
+def test_functions_fold_in_order_through_a_tree(spark, monkeypatch, fan):
+    monkeypatch.setattr(reduce, "PIECE", 3)
+    monkeypatch.setattr(reduce, "FAN", fan)
+    for grid in ((1,), (5,)):
+        a = NDArray.from_fn(spark, Layout.of((40,), grid), lambda c: c["i0"].cast("double"))
+        got = value(reduce.map_reduce([a], "", lambda v: F.concat(v.cast("int").cast("string"), F.lit(" ")), lambda x, y: F.concat(x, y), "string"))
+        assert got.split() == [str(i) for i in range(40)]
+
+
+def test_coordinate_tables_name_each_index_once(spark):
+    a = NDArray.from_elem(spark, Layout.of((3,)), 1.0)
+    good = spark.createDataFrame([(0, 0.5), (2, 2.5), (1, 1.5)], "i long, c double")
+    assert sorted(r["c0"] for r in a.local_grid([good]).collect()) == [0.5, 1.5, 2.5]
+    for bad in ([(0, 0.0), (0, 1.0), (1, 2.0)], [(0, 0.0), (1, 1.0), (3, 2.0)], [(0, 0.0)], [(0, 0.0), (1, 1.0), (1, 1.0), (2, 2.0)]):
+        with pytest.raises(LocalGridError):
+            a.local_grid([spark.createDataFrame(bad, "i long, c double")])
+
+
+def test_norms_of_mixed_magnitudes(spark):
+    for values in ([1e-320, 2e-320], [1e200, 1.0, 1e-200], [3.0, 4e-170], [1e-170] * 4, [1.7e308, 1.0]):
+        got, want = value(reduce.l2_norm(line(spark, values))), math.hypot(*values)
+        assert math.isclose(got, want, rel_tol=1e-13), values
+
+
+def test_cells_are_written_where_they_are(spark):
+    layout = Layout.of((2, 3), (2,))
+    a = NDArray.from_elem(spark, layout, 1, dtype="i32")
+    b = a.with_cell(7, (1, 2))
+    assert b.at((1, 2)).first()["v"] == 7 and value(reduce.global_sum(b)) == 12
+    assert value(reduce.global_sum(a.with_cell(7, (2, 0)))) == 6 and value(reduce.global_sum(a.with_cell(7, (1, 2), block=0))) == 6
+
+
+def test_exchange_sizes_and_times(spark):
+    source = Layout.of((4, 6), (2,))
+    a = NDArray.from_elem(spark, source, 1.0)
+    plan = exchange.Transpose(source, source.with_decomposition((1,)))
+    assert sorted(map(tuple, plan.volume(a).collect())) == [(s, t, 6) for s in (0, 1) for t in (0, 1)]
+    out, took = plan.with_timing(a)
+    assert out.count() == 24 and took["total"] >= took["exchange"] >= 0 and took["pack"] > 0

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftspark.errors import AxisError, CollectionError, TransformError, WrongState
+from weftspark.errors import AxisError, CollectionError, InvalidSpectrum, TransformError, WrongState, typed
 from weftspark.functions import kernels
 from weftspark.operators.array import NDArray
 from weftspark.plans import transforms as T
@@ -240,6 +240,101 @@ def test_one_exchange_for_each_stage(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+@pytest.mark.parametrize("tuning", [T.Tuning(1, 0), T.Tuning(line_cells=2), T.Tuning(1, 0, 5), T.Tuning(slab_cells=24)])
+def test_stages_and_split_lines_change_nothing(spark, tuning):
+    x = signal(2, 6, 5, 8)
+    options = T.Options(tuning=tuning)
+    a = load(spark, x, 1)
+    plan = T.C2c.like(a, options=options)
+    assert np.allclose(dump(plan.forward(a)), np.fft.fftn(x, axes=(1, 2, 3))) and np.allclose(dump(plan.inverse(plan.forward(a))), x)
+    for n in (8, 9, 1):
+        r = signal(4, n, complex_=False)
+        b = load(spark, r)
+        half = T.R2c.like(b, options=options)
+        assert np.allclose(dump(half.forward(b)), np.fft.rfft2(r)) and np.allclose(dump(half.inverse(half.forward(b))), r)
+    c = load(spark, signal(6, 4, complex_=False))
+    real = T.C2r.like(c, options=options, axes=[0, 1])
+    assert np.allclose(dump(real.inverse(real.forward(real.backward(c)))), dump(real.backward(c)))
+    d = T.Dht.like(a, options=options)
+    assert np.allclose(dump(d.inverse(d.forward(a))), x)
+    e = T.Dht.like(c, options=options)
+    assert np.allclose(dump(e.forward(c)), direct("dht", direct("dht", dump(c), 0), 1))
+    m = T.MixedR2c.like(c, ("dct2", "rfft"), options=options)
+    assert np.allclose(dump(m.inverse(m.forward(c))), dump(c))
+
+
+def test_split_lines_keep_the_type_and_refuse_holes(spark):
+    x = signal(3, 12, complex_=False)
+    a = load(spark, x)
+    f = a.with_df(a.df.withColumn("v", F.col("v").cast("float")), dtype="f32")
+    plan = T.R2c.like(f, [1], options=T.Options(tuning=T.Tuning(line_cells=3)))
+    assert plan.forward(f).dtype == "c64" and np.allclose(dump(plan.forward(f)), np.fft.rfft(x), atol=1e-4)
+    with pytest.raises(TransformError, match="dense"), typed():
+        plan.forward(a.with_df(a.df.filter("not (i0 = 1 and i1 = 7)"))).df.collect()
+    # a prime length has no factors to split by
+    p = load(spark, signal(2, 13))
+    assert np.allclose(dump(T.C2c.like(p, [1], options=T.Options(tuning=T.Tuning(line_cells=3))).forward(p)), np.fft.fft(dump(p)))
+
+
+@pytest.mark.parametrize("axes", [[0, 1, 2], [2]])
+def test_a_spectrum_that_no_real_array_has(spark, axes):
+    x = signal(2, 4, 3, 6, complex_=False)
+    a = load(spark, x, 1)
+    plan = T.R2c.like(a, axes)
+    half = plan.forward(a)
+    assert plan.check_spectrum(half) is half
+    for i2 in (0, 3):
+        wrong = half.with_df(half.df.withColumn("im", F.when(F.expr(f"x0 = 1 and i0 = 2 and i1 = 1 and i2 = {i2}"), F.col("im") + 0.01).otherwise(F.col("im"))))
+        with pytest.raises(InvalidSpectrum):
+            plan.check_spectrum(wrong)
+        for operation in (plan.inverse, plan.backward):
+            with pytest.raises(InvalidSpectrum), typed():
+                operation(wrong).df.collect()
+    odd = half.with_df(half.df.withColumn("re", F.when(F.expr("x0 = 0 and i0 = 0 and i1 = 0 and i2 = 0"), F.lit(float("nan"))).otherwise(F.col("re"))))
+    with pytest.raises(InvalidSpectrum):
+        plan.check_spectrum(odd)
+    with pytest.raises(TransformError):
+        T.C2c.like(half).check_spectrum(half)
+
+
+def test_the_check_costs_its_planes_only(spark):
+    a = load(spark, signal(4, 16, complex_=False))
+    plan = T.R2c.like(a)
+    text = plan.inverse(plan.forward(a)).df._jdf.queryExecution().optimizedPlan().toString()
+    # the planes are filtered before anything is transformed, in the subquery that checks them
+    assert text.count("i1#") and "IN (0,8)" in text.replace(" ", "").replace("IN(0,8)", "IN (0,8)")
+
+
+def test_members_are_computed_one_by_one_or_in_one_job(spark):
+    x, y = signal(2, 3), signal(2, 3, seed=1)
+    a, b = load(spark, x), load(spark, y)
+    plan = T.C2c.like(a)
+    out = plan.inverse_many(plan.forward_many([a, b]))
+    assert np.allclose(dump(out[0]), x) and np.allclose(dump(out[1]), y)
+    assert out[0].df._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
+    joined = plan.stacked([a, b], "backward")
+    assert joined.extra == (2,) and np.allclose(dump(joined), np.stack([np.fft.ifftn(x, norm="forward"), np.fft.ifftn(y, norm="forward")]))
+    held = plan.in_place_many([a, b])
+    assert np.allclose(dump(held[1].forward().view("output")), np.fft.fftn(y))
+    with pytest.raises(WrongState):
+        held[1].view("input")
+    assert plan.allocate_in_place(spark, "c128").view("input").validate_dense()
+
+
+def test_lines_of_a_table(spark):
+    rows = [(1, [1.0, 2.0, 3.0, 4.0], [0.0] * 4, "a"), (2, [], [], "b"), (3, None, None, "c"), (4, [0.5] * 8, [1.0] * 8, None)]
+    df = spark.createDataFrame(rows, "id long, re array<double>, im array<double>, tag string")
+    got = {r["id"]: r for r in T.transform_lines(df, T.LocalC2c(4), im="im").collect()}
+    for i, re, im, tag in rows:
+        want = np.fft.fft((np.array(re or []) + 1j * np.array(im or [])).reshape(-1, 4)).ravel()
+        assert np.allclose(np.array(got[i]["re"]) + 1j * np.array(got[i]["im"]), want) and got[i]["tag"] == tag
+    half = {r["id"]: r for r in T.transform_lines(df.drop("im"), T.LocalR2c(4)).collect()}
+    assert np.allclose(np.array(half[1]["re"]) + 1j * np.array(half[1]["im"]), np.fft.rfft([1, 2, 3, 4])) and len(half[4]["re"]) == 6
+    assert T.transform_lines(df.limit(0), T.LocalC2c(4), im="im").count() == 0
+    with pytest.raises(Exception, match="lines of 3"):
+        T.transform_lines(df, T.LocalC2c(3), im="im").collect()
+
+
 def test_local_plans():
     x = signal(24)
     assert np.allclose(T.LocalC2c(6).forward(x).reshape(4, 6), np.fft.fft(x.reshape(4, 6)))

@@ -821,7 +821,7 @@ def transform_lines(df: DataFrame, plan, operation: str = "forward", re: str = "
     """Apply a local plan to each row's line, held in array columns ``re`` and, for complex lines, ``im``.
 
     Lines are whole rows, so no row moves: a projection.  The other columns are kept; the result is in ``re`` and, if
-    it is complex, ``im``.  Each row's array is some whole number of lines.
+    it is complex, ``im``.  Each row's array is some whole number of lines; a null array counts as an empty one.
     """
     ship(df.sparkSession)
     keep = [c for c in df.columns if c not in (re, im)]
