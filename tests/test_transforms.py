@@ -356,6 +356,23 @@ def test_local_plans():
         T.LocalC2c(5).forward(x)
 
 
+@pytest.mark.parametrize("n", [1, 6, 7])
+def test_packed_lines(n):
+    x = signal(3, n, complex_=False)
+    held = T.PackedR2c(T.LocalR2c(n), 3)
+    held.real_view[:] = x
+    with pytest.raises(WrongState):
+        held.complex_view
+    assert np.allclose(held.forward_in_place().complex_view, np.fft.rfft(x))
+    with pytest.raises(WrongState):
+        held.forward_in_place()
+    assert np.allclose(held.inverse_in_place().real_view, x)
+    held.forward_in_place().complex_view[0, 0] += 1j
+    with pytest.raises(TransformError):
+        held.inverse_in_place()
+    assert held.state == "poisoned"
+
+
 def test_plans_describe_themselves(spark):
     plan = T.R2c((6, 4), (2,), T.Options("point_to_point", False), axes=[0, 1])
     assert plan.stage_geometry == [(1, 0)] and plan.backend_kind() == "numpy"

@@ -776,6 +776,46 @@ class LocalR2c:
         return self.backward(x) / self.real_len
 
 
+class PackedR2c:
+    """Lines of a ``LocalR2c`` plan that are real or half spectra in the same memory, whichever they were made last.
+
+    Each line has room for its half spectrum; its real values are the first ``real_len`` numbers of that room.
+    """
+
+    def __init__(self, plan: LocalR2c, lines: int):
+        self.plan, self.state = plan, "real"
+        self._room = np.zeros((lines, plan.complex_len), np.complex128)
+
+    @property
+    def real_view(self) -> np.ndarray:
+        self._needs("real")
+        return self._room.view(np.float64)[:, : self.plan.real_len]
+
+    @property
+    def complex_view(self) -> np.ndarray:
+        self._needs("complex")
+        return self._room
+
+    def _needs(self, state: str) -> None:
+        if self.state != state:
+            raise WrongState(f"the lines are {self.state}, not {state}")
+
+    def forward_in_place(self) -> PackedR2c:
+        values = self.real_view.ravel().copy()
+        self.state = "poisoned"
+        self._room[:] = self.plan.forward(values).reshape(self._room.shape)
+        self.state = "complex"
+        return self
+
+    def inverse_in_place(self) -> PackedR2c:
+        values = self.complex_view.ravel().copy()
+        self.state = "poisoned"
+        real = self.plan.inverse(values)
+        self._room.view(np.float64)[:, : self.plan.real_len] = real.reshape(len(self._room), -1)
+        self.state = "real"
+        return self
+
+
 @dataclass(frozen=True)
 class LocalR2r:
     """Batched lines under one real-to-real kind."""
