@@ -311,21 +311,22 @@ def sample(docs: DataFrame) -> dict[str, list[str]]:
     marks = docs.select(F.col("doc_id"), F.col("lang"), F.col("text")).filter("lang is not null and text is not null and text != '' and doc_id is not null")
     marks = marks.filter(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
     slots = marks.groupBy("lang", F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(F.min("h").alias("h"))
-    chosen = slots.select("lang", "h", F.count(F.lit(1)).over(Window.partitionBy("lang")).alias("n"))
-    langs = max(1, marks.select("lang").distinct().count())
-    share = max(LEAST_CHARS, min(TRAIN_CHARS, TOTAL_CHARS // langs))
+    whole = Window.partitionBy(F.lit(0))  # a row for each language and slot
+    langs = F.size(F.collect_set("lang").over(whole))
+    share = F.greatest(F.lit(LEAST_CHARS), F.least(F.lit(TRAIN_CHARS), F.floor(F.lit(TOTAL_CHARS) / langs))).cast("int")
+    chosen = slots.select("lang", "h", F.count(F.lit(1)).over(Window.partitionBy("lang")).alias("n"), share.alias("share"))
     # a row gives a quarter of its language's share at most, or more where there are fewer than four
-    part = F.greatest(F.lit(share // 4), F.ceil(F.lit(share) / F.col("n"))).cast("int")
+    part = F.greatest(F.floor(F.col("share") / 4), F.ceil(F.col("share") / F.col("n"))).cast("int")
     spare = F.greatest(F.length("text") - part, F.lit(0)).cast("long")
     cut = F.substring(F.col("text"), (F.pmod(F.col("h"), spare + 1) + 1).cast("int"), part)
-    rows = marks.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h", "doc_id").agg(F.min(cut).alias("text"))
+    rows = marks.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h", "doc_id", "share").agg(F.min(cut).alias("text"))
     run = Window.partitionBy("lang").orderBy("h", "doc_id")
     held = F.sum(F.length("text")).over(run.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("held", F.coalesce(held, F.lit(0))).filter(F.col("held") < share)
+    rows = rows.withColumn("held", F.coalesce(held, F.lit(0))).filter(F.col("held") < F.col("share"))
     out: dict[str, list[str]] = {}
     for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["h"], r["doc_id"])):
         if r["text"] not in out.setdefault(r["lang"], []):
-            out[r["lang"]].append(r["text"][: share - r["held"]])
+            out[r["lang"]].append(r["text"][: r["share"] - r["held"]])
     return out
 
 

@@ -272,8 +272,12 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
 
 def plain_words(text: str) -> frozenset[str]:
     """Words that a negation or report doesn't act on: what the first two transducers leave unmarked."""
-    out: set[str] = set()
-    for clause in _CLAUSE.split(text.lower()):
+    low = text.lower()
+    out = set(_WORD.findall(low))
+    if NEGATIONS.isdisjoint(out) and REPORTS.isdisjoint(out):
+        return frozenset(out)
+    out.clear()
+    for clause in _CLAUSE.split(low):
         words = _WORD.findall(clause)
         if NEGATIONS.isdisjoint(words) and REPORTS.isdisjoint(words):
             out.update(words)
@@ -293,34 +297,36 @@ def plain_words(text: str) -> frozenset[str]:
 
 def fit(examples: list[tuple[str, int]]) -> Grammar:
     """Learn stems and their levels, then all weights, from (text, toxic) pairs."""
-    good = [plain_words(t) for t, y in examples if not y]
     bad = [plain_words(t) for t, y in examples if y]
-    if not good or not bad:
+    if len(bad) in (0, len(examples)):
         return Grammar(base=-4.0 if not bad else 4.0)
-    base, odds = _learn_stems(good, bad)
+    base, odds = _learn_stems((plain_words(t) for t, y in examples if not y), len(examples) - len(bad), bad)
     # a level is a weight that brings a text without matches to the odds of texts in which the stem occurs
     rough = {s: max(0.5, round(2 * (x - base)) / 2) for s, x in odds.items()}
     levels = sorted(set(rough.values()))
     return _learn_weights(Grammar(base, {s: levels.index(w) for s, w in rough.items()}, levels), examples)
 
 
-def _learn_stems(good: list[frozenset[str]], bad: list[frozenset[str]]) -> tuple[float, dict[str, float]]:
-    """Log-odds of texts without a stem, and of those with each."""
-    # first how many toxic texts have a stem, then how often others have the frequent ones, then which texts those are
-    often = Counter(x for words in bad for x in {*_stems(words)})
-    often = {x: n for x, n in often.items() if n >= SUPPORT}
+def _learn_stems(good: Iterable[frozenset[str]], n_good: int, bad: list[frozenset[str]]) -> tuple[float, dict[str, float]]:
+    """Log-odds of texts without a stem, and of those with each; ``good`` is read once and not held."""
+    # first how many toxic texts have a stem, a length at a time, as only frequent stems have frequent longer ones
+    often: dict[str, int] = {}
+    before: set[str] | None = None
+    for k in range(SHORTEST, LONGEST + 1):
+        count = Counter(x for words in bad for x in {w[:k] for w in words if len(w) >= k and (before is None or w[: k - 1] in before)})
+        before = {x for x, n in count.items() if n >= SUPPORT}
+        often |= {x: count[x] for x in before}
+    # then how often others have these, then which texts those are
     inside = dict.fromkeys(often, 0)  # texts without the label, by stem; a text with two such words counts twice
-    heads = {x[:SHORTEST] for x in often}
     for words in good:
-        for x in _stems(w for w in words if w[:SHORTEST] in heads):
-            if x in inside:
-                inside[x] += 1
-    rate = len(bad) / len(good)
+        for x in _stems(words, inside):
+            inside[x] += 1
+    rate = len(bad) / n_good
     # a stem must be at least 20 times as frequent in toxic texts
     pure = {x for x, n in often.items() if n >= 20 * rate * inside[x]}
     by_stem: dict[str, set[int]] = {}
     for i, words in enumerate(bad):
-        for x in pure.intersection(_stems(words)):
+        for x in pure.intersection(_stems(words, inside)):
             by_stem.setdefault(x, set()).add(i)
     usable = dict(by_stem)
     open_, stems = set(range(len(bad))), {}
@@ -338,12 +344,16 @@ def _learn_stems(good: list[frozenset[str]], bad: list[frozenset[str]]) -> tuple
         if len(d) >= max(SPARE, 0.02 * len(bad)) and not inside[s] and len(s) > SHORTEST and not any(s.startswith(x) or x.startswith(s) for x in stems):
             stems[s] = (len(d) + 0.5) / 0.5
     missed = sum(not any(w.startswith(tuple(stems)) for w in words) for words in bad) if stems else len(bad)
-    return math.log((missed + 0.5) / (len(good) + 1)), {s: math.log(x) for s, x in stems.items()}
+    return math.log((missed + 0.5) / (n_good + 1)), {s: math.log(x) for s, x in stems.items()}
 
 
-def _stems(words: Iterable[str]) -> Iterator[str]:
-    """All beginnings of words that may become stems."""
-    return (w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1))
+def _stems(words: Iterable[str], known: dict[str, int]) -> Iterator[str]:
+    """The known beginnings of words; each beginning of a known one is known."""
+    for w in words:
+        for k in range(SHORTEST, len(w) + 1):
+            if (x := w[:k]) not in known:
+                break
+            yield x
 
 
 def _learn_weights(rough: Grammar, examples: list[tuple[str, int]]) -> Grammar:
