@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftspark.llm import _tokens, decontam, neardup, urlfilter
+from weftspark.llm._cluster import Staged
 from weftspark.llm.queries import URL_RULES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,6 +72,18 @@ def test_components_equal_brute_force(spark, monkeypatch, k, small):
     assert got == brute(list(enumerate(texts)), k)
 
 
+def test_very_long_texts_are_whole(spark):
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(10**7)}" for _ in range(150_000)]
+    near = list(long)
+    for i in range(0, 150_000, 40):
+        near[i] = "changed"
+    far = long[:75_000] + [f"v{rng.randrange(10**7)}" for _ in range(75_000)]
+    texts = [" ".join(long), " ".join(near), " ".join(far), " ".join(long[::-1]), "w " * 400_000]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(make(spark, texts)).collect()}
+    assert got == brute(list(enumerate(texts)), 2) and got[1][1] == 0 and got[2][1] == 2
+
+
 def test_neardup_edge_rows(spark):
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "A b c"), (None, "a b c"), (None, None), (3, None)], "doc_id long, text string")
     got = sorted(map(tuple, neardup.near_duplicates(docs).collect()), key=str)
@@ -175,8 +188,9 @@ def test_a_crowded_bitmap_and_merge_joins_give_the_same(spark, monkeypatch, bits
 
 def test_sketches_by_size_class(spark):
     items = [(n, " ".join(f"w{n}x{i}" for i in range(n + 4))) for n in (1, 2, 3, 7, 8, 40, 500)]
-    table = decontam.item_table(spark.createDataFrame(items, "item_id long, text string"), 5)
-    rows = decontam.sketches(table, 0.8).groupBy("item", "size_class").agg(F.count(F.lit(1)).alias("length"), F.max("must_meet").alias("m")).collect()
+    staged = Staged(spark, "test")
+    table = staged.write(decontam.item_table(spark.createDataFrame(items, "item_id long, text string"), 5))
+    rows = decontam.sketches(table, 0.8, staged).groupBy("item", "size_class").agg(F.count(F.lit(1)).alias("length"), F.max("must_meet").alias("m")).collect()
     for n, _ in items:
         (r,) = [r for r in rows if r["size_class"] == n.bit_length() - 1 and (n not in (2, 3) or r["length"] == n)]
         need = max(1, -(-8 * n // 10))
@@ -224,9 +238,9 @@ def test_trie_equals_brute_force(spark):
 
 
 def test_url_edges(spark, monkeypatch):
-    pages = spark.createDataFrame([(1, "http://org/" + "a/" * 50_000, 0), (None, "http://b.com/de/", 0), (None, "http://b.com/de/", 0)], "page_id long, url string, verdict int")
+    pages = spark.createDataFrame([(2, "http://com/fr/" + "x" * 2_000_000, 0), (1, "http://org/" + "a/" * 50_000, 0), (None, "http://b.com/de/", 0), (None, "http://b.com/de/", 0)], "page_id long, url string, verdict int")
     got = sorted([(r["page_id"], len(r["path"]), r["verdict"], r["rule"]) for r in urlfilter.judge(pages, URL_RULES).collect()], key=str)
-    assert got == sorted([(1, 100_001, "allow", "org/"), (None, 4, "block", "com/de/"), (None, 4, "block", "com/de/")], key=str)
+    assert got == sorted([(2, 2_000_004, "allow", "com/fr/"), (1, 100_001, "allow", "org/"), (None, 4, "block", "com/de/"), (None, 4, "block", "com/de/")], key=str)
     assert urlfilter.judge(pages.limit(0), URL_RULES).count() == 0 and {r["verdict"] for r in urlfilter.judge(pages, [], default="block").collect()} == {"block"}
     monkeypatch.setattr(urlfilter, "MAX_COST", 300)
     with pytest.raises(ValueError):

@@ -14,7 +14,8 @@ of it instead, numbered by ``chunk``, for conversations that are too large for t
 
 Defined cases: turns are ordered by turn, then role, then text's digest, nulls first, and repeated rows are repeated
 turns; a null role or text is rendered as an empty one but differs from it when compared; turns whose conv_id is null
-are one conversation, which is dropped if another one continues or repeats it; other columns are ignored.
+are one conversation, which is dropped if another one continues or repeats it; of twins the smallest conv_id stays; very
+long texts are rendered whole; an empty table gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

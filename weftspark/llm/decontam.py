@@ -16,7 +16,8 @@ candidates are verified by counting the shingles themselves, as words, that docu
 Defined cases: words are runs of letters and digits, lower-cased (``[^\\W_]+``), so markup and punctuation around a
 passage don't hide it; an item with fewer words than a shingle is one shingle of all its words; an item or document
 without words, or null, matches nothing; repeated rows match each by itself; ``decontaminate`` judges rows by doc_id
-and text together, nulls included; other columns are ignored, or kept by ``decontaminate`` whatever their names.
+and text together, nulls included; very long documents and items are searched whole; without documents or items there
+are no matches; other columns are ignored, or kept by ``decontaminate`` whatever their names.
 """
 
 from __future__ import annotations
@@ -117,14 +118,17 @@ def _need(n: Column, threshold: float) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.lit(threshold) * n - 1e-9)).cast("long")
 
 
-def sketches(items: DataFrame, threshold: float) -> DataFrame:
-    """item, size_class, hash and how many of the item's sketch a document must meet, for each shingle of each sketch."""
-    frequency = items.groupBy("hash").agg(F.count(F.lit(1)).alias("items"))
+def sketches(items: DataFrame, threshold: float, staged: Staged) -> DataFrame:
+    """item, size_class, hash and how many of the item's sketch a document must meet, for each shingle of each sketch.
+
+    ``items`` are staged, and so are the shingles that several of them share: Spark can split a join on a hot one.
+    """
+    shared = staged.write(items.groupBy("hash").agg(F.count(F.lit(1)).alias("items")).filter("items > 1"))
     size_class = F.floor(F.log2("n")).cast("int")
     largest = F.expr("shiftleft(1L, size_class + 1) - 1")
     length = F.least(F.col("n"), largest - _need(largest, threshold) + 1 + EXTRA)
-    ranked = items.select("item", "n", "hash", size_class.alias("size_class")).join(frequency.hint("merge"), "hash")
-    place = F.row_number().over(Window.partitionBy("item").orderBy(F.floor(F.log2("items")), "hash"))
+    ranked = items.select("item", "n", "hash", size_class.alias("size_class")).join(_side(shared, "24"), "hash", "left")
+    place = F.row_number().over(Window.partitionBy("item").orderBy(F.floor(F.log2(F.coalesce("items", F.lit(1)))), "hash"))
     ranked = ranked.withColumn("place", place).withColumn("length", length).filter("place <= length")
     return ranked.select("item", "size_class", "hash", (F.col("length") - F.col("n") + _need(F.col("n"), threshold)).alias("must_meet"))
 
@@ -177,7 +181,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, staged: Staged, k: int = 5, t
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(items))
     rows = docs.select(F.monotonically_increasing_id(), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     probe = staged.write(rows.mapInArrow(lambda it: _probe(*shared.value, sizes, it), _PROBE_SQL))
-    sketch = staged.write(sketches(items, threshold))
+    sketch = staged.write(sketches(items, threshold, staged))
     met = probe.select("doc", "hash").join(_side(sketch, "24"), "hash")
     pairs = staged.write(met.groupBy("doc", "item", "must_meet").agg(F.count(F.lit(1)).alias("met")).filter("met >= must_meet").select("doc", "item"))
     # what a candidate item holds is looked up among what the document holds: as many rows as its items are long

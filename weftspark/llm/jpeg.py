@@ -13,7 +13,8 @@ A payload of more than ``IMAGE`` bytes becomes several images, one after another
 time, so that a long text needs no more memory than a batch of short ones beside the text itself.
 
 Defined cases: a null text is empty; the payload is padded with spaces to a positive multiple of 192 bytes; equal texts
-give equal results; a null doc_id stays null; other columns are ignored.
+give equal results, so repeated rows do; a null doc_id stays null; an empty table gives an empty one; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

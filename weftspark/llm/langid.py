@@ -19,7 +19,7 @@ there are many, are held.  Every language with a labelled text is learned, and e
 Defined cases: ``und`` with score 0 for a null text or one without letters, and for every text when nothing could be
 learned; ties go to the language that sorts first; repeated rows are judged one by one, and of rows that repeat a
 doc_id one is learned from; a null doc_id is neither held out nor learned from; very long texts are parsed in pieces
-that hand on their state; other columns are ignored.
+that hand on their state; an empty table gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

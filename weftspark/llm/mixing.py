@@ -18,7 +18,7 @@ deal; sources are a bounded dimension, and their plan is broadcast only up to ``
 
 Defined cases: a null or wordless text has size 0 and is taken 0 words; a source without words has target 0; rows that
 repeat a doc_id of one source are taken together; very long texts are whole documents as any other; equal input gives
-equal output in any partitioning; other columns are kept by ``mix``, whatever their names, and ignored by ``mixture``.
+equal output in any partitioning; an empty table gives an empty one; other columns are kept by ``mix``, whatever their names, and ignored by ``mixture``.
 """
 
 from __future__ import annotations

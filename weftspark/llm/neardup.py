@@ -12,8 +12,8 @@ between different texts is lost to a bucket's shape.  A pair of similarity 0.8 s
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing; a text with fewer words than a
 shingle has one shingle of all its words; equal sets are linked; rows that repeat a doc_id are one document; a null
-doc_id never names a component (its row gets its class's smallest id, or null) and is always kept; other columns are
-ignored, whatever their names.
+doc_id never names a component (its row gets its class's smallest id, or null) and is always kept; very long texts are
+whole sets as any other; an empty table gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ given out in cells of a shard: 16, or more in large tables so that a cell stays
 are equal in doc_id and text are counted before they are moved, so a hot row isn't collected in one task.
 
 Defined cases: a null text counts as an empty one; the size of a row is its UTF-8 bytes plus 1; fewer groups than
-shards leave the last shards empty; rows that repeat a doc_id, or have none, are rows of their own; other columns pass
+shards leave the last shards empty; rows that repeat a doc_id, or have none, are rows of their own; very
+long texts are groups as any other; an empty table gives an empty one; other columns pass
 through ``assign`` untouched, but if one is called like the new column it is renamed ``input_<name>``.
 """
 

@@ -23,7 +23,8 @@ hashes of their id, one text of each id, each text once.
 Defined cases: a null or wordless text gets the score of a text without clauses that match; without labelled rows of
 both kinds every score is that of the prior; a word of several classes has the first of insult, threat, negation, report
 and target; repeated rows are scored one by one; very long texts are read whole, in linear time; a null doc_id is
-neither held out nor learned from; other columns are ignored, and kept by ``drop_toxic``.
+neither held out nor learned from; an empty table gives an empty one; other columns are ignored, and kept by
+``drop_toxic``, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ broadcast; a larger list is an error, not a truncation.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and fits no rule; an unmatched url gets
 the default verdict; empty labels (``a..b``) are labels; repeated rows give repeated results; a null page_id is kept;
-very long urls are walked as others, a step a segment and a look-up a character; other columns are ignored.
+very long urls are walked as others, a step a segment and a look-up for each length that a rule ends with there; an
+empty table gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ class UrlTrie:
             for segment in whole:
                 node = node.setdefault(("segment", segment), {})
             ends = node.setdefault("ends", {})
+            node["lengths"] = sorted({len(last), *node.get("lengths", ())})
             if ends.get(last, ("",))[0] != "block":
                 ends[last] = (verdict, host.lower() + path)
 
@@ -53,8 +55,8 @@ class UrlTrie:
         segments = path.split("/")
         for i, segment in enumerate(segments):
             if ends := node.get("ends"):
-                for n in range(len(segment) + 1):
-                    if segment[:n] in ends:
+                for n in node["lengths"]:
+                    if n <= len(segment) and segment[:n] in ends:
                         best = ends[segment[:n]]
             node = node.get(("segment", segment)) if i + 1 < len(segments) else None
             if node is None:

@@ -14,7 +14,8 @@ Where the folder's store can't be opened from Python, archives are rows of that
 Defined cases: a null html is an empty payload, and a null url an empty target; payloads of fewer than ``least`` bytes
 are always responses; records that share the smallest page_id of a payload (repeated rows) are all responses; a null
 page_id is written as an empty id, read back as null, and never referred to unless no other page has that payload,
-in which case all are responses; a very long payload is a record of its own archive; other columns are ignored.
+in which case all are responses; a very long payload makes its archive as long; an empty table gives no archives and an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
