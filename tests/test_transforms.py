@@ -352,6 +352,7 @@ def test_local_plans():
         assert np.allclose(T.LocalR2r(4, kind).inverse(T.LocalR2r(4, kind).forward(r)), r)
     assert np.allclose(T.LocalDht(4).inverse(T.LocalDht(4).forward(r)), r)
     assert T.LocalC2c(4).forward(np.zeros(0)).size == 0
+    assert all(x.backend_kind() == "numpy" and x.backend_options() == {} for x in (T.LocalC2c(4), nd, T.LocalR2c(4), T.LocalR2r(4, "dct2"), T.LocalDht(4), T.C2c((2,))))
     with pytest.raises(TransformError):
         T.LocalC2c(5).forward(x)
 

@@ -699,8 +699,19 @@ def _lines(x, n: int) -> np.ndarray:
     return x.reshape(-1, n)
 
 
+class LocalPlan:
+    """What local plans share."""
+
+    def backend_kind(self) -> str:
+        return "numpy"
+
+    def backend_options(self) -> dict[str, str]:
+        """The kernels have no options."""
+        return {}
+
+
 @dataclass(frozen=True)
-class LocalC2c:
+class LocalC2c(LocalPlan):
     """Batched complex lines of ``line_len``."""
 
     line_len: int
@@ -719,7 +730,7 @@ class LocalC2c:
 
 
 @dataclass(frozen=True)
-class LocalC2cNd:
+class LocalC2cNd(LocalPlan):
     """A batch of column-major blocks (axis 0 is the fastest), transformed along ``axes`` in the order given."""
 
     shape: tuple[int, ...]
@@ -750,7 +761,7 @@ class LocalC2cNd:
 
 
 @dataclass(frozen=True)
-class LocalR2c:
+class LocalR2c(LocalPlan):
     """Batched real lines of ``real_len``; the reverse wants exactly real DC and Nyquist entries."""
 
     real_len: int
@@ -817,7 +828,7 @@ class PackedR2c:
 
 
 @dataclass(frozen=True)
-class LocalR2r:
+class LocalR2r(LocalPlan):
     """Batched lines under one real-to-real kind."""
 
     line_len: int
@@ -839,7 +850,7 @@ class LocalR2r:
 
 
 @dataclass(frozen=True)
-class LocalDht:
+class LocalDht(LocalPlan):
     """Batched lines under the Hartley transform."""
 
     line_len: int
