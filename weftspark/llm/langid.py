@@ -40,6 +40,8 @@ SLOTS, TRAIN_CHARS, TOTAL_CHARS, LEAST_CHARS = 128, 24_000, 400_000, 500
 #: Characters of a lane, characters of texts parsed at once, and cells (a character in a language) of a step's trace.
 BLOCK, CHUNK, CELLS = 256, 1 << 20, 1 << 22
 UNKNOWN = "und"
+#: Rounds in which all lanes that were entered wrongly are parsed again at once.
+ROUNDS = 8
 #: Random numbers that are tried for a state before the room is doubled.
 TRIES = 100
 #: How sharply the difference of two estimates, in bits a character, speaks for one language.
@@ -110,8 +112,9 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 class Model:
     """Languages, known code points, and the automata.
 
-    A state is a number of its own choice; its edge by code c is in ``edges[state ^ c]``, as 2**32 * state + next state.
-    ``first`` holds the start of each language and ``restart`` the state that a single character leads to from there.
+    A state is a number of its own choice; its edge by code c is in ``edges[state ^ c]``, as 2**32 * state + 2 * next state.
+    ``first`` holds the start of each language; ``restart`` is, twice and plus 1, the state that a single character leads
+    to from there.  So what a step gives is twice the next state, plus 1 if a phrase ended before the character.
     """
 
     langs: list[str]
@@ -167,11 +170,11 @@ def learn(samples: dict[str, list[str]]) -> Model:
     for i, move in enumerate(moves):
         names = [x + offsets[i] for x in placed[i][0]]
         flat = np.array([(names[s] ^ c, names[s], names[t]) for s, go in enumerate(move) for c, t in go.items()], np.int64).reshape(-1, 3)
-        edges[flat[:, 0]] = (flat[:, 1] << 32) | flat[:, 2]
+        edges[flat[:, 0]] = (flat[:, 1] << 32) | (2 * flat[:, 2])
         first[i] = names[0]
-        restart[i] = names[0]
+        restart[i] = 2 * names[0] + 1
         for c, t in move[0].items():
-            restart[i, c] = names[t]
+            restart[i, c] = 2 * names[t] + 1
     return Model(langs, points, edges, first, restart, np.array([np.log2(max(2, len(texts[lang]))) for lang in langs]))
 
 
@@ -183,11 +186,10 @@ def _codes(points: np.ndarray, text: np.ndarray) -> np.ndarray:
     return np.where(points[at] == text, at + 1, 0)
 
 
-def _step(model: Model, state: np.ndarray, code: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Next states, and whether a phrase ended before the character; ``row`` is each state's row in ``restart`` (flat)."""
+def _step(model: Model, state: np.ndarray, code: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Twice the next states, plus 1 where a phrase ended; ``row`` is each state's row in ``restart`` (flat)."""
     edge = model.edges[state ^ code]
-    go = (edge >> 32) == state
-    return np.where(go, edge & _LOW, model.restart.ravel()[row + code]), ~go
+    return np.where((edge >> 32) == state, edge & _LOW, model.restart.ravel()[row + code])
 
 
 def breaks(model: Model, codes: np.ndarray, ends: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,46 +211,44 @@ def breaks(model: Model, codes: np.ndarray, ends: np.ndarray, begin: np.ndarray)
     owner, index, at, size = owner[order], index[order], at[order], size[order]
     state = np.where(index == 0, begin[:, owner], model.first[:, None])
     rows = (np.arange(langs) * width)[:, None]
-    count = np.zeros(state.shape, np.int64)
     trace = np.zeros((int(size[0]) if len(size) else 0, *state.shape), np.int32)
-    ended = np.zeros((len(trace), *state.shape), bool)
     for i, live in enumerate(np.searchsorted(-size, -np.arange(len(trace)), "left").tolist()):
-        state[:, :live], new = _step(model, state[:, :live], codes[at[:live] + i], rows)
-        count[:, :live] += new
-        trace[i, :, :live], ended[i, :, :live] = state[:, :live], new
+        went = _step(model, state[:, :live], codes[at[:live] + i], rows)
+        trace[i, :, :live] = went
+        np.right_shift(went, 1, out=state[:, :live])
     # Lanes that follow another are entered in the state where that one ended.  ``entered`` is the state that a lane's
-    # trace belongs to; of each text and language the first lane whose predecessor now ends elsewhere is parsed again.
+    # trace belongs to; lanes whose predecessor now ends elsewhere are parsed again, until there are none.
     before = np.where(index > 0, where[np.maximum((np.cumsum(blocks) - blocks)[owner] + index - 1, 0)], -1)
     entered = np.where(index == 0, begin[:, owner], model.first[:, None])
     later = np.flatnonzero(before >= 0)
-    speculative = True
+    rounds = 0
     while len(later):
         lang, lane = np.nonzero(state[:, before[later]] != entered[:, later])
         lane = later[lane]
         if not len(lane):
             break
-        if not speculative:
-            # only a lane whose predecessors are all settled has its true entry
+        rounds += 1
+        if rounds > ROUNDS:
+            # a stubborn text: only the first such lane has its true entry for sure, so each is parsed once more at most
             first = np.lexsort((index[lane], owner[lane], lang))
             lang, lane = lang[first], lane[first]
             lead = np.ones(len(lane), bool)
             lead[1:] = (lang[1:] != lang[:-1]) | (owner[lane][1:] != owner[lane][:-1])
             lang, lane = lang[lead], lane[lead]
-        speculative = False
         s = state[lang, before[lane]]
         entered[lang, lane] = s
         i = 0
         while len(lane):
-            s, new = _step(model, s, codes[at[lane] + i], lang * width)
-            count[lang, lane] += new.astype(np.int64) - ended[i, lang, lane]
-            ended[i, lang, lane] = new
-            done = trace[i, lang, lane] == s
-            trace[i, lang, lane] = s
+            went = _step(model, s, codes[at[lane] + i], lang * width)
+            s = went >> 1
+            done = trace[i, lang, lane] >> 1 == s
+            trace[i, lang, lane] = went
             i += 1
             over = ~done & (size[lane] == i)
             state[lang[over], lane[over]] = s[over]
             going = ~done & ~over
             lang, lane, s = lang[going], lane[going], s[going]
+    count = (trace & 1).sum(axis=0)
     total = np.zeros((langs, n), np.int64)
     for j in range(langs):
         total[j] = np.bincount(owner, weights=count[j], minlength=n)
