@@ -7,7 +7,8 @@ groups remain to keep a cluster busy.
 
 A line is transformed by one task, up to ``LINE_CELLS``.  Longer lines of Fourier and real Hartley axes are split: n =
 n1 n2 makes the axis two axes, with a factor for each cell between the transforms of the one and of the other, so that
-two exchanges and tasks of n1 and n2 cells do what one task of n would.
+two exchanges and tasks of n1 and n2 cells do what one task of n would.  Longer lines of real-to-real kinds are extended
+to the symmetric lines whose Fourier transform holds theirs.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .._ship import ship
@@ -146,6 +147,9 @@ def apply_steps(array: NDArray, steps: list[Step], shape_after: dict[int, int],
     if _becomes_complex(array.complex, steps) != complex_after:
         raise TransformError("the steps don't lead to the kind of result that was asked for")
     for n, step in enumerate(steps):
+        if step[0] in kernels.R2R_KINDS and array.shape[step[1]] > tuning.line:
+            before = _staged(array, steps[:n], shape_after, 1.0, tuning)
+            return apply_steps(_long_r2r(before, step, tuning), steps[n + 1 :], shape_after, complex_after, scale, tuning)
         if (parts := _split(array, step, shape_after, tuning)) is not None:
             before = _staged(array, steps[:n], shape_after, 1.0, tuning)
             long = _long_line(before, step, shape_after, parts, tuning)
@@ -239,6 +243,54 @@ def _long_line(array: NDArray, step: Step, shape_after: dict[int, int], parts: t
     return out.with_df(df.select(*out.coords, *[F.col(v).cast(DTYPES[dtype]).alias(v) for v in out.values]))
 
 
+def _extension(kind: str, n: int, j: Column) -> tuple[list[tuple[Column, Column]], list[tuple[int, int, int]], Column]:
+    """Where cell ``j`` of a line stands in the symmetric line of ``embedding_length``, each time with a factor; runs of
+    places that hold 0 (first, count, step); and which cell of the transform a place is, null for none."""
+    m, sign, p = kernels.embedding_length(kind, n), -1.0 if kernels.is_dst(kind) else 1.0, F.col("_p")
+    one, mirrored = F.lit(1.0), F.lit(sign)
+    inside = F.when(p.between(1, n), p - 1) if sign < 0 else F.when(p < n, p)
+    between = F.when((p % 2 == 1) & (p < 2 * n), F.expr("_p div 2"))
+    if kind == "dct1":
+        return [(j, one), (F.when((j > 0) & (j < n - 1), m - j), one)], [], inside
+    if kind == "dst1":
+        return [(j + 1, one), (m - 1 - j, mirrored)], [(0, 1, 1), (n + 1, 1, 1)], inside
+    if kind == "dct3":
+        return [(j, one), (F.when(j > 0, m - j), one)], [(n, 2 * n + 1, 1)], between
+    if kind == "dst3":
+        last = F.when(j == n - 1, 0.5).otherwise(1.0)
+        return [(j + 1, last), (m - 1 - j, -last)], [(0, 1, 1), (n + 1, 2 * n - 1, 1)], between
+    zeros = [(0, 2 * n, 2)] if kind in ("dct2", "dst2") else [(0, 4 * n, 2), (2 * n + 1, 2 * n, 2)]
+    return [(2 * j + 1, one), (m - 1 - 2 * j, mirrored)], zeros, inside if kind in ("dct2", "dst2") else between
+
+
+def _nothing(run: tuple[int, int, int], j: Column, n: int) -> Column:
+    """The share of cell ``j`` of ``n`` in a run of places that hold 0."""
+    first, count, by = run
+    mine = F.filter(F.sequence(j, F.greatest(j, F.lit(count - 1).cast("long")), F.lit(n).cast("long")), lambda z: z < count)
+    return F.transform(mine, lambda z: F.struct((first + by * z).cast("long").alias("p"), F.lit(0.0).alias("f")))
+
+
+def _long_r2r(array: NDArray, step: Step, tuning: Tuning) -> NDArray:
+    """A real-to-real kind along an axis of long lines, by the Fourier transform of symmetric ones."""
+    kind, axis, _ = step
+    n, c = array.shape[axis], f"i{axis}"
+    copies, zeros, cell = _extension(kind, n, F.col(c))
+    at = lambda p, f: F.struct(p.cast("long").alias("p"), f.alias("f"))
+    cells = F.filter(F.array(*[at(p, f) for p, f in copies]), lambda x: x["p"].isNotNull())
+    for run in zeros:
+        cells = F.concat(cells, _nothing(run, F.col(c), n))
+    df = array.table() if array.complex else array.table().withColumnsRenamed({"v": "re"}).withColumn("im", F.lit(0.0))
+    df = df.withColumn("_to", F.explode(cells))
+    names = [x for x in array.coords if x != c]
+    long = df.select(*names, F.col("_to.p").alias(c), (F.col("re") * F.col("_to.f")).alias("re"), (F.col("im") * F.col("_to.f")).alias("im"))
+    shape = tuple(kernels.embedding_length(kind, n) if k == axis else m for k, m in enumerate(array.shape))
+    out = apply_steps(NDArray(long, Layout.of(shape), array.extra, "c128"), [("fft", axis, -1)], {}, True, 1.0, tuning)
+    picked = out.df.withColumnsRenamed({c: "_p"}).withColumn(c, cell).filter(F.col(c).isNotNull())
+    turned = (-F.col("im"), F.col("re")) if kernels.is_dst(kind) else (F.col("re"), F.col("im"))
+    values = [x.cast(DTYPES[array.dtype]).alias(v) for x, v in zip(turned, ["re", "im"] if array.complex else ["v"], strict=False)]
+    return array.with_df(picked.select(*names, F.col(c).cast("long").alias(c), *values).select(*array.coords, *array.values))
+
+
 def ends(array: NDArray, axis: int, n: int) -> NDArray:
     """The planes of a half spectrum that must be real."""
     return array.with_df(array.table().filter(F.col(f"i{axis}").isin([0, n // 2] if n % 2 == 0 else [0])))

@@ -117,6 +117,12 @@ def q_dht_forward_split_lines(spark, sf):
     return rounded(Dht.like(a, axes=[1], options=LINES).forward(a))
 
 
+@query(ORACLE["r2r_complex_axes"])
+def q_r2r_split_lines(spark, sf):
+    a = lin_complex(spark, sf)
+    return rounded(R2r.like(a, ("dct1", None, "dst2"), options=Options(tuning=Tuning(line_cells=5))).forward(a))
+
+
 # spectra that no real array has
 
 
