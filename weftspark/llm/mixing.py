@@ -56,6 +56,11 @@ def words_of(text: Column) -> Column:
     return _count_words(text.cast("string"))
 
 
+def has_words(text: Column) -> Column:
+    """Whether a text has a word: all that must be known of its size once the plan is made."""
+    return F.coalesce(text.cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+
 def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
 
@@ -246,7 +251,7 @@ def mixed_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     sources = plan(sizes, shards=shards)
     staged.drop(sizes)
     whole = docs.select(F.struct(*columns(docs)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
-    rows = whole.select("row", "doc_id", "source", source_key(F.col("source")).alias("s"), order_key(F.col("doc_id"), F.col("source")).alias("k"), words_of(F.col("text")).alias("size"))
+    rows = whole.select("row", "doc_id", "source", source_key(F.col("source")).alias("s"), order_key(F.col("doc_id"), F.col("source")).alias("k"), has_words(F.col("text")).cast("int").alias("size"))
     copies = with_copies(rows, sources).select("row", F.explode("copies").alias("copy")).select("row", "copy.shard", "copy.local_order")
     bits = max(0, int(sum(s.target for s in sources) / (shards * PART_WORDS))).bit_length()
     part = F.shiftrightunsigned(F.col("local_order").bitwiseXOR(F.lit(-(2**63))), 64 - bits) if bits else F.lit(0)
