@@ -62,15 +62,38 @@ def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.n
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-
-
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: What the polynomial hash adds for each byte.
+_BYTES = _LOWER.astype(_U) + _U(1)
+
+
+def parts(texts: pa.Array, space: np.ndarray = SPACE, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """``chunks`` in which a long text is cut at separators into several parts; the last value tells if its text goes on.
+
+    A part ends with a separator and may be longer than ``limit`` only where there is none.
+    """
+    for first, last, raw, offsets in chunks(texts, limit):
+        at = 0
+        while last == first + 1 and len(raw) - at > limit:
+            near = np.flatnonzero(space[raw[at : at + limit]])
+            end = at + int(near[-1]) + 1 if len(near) else 0
+            seek = at + limit
+            while not end and seek < len(raw):
+                near = np.flatnonzero(space[raw[seek : seek + limit]])
+                end, seek = (seek + int(near[0]) + 1 if len(near) else 0), seek + limit
+            if not end or end >= len(raw):
+                break
+            yield first, last, raw[at:end], np.array([0, end - at]), True
+            at = end
+        yield first, last, raw[at:], np.array([0, len(raw) - at]) if at else offsets, False
+
+
+def words(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE, table: np.ndarray = _BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the texts of a chunk: first byte, end byte, row and 64-bit hash of each word, in order."""
     n = len(raw)
     none = np.zeros(0, np.int64)
     if not n:
         return none, none, none, none.astype(_U)
-    inside = ~SPACE[raw]
+    inside = ~space[raw]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     before = np.concatenate(([False], inside[:-1]))
@@ -80,7 +103,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     p, inv = _power(n)
     total = np.empty(n + 1, _U)
     total[0] = 0
-    np.cumsum((_LOWER[raw].astype(_U) + _U(1)) * p[:n], out=total[1:])
+    np.cumsum(table[raw] * p[:n], out=total[1:])
     h = mix((total[end] - total[start]) * inv[start] + (end - start).astype(_U) * _M2)
     row = np.searchsorted(offsets, start, "right") - 1
     return start, end, row, h

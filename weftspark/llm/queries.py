@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jpeg, langid, mixing, neardup, sharding, toxicity, urlfilter, warc
+from . import chat, collocation, decontam, exactdup, jpeg, langid, mixing, neardup, repair, sharding, toxicity, urlfilter, warc
 
 #: Fixed values of op8: verdict, host and path of each rule.
 URL_RULES = [
@@ -65,6 +65,18 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdup.duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(_table(spark, sf_dir, "documents"), least=30, percent=80, first=2000)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filters,
         op9_benchmark_decontamination,
         op10_minhash_near_dedup,
+        op11_exact_dedup,
+        op12_phrase_collocation,
+        op13_conversation_repair,
     )
 }
 
@@ -126,13 +141,16 @@ SELECT doc_id, item_id, n::BIGINT AS item_shingles, shared::BIGINT AS shared_shi
 FROM hits JOIN sizes USING (item_id) WHERE shared >= ceil(0.8 * n - 1e-9)
 """
 
-# The CRC's table is built by its rule; capacities are all sums of consecutive groups that can be the least one.
-ORACLE["op3_sharding"] = """
-WITH RECURSIVE crc AS (
+# The CRC's table is built by its rule.
+_CRC = """crc AS (
   SELECT list(v ORDER BY i) AS t FROM (
     SELECT i, list_reduce(list_prepend(i::UBIGINT, [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
                           lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END)) AS v
-    FROM unnest(range(0, 256)) AS u(i))),
+    FROM unnest(range(0, 256)) AS u(i)))"""
+
+# Capacities are all sums of consecutive groups that can be the least one.
+ORACLE["op3_sharding"] = f"""
+WITH RECURSIVE {_CRC},
 docs AS (
   SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS key,
          list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::UBIGINT) AS bytes FROM documents),
@@ -179,3 +197,91 @@ reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT e.x, reach.r FR
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, d.r AS component_id, d.doc_id = d.r AS kept
 FROM (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id) d LEFT JOIN n USING (doc_id)
 """
+
+ORACLE["op11_exact_dedup"] = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM d WINDOW same AS (PARTITION BY t)
+"""
+
+ORACLE["op12_phrase_collocation"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, w[i : i + k - 1] AS g FROM words, unnest(range(1, 5)) AS t(k), unnest(range(1, len(w) - k + 2)) AS u(i)),
+f AS (SELECT lang, g, count(*) AS f FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(f) AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+cand AS (SELECT * FROM f WHERE len(g) > 1 AND f >= 30),
+cover AS (
+  SELECT c.lang, c.g[s : s + m - 1] AS g, max(c.f) AS longer
+  FROM cand c, unnest(range(2, len(c.g))) AS t(m), unnest(range(1, len(c.g) - m + 2)) AS u(s) GROUP BY ALL),
+cuts AS (SELECT lang, g, f, k, g[1 : k] AS head, g[k + 1 :] AS tail FROM cand, unnest(range(1, len(g))) AS t(k)),
+scores AS (
+  SELECT c.lang, c.g, c.f, c.k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f) // (x.f + y.f)::HUGEINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.head JOIN f y ON y.lang = c.lang AND y.g = c.tail),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+stay AS (
+  SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM best b LEFT JOIN cover c ON c.lang = b.lang AND c.g = b.g
+  WHERE NOT coalesce(100::HUGEINT * c.longer >= 80::HUGEINT * b.f, false)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, phrase) AS rank FROM stay)
+SELECT lang, rank::BIGINT AS rank, phrase, f::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+def _repair_sql() -> str:
+    """Cheapest edits by state (nothing yet, system, user, assistant), row after row: cost, audit, repaired text."""
+    cell = lambda s, c, a, t="": f"{{'c': {s}.c + {c}, 'a': {s}.a || '{a}', 't': {s}.t || {t or chr(39) * 2}}}"
+    user, assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    far = "{'c': 1000000000, 'a': '', 't': ''}"
+    # insertions before a row
+    closed_u = f"least(x.u, {cell('x.e', 5, 'I', user)}, {cell('x.s', 5, 'I', user)}, {cell('x.a', 5, 'I', user)})"
+    both = "chr(10) || 'user:' || chr(10) || 'assistant:'"
+    closed_a = f"least(x.a, {cell('x.u', 5, 'I', assistant)}, {cell('x.e', 10, 'II', both)}, {cell('x.s', 10, 'II', both)})"
+    more = "CASE WHEN y.fault IN ('blank', 'duplicate') THEN 1000000000 WHEN y.fault = 'truncated' THEN 5 ELSE 0 END"
+    keep = lambda s, i: f"CASE WHEN y.i = '{i}' THEN {cell(s, more, 'K', 'chr(10) || y.role || chr(58) || y.text')} ELSE {far} END"
+    rerole = lambda s, role: cell(s, f"1 + {more}", "R", f"chr(10) || '{role}:' || y.text")
+    to_u = ", ".join(f"{keep(s, 'u')}, {rerole(s, 'user')}" for s in ("z.e", "z.s", "z.a"))
+    step = f"""{{'e': {cell('z.e', 2, 'D')}, 's': least({cell('z.s', 2, 'D')}, {keep('z.e', 's')}),
+      'u': least({cell('z.u', 2, 'D')}, {to_u}), 'a': least({cell('z.a', 2, 'D')}, {keep('z.u', 'a')}, {rerole('z.u', 'assistant')})}}"""
+    return rf"""
+WITH RECURSIVE {_CRC},
+harmed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))), '..'), lambda h: ('0x' || h)::UBIGINT)),
+                         lambda x, y: xor(x >> 8, t[(xor(x, y) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT % 20 AS harm FROM conversations, crc),
+rows_ AS (
+  SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+         CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN harm = 3 THEN [0, 1] ELSE [0] END) AS copy FROM harmed WHERE harm <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS n FROM rows_),
+faults AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' END AS fault,
+         left(lag(role) OVER (PARTITION BY conv_id ORDER BY n), 1) || left(role, 1) AS pair
+  FROM placed),
+convs AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+         list({{'role': role, 'text': text, 'i': left(role, 1), 'fault': fault}} ORDER BY n) AS rows_ FROM faults GROUP BY conv_id),
+parse(conv_id, k, rows_, x) AS (
+  SELECT conv_id, 1, rows_, {{'e': {{'c': 0, 'a': '', 't': ''}}, 's': {far}, 'u': {far}, 'a': {far}}} FROM convs
+  UNION ALL
+  SELECT conv_id, k + 1, rows_, {step} FROM (
+    SELECT conv_id, k, rows_, rows_[k] AS y, {{'e': x.e, 's': x.s, 'u': {closed_u}, 'a': {closed_a}}} AS z FROM parse WHERE k <= len(rows_))),
+best AS (
+  SELECT conv_id, least(x.e, x.a, {cell('x.u', 5, 'I', assistant)}, {cell('x.s', 10, 'II', both)}) AS b FROM parse WHERE k = len(rows_) + 1)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.c, 0)::BIGINT AS cost,
+       coalesce(b.a, '') AS audit, sha256(coalesce(substr(b.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i
+LEFT JOIN convs c ON c.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
+ORACLE["op13_conversation_repair"] = _repair_sql()
