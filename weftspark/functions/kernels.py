@@ -28,7 +28,8 @@ from ..errors import TransformError
 
 R2R_KINDS = ("dct1", "dct2", "dct3", "dct4", "dst1", "dst2", "dst3", "dst4")
 REVERSE = {"dct1": "dct1", "dct2": "dct3", "dct3": "dct2", "dct4": "dct4", "dst1": "dst1", "dst2": "dst3", "dst3": "dst2", "dst4": "dst4", "dht": "dht"}
-#: Lines up to this length are transformed by a matrix product, longer ones by an FFT of a symmetric extension.
+#: Lines up to this length are transformed by a matrix product, longer ones by an FFT of about the same length (twice it, of real
+#: cells, for dct1 and dst1).
 MATRIX_LENGTH = 64
 
 
@@ -50,7 +51,7 @@ def factor(kind: str, n: int) -> int:
 
 
 def embedding_length(kind: str, n: int) -> int:
-    """Length of the complex transform that a real-to-real kind fits into."""
+    """Length of the symmetric line whose Fourier transform holds that of a real-to-real kind; rounding bounds follow it."""
     check_length(kind, n)
     if kind in ("fft", "rfft", "dht"):
         return n
@@ -87,46 +88,78 @@ def basis(kind: str, n: int) -> np.ndarray:
     raise TransformError(f"no real-to-real kind {kind}")
 
 
-def _extended(kind: str, x: np.ndarray) -> np.ndarray:
-    """A real-to-real transform along the last axis through a symmetric extension."""
-    n, odd = x.shape[-1], is_dst(kind)
-    m = embedding_length(kind, n)
-    y = np.zeros((*x.shape[:-1], m), x.dtype)
-    sign = -1 if odd else 1
+def _turn(n: int, first: float, by: float) -> np.ndarray:
+    """exp(i pi (first + by j)) for j below ``n``."""
+    return np.exp(1j * np.pi * (first + by * np.arange(n)))
+
+
+def _dct2(x: np.ndarray) -> np.ndarray:
+    """Cells in the order 0, 2, 4, ..., 5, 3, 1 make the transform one of the same length."""
+    n = x.shape[-1]
+    v = np.fft.rfft(np.concatenate((x[..., ::2], x[..., 1::2][..., ::-1]), axis=-1))
+    v *= _turn(v.shape[-1], 0, -0.5 / n)
+    out = np.empty(x.shape)
+    out[..., : v.shape[-1]] = 2 * v.real
+    # the other half of the spectrum is the conjugate of this one, with a quarter turn more
+    rest = n - v.shape[-1]
+    out[..., v.shape[-1] :] = -2 * v.imag[..., 1 : rest + 1][..., ::-1]
+    return out
+
+
+def _dct3(x: np.ndarray) -> np.ndarray:
+    n = x.shape[-1]
+    half = n // 2 + 1
+    v = x[..., :half].astype(complex)
+    v[..., 1:] -= 1j * x[..., n - 1 : n - half : -1]
+    v *= _turn(half, 0, 0.5 / n)
+    y = np.fft.irfft(v, n=n, norm="forward")
+    out = np.empty(x.shape)
+    out[..., ::2], out[..., 1::2] = y[..., : (n + 1) // 2], y[..., (n + 1) // 2 :][..., ::-1]
+    return out
+
+
+def _dct4(x: np.ndarray) -> np.ndarray:
+    """The even cells from 0 to 2n - 2 of the result as it goes on beyond n, where it is the odd ones mirrored."""
+    n = x.shape[-1]
+    v = np.fft.fft(x * _turn(n, 0, -0.5 / n))
+    v *= _turn(n, -0.25 / n, -1 / n)
+    g, even = 2 * v.real, (n + 1) // 2
+    out = np.empty(x.shape)
+    out[..., ::2], out[..., 1::2] = g[..., :even], -g[..., even:][..., ::-1]
+    return out
+
+
+def _short(kind: str, x: np.ndarray) -> np.ndarray:
+    """A real-to-real transform of real lines along the last axis, by a Fourier transform of about their length."""
+    n = x.shape[-1]
     if kind == "dct1":
-        y[..., :n] = x
-        y[..., n:] = x[..., n - 2 : 0 : -1]
-        at = np.arange(n)
-    elif kind == "dst1":
-        y[..., 1 : n + 1] = x
-        y[..., n + 2 :] = -x[..., ::-1]
-        at = np.arange(1, n + 1)
-    elif kind == "dct3":
-        y[..., :n] = x
-        y[..., m - n + 1 :] = x[..., :0:-1]
-        at = 2 * np.arange(n) + 1
-    elif kind == "dst3":
-        half = x.copy()
-        half[..., -1] /= 2
-        y[..., 1 : n + 1] = half
-        y[..., m - n :] = -half[..., ::-1]
-        at = 2 * np.arange(n) + 1
-    else:
-        places = 2 * np.arange(n) + 1
-        y[..., places] = x
-        y[..., m - places] = sign * x
-        at = {"dct2": np.arange(n), "dst2": np.arange(1, n + 1)}.get(kind, 2 * np.arange(n) + 1)
-    out = np.fft.fft(y)[..., at]
-    if odd:
-        out = 1j * out
-    return out if np.iscomplexobj(x) else out.real
+        return np.fft.rfft(np.concatenate((x, x[..., n - 2 : 0 : -1]), axis=-1)).real
+    if kind == "dst1":
+        zero = np.zeros((*x.shape[:-1], 1))
+        return -np.fft.rfft(np.concatenate((zero, x, zero, -x[..., ::-1]), axis=-1)).imag[..., 1 : n + 1]
+    if kind == "dct2":
+        return _dct2(x)
+    if kind == "dct3":
+        return _dct3(x)
+    if kind == "dct4":
+        return _dct4(x)
+    sign = np.where(np.arange(n) % 2, -1.0, 1.0)
+    if kind == "dst2":
+        return _dct2(x * sign)[..., ::-1]
+    return (_dct3 if kind == "dst3" else _dct4)(x[..., ::-1]) * sign
 
 
 def r2r(kind: str, x: np.ndarray, axis: int) -> np.ndarray:
     """A real-to-real kind; real and imaginary parts of complex input are transformed alike."""
     check_length(kind, x.shape[axis])
     x = np.moveaxis(x, axis, -1)
-    out = x @ basis(kind, x.shape[-1]).T if x.shape[-1] <= MATRIX_LENGTH else _extended(kind, x)
+    if x.shape[-1] <= MATRIX_LENGTH:
+        out = x @ basis(kind, x.shape[-1]).T
+    elif np.iscomplexobj(x):
+        out = np.empty(x.shape, complex)
+        out.real, out.imag = _short(kind, x.real), _short(kind, x.imag)
+    else:
+        out = _short(kind, x)
     return np.moveaxis(out, -1, axis)
 
 

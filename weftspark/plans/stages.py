@@ -5,16 +5,17 @@ partition, and every group (a line or slab) is one contiguous run of rows that n
 are not selected cost nothing.  A stage takes an axis in as long as a slab stays under ``SLAB_CELLS`` and enough
 groups remain to keep a cluster busy.
 
-A line is transformed by one task, up to ``LINE_CELLS``.  Longer lines of Fourier and real Hartley axes are split: n =
-n1 n2 makes the axis two axes, with a factor for each cell between the transforms of the one and of the other, so that
-two exchanges and tasks of n1 and n2 cells do what one task of n would.  Longer lines of real-to-real kinds are extended
-to the symmetric lines whose Fourier transform holds theirs.
+A line is transformed by one task, up to ``LINE_CELLS``.  Longer Fourier lines are split: n = n1 n2 makes the axis two
+axes, with a factor for each cell between the transforms of the one and of the other, so that two exchanges and tasks of
+n1 and n2 cells do what one task of n would.  Lines of prime length are convolutions with a chirp, which are made of
+transforms of a power of two.  Real lines of even length are split as complex lines of half their length, and Hartley and
+real-to-real ones are made of these, or of complex lines of the same length.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextvars import ContextVar
 from dataclasses import dataclass
 
@@ -29,6 +30,7 @@ from ..functions import kernels
 from ..functions.kernels import Step
 from ..operators.array import DTYPES, NDArray
 from ..operators.norms import norm_of, squares
+from . import lines
 from .layout import Layout
 
 #: Cells of the largest slab, cells of an array that may be one slab, groups wanted beside that, and cells of a line
@@ -147,13 +149,10 @@ def apply_steps(array: NDArray, steps: list[Step], shape_after: dict[int, int],
     if _becomes_complex(array.complex, steps) != complex_after:
         raise TransformError("the steps don't lead to the kind of result that was asked for")
     for n, step in enumerate(steps):
-        if step[0] in kernels.R2R_KINDS and array.shape[step[1]] > tuning.line:
+        if max(array.shape[step[1]], shape_after.get(step[1], 0) if step[0] == "crfft" else 0) > max(tuning.line, 3):
             before = _staged(array, steps[:n], shape_after, 1.0, tuning)
-            return apply_steps(_long_r2r(before, step, tuning), steps[n + 1 :], shape_after, complex_after, scale, tuning)
-        if (parts := _split(array, step, shape_after, tuning)) is not None:
-            before = _staged(array, steps[:n], shape_after, 1.0, tuning)
-            long = _long_line(before, step, shape_after, parts, tuning)
-            return apply_steps(long, steps[n + 1 :], shape_after, complex_after, scale, tuning)
+            if (long := _long_step(before, step, shape_after, tuning)) is not None:
+                return apply_steps(long, steps[n + 1 :], shape_after, complex_after, scale, tuning)
     return _staged(array, steps, shape_after, scale, tuning)
 
 
@@ -193,102 +192,202 @@ def _staged(array: NDArray, steps: list[Step], shape_after: dict[int, int], scal
     return array.with_df(df.select(*array.coords, *values), layout=array.layout.with_shape(tuple(shape)), dtype=dtype)
 
 
-def _split(array: NDArray, step: Step, shape_after: dict[int, int], tuning: Tuning) -> tuple[int, int] | None:
-    """The two most even factors of a line that is too long for a task; None if it isn't, or can't be split."""
-    name, axis, _ = step
-    n = shape_after[axis] if name == "crfft" else array.shape[axis]
-    if n <= tuning.line or name not in ("fft", "rfft", "crfft", "dht") or name == "dht" and array.complex:
-        return None
+def _factors(n: int) -> tuple[int, int] | None:
+    """The two most even factors, if ``n`` has any."""
     n1 = next(d for d in range(math.isqrt(n), 0, -1) if n % d == 0)
     return (n1, n // n1) if n1 > 1 else None
 
 
-def _long_line(array: NDArray, step: Step, shape_after: dict[int, int], parts: tuple[int, int], tuning: Tuning) -> NDArray:
-    """A step along an axis whose lines are split: index n2 a + b becomes c + n1 d.
-
-    Real steps are made of complex ones: a half spectrum is cut from the whole one, or mirrored to it.
-    """
+def _long_step(array: NDArray, step: Step, shape_after: dict[int, int], tuning: Tuning) -> NDArray | None:
+    """A step along an axis whose lines are too long for a task, in several stages; None if they aren't too long."""
     name, axis, parameter = step
+    n = shape_after[axis] if name == "crfft" else array.shape[axis]
+    if n <= max(tuning.line, 3):
+        return None
+    if name == "fft":
+        return _long_fft(array, axis, parameter, tuning)
+    if array.complex and name != "crfft":
+        return _by_parts(array, lambda a: _long_step(a, step, shape_after, tuning))
+    if name in kernels.R2R_KINDS:
+        return _long_r2r(array, name, axis, tuning)
+    if name == "dht":
+        return _mirrored(_long_rfft(array, axis, -1, tuning), array, axis, lambda re, im: (re - im, re + im), array.dtype)
+    return _long_rfft(array, axis, parameter, tuning) if name == "rfft" else _long_crfft(array, axis, n, 1 if parameter > 0 else -1, tuning)
+
+
+def _typed(df: DataFrame, array: NDArray, axis: int, extent: int, dtype: str) -> NDArray:
+    """A table of values in double as an array like ``array`` with another extent and type."""
+    shape = tuple(extent if k == axis else m for k, m in enumerate(array.shape))
+    values = ["re", "im"] if dtype.startswith("c") else ["v"]
+    return array.with_df(df.select(*[F.col(c).cast("long").alias(c) for c in array.coords], *[F.col(v).cast(DTYPES[dtype]).alias(v) for v in values]), layout=array.layout.with_shape(shape), dtype=dtype)
+
+
+def _by_parts(array: NDArray, f: Callable[[NDArray], NDArray]) -> NDArray:
+    """A real transform of both parts of a complex array, as one more batch axis."""
+    up = {f"x{k}": f"x{k + 1}" for k in range(len(array.extra))}
+    part = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("p"), F.col(v).alias("v")) for i, v in enumerate(array.values)])).alias("_part")
+    df = array.table().select(*array.coords, part).withColumnsRenamed(up).select("*", F.col("_part.p").alias("x0"), F.col("_part.v").alias("v"))
+    out = f(NDArray(df, array.layout, (2, *array.extra), "f64" if array.dtype == "c128" else "f32"))
+    down = out.df.withColumnRenamed("x0", "_p").withColumnsRenamed({new: old for old, new in up.items()})
+    joined = down.groupBy(*array.coords).agg(*[F.max(F.when(F.col("_p") == i, F.col("v"))).alias(v) for i, v in enumerate(array.values)])
+    return array.with_df(joined, layout=array.layout.with_shape(out.shape))
+
+
+def _dealt(df: DataFrame, keys: list[str], local: list[str], values: list[str], work: Callable[[list[np.ndarray]], list[np.ndarray]], names: list[str], axis: int) -> DataFrame:
+    """One exchange: whole groups of ``keys``, sorted by ``local``, through ``work``; values are the last names."""
+    made = len(names) - (2 if names[-1] == "im" else 1)
+    schema = ", ".join(f"{c} {'long' if k < made else 'double'}" for k, c in enumerate(names))
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *local).select(*keys, *local, *values)
+    out = rows.mapInArrow(lines.by_groups(len(keys), work, names), schema)
+    if (seen := stages_seen.get()) is not None:
+        seen.append(((axis,), out))
+    return out
+
+
+def _long_fft(array: NDArray, axis: int, sign: int, tuning: Tuning) -> NDArray:
+    """Index n2 a + b becomes c + n1 d, if the length has factors; else the line is a convolution."""
+    n, c = array.shape[axis], f"i{axis}"
+    if (parts := _factors(n)) is None:
+        return _chirped(array, axis, sign, tuning)
     n1, n2 = parts
-    n, c = n1 * n2, f"i{axis}"
-    sign = {"fft": parameter, "rfft": parameter, "dht": -1}.get(name, 1 if parameter > 0 else -1)
-    df = array.table()
-    if name in ("rfft", "dht"):
-        df = df.withColumnsRenamed({"v": "re"}).withColumn("im", F.lit(0.0))
-    if name == "crfft":
-        own = (F.col(c) == 0) | (2 * F.col(c) == n)
-        cell = lambda i, im: F.struct(i.alias("i"), im.alias("im"))
-        both = F.when(own, F.array(cell(F.col(c), F.lit(0.0)))).otherwise(F.array(cell(F.col(c), F.col("im").cast("double")), cell(n - F.col(c), -F.col("im").cast("double"))))
-        df = df.withColumn("_to", F.explode(both)).select(*[x for x in array.coords if x != c], "re", F.col("_to.i").alias(c), F.col("_to.im").alias("im"))
     later = {f"i{k}": f"i{k + 1}" for k in range(axis + 1, array.rank)}
     names = [x for x in array.coords if x != c]
     shape = (*array.shape[:axis], n1, n2, *array.shape[axis + 1 :])
-    df = df.select(*[F.col(x).alias(later.get(x, x)) for x in names], F.expr(f"{c} div {n2}").alias(c), (F.col(c) % n2).alias(f"i{axis + 1}"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
-    two = NDArray(df, Layout.of(shape), array.extra, "c128")
-    two = apply_steps(two, [("fft", axis, sign)], {}, True, 1.0, tuning)
+    df = array.table().select(*[F.col(x).alias(later.get(x, x)) for x in names], F.expr(f"{c} div {n2}").alias(c), (F.col(c) % n2).alias(f"i{axis + 1}"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
+    two = apply_steps(NDArray(df, Layout.of(shape), array.extra, "c128"), [("fft", axis, sign)], {}, True, 1.0, tuning)
     turn = F.lit(sign * 2 * math.pi / n) * ((F.col(c) * F.col(f"i{axis + 1}")) % n)
-    turned = two.df.select(*two.coords, (F.col("re") * F.cos(turn) - F.col("im") * F.sin(turn)).alias("re"), (F.col("im") * F.cos(turn) + F.col("re") * F.sin(turn)).alias("im"))
-    two = apply_steps(two.with_df(turned), [("fft", axis + 1, sign)], {}, True, 1.0, tuning)
+    two = apply_steps(two.with_df(two.df.select(*two.coords, *_turned(turn))), [("fft", axis + 1, sign)], {}, True, 1.0, tuning)
     df = two.df.select(*[F.col(later.get(x, x)).alias(x) for x in names], (F.col(c) + n1 * F.col(f"i{axis + 1}")).alias(c), "re", "im")
-    after = n
-    if name == "rfft":
-        after = shape_after[axis]
-        df = df.filter(F.col(c) < after)
-    if name == "crfft":
-        df = df.withColumnsRenamed({"re": "v"})
-    if name == "dht":
-        df = df.withColumn("v", F.col("re") - F.col("im"))
-    dtype = _dtype(array, _becomes_complex(array.complex, [step]))
-    out = array.with_df(df, layout=array.layout.with_shape(tuple(after if k == axis else m for k, m in enumerate(array.shape))), dtype=dtype)
-    return out.with_df(df.select(*out.coords, *[F.col(v).cast(DTYPES[dtype]).alias(v) for v in out.values]))
-
-
-def _extension(kind: str, n: int, j: Column) -> tuple[list[tuple[Column, Column]], list[tuple[int, int, int]], Column]:
-    """Where cell ``j`` of a line stands in the symmetric line of ``embedding_length``, each time with a factor; runs of
-    places that hold 0 (first, count, step); and which cell of the transform a place is, null for none."""
-    m, sign, p = kernels.embedding_length(kind, n), -1.0 if kernels.is_dst(kind) else 1.0, F.col("_p")
-    one, mirrored = F.lit(1.0), F.lit(sign)
-    inside = F.when(p.between(1, n), p - 1) if sign < 0 else F.when(p < n, p)
-    between = F.when((p % 2 == 1) & (p < 2 * n), F.expr("_p div 2"))
-    if kind == "dct1":
-        return [(j, one), (F.when((j > 0) & (j < n - 1), m - j), one)], [], inside
-    if kind == "dst1":
-        return [(j + 1, one), (m - 1 - j, mirrored)], [(0, 1, 1), (n + 1, 1, 1)], inside
-    if kind == "dct3":
-        return [(j, one), (F.when(j > 0, m - j), one)], [(n, 2 * n + 1, 1)], between
-    if kind == "dst3":
-        last = F.when(j == n - 1, 0.5).otherwise(1.0)
-        return [(j + 1, last), (m - 1 - j, -last)], [(0, 1, 1), (n + 1, 2 * n - 1, 1)], between
-    zeros = [(0, 2 * n, 2)] if kind in ("dct2", "dst2") else [(0, 4 * n, 2), (2 * n + 1, 2 * n, 2)]
-    return [(2 * j + 1, one), (m - 1 - 2 * j, mirrored)], zeros, inside if kind in ("dct2", "dst2") else between
+    return _typed(df, array, axis, n, array.dtype)
+
+
+def _turned(angle: Column, re: Column | None = None, im: Column | None = None) -> list[Column]:
+    """re and im times exp(i angle)."""
+    re, im = F.col("re") if re is None else re, F.col("im") if im is None else im
+    return [(re * F.cos(angle) - im * F.sin(angle)).alias("re"), (im * F.cos(angle) + re * F.sin(angle)).alias("im")]
+
 
+def _chirp(j: Column, n: int, sign: int) -> Column:
+    """The angle sign pi j**2 / n."""
+    return F.lit(sign * math.pi / n) * ((j * j) % (2 * n))
 
-def _nothing(run: tuple[int, int, int], j: Column, n: int) -> Column:
-    """The share of cell ``j`` of ``n`` in a run of places that hold 0."""
-    first, count, by = run
-    mine = F.filter(F.sequence(j, F.greatest(j, F.lit(count - 1).cast("long")), F.lit(n).cast("long")), lambda z: z < count)
-    return F.transform(mine, lambda z: F.struct((first + by * z).cast("long").alias("p"), F.lit(0.0).alias("f")))
 
+def _chirped(array: NDArray, axis: int, sign: int, tuning: Tuning) -> NDArray:
+    """A line of prime length: times a chirp, convolved with the chirp's conjugate, times the chirp (chirp-z).
 
-def _long_r2r(array: NDArray, step: Step, tuning: Tuning) -> NDArray:
-    """A real-to-real kind along an axis of long lines, by the Fourier transform of symmetric ones."""
-    kind, axis, _ = step
+    The convolution is a product of transforms of ``m`` cells, a power of two, which are split as any long line.
+    """
     n, c = array.shape[axis], f"i{axis}"
-    copies, zeros, cell = _extension(kind, n, F.col(c))
-    at = lambda p, f: F.struct(p.cast("long").alias("p"), f.alias("f"))
-    cells = F.filter(F.array(*[at(p, f) for p, f in copies]), lambda x: x["p"].isNotNull())
-    for run in zeros:
-        cells = F.concat(cells, _nothing(run, F.col(c), n))
-    df = array.table() if array.complex else array.table().withColumnsRenamed({"v": "re"}).withColumn("im", F.lit(0.0))
-    df = df.withColumn("_to", F.explode(cells))
+    m = 1 << (2 * n - 2).bit_length()
+    names = [x for x in array.coords if x != c]
+    cells = F.concat(F.array(F.col(c)), F.filter(F.sequence(F.lit(n) + F.col(c), F.greatest(F.lit(n) + F.col(c), F.lit(m - 1).cast("long")), F.lit(n).cast("long")), lambda z: z < m))
+    own = F.col("_at") == F.col(c)
+    filled = array.table().select(*array.coords, *_turned(_chirp(F.col(c), n, sign), F.col("re").cast("double"), F.col("im").cast("double")), F.explode(cells).alias("_at"))
+    filled = filled.select(*names, *[F.when(own, F.col(v)).otherwise(F.lit(0.0)).alias(v) for v in ("re", "im")], F.col("_at").alias(c))
+    shape = tuple(m if k == axis else x for k, x in enumerate(array.shape))
+    a = apply_steps(NDArray(filled, Layout.of(shape), array.extra, "c128"), [("fft", axis, -1)], {}, True, 1.0, tuning)
+    near = F.least(F.col("i0"), m - F.col("i0"))
+    ring = NDArray.grid(array.df.sparkSession, Layout.of((m,)))
+    ring = ring.select("i0", *[F.when(near < n, x).otherwise(F.lit(0.0)).alias(v) for v, x in (("re", F.cos(_chirp(near, n, sign))), ("im", -F.sin(_chirp(near, n, sign))))])
+    b = apply_steps(NDArray(ring, Layout.of((m,)), (), "c128"), [("fft", 0, -1)], {}, True, 1.0, tuning)
+    other = b.df.select(F.col("i0").alias(c), F.col("re").alias("_re"), F.col("im").alias("_im"))
+    product = a.df.join(other, c).select(*a.coords, (F.col("re") * F.col("_re") - F.col("im") * F.col("_im")).alias("re"), (F.col("re") * F.col("_im") + F.col("im") * F.col("_re")).alias("im"))
+    out = apply_steps(a.with_df(product), [("fft", axis, 1)], {}, True, 1.0 / m, tuning)
+    return _typed(out.df.filter(F.col(c) < n).select(*out.coords, *_turned(_chirp(F.col(c), n, sign))), array, axis, n, array.dtype)
+
+
+def _long_rfft(array: NDArray, axis: int, sign: int, tuning: Tuning) -> NDArray:
+    """The half spectrum of long real lines: of even ones by complex lines of half their length."""
+    n, c, dtype = array.shape[axis], f"i{axis}", _dtype(array, True)
+    names = [x for x in array.coords if x != c]
+    parts = _factors(n // 2) if n % 2 == 0 else None
+    if parts is None or 2 * parts[1] > tuning.line:
+        whole = array.table().select(*array.coords, F.col("v").cast("double").alias("re"), F.lit(0.0).alias("im"))
+        out = apply_steps(NDArray(whole, array.layout, array.extra, "c128"), [("fft", axis, sign)], {}, True, 1.0, tuning)
+        return _typed(out.df.filter(F.col(c) <= n // 2), array, axis, n // 2 + 1, dtype)
+    n1, n2 = parts
+    j = F.expr(f"{c} div 2")
+    df = array.table().select(*names, (j % n2).alias("_b"), (2 * F.expr(f"({c} div 2) div {n2}") + F.col(c) % 2).alias("_a"), F.col("v").cast("double").alias("v"))
+    k = len(names)
+    df = _dealt(df, [*names, "_b"], ["_a"], ["v"], lambda x: lines.pack(x, k + 1, n1, n // 2), [*names, "_b", "_c", "re", "im"], axis)
+    df = df.withColumn("_g", F.least("_c", n1 - F.col("_c")))
+    df = _dealt(df.withColumn("_g", F.when(F.col("_c") == 0, F.lit(0).cast("long")).otherwise(F.col("_g"))), [*names, "_g"], ["_c", "_b"], ["re", "im"], lambda x: lines.unpack(x, k + 1, n1, n2, sign), [*names, c, "re", "im"], axis)
+    return _typed(df, array, axis, n // 2 + 1, dtype)
+
+
+def _long_crfft(array: NDArray, axis: int, n: int, sign: int, tuning: Tuning) -> NDArray:
+    """Real lines from their long half spectra; imaginary parts of the first and, if ``n`` is even, last cell are 0."""
+    c, dtype = f"i{axis}", _dtype(array, False)
     names = [x for x in array.coords if x != c]
-    long = df.select(*names, F.col("_to.p").alias(c), (F.col("re") * F.col("_to.f")).alias("re"), (F.col("im") * F.col("_to.f")).alias("im"))
-    shape = tuple(kernels.embedding_length(kind, n) if k == axis else m for k, m in enumerate(array.shape))
-    out = apply_steps(NDArray(long, Layout.of(shape), array.extra, "c128"), [("fft", axis, -1)], {}, True, 1.0, tuning)
-    picked = out.df.withColumnsRenamed({c: "_p"}).withColumn(c, cell).filter(F.col(c).isNotNull())
-    turned = (-F.col("im"), F.col("re")) if kernels.is_dst(kind) else (F.col("re"), F.col("im"))
-    values = [x.cast(DTYPES[array.dtype]).alias(v) for x, v in zip(turned, ["re", "im"] if array.complex else ["v"], strict=False)]
-    return array.with_df(picked.select(*names, F.col(c).cast("long").alias(c), *values).select(*array.coords, *array.values))
+    parts = _factors(n // 2) if n % 2 == 0 else None
+    if parts is None or 2 * parts[1] > tuning.line:
+        own = (F.col(c) == 0) | (2 * F.col(c) == n)
+        cell = lambda i, im: F.struct(i.alias("i"), im.alias("im"))
+        both = F.when(own, F.array(cell(F.col(c), F.lit(0.0)))).otherwise(F.array(cell(F.col(c), F.col("im").cast("double")), cell(n - F.col(c), -F.col("im").cast("double"))))
+        df = array.table().withColumn("_to", F.explode(both)).select(*names, F.col("re").cast("double").alias("re"), F.col("_to.i").alias(c), F.col("_to.im").alias("im"))
+        shape = tuple(n if k == axis else m for k, m in enumerate(array.shape))
+        out = apply_steps(NDArray(df, Layout.of(shape), array.extra, "c128"), [("fft", axis, sign)], {}, True, 1.0, tuning)
+        return _typed(out.df.withColumnRenamed("re", "v"), array, axis, n, dtype)
+    n1, n2 = parts
+    last = 2 * F.col(c) == n
+    df = array.table().select(*names, F.when(last, F.lit(0).cast("long")).otherwise(F.col(c) % n2).alias("_b"), F.expr(f"{c} div {n2}").alias("_a"), *[F.col(v).cast("double").alias(v) for v in ("re", "im")])
+    df = df.withColumn("_g", F.when(F.col("_b") == 0, F.lit(0).cast("long")).otherwise(F.least("_b", n2 - F.col("_b"))))
+    k = len(names)
+    df = _dealt(df, [*names, "_g"], ["_b", "_a"], ["re", "im"], lambda x: lines.back(x, k + 1, n1, n2, sign), [*names, "_c", "_b", "re", "im"], axis)
+    df = _dealt(df, [*names, "_c"], ["_b"], ["re", "im"], lambda x: lines.unfold(x, k + 1, n1, n2), [*names, c, "v"], axis)
+    return _typed(df, array, axis, n, dtype)
+
+
+def _mirrored(half: NDArray, array: NDArray, axis: int, values: Callable[[Column, Column], tuple[Column, Column]], dtype: str) -> NDArray:
+    """Real cells k and n - k from cell k of a half spectrum: ``values`` gives both."""
+    n, c = array.shape[axis], F.col(f"i{axis}")
+    here, there = values(F.col("re").cast("double"), F.col("im").cast("double"))
+    cell = lambda i, v: F.struct(i.alias("i"), v.alias("v"))
+    both = F.when((c == 0) | (2 * c == n), F.array(cell(c, here))).otherwise(F.array(cell(c, here), cell(n - c, there)))
+    names = [x for x in half.coords if x != f"i{axis}"]
+    df = half.df.select(*names, F.explode(both).alias("_to")).select(*names, F.col("_to.i").alias(f"i{axis}"), F.col("_to.v").alias("v"))
+    return _typed(df, array, axis, n, dtype)
+
+
+def _long_r2r(array: NDArray, kind: str, axis: int, tuning: Tuning) -> NDArray:
+    """A real-to-real kind along an axis of long real lines, by Fourier transforms of about their length.
+
+    The kernels' ways, with the reordering of cells as a projection.  dct1 and dst1 are half spectra of symmetric lines.
+    """
+    n, c = array.shape[axis], f"i{axis}"
+    i, names, v = F.col(c), [x for x in array.coords if x != c], F.col("v").cast("double")
+    if kind in ("dst2", "dst3", "dst4"):
+        # the cosine kind of the line with alternating signs, or of the reversed one
+        turn = lambda x, flip: x.df.select(*names, (n - 1 - i if flip else i).alias(c), (F.col("v") * (F.lit(1) if flip else F.expr(f"1 - 2 * ({c} % 2)"))).alias("v"))
+        cosine = _long_r2r(_typed(turn(array, kind != "dst2"), array, axis, n, array.dtype), kind.replace("s", "c"), axis, tuning)
+        return _typed(turn(cosine, kind == "dst2"), array, axis, n, array.dtype)
+    if kind in ("dct1", "dst1"):
+        m, odd = kernels.embedding_length(kind, n), int(kind == "dst1")
+        cell = lambda p, f: F.struct(p.cast("long").alias("p"), f.alias("f"))
+        places = [cell(i + odd, v), cell(m - i - odd, -v if odd else v)]
+        cells = F.array(*places) if odd else F.when((i == 0) | (i == n - 1), F.array(places[0])).otherwise(F.array(*places))
+        if odd:  # the two cells that are 0 come with the first one
+            cells = F.when(i == 0, F.concat(cells, F.array(*[cell(F.lit(z), F.lit(0.0)) for z in (0, n + 1)]))).otherwise(cells)
+        long = array.table().select(*names, F.explode(cells).alias("_to")).select(*names, F.col("_to.p").alias(c), F.col("_to.f").alias("v"))
+        half = apply_steps(_typed(long, array, axis, m, "f64"), [("rfft", axis, -1)], {axis: m // 2 + 1}, True, 1.0, tuning)
+        df = half.df.filter(i.between(1, n)).select(*names, (i - 1).alias(c), (-F.col("im")).alias("v")) if odd else half.df.select(*names, c, F.col("re").alias("v"))
+        return _typed(df, array, axis, n, array.dtype)
+    evens = (n + 1) // 2
+    if kind == "dct2":
+        placed = array.table().select(*names, F.when(i % 2 == 0, F.expr(f"{c} div 2")).otherwise(n - 1 - F.expr(f"{c} div 2")).alias(c), v.alias("v"))
+        half = apply_steps(_typed(placed, array, axis, n, "f64"), [("rfft", axis, -1)], {axis: n // 2 + 1}, True, 1.0, tuning)
+        angle = F.lit(-math.pi / (2 * n)) * i
+        return _mirrored(half, array, axis, lambda re, im: (2 * _turned(angle, re, im)[0], -2 * _turned(angle, re, im)[1]), array.dtype)
+    # dct3 and dct4: complex lines, of whose transform the real part is wanted
+    angle, share = (F.lit(math.pi / (2 * n)) * i, F.when(i == 0, 0.5).otherwise(1.0)) if kind == "dct3" else (F.lit(-math.pi / (2 * n)) * i, F.lit(1.0))
+    turned = array.table().select(*array.coords, *_turned(angle, v * share, F.lit(0.0)))
+    out = apply_steps(NDArray(turned, Layout.of(array.shape), array.extra, "c128"), [("fft", axis, 1 if kind == "dct3" else -1)], {}, True, 1.0, tuning)
+    if kind == "dct3":
+        df = out.df.select(*names, F.when(i < evens, 2 * i).otherwise(2 * (n - 1 - i) + 1).alias(c), (2 * F.col("re")).alias("v"))
+    else:
+        after = _turned(F.lit(-math.pi / (4 * n)) * (4 * i + 1))[0]
+        df = out.df.select(*names, F.when(i < evens, 2 * i).otherwise(2 * (n - 1 - i) + 1).alias(c), (F.when(i < evens, 2.0).otherwise(-2.0) * after).alias("v"))
+    return _typed(df, array, axis, n, array.dtype)
 
 
 def ends(array: NDArray, axis: int, n: int) -> NDArray:

@@ -1,6 +1,6 @@
 """Transform plans over dense arrays.
 
-A plan is built once for a shape and is a function from arrays to lazy arrays.  ``forward`` and ``backward`` are raw,
+A plan is built once for a shape and is a function from arrays, of cells or of tiles, to lazy arrays of the same form.  ``forward`` and ``backward`` are raw,
 ``inverse`` is ``backward`` divided by the product of the factors of the transformed axes.  Axes that aren't selected
 pass through untouched and cost no exchange.  Batch axes are independent, and a collection is one more batch axis.
 """
@@ -22,7 +22,9 @@ from .._ship import ship
 from ..errors import AxisError, CollectionError, InvalidSpectrum, TransformError, WrongState
 from ..functions import kernels
 from ..functions.kernels import Step
+from ..operators import tiles
 from ..operators.array import NDArray
+from ..operators.tiles import Tiles
 from .layout import Layout
 from .stages import Tuning, apply_steps, check_boundary, ends, rejected, stage_axes, stages_seen
 
@@ -122,13 +124,20 @@ class Plan:
         """The kernels have no options."""
         return {}
 
-    def _apply(self, array: NDArray, steps: list[Step], shape_after: dict[int, int], complex_after: bool, scale: float = 1.0) -> NDArray:
-        return apply_steps(array, steps, shape_after, complex_after, scale, self.options.tuning)
+    def _apply(self, array: NDArray | Tiles, steps: list[Step], shape_after: dict[int, int], complex_after: bool, scale: float = 1.0) -> NDArray | Tiles:
+        run = tiles.apply_steps if isinstance(array, Tiles) else apply_steps
+        return run(array, steps, shape_after, complex_after, scale, self.options.tuning)
 
     def _real_planes(self, array: NDArray, steps: list[Step], axis: int, n: int, limits: tuple[float, float]) -> NDArray:
         """A half spectrum after ``steps`` along other axes than the real one, checked at the planes that must be real."""
+        if isinstance(array, Tiles):
+            return tiles.checked(self._apply(array, steps, {}, True), self._bad_planes(array, steps, axis, n, limits))
         return check_boundary(self._apply(array, steps, {}, True), self._apply(ends(array, axis, n), steps, {}, True), axis, n, *limits)
 
+    def _bad_planes(self, array: NDArray | Tiles, steps: list[Step], axis: int, n: int, limits: tuple[float, float]) -> DataFrame:
+        planes = tiles.ends(array, axis, n) if isinstance(array, Tiles) else ends(array, axis, n)
+        return rejected(self._apply(planes, steps, {}, True), axis, n, *limits)
+
     def _spectrum(self, array: NDArray, operation: str) -> tuple[list[Step], int, int, tuple[float, float]]:
         """Of an operation that takes a half spectrum: steps before the check, real axis, real length, and limits."""
         raise TransformError("the plan takes no half spectrum")
@@ -136,7 +145,7 @@ class Plan:
     def check_spectrum(self, array: NDArray, operation: str = "inverse") -> NDArray:
         """The array, if ``operation`` takes it (runs a job over the planes that must be real)."""
         steps, axis, n, limits = self._spectrum(array, operation)
-        bad = rejected(self._apply(ends(array, axis, n), steps, {}, True), axis, n, *limits).first()[0]
+        bad = self._bad_planes(array, steps, axis, n, limits).first()[0]
         if bad:
             raise InvalidSpectrum(f"{bad} planes of the half spectrum that must be real aren't")
         return array

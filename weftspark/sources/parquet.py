@@ -2,12 +2,13 @@
 
 Cells are dealt by range of their position and sorted before they are written, so row groups cover narrow coordinate
 ranges and filters on coordinates skip them.  Positions of a dense array are known, so the ranges are arithmetic and
-nothing is sampled.  The description is written last, as the commit mark.
+nothing is sampled.  An array of tiles is kept as such.  The description is written last, as the commit mark.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..errors import IoError
 from ..operators.array import NDArray
+from ..operators.tiles import Tiles, Tiling
 from ..plans.layout import Layout
 from ..plans.transforms import stack, unstack
 from .files import MAX_DATASETS, MAX_NAME
@@ -60,15 +62,45 @@ def write(array: NDArray, path: str, options: Options = Options()) -> None:
     spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{path}/_about")
 
 
-def read(spark: SparkSession, path: str) -> NDArray:
+def _about(spark: SparkSession, path: str) -> dict:
     try:
-        about = json.loads(spark.read.text(f"{path}/_about").first()[0])
+        return json.loads(spark.read.text(f"{path}/_about").first()[0])
     except (AnalysisException, TypeError):
         raise IoError(f"{path} holds no committed array") from None
+
+
+def read(spark: SparkSession, path: str) -> NDArray:
+    about = _about(spark, path)
+    if "chunk" in about:
+        return read_tiles(spark, path).to_cells()
     layout = Layout.of(about["shape"], about["grid"], about["axes"], about["permutation"])
     return NDArray(spark.read.parquet(path), layout, tuple(about["extra"]), about["dtype"])
 
 
+def write_tiles(tiles: Tiles, path: str, options: Options = Options()) -> None:
+    """Tiles in the order of their blocks; filters on ``block_id`` skip row groups."""
+    spark = tiles.df.sparkSession
+    partitions = options.partitions or max(1, min(MOST_FILES, -(-tiles.cells // FILE_CELLS)))
+    span = max(1, -(-math.prod(tiles.tiling.counts) // partitions))
+    rows = tiles.df.select("block_id", "origin", "extent", *tiles.values).repartitionById(partitions, F.expr(f"cast(pmod(block_id div {span}, {partitions}) as int)"))
+    writer = rows.sortWithinPartitions("block_id").write.mode("errorifexists").option("compression", options.codec)
+    if options.row_group_bytes:
+        writer = writer.option("parquet.block.size", options.row_group_bytes)
+    writer.parquet(path)
+    layout = tiles.layout
+    about = {"shape": layout.shape, "grid": layout.grid.shape, "axes": layout.decomposition.axes, "permutation": layout.permutation.axes, "extra": tiles.extra, "dtype": tiles.dtype, "chunk": tiles.tiling.chunk}
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{path}/_about")
+
+
+def read_tiles(spark: SparkSession, path: str) -> Tiles:
+    about = _about(spark, path)
+    if "chunk" not in about:
+        raise IoError(f"{path} holds cells, no tiles")
+    layout = Layout.of(about["shape"], about["grid"], about["axes"], about["permutation"])
+    extra = tuple(about["extra"])
+    return Tiles(spark.read.parquet(path), layout, Tiling((*extra, *layout.shape), tuple(about["chunk"])), extra, about["dtype"])
+
+
 def _part(name: str) -> str:
     raw = name.encode()
     if not raw or len(raw) > MAX_NAME or b"\0" in raw:

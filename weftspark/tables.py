@@ -2,7 +2,9 @@
 
 * EMB: ``embeddings`` as [vectors, dimensions];
 * EVT: ``events`` as batch [event types] x [days, hours], summed and zero-filled;
-* LIN: ``lineitem`` as [line numbers, months, suppliers modulo 8], summed and zero-filled.
+* LIN: ``lineitem`` as [line numbers, months, suppliers modulo 8], summed and zero-filled;
+* ORD: ``lineitem`` as [orders, line numbers, 2] of quantity and discount, zero-filled; it grows with the table;
+* OUT: ``embeddings`` as [vectors, dimensions, dimensions] of products of two dimensions; it grows with the table.
 """
 
 from __future__ import annotations
@@ -55,3 +57,19 @@ def lin(spark: SparkSession, sf_dir: str, dtype: str = "f64", grid=(1,)) -> NDAr
     rows = table(spark, sf_dir, "lineitem")
     cells = rows.groupBy((F.col("l_linenumber") - 1).cast("long").alias("i0"), (F.month("l_shipdate") - 1).cast("long").alias("i1"), (F.col("l_suppkey") % 8).cast("long").alias("i2")).agg(F.sum("l_quantity").alias("v"))
     return NDArray.from_table(cells, Layout.of((7, 12, 8), grid), (), dtype, fill=0)
+
+
+def ord_(spark: SparkSession, sf_dir: str) -> NDArray:
+    """Order keys count the orders; the last axis is summed quantity and summed discount."""
+    rows = table(spark, sf_dir, "lineitem")
+    first, last, lines = rows.agg(F.min("l_orderkey"), F.max("l_orderkey"), F.max("l_linenumber")).first()
+    both = F.explode(F.array(F.struct(F.lit(0).cast("long").alias("i2"), F.col("l_quantity").cast("double").alias("v")), F.struct(F.lit(1).cast("long").alias("i2"), F.col("l_discount").cast("double").alias("v")))).alias("b")
+    cells = rows.select((F.col("l_orderkey") - first).cast("long").alias("i0"), (F.col("l_linenumber") - 1).cast("long").alias("i1"), both).groupBy("i0", "i1", "b.i2").agg(F.sum("b.v").alias("v"))
+    return NDArray.from_table(cells, Layout.of((last - first + 1, lines, 2)), (), "f64", fill=0.0)
+
+
+def outer(spark: SparkSession, sf_dir: str) -> NDArray:
+    a = emb(spark, sf_dir)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i0"), F.posexplode("embedding").alias("i1", "a"), "embedding")
+    cells = rows.select("i0", F.col("i1").cast("long").alias("i1"), "a", F.posexplode("embedding").alias("i2", "b")).select("i0", "i1", F.col("i2").cast("long").alias("i2"), (F.col("a").cast("double") * F.col("b")).alias("v"))
+    return NDArray.from_dense(cells, Layout.of((*a.shape, a.shape[1])), (), "f64")
