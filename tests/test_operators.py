@@ -153,7 +153,6 @@ def test_mapped_integer_sums_are_checked_in_order(spark):
 
 @pytest.mark.parametrize("fan", [2, 3, 4096])
 def test_functions_fold_in_order_through_a_tree(spark, monkeypatch, fan):
-    monkeypatch.setattr(reduce, "PIECE", 3)
     monkeypatch.setattr(reduce, "FAN", fan)
     for grid in ((1,), (5,)):
         a = NDArray.from_fn(spark, Layout.of((40,), grid), lambda c: c["i0"].cast("double"))

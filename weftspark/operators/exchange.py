@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..errors import RemapError, TransposeError
 from ..plans.layout import Layout
+from ..plans.measure import measured
 from .array import MultiLayout, NDArray
 
 
@@ -98,15 +99,14 @@ class Transpose:
         return moved.groupBy("source", "target").agg(F.count(F.lit(1)).alias("cells"))
 
     def with_timing(self, array: NDArray) -> tuple[DataFrame, dict[str, float]]:
-        """``materialise``, and the seconds of jobs that only name the new blocks (``pack``), of what the exchange adds to
-        that (``exchange``), and of both (``total``)."""
+        """``materialise``, and what Spark measured of one run of it: seconds up to the exchange's write (``pack``), of
+        reading from it (``exchange``) and of the whole (``total``), and the ``rows`` and ``bytes`` that it moved."""
         out = self.materialise(array)
-        took = []
-        for df in (self.apply(array).with_block(), out):
-            began = time.perf_counter()
-            df.write.format("noop").mode("overwrite").save()
-            took.append(time.perf_counter() - began)
-        return out, {"pack": took[0], "exchange": max(0.0, took[1] - took[0]), "total": took[1]}
+        began = time.perf_counter()
+        uses = measured(out)
+        total = time.perf_counter() - began
+        written, read = [u for u in uses if u.rows_written], uses[-1:]
+        return out, {"pack": sum(u.seconds for u in written), "exchange": sum(u.seconds for u in read), "total": total, "rows": sum(u.rows_read for u in read), "bytes": sum(u.bytes_read for u in read)}
 
     def with_callback(self, array: NDArray, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """``f`` becomes the next narrow step over the moved cells."""

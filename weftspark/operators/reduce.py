@@ -13,15 +13,17 @@ What a query finds wrong with the data is raised when it runs; inside ``errors.t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ReductionError
 from .array import DTYPES, NDArray
 from .norms import norm_of, squares
 from .pointwise import aligned, batch_shape
+from .tiles import Tiles
 
 _INTS = {"i8": (-(2**7), 2**7 - 1), "u8": (0, 2**8 - 1), "i16": (-(2**15), 2**15 - 1), "u16": (0, 2**16 - 1), "i32": (-(2**31), 2**31 - 1), "u32": (0, 2**32 - 1), "i64": (-(2**63), 2**63 - 1), "u64": (0, 2**64 - 1)}
 _INF = float("inf")
@@ -46,34 +48,57 @@ def int_sum(v: Column, dtype: str) -> Column:
     return F.when(inside, total).otherwise(F.raise_error(F.lit(OVERFLOW)).cast("decimal(38,0)")).cast(DTYPES[dtype])
 
 
-#: Cells folded in order by one task; longer blocks are folded in pieces that keep to the order.
-PIECE = 1 << 16
-#: Results of pieces that one task folds.
+#: Cells, or results, that are listed and folded together.
 FAN = 1 << 12
 
 
+def _in_order(parts: DataFrame, keys: list[str], order: str, value: Column, fold: Callable[[Column], Column], most: int) -> DataFrame:
+    """Fold ``value`` over ``order``, which counts from 0 up to ``most`` at most, for each of ``keys``: runs of ``FAN`` at a
+    time, then runs of these, so no task ever lists more.  Gives keys and ``v``."""
+    out = parts.select(*keys, F.col(order).alias("n"), value.alias("v"))
+    while True:
+        listed = out.groupBy(*keys, F.expr(f"n div {FAN}").alias("n")).agg(F.array_sort(F.collect_list(F.struct("n", "v"))).alias("parts"))
+        out, most = listed.select(*keys, "n", fold(F.col("parts")["v"]).alias("v")), -(-most // FAN)
+        if most <= 1:
+            return out.select(*keys, "v")
+
+
+def _from_first(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Fold an array that isn't empty, starting from its first element."""
+    return F.aggregate(F.slice(values, 2, F.size(values)), values[0], step)
+
+
+_WIDE = "decimal(38,0)"
+
+
+def _sums(total: Column, lowest: Column, highest: Column) -> Column:
+    return F.struct(total.cast(_WIDE).alias("s"), lowest.cast(_WIDE).alias("lo"), highest.cast(_WIDE).alias("hi"))
+
+
+def _after(a: Column, b: Column) -> Column:
+    """Sum, lowest and highest partial sum of one run after another; associative."""
+    return _sums(a["s"] + b["s"], F.least(a["lo"], a["s"] + b["lo"]), F.greatest(a["hi"], a["s"] + b["hi"]))
+
+
 def ordered_int_sum(array: NDArray, v: Column, dtype: str) -> DataFrame:
     """A checked sum in storage order within each block, then over blocks in their order.
 
-    A block is cut into pieces of consecutive cells.  A piece is summarised by its sum and its lowest and highest
-    partial sums; these compose, so no task folds more than a piece and the driver sees nothing.
+    A run of cells is summarised by its sum and its lowest and highest partial sums; these compose in order, so pieces of
+    a block are folded in a tree, and so are blocks.
     """
-    low, high = (F.lit(x).cast("decimal(38,0)") for x in _INTS[dtype])
-    rows = array.df.select(array.block().alias("block"), array.physical().alias("at"), v.cast("decimal(38,0)").alias("v"))
-    rows = rows.withColumn("piece", F.expr(f"at div {PIECE}"))
-
-    run = Window.partitionBy("block", "piece").orderBy("at")
-    partial = rows.withColumn("p", F.sum("v").over(run))
-    pieces = partial.groupBy("block", "piece").agg(F.sum("v").alias("s"), F.min("p").alias("lo"), F.max("p").alias("hi"))
-    before = Window.partitionBy("block").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("b", F.coalesce(F.sum("s").over(before), F.lit(0)))
-    blocks = pieces.groupBy("block").agg(F.sum("s").alias("s"), F.min(F.col("b") + F.col("lo")).alias("lo"), F.max(F.col("b") + F.col("hi")).alias("hi"))
-    # blocks are as many as the grid has
-    over = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = blocks.withColumn("t", F.sum("s").over(over))
-    ok = F.coalesce((F.min("lo") >= low) & (F.max("hi") <= high) & (F.min("t") >= low) & (F.max("t") <= high), F.lit(True))
-    total = F.coalesce(F.sum("s"), F.lit(0))
-    return blocks.agg(F.when(ok, total).otherwise(F.raise_error(F.lit(OVERFLOW)).cast("decimal(38,0)")).cast(DTYPES[dtype]).alias("value"))
+    low, high = (F.lit(x).cast(_WIDE) for x in _INTS[dtype])
+    rows = array.df.select(array.block().alias("block"), array.physical().alias("at"), v.cast(_WIDE).alias("v"))
+    one = lambda x: _sums(x, x, x)
+    fold = lambda values: _from_first(values, _after)
+    blocks = _in_order(rows, ["block"], "at", one(F.col("v")), fold, array.cells)
+    # blocks keep to their own limits, and so do the sums of the blocks so far
+    inside = blocks.select("block", F.col("v.s").alias("s"), ((F.col("v.lo") >= low) & (F.col("v.hi") <= high)).alias("ok"))
+    both = F.struct(one(F.col("s")).alias("t"), F.col("ok"))
+    together = lambda a, b: F.struct(_after(a["t"], b["t"]).alias("t"), (a["ok"] & b["ok"]).alias("ok"))
+    whole = _in_order(inside.withColumn("all", F.lit(0)), ["all"], "block", both, lambda values: _from_first(values, together), array.layout.grid.size)
+    # of no cells the sum is 0
+    out = whole.agg(F.max("v").alias("v")).select(F.coalesce("v.t.s", F.lit(0).cast(_WIDE)).alias("s"), F.coalesce(F.col("v.ok") & (F.col("v.t.lo") >= low) & (F.col("v.t.hi") <= high), F.lit(True)).alias("ok"))
+    return out.select(F.when(F.col("ok"), F.col("s")).otherwise(F.raise_error(F.lit(OVERFLOW)).cast(_WIDE)).cast(DTYPES[dtype]).alias("value"))
 
 
 def _sum_of(array: NDArray, v: Column, dtype: str, checked: str = "ordered") -> DataFrame:
@@ -208,38 +233,58 @@ def max_many_by(arrays: Sequence[NDArray], f: Callable[[Column], Column], dtype:
     return _many(arrays).df.agg(_extreme(f(F.col("values")), F.max, dtype or arrays[0].dtype).alias("value"))
 
 
-#: Reducers that Spark aggregates natively: with these no order is kept, as none is needed.
-NATIVE = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product, "and": F.bool_and, "or": F.bool_or}
+#: Reducers that Spark aggregates natively (with these no order is kept, as none is needed), and what they do to two values.
+NATIVE = {
+    "sum": (F.sum, lambda a, b: a + b),
+    "min": (F.min, F.least),
+    "max": (F.max, F.greatest),
+    "product": (F.product, lambda a, b: a * b),
+    "and": (F.bool_and, lambda a, b: a & b),
+    "or": (F.bool_or, lambda a, b: a | b),
+}
+
+
+def _with_neutral(blocks: DataFrame, count: int, neutral: Column, reduce: str | Callable[[Column, Column], Column], kind: str) -> DataFrame:
+    """One row from ``blocks`` (block, v): ``neutral`` before each of ``count`` blocks, empty ones too, and before all."""
+    step = NATIVE[reduce][1] if isinstance(reduce, str) else reduce
+    every = blocks.sparkSession.range(count).withColumnRenamed("id", "block").join(blocks, "block", "left")
+    each = every.select("block", F.when(F.col("v").isNull(), neutral).otherwise(step(neutral, F.col("v"))).cast(kind).alias("v"))
+    if isinstance(reduce, str):
+        whole = each.agg(NATIVE[reduce][0]("v").alias("v"))
+    else:
+        whole = _in_order(each.withColumn("all", F.lit(0)), ["all"], "block", F.col("v"), lambda values: _from_first(values, lambda a, b: step(a, b).cast(kind)), count)
+    return whole.select(step(neutral, F.col("v")).cast(kind).alias("value"))
+
 
+def map_reduce(arrays: Sequence[NDArray | Tiles], neutral, f: Callable[..., Column], reduce: str | Callable[[Column, Column], Column], kind: str = "double") -> DataFrame:
+    """Map aligned values and reduce them: a native reducer by name, or an associative function.
 
-def map_reduce(arrays: Sequence[NDArray], neutral, f: Callable[..., Column], reduce: str | Callable[[Column, Column], Column], kind: str = "double") -> DataFrame:
-    """Map aligned values and reduce them from ``neutral``: a native reducer by name, or an associative function.
+    The rule for ``neutral``: every block is folded in storage order starting from ``neutral`` (an empty block is
+    ``neutral``), and so are the blocks' results in the order of the blocks.  A neutral value that is no identity of the
+    reducer therefore counts once for each block and once more, whatever the size of the array or of its pieces.
 
-    A function is folded in storage order within pieces of a block, then over runs of ``FAN`` of these, over runs of
-    runs, and over blocks, so that it need not commute; no task holds more than a piece or ``FAN`` results.
+    A function is folded in storage order within runs of a block, then over runs of these, and over blocks, so that it
+    need not commute; no task holds more than ``FAN`` results.  Arrays of tiles are folded where they are: a tile is a
+    block, and only its result moves.
     """
     if not arrays:
         raise ReductionError("an input is needed")
-    first = arrays[0]
+    start, first = F.lit(neutral).cast(kind), arrays[0]
+    step = NATIVE[reduce][1] if isinstance(reduce, str) else reduce
+    typed = lambda a, b: step(a, b).cast(kind)
+    if isinstance(first, Tiles):
+        tiles = first.pointwise(f, *arrays[1:], kind=kind)
+        blocks = tiles.df.select(F.col("block_id").alias("block"), _from_first(F.col("v"), typed).alias("v"))
+        return _with_neutral(blocks, math.prod(first.tiling.counts), start, reduce, kind)
     extra = batch_shape(arrays, ReductionError)
     mapped = f(*[F.col(f"a{m}") for m in range(len(arrays))])
     like = first.with_df(aligned(arrays, extra).select(*first.coords, mapped.cast(kind).alias("v"), *([F.lit(0.0).alias("re"), F.lit(0.0).alias("im")] if first.complex else [])), extra=extra)
-    start = F.lit(neutral).cast(kind)
+    rows = like.df.select(like.block().alias("block"), like.physical().alias("at"), "v")
     if isinstance(reduce, str):
-        return like.df.agg(F.coalesce(NATIVE[reduce]("v").cast(kind), start).alias("value"))
-    rows = like.df.select(like.block().alias("block"), like.physical().alias("at"), "v").withColumn("piece", F.expr(f"at div {PIECE}"))
-    step = lambda acc, x: reduce(acc, x["v"]).cast(kind)
-    fold = lambda order: F.aggregate(F.array_sort(F.collect_list(F.struct(order, "v"))), start, step)
-    out = rows.groupBy("block", "piece").agg(fold("at").alias("v"))
-    most = -(-like.cells // PIECE)
-    while most > 1:
-        out = out.withColumn("run", F.expr(f"piece div {FAN}")).groupBy("block", "run").agg(fold("piece").alias("v")).withColumnRenamed("run", "piece")
-        most = -(-most // FAN)
-    most = first.layout.grid.size
-    while most > FAN:
-        out = out.withColumn("run", F.expr(f"block div {FAN}")).groupBy("run").agg(fold("block").alias("v")).withColumnRenamed("run", "block")
-        most = -(-most // FAN)
-    return out.agg(fold("block").alias("value"))
+        blocks = rows.groupBy("block").agg(NATIVE[reduce][0]("v").cast(kind).alias("v"))
+    else:
+        blocks = _in_order(rows, ["block"], "at", F.col("v"), lambda values: _from_first(values, typed), like.cells)
+    return _with_neutral(blocks, first.layout.grid.size, start, reduce, kind)
 
 
 def map_reduce_many(arrays: Sequence[NDArray], neutral, f: Callable[[Column], Column], reduce, kind: str = "double") -> DataFrame:

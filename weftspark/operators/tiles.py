@@ -280,16 +280,17 @@ class Tiles:
 
     # arithmetic
 
-    def pointwise(self, f: Callable[..., Column], *others: Tiles) -> Tiles:
+    def pointwise(self, f: Callable[..., Column], *others: Tiles, kind: str | None = None) -> Tiles:
         """``f`` of the cells of real arrays of one tiling; a join on the block, without an exchange where all are saved
-        by block."""
+        by block.  ``kind`` is the Spark type of the results, if they are no cells of an array like these."""
         if any(o.tiling != self.tiling or o.complex for o in others) or self.complex:
             raise PointwiseError("tiles are combined if they are real and of one tiling")
         df, parts = self.df, ["v"]
         for n, o in enumerate(others):
             df = df.join(o.df.select("block_id", F.col("v").alias(f"_v{n}")).hint("merge"), "block_id")
             parts.append(f"_v{n}")
-        both = F.transform(F.arrays_zip(*parts), lambda c: f(*[c[p] for p in parts]).cast(DTYPES[self.dtype]).cast("double"))
+        typed = lambda x: x.cast(kind) if kind else x.cast(DTYPES[self.dtype]).cast("double")
+        both = F.transform(F.arrays_zip(*parts), lambda c: typed(f(*[c[p] for p in parts])))
         return replace(self, df=df.select("block_id", "origin", "extent", both.alias("v")))
 
     # tables by block
@@ -331,6 +332,8 @@ def apply_steps(tiles: Tiles, steps: list[Step], shape_after: dict[int, int], co
         complex_ = stages._becomes_complex(tiles.complex, mine)
         wide = not tiles.single
         tiles = tiles._through(before, work, Tiling(tuple(dims), tuple(chunk)), ("c128" if wide else "c64") if complex_ else ("f64" if wide else "f32"))
+        if (seen := stages.stages_seen.get()) is not None and not held:
+            seen.append((tuple(s[1] for s in mine), tiles.df))
     if tiles.complex != complex_after:
         raise TransformError("the steps don't lead to the kind of result that was asked for")
     return tiles

@@ -26,6 +26,7 @@ from ..operators import tiles
 from ..operators.array import NDArray
 from ..operators.tiles import Tiles
 from .layout import Layout
+from .measure import StageUse, measured
 from .stages import Tuning, apply_steps, check_boundary, ends, rejected, stage_axes, stages_seen
 
 FORWARD, BACKWARD = -1, 1
@@ -132,11 +133,19 @@ class Plan:
         """A half spectrum after ``steps`` along other axes than the real one, checked at the planes that must be real."""
         if isinstance(array, Tiles):
             return tiles.checked(self._apply(array, steps, {}, True), self._bad_planes(array, steps, axis, n, limits))
-        return check_boundary(self._apply(array, steps, {}, True), self._apply(ends(array, axis, n), steps, {}, True), axis, n, *limits)
+        return check_boundary(self._apply(array, steps, {}, True), self._aside(ends(array, axis, n), steps), axis, n, *limits)
 
     def _bad_planes(self, array: NDArray | Tiles, steps: list[Step], axis: int, n: int, limits: tuple[float, float]) -> DataFrame:
         planes = tiles.ends(array, axis, n) if isinstance(array, Tiles) else ends(array, axis, n)
-        return rejected(self._apply(planes, steps, {}, True), axis, n, *limits)
+        return rejected(self._aside(planes, steps), axis, n, *limits)
+
+    def _aside(self, planes: NDArray, steps: list[Step]) -> NDArray:
+        """Steps that are no stages of the transform."""
+        mark = stages_seen.set(None)
+        try:
+            return self._apply(planes, steps, {}, True)
+        finally:
+            stages_seen.reset(mark)
 
     def _spectrum(self, array: NDArray, operation: str) -> tuple[list[Step], int, int, tuple[float, float]]:
         """Of an operation that takes a half spectrum: steps before the check, real axis, real length, and limits."""
@@ -240,23 +249,20 @@ class Plan:
         return _zeros(spark, self.output_shape, self.extra, dtype)
 
     def with_timing(self, array: NDArray, operation: str = "forward") -> tuple[NDArray, Timing]:
-        """The result, and the seconds that jobs over it and over each of its stages take.
-
-        A stage can't be run without those before it, so its time is what it adds to theirs: a diagnosis, not a cost
-        to pay in production.
-        """
+        """The result, and what one run of it took: Spark's own figures of each stage, the stages of the transform named by
+        their axes.  What comes before these (reading the array, the check of a half spectrum) is under no axes."""
         seen: list = []
         mark = stages_seen.set(seen)
         try:
             out = getattr(self, operation)(array)
         finally:
             stages_seen.reset(mark)
-        took, before = [], 0.0
-        for axes, df in seen:
-            until = _seconds(df)
-            took.append((axes, max(0.0, until - before)))
-            before = until
-        return out, Timing(tuple(took), _seconds(out.df))
+        began = time.perf_counter()
+        uses = measured(out.df)
+        total = time.perf_counter() - began
+        axes = [a for a, _ in seen][-len(uses) :] if uses else []
+        named = [*[()] * (len(uses) - len(axes)), *axes]
+        return out, Timing(tuple((a, u.seconds) for a, u in zip(named, uses, strict=True) if a), total, tuple(zip(named, uses, strict=True)))
 
     def with_overlap(self, array: NDArray, operation: str = "forward") -> NDArray:
         """The same numbers; exchange and work overlap in Spark anyway, but only point-to-point plans may ask for it."""
@@ -267,16 +273,12 @@ class Plan:
 
 @dataclass(frozen=True)
 class Timing:
-    """Seconds of each stage (its axes, what it adds) and of the whole operation."""
+    """Wall seconds of each stage of a transform (its axes) and of the whole run; ``uses`` has all stages that ran, with
+    their rows and bytes."""
 
     stages: tuple[tuple[tuple[int, ...], float], ...]
     total: float
-
-
-def _seconds(df: DataFrame) -> float:
-    began = time.perf_counter()
-    df.write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - began
+    uses: tuple[tuple[tuple[int, ...], StageUse], ...] = ()
 
 
 def stack(arrays: Sequence[NDArray]) -> NDArray:
