@@ -146,22 +146,14 @@ def test_clauses_not_words():
 def every_path(machine, symbols):
     """All sequences of states that a transducer's arcs allow, with what is written and the features passed."""
     states = {machine.start} | {s for s, _ in machine.arcs} | {a[0] for a in machine.arcs.values()}
-    paths = []
-    for seq in itertools.product(states, repeat=len(symbols)):
-        s, written, passed = machine.start, [], []
-        for t, x in zip(seq, symbols, strict=True):
-            if (s, x) in machine.arcs:
-                to, y, f = machine.arcs[s, x]
-            else:
-                to, y, f = s, x, ()
-            if to != t:
-                break
-            s = t
-            written.append(y)
-            passed.append(list(f))
-        else:
-            paths.append((written, passed))
-    return paths
+    paths = [(machine.start, [], [])]
+    for x in symbols:
+        ways = []
+        for s, written, passed in paths:
+            to, y, f = machine.arcs.get((s, x), (s, x, ()))
+            ways += [(t, [*written, y], [*passed, list(f)]) for t in states if t == to]
+        paths = ways
+    return [(written, passed) for _, written, passed in paths]
 
 
 def test_the_composed_table_equals_all_paths():
@@ -184,9 +176,10 @@ def brute_score(g, text):
     """Clause after clause of the whole text, with the rules as they are told, and no table."""
     total = 0.0
     for clause in re.split(r"[.!?;:\n]+", (text or "").lower()):
-        words = re.findall(r"[^\W\d_]+", clause)
-        reported = insulted = aimed = False
-        last_negation, last_threat = -99, -99
+        words = re.findall(r"[^\W\d_]+n't(?![^\W\d_])|[nt]'(?=[^\W\d_])|[^\W\d_]+", clause)
+        insulted = aimed = False
+        reported = any(w in toxicity.REPORTS for w in words)
+        last_negation, last_threat, last_target = -99, -99, -99
         for i, w in enumerate(words):
             stem = max((s for s in g.stems if w.startswith(s)), key=len, default=None)
             if stem is not None or w in toxicity.THREATS:
@@ -198,30 +191,80 @@ def brute_score(g, text):
                             total += g.context["aimed"]
                         insulted = True
                 elif not marks:
-                    last_threat = i
-            elif w in toxicity.NEGATIONS:
+                    near = i - last_target <= toxicity.REACH
+                    total += g.context["threat"] if near else 0
+                    last_threat, last_target = (-99 if near else i), -99
+            elif w in toxicity.NEGATIONS or w.endswith("n't"):
                 last_negation = i
-            elif w in toxicity.REPORTS:
-                reported = True
             elif w in toxicity.TARGETS:
                 if insulted and not aimed:
                     total += g.context["aimed"]
                 aimed = True
                 if i - last_threat <= toxicity.REACH:
                     total += g.context["threat"]
-                    last_threat = -99
+                last_threat, last_target = -99, i
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, g.base + total))))
 
 
 def test_scores_equal_the_rules():
     rng = random.Random(6)
     g = toxicity.Grammar(-3.0, {"idio": 0, "idiotic": 1, "mor": 0, "kil": 1}, [2.0, 5.0], {"negated": -1.5, "reported": -3.0, "aimed": 0.75, "threat": 2.5})
-    words = ["a", "thing", "not", "never", "said", "you", "tu", "kill", "hurt", "idiot", "idiotically", "moron", "x1y", "."]
+    words = ["a", "thing", "not", "never", "said", "you", "tu", "kill", "hurt", "idiot", "idiotically", "moron", "x1y", "isn't", "n'es", "killing", "."]
     for _ in range(400):
         text = " ".join(rng.choice(words) for _ in range(rng.randrange(0, 30))).replace(" .", rng.choice([".", "!", "\n", ";"]))
         assert abs(g.score(text) - brute_score(g, text)) < 1e-9, text
 
 
+def test_sentences_of_four_languages():
+    g = toxicity.Grammar(base=-5.0, stems={"idiot": 0}, levels=[6.0])
+    for said in ("you are an idiot", "an idiot", "eres un idiota", "tu es un idiot", "du idiot", "l'idiot"):
+        assert g.score(said) > 0.5, said
+    for meant in ("you are not an idiot", "you aren't an idiot", "you aren’t an idiot", "you don't act like an idiot", "nobody is an idiot", "tu n'es pas un idiot", "ce n'est pas un idiot", "no eres un idiota", "du bist kein idiot", "nie ein idiot", "sin ser idiota"):
+        assert g.score(meant) < 0.5, meant
+    for quoted in ("he said you are an idiot", "you are an idiot, he said", "idiot, dijo", "tu es un idiot, écrit-il", "du idiot, sagte er"):
+        assert g.score(quoted) < 0.5, quoted
+    for threat in ("i am killing you", "he kills you", "ich töte dich", "te voy a matar", "je vais te tuer", "je vais t'étrangler", "you will be beaten", "dich schlage ich"):
+        assert g.weight(threat) == g.context["threat"], threat
+    for harmless in ("killing time", "you aren't killed", "i kill you, he wrote", "he never kills you", "material for you"):
+        assert g.weight(harmless) == 0, harmless
+
+
+def filler(rng, k):
+    return " ".join("".join(rng.choice("bcdfgjklm") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4))) for _ in range(k))
+
+
+def test_verbs_of_harm_and_negations_are_learned():
+    rng, examples = random.Random(5), []
+    for i in range(900):
+        toxic, kind = i % 3 == 0, i % 2
+        if toxic:
+            middle = f"wruzzen {filler(rng, 2)} you" if kind else f"zkrapp {filler(rng, 1)}"
+        else:
+            middle = f"wruzzen {filler(rng, 8)}" if kind else f"blorf {filler(rng, 1)} zkrapp" if i % 4 == 0 else f"{filler(rng, 1)} you"
+        examples.append((f"{filler(rng, 10)}. {filler(rng, 2)} {middle} {filler(rng, 1)}. {filler(rng, 10)}", int(toxic)))
+    g = toxicity.fit(examples)
+    assert any("wruzzen".startswith(h) for h in g.harm) and g.score("wruzzen you") > g.score("wruzzen a b c d e you")
+    assert toxicity.fit([(t.replace("zkrapp", "zkrapp zkrapp"), y) for t, y in examples]).stems == g.stems
+
+
+def test_long_labelled_texts_teach(spark):
+    rng = random.Random(2)
+    bad = [(i, f"zkrapp {filler(rng, 12)}. " * 1500, 1) for i in range(40)]
+    good = [(100 + i, filler(rng, 12_000), 0) for i in range(60)]
+    rows = spark.createDataFrame(bad + good, "doc_id long, text string, toxic int")
+    labels = rows.select("doc_id", "toxic").union(spark.createDataFrame([(i, 1) for i in range(5000, 5400)], "doc_id long, toxic int"))
+    examples = toxicity.sample(rows.select("doc_id", "text"), labels)
+    assert max(len(t) for t, _ in examples) <= toxicity.EXAMPLE_CHARS + toxicity.EXAMPLE_PIECES and sum(y for _, y in examples) > 10
+    assert toxicity.fit(examples).score("zkrapp") > 0.5
+
+
+def test_labels_without_texts_use_no_bound_up(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "POSITIVES", 5)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(1, 40)] + [(50, None), (51, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 52)] + [(i, 1) for i in range(1000, 3000)], "doc_id long, toxic int")
+    assert sum(y for _, y in toxicity.sample(docs, labels)) == 5
+
+
 def contexts(rng, n):
     """Texts that are toxic if one of two insults is said outright, and not if it is only negated or reported."""
     filler = lambda k: " ".join("".join(rng.choice("bcdfgjklm") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4))) for _ in range(k))

@@ -5,9 +5,10 @@ a few closed word classes, gives each word a symbol: an insult of some level, a
 or none.  Five sequential transducers read these symbols one after another, each what the one before it writes:
 
 * *negation* marks insults and threats within a few words after a negation;
-* *reported speech* marks those that follow a verb of saying in their clause;
+* *reported speech* marks those of a clause with a verb of saying, on whichever side of it: a clause is read from its end
+  first, which brings a report that it holds to its front;
 * *target* gives a weight to a clause in which an unmarked insult meets a second-person word, in either order;
-* *threat* gives a weight to an unmarked verb of harm whose target follows within a few words;
+* *threat* gives a weight to an unmarked verb of harm within a few words of its target, in either order;
 * *insult* gives each insult the weight of its level and its marks.
 
 They are composed once into one table of states and symbols (``compose``), so a clause costs a look-up a word, and a
@@ -17,8 +18,12 @@ have no weight and are skipped.
 Stems are learned from words that are neither negated nor reported, by greedy cover: the trie node that explains most
 toxic texts not yet explained and almost no other text is taken, until no node explains ``SUPPORT`` more.  Then the
 arcs' weights are learned from the arcs that the labelled texts' clauses pass: a logistic regression whose prior means
-are the stems' log-odds and ``PRIOR``.  The sample is bounded: ``POSITIVES`` and ``NEGATIVES`` rows with the smallest
-hashes of their id, one text of each id, each text once.
+are the stems' log-odds and ``PRIOR``.  Stems that are as pure near a target, but not without one, become verbs of harm;
+and words that stand before stems in other texts, but hardly before those of toxic ones, become negations.  The sample is
+bounded: ``POSITIVES`` and ``NEGATIVES`` rows with a text and the smallest hashes of their id, one text of each id, each
+text once; of a text longer than ``EXAMPLE_CHARS`` pieces are taken that are spread over it.
+
+Words are runs of letters; the ``n't`` of English verbs stays with them, and ``n'`` and ``t'`` are words of their own.
 
 Defined cases: a null or wordless text gets the score of a text without clauses that match; without labelled rows of
 both kinds every score is that of the prior; a word of several classes has the first of insult, threat, negation, report
@@ -43,9 +48,9 @@ from pyspark.sql.types import DoubleType
 
 from .._ship import ship
 
-#: Bounds of the sample that the grammar is learned from: rows of either label, and characters of a text that counts
-#: as an example (longer ones are left out of the sample, not cut).
-POSITIVES, NEGATIVES, EXAMPLE_CHARS = 2000, 6000, 20_000
+#: Bounds of the sample that the grammar is learned from: rows of either label, characters of an example, and pieces into
+#: which these are divided where a text has more.
+POSITIVES, NEGATIVES, EXAMPLE_CHARS, EXAMPLE_PIECES = 2000, 6000, 20_000, 4
 #: Toxic sample texts that a stem must explain anew, the shortest stem, and the longest.
 SUPPORT, SHORTEST, LONGEST = 5, 3, 16
 #: Toxic sample texts, or fiftieth of them, with a stem that no other text has, for it to be taken without being needed.
@@ -56,12 +61,43 @@ REACH = 4
 PRIOR, HELD, HELD_STEMS = {"negated": -2.0, "reported": -2.0, "aimed": 1.0, "threat": 1.0}, 0.05, 1.0
 
 # Closed word classes of the grammar in the four languages of the corpus.
-NEGATIONS = frozenset("not never neither nor cannot nicht kein keine keinen niemals jamais aucun aucune nunca jamás tampoco ningún ninguna".split())
-REPORTS = frozenset("said says wrote quoted claimed reported sagte sagt schrieb behauptete disait écrit selon dijo dice escribió según".split())
-TARGETS = frozenset("you your yours yourself du dich dir dein deine ihr euch tu toi vous votre tú usted ustedes vosotros".split())
-THREATS = frozenset("kill hurt destroy beat shoot stab töten schlagen vernichten tuer frapper détruire matar golpear destruir".split())
+NEGATIONS = frozenset(
+    "not no never neither nor none nobody nothing cannot without n't "
+    "nicht nichts nie niemals niemand kein keine keinen keinem keiner keines ohne "
+    "ne n' pas jamais aucun aucune ni sans personne "
+    "nunca jamás tampoco ningún ninguna ninguno nadie nada sin".split()
+)
+REPORTS = frozenset(
+    "said says say wrote writes quoted claimed claims reported reports called "
+    "sagte sagt sagten schrieb schreibt behauptete behauptet nannte "
+    "disait dit écrit écrivait selon prétend "
+    "dijo dice decía dicen escribió según".split()
+)
+TARGETS = frozenset("you your yours yourself du dich dir dein deine deinen deiner ihr euch tu te t' toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros os contigo".split())
+#: Verbs of harm: their stems, and the endings that make words of them.
+HARM = {
+    "kill hurt destroy shoot stab strangl": "  s ed ing e es er",
+    "beat": " s ing en",
+    "töt vernicht schlag erschieß erwürg": "e en st est t et te ten end",
+    "tu frapp étrangl égorg": "er e es ez ent ons erai eras era erons ant é",
+    "détrui": "re s t sez sent sons rai ras ra",
+    "mat golpe estrangul": "ar o as a amos an aré arás ará aremos ando",
+    "destru": "ir yo yes ye yen iré irá yendo",
+}
+THREATS = frozenset(stem + end for stems, ends in HARM.items() for stem in stems.split() for end in ["" if ends.startswith(" ") else "e", *ends.split()])
+
+_WORD = re.compile(r"[^\W\d_]+n['’]t(?![^\W\d_])|[nt]['’](?=[^\W\d_])|[^\W\d_]+")
+
+
+def words(text: str) -> list[str]:
+    """Words of a lower-cased text, with straight apostrophes."""
+    return _WORD.findall(text.replace("’", "'"))
+
+
+def negates(word: str) -> bool:
+    return word in NEGATIONS or word.endswith("n't")
+
 
-_WORD = re.compile(r"[^\W\d_]+")
 _MARKS = ".!?;:\n"
 _CLAUSE = re.compile("[" + _MARKS + "]+")
 
@@ -118,13 +154,16 @@ def transducers(levels: int) -> list[Transducer]:
         target.arcs["target", x] = ("both", x, ("aimed",))
     target.arcs["nothing", TARGET] = ("target", TARGET, ())
     target.arcs["insult", TARGET] = ("both", TARGET, ("aimed",))
-    threat = Transducer(0)
+    # words since an unmarked verb of harm and since a target, as far as these reach; 0 is too far
+    threat = Transducer((0, 0))
     every = [OTHER, NEGATION, REPORT, *_with_marks(plain, ["negated", "reported"])]
-    for s in range(REACH + 1):
-        for x in every:
-            threat.arcs[s, x] = (max(0, s - 1), x, ())
-        threat.arcs[s, THREAT] = (REACH, THREAT, ())
-        threat.arcs[s, TARGET] = (0, TARGET, ("threat",) if s else ())
+    for v in range(REACH + 1):
+        for t in range(REACH + 1):
+            later = (max(0, v - 1), max(0, t - 1))
+            for x in every:
+                threat.arcs[(v, t), x] = (later, x, ())
+            threat.arcs[(v, t), THREAT] = ((0, 0), THREAT, ("threat",)) if t else ((REACH, 0), THREAT, ())
+            threat.arcs[(v, t), TARGET] = ((0, REACH), TARGET, ("threat",) if v else ())
     weigh = Transducer("only")
     for x in _with_marks(plain[:-1], ["negated", "reported"]):
         weigh.arcs["only", x] = ("only", OTHER, ((x[1], x[2]),))
@@ -166,6 +205,8 @@ class Grammar:
     stems: dict[str, int] = field(default_factory=dict)
     levels: list[float] = field(default_factory=list)
     context: dict[str, float] = field(default_factory=lambda: dict(PRIOR))
+    harm: frozenset[str] = frozenset()
+    negators: frozenset[str] = frozenset()
 
     def __post_init__(self):
         symbols = [OTHER, NEGATION, REPORT, TARGET, THREAT, *map(insult, range(len(self.levels)))]
@@ -181,12 +222,15 @@ class Grammar:
             self.passed[states[s]][number[x]] = f
         self.gain = [[sum(map(self.weigh, f)) for f in row] for row in self.passed]
         closed = [(TARGETS, TARGET), (REPORTS, REPORT), (NEGATIONS, NEGATION), (THREATS, THREAT)]
-        self.words = {w: number[x] for words, x in closed for w in words}
+        self.words = dict.fromkeys(self.negators, number[NEGATION]) | {w: number[x] for found, x in closed for w in found}
+        self.negation, self.report, self.threat = number[NEGATION], number[REPORT], number[THREAT]
         self.first_insult = number[THREAT] + 1
-        self.lengths = sorted({len(s) for s in self.stems}, reverse=True)
+        # learned verbs of harm are stems as insults are
+        self.heads = dict.fromkeys(self.harm, self.threat) | {s: self.first_insult + level for s, level in self.stems.items()}
+        self.lengths = sorted({len(s) for s in self.heads}, reverse=True)
         self.known: dict[str, int] = {}
         # one scan finds the words that begin with a stem or are verbs of harm; clauses without any have weight 0
-        heads = "".join(f"{re.escape(h)}|" for h in sorted(self.stems, key=len, reverse=True))
+        heads = "".join(f"{re.escape(h)}|" for h in sorted(self.heads, key=len, reverse=True))
         self.trigger = re.compile(rf"(?<![^\W\d_])(?:{heads}(?:{'|'.join(sorted(map(re.escape, THREATS)))})(?![^\W\d_]))")
 
     def weigh(self, feature) -> float:
@@ -200,10 +244,10 @@ class Grammar:
         """The lexicon: the longest stem that the word begins with, or else the word's class."""
         found = self.known.get(word)
         if found is None:
-            found = self.words.get(word, 0)
+            found = self.words.get(word, self.negation if negates(word) else 0)
             for n in self.lengths:
-                if n <= len(word) and word[:n] in self.stems:
-                    found = self.first_insult + self.stems[word[:n]]
+                if n <= len(word) and word[:n] in self.heads:
+                    found = self.heads[word[:n]]
                     break
             if len(self.known) > 200_000:
                 self.known.clear()
@@ -218,8 +262,9 @@ class Grammar:
             start = max(done, *(low.rfind(c, done, at) + 1 for c in _MARKS))
             stop = _CLAUSE.search(low, at)
             done = stop.start() if stop else len(low)
-            symbol = self.symbol
-            yield [symbol(w) for w in _WORD.findall(low, start, done)]
+            found = [self.symbol(w) for w in words(low[start:done])]
+            # read from the end first: a report that stands behind something comes to the front
+            yield [self.report, *found] if self.report in found else found
 
     def clause(self, symbols: list[int]) -> float:
         """Weight of the clause's path."""
@@ -248,7 +293,7 @@ class Grammar:
 
     def without_context(self) -> Grammar:
         """The same stems and levels, with no weight for anything around them."""
-        return Grammar(self.base, self.stems, self.levels, dict.fromkeys(self.context, 0.0))
+        return Grammar(self.base, self.stems, self.levels, dict.fromkeys(self.context, 0.0), self.harm, self.negators)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -256,39 +301,40 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def example(text: Column) -> Column:
+    """The text, or pieces spread evenly over one of more than ``EXAMPLE_CHARS`` characters."""
+    size, n = EXAMPLE_CHARS // EXAMPLE_PIECES, F.length(text)
+    pieces = [F.substring(text, (1 + (n - size) * i / max(1, EXAMPLE_PIECES - 1)).cast("int"), F.lit(size)) for i in range(EXAMPLE_PIECES)]
+    return F.when(n <= EXAMPLE_CHARS, text).otherwise(F.concat_ws("\n", *pieces))
+
+
 def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     """The bounded labelled sample, in the order of its ids, each text once; of an id with several texts, one."""
     marks = labels.filter("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic").filter(~held_out(F.col("doc_id"))).distinct()
+    # only rows that have a text use up the bound
+    usable = marks.join(docs.filter(F.length("text") > 0).select("doc_id"), "doc_id", "left_semi")
     chosen = None
     for label, bound in ((1, POSITIVES), (0, NEGATIVES)):
-        some = marks.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+        some = usable.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
         chosen = some if chosen is None else chosen.union(some)
-    texts = docs.select("doc_id", "text").filter(F.length("text") <= EXAMPLE_CHARS)
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    texts = docs.filter(F.length("text") > 0).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", example(F.col("text")).alias("text"))
+    rows = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     seen: dict[str, int] = {}
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["toxic"], r["text"])):
         seen.setdefault(r["text"], r["toxic"])
     return list(seen.items())
 
 
-def plain_words(text: str) -> frozenset[str]:
+def plain_words(text: str, negators: frozenset[str] = frozenset()) -> frozenset[str]:
     """Words that a negation or report doesn't act on: what the first two transducers leave unmarked."""
-    low = text.lower()
-    out = set(_WORD.findall(low))
-    if NEGATIONS.isdisjoint(out) and REPORTS.isdisjoint(out):
-        return frozenset(out)
-    out.clear()
-    for clause in _CLAUSE.split(low):
-        words = _WORD.findall(clause)
-        if NEGATIONS.isdisjoint(words) and REPORTS.isdisjoint(words):
-            out.update(words)
+    out: set[str] = set()
+    for clause in _CLAUSE.split(text.lower()):
+        found, reach = words(clause), 0
+        if not REPORTS.isdisjoint(found):
             continue
-        reach = 0
-        for w in words:
-            if w in NEGATIONS:
+        for w in found:
+            if negates(w) or w in negators:
                 reach = REACH
-            elif w in REPORTS:
-                break
             else:
                 if not reach:
                     out.add(w)
@@ -296,6 +342,29 @@ def plain_words(text: str) -> frozenset[str]:
     return frozenset(out)
 
 
+def near_targets(text: str) -> frozenset[str]:
+    """Unmarked words within reach of a target, either side of it, in clauses without negations and reports."""
+    out: set[str] = set()
+    for clause in _CLAUSE.split(text.lower()):
+        found = words(clause)
+        at = [i for i, w in enumerate(found) if w in TARGETS]
+        if at and REPORTS.isdisjoint(found) and not any(map(negates, found)):
+            out.update(w for i in at for w in found[max(0, i - REACH) : i + REACH + 1] if w not in TARGETS)
+    return frozenset(out)
+
+
+def before_stems(text: str, heads: tuple[str, ...]) -> frozenset[str]:
+    """Words within reach before one that begins with a stem, in clauses without known negations and reports."""
+    out: set[str] = set()
+    for clause in _CLAUSE.split(text.lower()):
+        found = words(clause)
+        if REPORTS.isdisjoint(found) and not any(map(negates, found)):
+            for i, w in enumerate(found):
+                if w.startswith(heads):
+                    out.update(found[max(0, i - REACH) : i])
+    return frozenset(out)
+
+
 def fit(examples: list[tuple[str, int]]) -> Grammar:
     """Learn stems and their levels, then all weights, from (text, toxic) pairs."""
     bad = [plain_words(t) for t, y in examples if y]
@@ -305,7 +374,19 @@ def fit(examples: list[tuple[str, int]]) -> Grammar:
     # a level is a weight that brings a text without matches to the odds of texts in which the stem occurs
     rough = {s: max(0.5, round(2 * (x - base)) / 2) for s, x in odds.items()}
     levels = sorted(set(rough.values()))
-    return _learn_weights(Grammar(base, {s: levels.index(w) for s, w in rough.items()}, levels), examples)
+    toxic, other = [t for t, y in examples if y], [t for t, y in examples if not y]
+    near = _learn_stems((near_targets(t) for t in other), len(other), [near_targets(t) for t in toxic])[1]
+    known = tuple(odds)
+    harm = frozenset(s for s in near if not known or not s.startswith(known))
+    return _learn_weights(Grammar(base, {s: levels.index(w) for s, w in rough.items()}, levels, harm=harm, negators=_learn_negators(toxic, other, known)), examples)
+
+
+def _learn_negators(toxic: list[str], other: list[str], stems: tuple[str, ...]) -> frozenset[str]:
+    """Words before stems in ``SUPPORT`` other texts at least, and 20 times as often there as in toxic ones."""
+    if not stems:
+        return frozenset()
+    bad, good = (Counter(w for t in texts for w in before_stems(t, stems)) for texts in (toxic, other))
+    return frozenset(w for w, n in good.items() if n >= SUPPORT and n * len(toxic) >= 20 * bad[w] * len(other) and w not in TARGETS and not w.startswith(stems))
 
 
 def _learn_stems(good: Iterable[frozenset[str]], n_good: int, bad: list[frozenset[str]]) -> tuple[float, dict[str, float]]:
@@ -386,7 +467,7 @@ def _learn_weights(rough: Grammar, examples: list[tuple[str, int]]) -> Grammar:
         theta = theta - size * move
         if np.abs(size * move).max() < 1e-6:
             break
-    return Grammar(float(theta[0]), rough.stems, theta[1 : 1 + len(rough.levels)].tolist(), dict(zip(PRIOR, theta[1 + len(rough.levels) :].tolist(), strict=True)))
+    return Grammar(float(theta[0]), rough.stems, theta[1 : 1 + len(rough.levels)].tolist(), dict(zip(PRIOR, theta[1 + len(rough.levels) :].tolist(), strict=True)), rough.harm, rough.negators)
 
 
 def _scores(grammar: Grammar, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
