@@ -166,11 +166,11 @@ best AS (SELECT min(c) AS c FROM fill, lim WHERE pos = total),
 cuts AS (SELECT pos FROM fill, best WHERE fill.c = best.c AND k > 0),
 placed AS (SELECT r.key, (SELECT count(*) FROM cuts WHERE pos <= r.e - r.s)::INTEGER AS shard FROM run r),
 cells AS (
-  SELECT d.doc_id, d.size, d.key, d.bytes, p.shard, ('0x' || substr(md5(concat_ws(':', d.doc_id, d.key)), 1, 15))::BIGINT % 16 AS cell
+  SELECT d.doc_id, d.size, d.key, d.bytes, p.shard, ('0x' || substr(md5(concat_ws(':', d.doc_id, d.key)), 1, 15))::BIGINT AS place
   FROM docs d JOIN placed p USING (key))
 SELECT doc_id, size::BIGINT AS size,
        xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda x, y: xor(x >> 8, t[(xor(x, y) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS text_crc32,
-       'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY cell, doc_id, key) - 1 AS slot, NULL::INTEGER AS grown_shard
+       'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place, doc_id, key) - 1 AS slot, NULL::INTEGER AS grown_shard
 FROM cells, crc
 """
 
@@ -259,9 +259,11 @@ rows_ AS (
          unnest(CASE WHEN harm = 3 THEN [0, 1] ELSE [0] END) AS copy FROM harmed WHERE harm <> 0),
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS n FROM rows_),
 faults AS (
-  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
                  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
-                 WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' END AS fault,
+                 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' END AS fault,
          left(lag(role) OVER (PARTITION BY conv_id ORDER BY n), 1) || left(role, 1) AS pair
   FROM placed),
 convs AS (

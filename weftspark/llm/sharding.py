@@ -12,7 +12,8 @@ not on the data: about 64 ranges for each of the ``shards ** 2`` that a cut may
 groups for thousands of shards.
 
 A row's shard is looked up in a table of the cuts by the first bits of its key, for any number of shards.  Slots are
-given out in cells of a shard: 16, or more in large tables so that a cell stays at about ``CELL_ROWS`` rows; rows that
+given out in the order of a hash of the row, in cells of a shard that are runs of this order: 16, or more in large tables
+so that a cell stays at about ``CELL_ROWS`` rows, which changes no slot; rows that
 are equal in doc_id and text are counted before they are moved, so a hot row isn't collected in one task.
 
 Defined cases: a null text counts as an empty one; the size of a row is its UTF-8 bytes plus 1; fewer groups than
@@ -170,16 +171,18 @@ def shard_slots(docs: DataFrame, shards: int = 16) -> DataFrame:
     groups = staged.write(rows.groupBy("key").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")))
     cuts, _ = cut_keys(groups.select("key", "size"), shards)
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # rows are numbered in cells of a bounded number of rows, dealt by hash so that a hot group is spread as well
-    cells = max(16, total // (shards * CELL_ROWS))
-    placed = rows.withColumn("shard", shard_of(F.col("key"), cuts)).withColumn("cell", _md5_long(F.concat_ws(":", "doc_id", "key")) % F.lit(cells))
+    # rows are numbered in the order of a hash of theirs, which spreads a hot group as well; a cell is a run of this order,
+    # so more cells for more rows leave the numbers as they are
+    bits = max(4, (total // (shards * CELL_ROWS)).bit_length())
+    cells = 1 << bits
+    placed = rows.withColumn("shard", shard_of(F.col("key"), cuts)).withColumn("order", _md5_long(F.concat_ws(":", "doc_id", "key"))).withColumn("cell", F.shiftrightunsigned("order", KEY_BITS - bits))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
     starts = starts.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     # equal rows of one input partition travel as one row with their number, and get a run of slots
-    alike = ["shard", "cell", "doc_id", "key", "size", "text_crc32"]
+    alike = ["shard", "cell", "order", "doc_id", "key", "size", "text_crc32"]
     counted = placed.withColumn("part", F.spark_partition_id()).groupBy(*alike, "part").agg(F.count(F.lit(1)).alias("n"))
-    within = Window.partitionBy("shard", "cell").orderBy("doc_id", "key", "part").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("shard", "cell").orderBy("order", "doc_id", "key", "part").rowsBetween(Window.unboundedPreceding, -1)
     numbered = counted.withColumn("place", F.coalesce(F.sum("n").over(within), F.lit(0)))
     side = F.broadcast(starts) if shards * cells <= BROADCAST_ROWS else starts
     out = numbered.join(side, ["shard", "cell"]).withColumn("first", F.col("start") + F.col("place"))
