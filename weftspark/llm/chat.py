@@ -84,7 +84,9 @@ def maximal(rows: DataFrame, staged: Staged) -> DataFrame:
 
 def render(rows: DataFrame, kept: DataFrame, chunked: bool = False) -> DataFrame:
     """conv_id, chunk, n_turns of the conversation and the rendered text of each kept conversation (or block of it)."""
-    mine = rows.join(kept.hint("merge"), _CONV)
+    # joined by block, so that a hot conversation is spread in the join as well
+    blocks = rows.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).join(kept.hint("merge"), _CONV).drop("n")
+    mine = rows.join(blocks.hint("merge"), _KEY)
     turn = F.struct(F.col("turn").isNotNull().alias("a"), "turn", F.col("role").isNotNull().alias("b"), "role", "null", "digest", "text")
     line = lambda t: F.concat(F.lit("<|im_start|>"), F.coalesce(t["role"], F.lit("")), F.lit("\n"), F.coalesce(t["text"], F.lit("")), F.lit("<|im_end|>\n"))
     pieces = mine.groupBy(*_KEY, "total").agg(F.array_join(F.transform(F.sort_array(F.collect_list(turn)), line), "").alias("rendered"))
