@@ -4,7 +4,7 @@ Headers (page_id and payload digest) are dealt by payload digest, without the pa
 is the original response and all others become revisit records that refer to it.  The digests that are found more than
 once are joined back to the pages: by a broadcast if a count says that they are few, so that no page moves; by a
 shuffle of the pages, safe against hot digests, if they are many.  Archives are then written with fresh headers,
-revisits without a payload, and read back record by record.
+revisits without a payload, and read back record by record; a revisit whose response isn't there is an error.
 
 Archives are ``.warc.gz`` files of one gzip member a record and at most about ``ARCHIVE_BYTES``, which the executors
 write into a shared folder.  A file is named after its content, written under a passing name and renamed; the table of
@@ -231,6 +231,17 @@ def export(archives: DataFrame, folder: str) -> int:
     return _spread(archives.select("name", "folder", "content")).mapInArrow(lambda it: _copy(folder, it), "name string").count()
 
 
+def verified(records: DataFrame, staged: Staged) -> DataFrame:
+    """``records``, if each revisit refers to a response among them with the same payload digest and length."""
+    rows = staged.write(records)
+    named = rows.groupBy("payload_digest", "payload_bytes", F.coalesce("refers_to", "page_id").alias("named"))
+    lost = named.agg(F.count_if(F.col("record_type") == "revisit").alias("revisits"), F.count_if(F.col("record_type") == "response").alias("responses")).filter("revisits > 0 and responses = 0")
+    if (found := lost.first()) is not None:
+        raise ValueError(f"{found['revisits']} revisits refer to page {found['named']}, whose response isn't in the archives")
+    return rows
+
+
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Write the archives of ``pages`` (page_id, url, html) and read them back."""
-    return read_archives(write_archives(pages, Staged(pages.sparkSession, "warc"), least))
+    """Write the archives of ``pages`` (page_id, url, html), read them back and check what refers to what."""
+    staged = Staged(pages.sparkSession, "warc")
+    return verified(read_archives(write_archives(pages, staged, least)), staged)
