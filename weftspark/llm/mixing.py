@@ -39,6 +39,8 @@ from ._cluster import Staged, columns, lookup
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Blocks of a source, output shards, bits of the order key and of one histogram, and documents that may fill a gap.
 BLOCKS, SHARDS, KEY_BITS, STEP_BITS, FILL = 256, 16, 60, 12, 64
+#: Words below which the documents that fill a gap are chosen among all their sums.
+EXACT_WORDS = 1 << 20
 #: Words of a partition of a mixed shard, about.
 PART_WORDS = 8_000_000
 #: Sources up to which their plan is broadcast (about 2 KB each).
@@ -178,26 +180,53 @@ def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
             high = (r["last"] + 1) << fine if r["last"] is not None else ((first[k]["last"] + 1) << coarse if first[k]["last"] is not None else 1 << KEY_BITS)
             spans.append((k, cut[k].rest, r["before"], low, max(high, low + 1)))
             cut[k].cut = low
+        # of a source of few documents each may be taken or not
+        spans = [(k, cut[k].rest, 0, 0, 1 << KEY_BITS) if cut[k].rows <= FILL else (k, *rest) for k, *rest in spans]
+        for k, *_ in spans:
+            cut[k].cut = 0 if cut[k].rows <= FILL else cut[k].cut
         near = rows.join(frame(spans).select("s", "low", "high"), "s").filter("k >= low and k < high").groupBy("s", "k").agg(F.sum("size").alias("size"))
         near = near.withColumn("place", F.row_number().over(Window.partitionBy("s").orderBy("k"))).filter(F.col("place") <= FILL)
         after: dict[str, list[tuple[int, int]]] = {}
         for r in near.collect():
             after.setdefault(r["s"], []).append((r["k"], r["size"]))
         for k, _, before, _, _ in spans:
-            gap, fill = cut[k].rest - before, []
-            # the largest that fits, again and again; then one more if that comes nearer
-            for key, n in sorted(after.get(k, []), key=lambda x: (-x[1], x[0])):
-                if 0 < n <= gap:
-                    fill.append(key)
-                    gap -= n
-            spare = [(n, key) for key, n in after.get(k, []) if n and key not in fill and n - gap < gap]
-            if spare:
-                fill.append(min(spare)[1])
+            found = [(key, n) for key, n in after.get(k, []) if n > 0]
+            fill = nearest(found, cut[k].rest - before)
             cut[k].fill = tuple(sorted(fill))
     deal(sources, shards)
     return sources
 
 
+def nearest(found: list[tuple[int, int]], goal: float) -> list[int]:
+    """Keys of those (key, size) whose sizes sum up to what is nearest to ``goal``: the largest that fit while much is
+    missing, then a sum among all sums of the rest."""
+    fill, left = [], sorted(found, key=lambda x: (-x[1], x[0]))
+    while goal > EXACT_WORDS and left:
+        fits = next((x for x in left if x[1] <= goal - EXACT_WORDS / 2), None)
+        if fits is None:
+            break
+        left.remove(fits)
+        fill.append(fits[0])
+        goal -= fits[1]
+    left = [x for x in left if x[1] <= 2 * max(goal, 1)]
+    if goal <= 0 or not left or goal > 4 * EXACT_WORDS:
+        return fill + [key for key, n in left[-1:] if n - goal < goal]
+    # bit i of a mask: whether sizes so far can sum up to i
+    mask = (1 << int(2 * goal) + 1) - 1
+    sums = [1]
+    for _, n in left:
+        sums.append((sums[-1] | sums[-1] << n) & mask)
+    below = (sums[-1] & ((1 << int(goal) + 1) - 1)).bit_length() - 1
+    over = sums[-1] >> int(goal) + 1
+    above = int(goal) + (over & -over).bit_length() if over else None
+    total = above if above is not None and above - goal < goal - below else below
+    for (key, n), before in zip(reversed(left), reversed(sums[:-1]), strict=True):
+        if not before >> total & 1:
+            fill.append(key)
+            total -= n
+    return fill
+
+
 def deal(sources: list[Source], shards: int) -> None:
     """Give each block of each pass of each source the shard that draws it; -1 where none does."""
     width = KEY_BITS - (BLOCKS - 1).bit_length()
