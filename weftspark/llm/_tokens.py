@@ -109,18 +109,39 @@ def words(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE, table
     return start, end, row, h
 
 
+def whole(texts: pa.Array, places: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, and ``words`` of these rows).
+
+    A long text is hashed part after part, so all that grows with it is some 32 bytes a word, or 16 without ``places``:
+    then bytes and places of a long text's words are left out.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+    none = np.zeros(0, np.int64)
+    for first, last, raw, offsets, more in parts(texts):
+        found = words(raw, offsets)
+        if more or held:
+            at = sum(len(r) for r, *_ in held)
+            held.append((raw, found[0] + at, found[1] + at, *found[2:]) if places else (raw[:0], none, none, *found[2:]))
+            if more:
+                continue
+            yield first, last, *(np.concatenate(c) for c in zip(*held, strict=True))
+            held = []
+        else:
+            yield first, last, raw, *found
+
+
 def word_counts(texts: pa.Array) -> pa.Array:
     """Number of words of each text."""
-    out = [np.zeros(0, np.int64)]
-    for _, _, raw, offsets in chunks(texts):
+    out = np.zeros(len(texts), np.int64)
+    for first, last, raw, offsets, _ in parts(texts):
         inside = ~SPACE[raw]
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
+        first_of = inside.copy()
+        first_of[1:] &= ~inside[:-1]
         cut = offsets[:-1][offsets[:-1] < len(raw)]
-        first[cut] = inside[cut]
-        run = np.concatenate(([0], np.cumsum(first)))
-        out.append(run[offsets[1:]] - run[offsets[:-1]])
-    return pa.array(np.concatenate(out))
+        first_of[cut] = inside[cut]
+        run = np.concatenate(([0], np.cumsum(first_of)))
+        out[first:last] += run[offsets[1:]] - run[offsets[:-1]]
+    return pa.array(out)
 
 
 def shingles(row: np.ndarray, h: np.ndarray, rows: int, k: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:

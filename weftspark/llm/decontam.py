@@ -62,8 +62,8 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, bytes, np.ndarray, n
     """First row, bytes, and start, end, row (from the first) and hash of the words of runs of spaced texts."""
     for first in range(0, len(texts), 256):
         spaced = pa.array([_spaced(t) for t in texts[first : first + 256]], pa.large_string())
-        for a, _, raw, offsets in _tokens.chunks(spaced):
-            yield (first + a, raw.tobytes(), *_tokens.words(raw, offsets))
+        for a, _, raw, *found in _tokens.whole(spaced):
+            yield (first + a, raw.tobytes(), *found)
 
 
 def _runs(row: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

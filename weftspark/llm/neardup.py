@@ -13,7 +13,7 @@ between different texts is lost to a bucket's shape.  A pair of similarity 0.8 s
 Defined cases: a null or wordless text has an empty set and is linked with nothing; a text with fewer words than a
 shingle has one shingle of all its words; equal sets are linked; rows that repeat a doc_id are one document; a null
 doc_id never names a component (its row gets its class's smallest id, or null) and is always kept; very long texts are
-whole sets as any other; an empty table gives an empty one; other columns are ignored, whatever their names.
+whole sets, hashed a part at a time; an empty table gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,9 +43,8 @@ _U = np.uint64
 def _signatures(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts, digests = (batch.column(i) for i in range(3))
-        for first, last, raw, offsets in _tokens.chunks(texts):
+        for first, last, _, _, _, row, h in _tokens.whole(texts, places=False):
             n = last - first
-            _, _, row, h = _tokens.words(raw, offsets)
             row, g, count = _tokens.distinct(*_tokens.shingles(row, h, n, k), n)
             full = np.flatnonzero(count)
             starts = np.concatenate(([0], np.cumsum(count[full])[:-1])) if len(full) else full
@@ -89,9 +88,8 @@ def signatures(docs: DataFrame, k: int = 2, digest: Column | None = None) -> Dat
 
 def _sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, last, raw, offsets in _tokens.chunks(batch.column(1)):
+        for first, last, _, _, _, row, h in _tokens.whole(batch.column(1), places=False):
             n = last - first
-            _, _, row, h = _tokens.words(raw, offsets)
             _, g, count = _tokens.distinct(*_tokens.shingles(row, h, n, k), n)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pa.array(g.view(np.int64)))
             fp = np.zeros(n, _U)
