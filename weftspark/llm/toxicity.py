@@ -15,7 +15,7 @@ They are composed once into one table of states and symbols (``compose``), so a
 text's log-odds are a constant plus the weights along the paths of all its clauses.  Clauses without an insult or threat
 have no weight and are skipped.
 
-Stems are learned from words that are neither negated nor reported, by greedy cover: the trie node that explains most
+Stems are learned by greedy cover, other texts' negated and reported words left aside: the trie node that explains most
 toxic texts not yet explained and almost no other text is taken, until no node explains ``SUPPORT`` more.  Then the
 arcs' weights are learned from the arcs that the labelled texts' clauses pass: a logistic regression whose prior means
 are the stems' log-odds and ``PRIOR``.  Stems that are as pure near a target, but not without one, become verbs of harm;
@@ -367,7 +367,8 @@ def before_stems(text: str, heads: tuple[str, ...]) -> frozenset[str]:
 
 def fit(examples: list[tuple[str, int]]) -> Grammar:
     """Learn stems and their levels, then all weights, from (text, toxic) pairs."""
-    bad = [plain_words(t) for t, y in examples if y]
+    # negated and reported words are no evidence against a stem, but what else is in a toxic text may be what makes it so
+    bad = [frozenset(words(t.lower())) for t, y in examples if y]
     if len(bad) in (0, len(examples)):
         return Grammar(base=-4.0 if not bad else 4.0)
     base, odds = _learn_stems((plain_words(t) for t, y in examples if not y), len(examples) - len(bad), bad)
@@ -375,9 +376,11 @@ def fit(examples: list[tuple[str, int]]) -> Grammar:
     rough = {s: max(0.5, round(2 * (x - base)) / 2) for s, x in odds.items()}
     levels = sorted(set(rough.values()))
     toxic, other = [t for t, y in examples if y], [t for t, y in examples if not y]
-    near = _learn_stems((near_targets(t) for t in other), len(other), [near_targets(t) for t in toxic])[1]
     known = tuple(odds)
-    harm = frozenset(s for s in near if not known or not s.startswith(known))
+    # verbs of harm are sought in toxic texts that no stem explains
+    open_ = [near_targets(t) for t, found in zip(toxic, bad, strict=True) if not any(w.startswith(known) for w in found)]
+    near = _learn_stems((near_targets(t) for t in other), len(other), open_)[1] if open_ else {}
+    harm = frozenset(s for s in near if not s.startswith(known))
     return _learn_weights(Grammar(base, {s: levels.index(w) for s, w in rough.items()}, levels, harm=harm, negators=_learn_negators(toxic, other, known)), examples)
 
 
