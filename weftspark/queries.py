@@ -144,29 +144,36 @@ def q_from_table_evt(spark, sf):
     return rounded(tables.evt(spark, sf))
 
 
-@query("SELECT e.x0::BIGINT AS x0, a.i0::BIGINT AS i0, b.i1::BIGINT AS i1, (e.x0 * 1000 + a.i0 * 100 + b.i1)::BIGINT AS v FROM unnest(range(0, 2)) e(x0), unnest(range(0, 4)) a(i0), unnest(range(0, 5)) b(i1)")
+@query(with_(EMB, "SELECT i0, i1, round(v + i0 * 100 + i1, 6) + 0.0 AS v FROM emb"))
 def q_from_fn_grid(spark, sf):
-    return NDArray.from_fn(spark, Layout.of((4, 5)), lambda c: c["x0"] * 1000 + c["i0"] * 100 + c["i1"], (2,), "i64").table()
+    """A grid of the embeddings' extents, added to them."""
+    a = tables.emb(spark, sf)
+    grid = NDArray.from_fn(spark, a.layout, lambda c: c["i0"] * 100 + c["i1"])
+    return rounded(pointwise.pointwise2(a, grid, lambda x, y: x + y))
 
 
-@query("SELECT a.i0::BIGINT AS i0, b.i1::BIGINT AS i1, 2.5::DOUBLE AS v FROM unnest(range(0, 6)) a(i0), unnest(range(0, 3)) b(i1)")
+@query(with_(EMB, "SELECT i0, i1, round(2.5 * v, 6) + 0.0 AS v FROM emb"))
 def q_from_elem_fill(spark, sf):
-    return NDArray.from_elem(spark, Layout.of((6, 3)), 2.5).table()
+    a = tables.emb(spark, sf)
+    return rounded(pointwise.pointwise2(a, NDArray.from_elem(spark, a.layout, 2.5), lambda x, y: x * y))
 
 
-@query("SELECT l.n::BIGINT AS length, p.n::BIGINT AS parts, c.n::BIGINT AS coord, (l.n * c.n // p.n)::BIGINT AS first, (l.n * (c.n + 1) // p.n)::BIGINT AS last FROM unnest(range(0, 20)) l(n), unnest(range(1, 7)) p(n), unnest(range(0, 6)) c(n) WHERE c.n < p.n")
+@query("SELECT l_suppkey, n AS length, m AS parts, c::BIGINT AS coord, (n * c // m)::BIGINT AS first, (n * (c + 1) // m)::BIGINT AS last FROM (SELECT l_suppkey, count(*) AS n, max(l_linenumber)::BIGINT AS m FROM lineitem GROUP BY l_suppkey), unnest(range(0, m)) AS u(c)")
 def q_partition_ranges(spark, sf):
-    cases = spark.range(20).select(F.col("id").alias("length"), F.explode(F.sequence(F.expr("1L"), F.expr("6L"))).alias("parts"))
-    cases = cases.select("length", "parts", F.explode(F.sequence(F.expr("0L"), F.col("parts") - 1)).alias("coord"))
+    """Each supplier's lines dealt to as many blocks as its longest order has lines."""
+    cases = tables.table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("length"), F.max("l_linenumber").cast("long").alias("parts"))
+    cases = cases.select("*", F.explode(F.sequence(F.expr("0L"), F.col("parts") - 1)).alias("coord"))
     first, last = range_of(F.col("length"), F.col("parts"), F.col("coord"))
-    return cases.select("length", "parts", "coord", first.alias("first"), last.alias("last"))
+    return cases.select("l_suppkey", "length", "parts", "coord", first.alias("first"), last.alias("last"))
 
 
-@query("SELECT l.n::BIGINT AS length, p.n::BIGINT AS parts, i.n::BIGINT AS i, c.n::BIGINT AS block FROM unnest(range(1, 20)) l(n), unnest(range(1, 7)) p(n), unnest(range(0, 19)) i(n), unnest(range(0, 6)) c(n) WHERE i.n < l.n AND c.n < p.n AND i.n >= l.n * c.n // p.n AND i.n < l.n * (c.n + 1) // p.n")
+@query("SELECT l_orderkey, l_linenumber, p.n AS length, c.n AS block, count(*) AS lines FROM lineitem, (SELECT max(l_orderkey) + 1 AS n FROM lineitem) p, unnest(range(0, 8)) c(n) WHERE c.n < l_linenumber AND l_orderkey >= p.n * c.n // l_linenumber AND l_orderkey < p.n * (c.n + 1) // l_linenumber GROUP BY ALL")
 def q_block_of_index(spark, sf):
-    cases = spark.range(1, 20).select(F.col("id").alias("length"), F.explode(F.sequence(F.expr("1L"), F.expr("6L"))).alias("parts"))
-    cases = cases.select("length", "parts", F.explode(F.sequence(F.expr("0L"), F.col("length") - 1)).alias("i"))
-    return cases.withColumn("block", block_of(F.col("i"), F.col("length"), F.col("parts")))
+    """The block of each line's order if orders were dealt to as many blocks as the line's number."""
+    lines = tables.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    length = lines.agg(F.max("l_orderkey")).first()[0] + 1
+    placed = lines.withColumns({"length": F.lit(length).cast("long"), "parts": F.col("l_linenumber").cast("long")})
+    return placed.groupBy("l_orderkey", "l_linenumber", "length", block_of(F.col("l_orderkey").cast("long"), F.col("length"), F.col("parts")).alias("block")).agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query(with_(LIN, "SELECT i0, i1, i2, ((i0 * 12 + i1) * 8 + i2)::BIGINT AS row_major, ((i2 * 7 + i0) * 12 + i1)::BIGINT AS permuted FROM lin"))
@@ -662,11 +669,15 @@ def q_collection_roundtrip(spark, sf):
     return out[0].unionByName(out[1])
 
 
-@query("SELECT * FROM (VALUES ('a', 'f64', '7,12,8', ''), ('b', 'i32', '7,12,8', ''), ('c', 'f64', '7,12,8', '2')) AS t(name, dtype, shape, extra)")
+#: The extents of EMB as text.
+EMB_SHAPE = "(SELECT (max(vec_id) + 1) || ',' || max(len(embedding)) AS s FROM embeddings)"
+
+
+@query(f"SELECT name, dtype, s AS shape, extra FROM (VALUES ('a', 'f64', ''), ('b', 'f32', ''), ('c', 'f64', '2')) AS t(name, dtype, extra), {EMB_SHAPE}")
 def q_catalog(spark, sf):
-    a, path = tables.lin(spark, sf), f"{_folder(spark)}/catalog"
+    a, path = tables.emb(spark, sf), f"{_folder(spark)}/catalog"
     files.write_named(path, "a", a)
-    files.append_named(path, "b", tables.lin(spark, sf, "i32"))
+    files.append_named(path, "b", a.with_df(a.df.withColumn("v", F.col("v").cast("float")), dtype="f32"))
     files.append_named_collection(path, "c", [a, a])
     join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return files.named_catalog(spark, path).select("name", "dtype", join("global_shape").alias("shape"), join("extra_shape").alias("extra"))

@@ -12,7 +12,7 @@ from .operators import exchange, reduce
 from .operators.array import MultiLayout, NDArray
 from .plans.stages import Tuning, is_real, plane_norms
 from .plans.transforms import BACKWARD, FORWARD, C2c, C2r, Dht, LocalC2c, LocalC2cNd, LocalDht, LocalR2c, LocalR2r, MixedC2c, MixedR2c, Options, R2c, R2r, transform_lines
-from .queries import C, E2, E3, EMB, EMBC, EVT, LIN, LINC, ND, ORACLE, THREE, _block, _c2r_input, _folder, _three, c2r_sql, dft, final, lin_complex, query, r2r_sql, rounded, with_
+from .queries import C, E2, E3, EMB, EMB_SHAPE, EMBC, EVT, LIN, LINC, ND, ORACLE, THREE, _block, _c2r_input, _folder, _three, c2r_sql, dft, final, lin_complex, query, r2r_sql, rounded, with_
 from .sources import files, parquet
 
 #: Every axis is a stage of its own, as in an array too large for slabs; and lines are split, as in one with long axes.
@@ -224,10 +224,14 @@ def q_mixed_c2c_with_timing(spark, sf):
     return rounded(out)
 
 
-@query("SELECT * FROM (VALUES ('c2c', 'input', '7,12,8'), ('c2c', 'output', '7,12,8'), ('c2c', 'stages', '2,1,0'), ('c2c', 'factor', '672'), ('r2c', 'input', '7,12,8'), ('r2c', 'output', '7,12,5'), ('r2c', 'stages', '2,0'), ('r2c', 'factor', '56'), ('c2r', 'input', '4,12,8'), ('c2r', 'output', '7,12,8'), ('c2r', 'stages', '2,0'), ('c2r', 'factor', '56'), ('mixed', 'input', '7,12,8'), ('mixed', 'output', '7,7,8'), ('mixed', 'stages', '2,1,0'), ('mixed', 'factor', '1344')) AS t(plan, what, value)")
+@query("""WITH e AS (SELECT max(l_orderkey) - min(l_orderkey) + 1 AS n, max(l_linenumber) AS m FROM lineitem), s AS (SELECT n, m, n || ',' || m || ',2' AS s FROM e)
+SELECT 'c2c' AS plan, 'input' AS what, s AS value FROM s UNION ALL SELECT 'c2c', 'output', s FROM s UNION ALL SELECT 'c2c', 'stages', '2,1,0' UNION ALL SELECT 'c2c', 'factor', (n * m * 2)::VARCHAR FROM s
+UNION ALL SELECT 'r2c', 'input', s FROM s UNION ALL SELECT 'r2c', 'output', n || ',' || (m // 2 + 1) || ',2' FROM s UNION ALL SELECT 'r2c', 'stages', '1,0' UNION ALL SELECT 'r2c', 'factor', (n * m)::VARCHAR FROM s
+UNION ALL SELECT 'c2r', 'input', (n // 2 + 1) || ',' || m || ',2' FROM s UNION ALL SELECT 'c2r', 'output', s FROM s UNION ALL SELECT 'c2r', 'stages', '1,0' UNION ALL SELECT 'c2r', 'factor', (n * m)::VARCHAR FROM s
+UNION ALL SELECT 'mixed', 'input', s FROM s UNION ALL SELECT 'mixed', 'output', n || ',' || (m // 2 + 1) || ',2' FROM s UNION ALL SELECT 'mixed', 'stages', '2,1,0' UNION ALL SELECT 'mixed', 'factor', (2 * n * m * 2)::VARCHAR FROM s""")
 def q_plan_metadata(spark, sf):
-    shape = tables.lin(spark, sf).shape
-    plans = {"c2c": C2c(shape), "r2c": R2c(shape, axes=[0, 2]), "c2r": C2r(shape, axes=[0, 2]), "mixed": MixedR2c(shape, transforms=("dct4", "rfft", "dht"))}
+    shape = tables.ord_(spark, sf).shape
+    plans = {"c2c": C2c(shape), "r2c": R2c(shape, axes=[0, 1]), "c2r": C2r(shape, axes=[0, 1]), "mixed": MixedR2c(shape, transforms=("dct4", "rfft", "dht"))}
     text = lambda x: ",".join(map(str, x))
     rows = []
     for name, plan in plans.items():
@@ -365,11 +369,11 @@ def q_file_session(spark, sf):
     return out[0].unionByName(out[1])
 
 
-@query("SELECT * FROM (VALUES ('array', 'f64', '7,12,8', ''), ('blocks', 'i16', '7,12,8', '')) AS t(name, dtype, shape, extra)")
+@query(f"SELECT name, dtype, s AS shape, '' AS extra FROM (VALUES ('array', 'f64'), ('blocks', 'f64')) AS t(name, dtype), {EMB_SHAPE}")
 def q_file_catalogs(spark, sf):
     folder = _folder(spark)
-    files.write_array(f"{folder}/array", tables.lin(spark, sf))
-    files.write_chunked(f"{folder}/blocks", tables.lin(spark, sf, "i16", (2, 2)))
+    files.write_array(f"{folder}/array", tables.emb(spark, sf))
+    files.write_chunked(f"{folder}/blocks", tables.emb(spark, sf, (4,)))
     found = files.catalog(spark, f"{folder}/array").withColumn("name", F.lit("array")).unionByName(files.chunked_catalog(spark, f"{folder}/blocks").withColumn("name", F.lit("blocks")))
     join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return found.select("name", "dtype", join("global_shape").alias("shape"), join("extra_shape").alias("extra"))
@@ -386,16 +390,16 @@ def q_parquet_store(spark, sf):
     return out[0].unionByName(out[1])
 
 
-@query("SELECT * FROM (VALUES ('run/3/velocity', 'f64', '7,12,8'), ('run/3/mass', 'i32', '7,12,8'), ('top', 'f64', '7,12,8')) AS t(name, dtype, shape)")
+@query(f"SELECT name, dtype, s AS shape FROM (VALUES ('run/3/velocity', 'f64'), ('run/3/mass', 'c128'), ('top', 'f64')) AS t(name, dtype), {EMB_SHAPE}")
 def q_parquet_tree_catalog(spark, sf):
     path = f"{_folder(spark)}/tree"
     with parquet.TreeSession(spark, path, "create") as t:
-        t.write("top", tables.lin(spark, sf))
+        t.write("top", tables.emb(spark, sf))
         t.create_group("run")
         t.create_group("run/3")
-        t.write("run/3/velocity", tables.lin(spark, sf))
+        t.write("run/3/velocity", tables.emb(spark, sf))
     with parquet.TreeSession(spark, path, "append") as t:
-        t.write("run/3/mass", tables.lin(spark, sf, "i32"))
+        t.write("run/3/mass", tables.emb_complex(spark, sf))
     with parquet.TreeSession(spark, path, "read") as t:
         return t.catalog().select("name", "dtype", F.array_join(F.transform("global_shape", lambda x: x.cast("string")), ",").alias("shape"))
 

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from . import tables
 from .functions.kernels import R2R_KINDS
+from .operators import reduce
 from .operators.tiles import Tiles
 from .plans.stages import Tuning
 from .plans.transforms import BACKWARD, FORWARD, C2c, MixedR2c, Options, R2c, R2r
 from .queries import C, E3, LIN, LINC, ORACLE, _folder, dft, final, lin_complex, query, r2r_sql, rounded, with_
-from .sources import parquet
+from .sources import datasource, files, parquet
 
 ORD = """ends AS (SELECT min(l_orderkey) AS a, max(l_orderkey) AS b, max(l_linenumber) AS n FROM lineitem),
 sums AS (SELECT l_orderkey - a AS i0, l_linenumber - 1 AS i1, k AS i2, sum(CASE WHEN k = 0 THEN l_quantity ELSE l_discount END)::DOUBLE AS v
@@ -123,3 +124,25 @@ def q_tiles_pointwise_saved(spark, sf):
     b = a.with_df(a.df.select("block_id", "origin", "extent", F.transform("v", lambda v: v + 1).alias("v"))).save(f"weftspark_b_{run}", 8)
     c = a.with_df(a.df.select("block_id", "origin", "extent", F.transform("v", lambda v: 2 * v).alias("v"))).save(f"weftspark_c_{run}", 8)
     return rounded(a.pointwise(lambda x, y, z: x * y - z, b, c).to_cells())
+
+
+@query(with_(ORD, "SELECT i0, i1, i2, v FROM ord WHERE i1 BETWEEN 2 AND 4 AND i2 = 1"))
+def q_array_file_slice(spark, sf):
+    """Part of an array file by the data source, which reads the byte ranges of that part only."""
+    path = f"{_folder(spark)}/slice"
+    files.write_array(path, tables.ord_(spark, sf))
+    return datasource.scan(spark, path, where={"i1": (2, 5), "i2": 1}).table()
+
+
+@query(with_(ORD, "SELECT i2, round(sum(v), 4) AS v FROM ord GROUP BY i2"))
+def q_array_file_scan(spark, sf):
+    path = f"{_folder(spark)}/scan"
+    files.write_array(path, tables.ord_(spark, sf))
+    return datasource.scan(spark, path).df.groupBy("i2").agg(F.round(F.sum("v"), 4).alias("v"))
+
+
+@query(with_(ORD, "SELECT round(sum(v * v + 1), 2) + 0.0 AS value FROM ord"))
+def q_tiles_map_reduce(spark, sf):
+    """Each tile is folded where it is, in order; only its result moves."""
+    t = Tiles.from_cells(tables.ord_(spark, sf), cells=4096)
+    return reduce.map_reduce([t], 0.0, lambda v: v * v + 1, lambda x, y: x + y).select((F.round("value", 2) + F.lit(0.0)).alias("value"))
