@@ -401,3 +401,33 @@ def test_plans_describe_themselves(spark):
 
 def test_axis_order_is_free():
     assert T.AxisSelection.from_indices(3, [2, 0]) == T.AxisSelection.from_indices(3, (0, 2))
+
+
+@pytest.mark.parametrize(
+    "make, family",
+    [
+        (lambda: T.C2c((0,)), "FftError"),
+        (lambda: T.C2c((3,), directions=(1,), axes=[]), "FftError"),
+        (lambda: T.R2c((3,), axes=[]), "R2cError"),
+        (lambda: T.C2r((3,), axes=[]), "R2cError"),
+        (lambda: T.R2r((3,), kinds=("dct9",)), "R2rError"),
+        (lambda: T.MixedC2c((3,), transforms=("rfft",)), "MixedError"),
+        (lambda: T.MixedR2c((3,), transforms=("fft",)), "MixedError"),
+        (lambda: T.C2c((2,)).with_overlap(None), "OverlapError"),
+        (lambda: T.LocalC2c(4).forward([1, 2, 3]), "LocalC2cError"),
+        (lambda: T.LocalC2cNd((2, 2), (0,)).forward([1, 2, 3]), "LocalC2cNdError"),
+        (lambda: T.LocalR2c(4).backward([1j, 2, 3]), "LocalR2cError"),
+        (lambda: T.LocalDht(4).forward([1.0, 2.0, 3.0]), "LocalR2rError"),
+    ],
+)
+def test_each_family_has_an_error(make, family):
+    with pytest.raises(TransformError) as e:
+        make()
+    assert type(e.value).__name__ == family
+
+
+def test_cells_come_with_this_library_s_errors(spark):
+    a = load(spark, signal(3, 4))
+    assert len(a.collect()) == 12
+    with pytest.raises(TransformError, match="dense"):
+        T.C2c.like(a, [1]).forward(a.with_df(a.df.filter("i1 <> 2"))).collect()

@@ -62,7 +62,47 @@ class TransformError(ArrayError):
     """A transform plan or its input that can't be."""
 
 
-class InvalidSpectrum(TransformError):
+class FftError(TransformError):
+    """A complex plan or its input that can't be."""
+
+
+class R2cError(TransformError):
+    """A plan between real arrays and half spectra, or its input, that can't be."""
+
+
+class R2rError(TransformError):
+    """A real-to-real or Hartley plan, or its input, that can't be."""
+
+
+class MixedError(TransformError):
+    """A plan of mixed kinds, or its input, that can't be."""
+
+
+class OverlapError(TransformError):
+    """A plan that offers no overlap."""
+
+
+class LocalError(TransformError):
+    """A local plan, or lines in memory, that can't be."""
+
+
+class LocalC2cError(LocalError):
+    """As above, of complex lines."""
+
+
+class LocalC2cNdError(LocalError):
+    """As above, of blocks of several axes."""
+
+
+class LocalR2cError(LocalError):
+    """As above, of real lines and half spectra."""
+
+
+class LocalR2rError(LocalError):
+    """As above, of real-to-real and Hartley lines."""
+
+
+class InvalidSpectrum(R2cError, MixedError):
     """A half spectrum that no real array has."""
 
 
@@ -82,6 +122,14 @@ class IoError(ArrayError):
     """A file that isn't what it should be."""
 
 
+class NamedIoError(IoError):
+    """A container of named arrays, or a name, that isn't what it should be."""
+
+
+class CollectionIoError(IoError):
+    """Members of a stored collection that don't fit together."""
+
+
 class CatalogError(IoError):
     """A catalog that can't be read."""
 

@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import ArrayError, LocalGridError, ShapeError
+from ..errors import ArrayError, LocalGridError, ShapeError, typed
 from ..plans.layout import Layout, check_extra, offset_column
 
 #: Spark type of the value column of each element type; complex types have two such columns.  ``u64`` is a decimal.
@@ -84,6 +84,11 @@ class NDArray:
         """Coordinates and values only."""
         return self.df.select(*self.coords, *self.values)
 
+    def collect(self) -> list[Row]:
+        """All cells, for small arrays; what the query finds wrong with the data is raised as the error that it is."""
+        with typed():
+            return self.table().collect()
+
     def linear(self) -> Column:
         """Position in logical row-major order [batch, space]."""
         return offset_column((*self.extra, *self.shape), [F.col(c) for c in self.coords])

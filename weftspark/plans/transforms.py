@@ -11,6 +11,7 @@ import math
 import time
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field, fields, replace
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .._ship import ship
-from ..errors import AxisError, CollectionError, InvalidSpectrum, TransformError, WrongState
+from ..errors import AxisError, CollectionError, FftError, InvalidSpectrum, LocalC2cError, LocalC2cNdError, LocalR2cError, LocalR2rError, MixedError, OverlapError, R2cError, R2rError, TransformError, WrongState
 from ..functions import kernels
 from ..functions.kernels import Step
 from ..operators import tiles
@@ -94,15 +95,17 @@ class Options:
 class Plan:
     """What all plans share."""
 
+    error: ClassVar[type[TransformError]] = TransformError
+
     shape: tuple[int, ...]
     extra: tuple[int, ...] = ()
     options: Options = field(default_factory=Options)
 
     def __post_init__(self):
         if not self.shape or any(n < 1 for n in self.shape):
-            raise TransformError(f"{self.shape} is no shape to transform")
+            raise self.error(f"{self.shape} is no shape to transform")
         if any(n < 0 for n in self.extra):
-            raise TransformError(f"{self.extra} is no batch shape")
+            raise self.error(f"{self.extra} is no batch shape")
 
     @classmethod
     def like(cls, array: NDArray, *what, **kwargs):
@@ -149,7 +152,7 @@ class Plan:
 
     def _spectrum(self, array: NDArray, operation: str) -> tuple[list[Step], int, int, tuple[float, float]]:
         """Of an operation that takes a half spectrum: steps before the check, real axis, real length, and limits."""
-        raise TransformError("the plan takes no half spectrum")
+        raise self.error("the plan takes no half spectrum")
 
     def check_spectrum(self, array: NDArray, operation: str = "inverse") -> NDArray:
         """The array, if ``operation`` takes it (runs a job over the planes that must be real)."""
@@ -161,9 +164,9 @@ class Plan:
 
     def _check(self, array: NDArray, shape: tuple[int, ...], complex_: bool | None) -> None:
         if array.shape != shape or array.extra != self.extra:
-            raise TransformError(f"the plan is for {self.extra} x {shape}, the array is {array.extra} x {array.shape}")
+            raise self.error(f"the plan is for {self.extra} x {shape}, the array is {array.extra} x {array.shape}")
         if array.dtype not in ("f32", "f64", "c64", "c128") or complex_ is not None and array.complex != complex_:
-            raise TransformError(f"the plan doesn't take {array.dtype}")
+            raise self.error(f"the plan doesn't take {array.dtype}")
 
     def _named(self, out: NDArray, forward: bool) -> NDArray:
         """The output's declared memory order: reversed axes after a forward transform, unless that is switched off."""
@@ -267,7 +270,7 @@ class Plan:
     def with_overlap(self, array: NDArray, operation: str = "forward") -> NDArray:
         """The same numbers; exchange and work overlap in Spark anyway, but only point-to-point plans may ask for it."""
         if self.options.transpose_method != "point_to_point":
-            raise TransformError("overlap needs the point-to-point transport")
+            raise OverlapError("overlap needs the point-to-point transport")
         return getattr(self, operation)(array)
 
 
@@ -338,6 +341,8 @@ def _order(axes: Iterable[int], forward: bool) -> list[int]:
 class C2c(Plan):
     """Complex to complex along the selected axes; ``directions`` gives each axis the sign of its forward exponent."""
 
+    error: ClassVar[type[TransformError]] = FftError
+
     axes: AxisSelection | Sequence[int] | None = None
     directions: tuple[int, ...] | None = None
 
@@ -346,9 +351,9 @@ class C2c(Plan):
         object.__setattr__(self, "axes", _select(len(self.shape), self.axes))
         signs = self.directions or (FORWARD,) * len(self.shape)
         if len(signs) != len(self.shape) or any(s not in (FORWARD, BACKWARD) for s in signs):
-            raise TransformError("a direction is needed for each axis")
+            raise self.error("a direction is needed for each axis")
         if any(s != FORWARD for k, s in enumerate(signs) if k not in self.axes):
-            raise TransformError("an axis that isn't transformed has no direction")
+            raise self.error("an axis that isn't transformed has no direction")
         object.__setattr__(self, "directions", tuple(signs))
 
     def _steps(self) -> list[int]:
@@ -386,13 +391,15 @@ def _limits(dtype: str, depth: int, grown: float) -> tuple[float, float]:
 class R2c(Plan):
     """Real to half spectrum: the largest selected axis keeps n // 2 + 1 entries, the others are complex transforms."""
 
+    error: ClassVar[type[TransformError]] = R2cError
+
     axes: AxisSelection | Sequence[int] | None = None
 
     def __post_init__(self):
         super().__post_init__()
         object.__setattr__(self, "axes", _select(len(self.shape), self.axes))
         if self.axes.is_empty():
-            raise TransformError("a real axis is needed")
+            raise self.error("a real axis is needed")
 
     @property
     def real_axis(self) -> int:
@@ -449,13 +456,15 @@ class C2r(Plan):
     ``shape`` is that of the real output, since the half spectrum doesn't tell even from odd.
     """
 
+    error: ClassVar[type[TransformError]] = R2cError
+
     axes: AxisSelection | Sequence[int] | None = None
 
     def __post_init__(self):
         super().__post_init__()
         object.__setattr__(self, "axes", _select(len(self.shape), self.axes))
         if self.axes.is_empty():
-            raise TransformError("a real axis is needed")
+            raise self.error("a real axis is needed")
 
     @property
     def real_axis(self) -> int:
@@ -507,16 +516,18 @@ class C2r(Plan):
 class R2r(Plan):
     """A real-to-real kind (or None) for each axis, on real or complex arrays."""
 
+    error: ClassVar[type[TransformError]] = R2rError
+
     kinds: tuple[str | None, ...] = ()
 
     def __post_init__(self):
         super().__post_init__()
         if len(self.kinds) != len(self.shape):
-            raise TransformError("a kind, or None, is needed for each axis")
+            raise self.error("a kind, or None, is needed for each axis")
         for kind, n in zip(self.kinds, self.shape, strict=True):
             if kind is not None:
                 if kind not in kernels.R2R_KINDS:
-                    raise TransformError(f"no real-to-real kind {kind}")
+                    raise self.error(f"no real-to-real kind {kind}")
                 kernels.check_length(kind, n)
 
     def _steps(self) -> list[int]:
@@ -545,6 +556,8 @@ class R2r(Plan):
 class Dht(Plan):
     """Separable Hartley transform of the selected axes; its own reverse."""
 
+    error: ClassVar[type[TransformError]] = R2rError
+
     axes: AxisSelection | Sequence[int] | None = None
 
     def __post_init__(self):
@@ -589,17 +602,19 @@ def _reverse_step(kind: str, axis: int, sign: int) -> Step:
 class MixedC2c(Plan):
     """Each axis None, ``fft``, ``dht`` or a real-to-real kind, on complex arrays."""
 
+    error: ClassVar[type[TransformError]] = MixedError
+
     transforms: tuple[str | None, ...] = ()
     directions: tuple[int, ...] | None = None
 
     def __post_init__(self):
         super().__post_init__()
         if len(self.transforms) != len(self.shape):
-            raise TransformError("a transform, or None, is needed for each axis")
+            raise self.error("a transform, or None, is needed for each axis")
         for kind, n in zip(self.transforms, self.shape, strict=True):
             if kind is not None:
                 if kind not in ("fft", "dht", *kernels.R2R_KINDS):
-                    raise TransformError(f"a complex plan has no {kind} axis")
+                    raise self.error(f"a complex plan has no {kind} axis")
                 kernels.check_length(kind, n)
         object.__setattr__(self, "directions", _signs(self.transforms, self.directions))
 
@@ -633,18 +648,20 @@ class MixedC2c(Plan):
 class MixedR2c(Plan):
     """One ``rfft`` axis; axes after it are real (None, ``dht``, real-to-real), axes before it may be ``fft`` as well."""
 
+    error: ClassVar[type[TransformError]] = MixedError
+
     transforms: tuple[str | None, ...] = ()
     directions: tuple[int, ...] | None = None
 
     def __post_init__(self):
         super().__post_init__()
         if len(self.transforms) != len(self.shape) or self.transforms.count("rfft") != 1:
-            raise TransformError("one transform for each axis is needed, of which one is rfft")
+            raise self.error("one transform for each axis is needed, of which one is rfft")
         for k, (kind, n) in enumerate(zip(self.transforms, self.shape, strict=True)):
             allowed = ("dht", *kernels.R2R_KINDS) + (("fft",) if k < self.real_axis else ("rfft",) if k == self.real_axis else ())
             if kind is not None:
                 if kind not in allowed:
-                    raise TransformError(f"axis {k} can't be {kind}")
+                    raise self.error(f"axis {k} can't be {kind}")
                 kernels.check_length(kind, n)
         object.__setattr__(self, "directions", _signs(self.transforms, self.directions))
 
@@ -703,10 +720,10 @@ class MixedR2c(Plan):
 # transforms of flat lines in memory; ``transform_lines`` applies them to the rows of a DataFrame
 
 
-def _lines(x, n: int) -> np.ndarray:
+def _lines(x, n: int, error: type[TransformError]) -> np.ndarray:
     x = np.asarray(x)
     if x.ndim != 1 or x.size % n:
-        raise TransformError(f"{x.size} values are no whole number of lines of {n}")
+        raise error(f"{x.size} values are no whole number of lines of {n}")
     return x.reshape(-1, n)
 
 
@@ -731,10 +748,10 @@ class LocalC2c(LocalPlan):
         kernels.check_length("fft", self.line_len)
 
     def forward(self, x):
-        return kernels.fft(_lines(x, self.line_len), 1, -1).ravel()
+        return kernels.fft(_lines(x, self.line_len, LocalC2cError), 1, -1).ravel()
 
     def backward(self, x):
-        return kernels.fft(_lines(x, self.line_len), 1, 1).ravel()
+        return kernels.fft(_lines(x, self.line_len, LocalC2cError), 1, 1).ravel()
 
     def inverse(self, x):
         return self.backward(x) / self.line_len
@@ -749,13 +766,13 @@ class LocalC2cNd(LocalPlan):
 
     def __post_init__(self):
         if not self.shape or any(n < 1 for n in self.shape):
-            raise TransformError(f"{self.shape} is no shape to transform")
+            raise LocalC2cNdError(f"{self.shape} is no shape to transform")
         AxisSelection.from_indices(len(self.shape), self.axes)
 
     def _run(self, x, sign: int, scale: float):
         x = np.asarray(x)
         if x.size % math.prod(self.shape):
-            raise TransformError(f"{x.size} values for blocks of {self.shape}")
+            raise LocalC2cNdError(f"{x.size} values for blocks of {self.shape}")
         out = x.reshape(-1, *reversed(self.shape)).astype(np.complex128)
         for a in self.axes:
             out = kernels.fft(out, len(self.shape) - a, sign)
@@ -785,13 +802,13 @@ class LocalR2c(LocalPlan):
         return self.real_len // 2 + 1
 
     def forward(self, x):
-        return kernels.rfft(_lines(x, self.real_len), 1, -1).ravel()
+        return kernels.rfft(_lines(x, self.real_len, LocalR2cError), 1, -1).ravel()
 
     def backward(self, x):
-        x = _lines(x, self.complex_len)
+        x = _lines(x, self.complex_len, LocalR2cError)
         for k in {0, self.real_len // 2} if self.real_len % 2 == 0 else {0}:
             if len(bad := np.flatnonzero(~(x[:, k].imag == 0))):
-                raise TransformError(f"line {bad[0]}: entry {k} must be real")
+                raise LocalR2cError(f"line {bad[0]}: entry {k} must be real")
         return kernels.crfft(x, 1, self.real_len, 1).ravel()
 
     def inverse(self, x):
@@ -847,14 +864,14 @@ class LocalR2r(LocalPlan):
 
     def __post_init__(self):
         if self.kind not in kernels.R2R_KINDS:
-            raise TransformError(f"no real-to-real kind {self.kind}")
+            raise LocalR2rError(f"no real-to-real kind {self.kind}")
         kernels.check_length(self.kind, self.line_len)
 
     def forward(self, x):
-        return kernels.r2r(self.kind, _lines(x, self.line_len), 1).ravel()
+        return kernels.r2r(self.kind, _lines(x, self.line_len, LocalR2rError), 1).ravel()
 
     def backward(self, x):
-        return kernels.r2r(kernels.REVERSE[self.kind], _lines(x, self.line_len), 1).ravel()
+        return kernels.r2r(kernels.REVERSE[self.kind], _lines(x, self.line_len, LocalR2rError), 1).ravel()
 
     def inverse(self, x):
         return self.backward(x) / kernels.factor(self.kind, self.line_len)
@@ -870,7 +887,7 @@ class LocalDht(LocalPlan):
         kernels.check_length("dht", self.line_len)
 
     def forward(self, x):
-        return kernels.dht(_lines(x, self.line_len), 1).ravel()
+        return kernels.dht(_lines(x, self.line_len, LocalR2rError), 1).ravel()
 
     def backward(self, x):
         return self.forward(x)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .._ship import ship
-from ..errors import CatalogError, IoError, typed
+from ..errors import CatalogError, CollectionIoError, IoError, NamedIoError, typed
 from ..operators.array import DTYPES, NDArray
 from ..plans.layout import Layout, partition_range
 from ..plans.transforms import stack
@@ -303,7 +303,7 @@ def read_raw(spark: SparkSession, path: str, layout: Layout, extra: Sequence[int
 def _check_name(name: str) -> bytes:
     raw = name.encode()
     if not raw or len(raw) > MAX_NAME or b"\0" in raw:
-        raise IoError(f"{name!r} is no name for a dataset")
+        raise NamedIoError(f"{name!r} is no name for a dataset")
     return raw
 
 
@@ -320,7 +320,7 @@ def named_datasets(path: str) -> tuple[list[DatasetInfo], int, bool]:
     size = _size(path)
     head = _read(path, 0, CONTAINER) if size >= CONTAINER else b""
     if head != NAMED_MAGIC + _words(NAMED_VERSION, CONTAINER, 0):
-        raise IoError(f"{path} is no container")
+        raise NamedIoError(f"{path} is no container")
     out, at = [], CONTAINER
     while at < size:
         if at + RECORD > size:
@@ -334,10 +334,10 @@ def named_datasets(path: str) -> tuple[list[DatasetInfo], int, bool]:
         body = _read(path, at + RECORD, names + metas)
         n, e = _word(body, names), _word(body, names + 8)
         if metas != 16 + 8 * (n + e):
-            raise IoError(f"a record of {path} is damaged")
+            raise NamedIoError(f"a record of {path} is damaged")
         extents = [_word(body, names + 16 + 8 * k) for k in range(n + e)]
         if math.prod(extents) * width != held or len(out) == MAX_DATASETS:
-            raise IoError(f"a record of {path} is damaged")
+            raise NamedIoError(f"a record of {path} is damaged")
         out.append(DatasetInfo(body[:names].decode(), scalar.name, tuple(extents[:n]), tuple(extents[n:]), b"", at + RECORD + names + metas, held))
         at += total
     return out, at, True
@@ -354,9 +354,9 @@ def append_named(path: str, name: str, array: NDArray) -> None:
     """Add a dataset; a damaged tail blocks this, though what stands before it can still be read."""
     found, end, whole = named_datasets(path)
     if not whole:
-        raise IoError(f"{path} has a damaged tail")
+        raise NamedIoError(f"{path} has a damaged tail")
     if any(x.name == name for x in found):
-        raise IoError(f"{path} has a dataset {name!r}")
+        raise NamedIoError(f"{path} has a dataset {name!r}")
     _append(path, end, _record(name, array), array)
 
 
@@ -376,7 +376,7 @@ def _append(path: str, at: int, record: bytes, array: NDArray) -> None:
 def _named(path: str, name: str) -> DatasetInfo:
     info = next((x for x in named_datasets(path)[0] if x.name == name), None)
     if info is None:
-        raise IoError(f"{path} has no dataset {name!r}")
+        raise NamedIoError(f"{path} has no dataset {name!r}")
     return info
 
 
@@ -398,12 +398,12 @@ class FileSession:
 
     def __init__(self, spark: SparkSession, path: str, mode: str):
         if mode not in ("create", "read", "append"):
-            raise IoError(f"no mode {mode}")
+            raise NamedIoError(f"no mode {mode}")
         self.spark, self.path, self.mode, self.closed, self.poisoned = spark, path, mode, False, False
         if mode == "create":
             _create(path, NAMED_MAGIC + _words(NAMED_VERSION, CONTAINER, 0), None)
         elif not named_datasets(path)[2] and mode == "append":
-            raise IoError(f"{path} has a damaged tail")
+            raise NamedIoError(f"{path} has a damaged tail")
 
     def __enter__(self) -> FileSession:
         return self
@@ -413,7 +413,7 @@ class FileSession:
 
     def _usable(self, writing: bool = False) -> None:
         if self.closed or self.poisoned or writing and self.mode == "read":
-            raise IoError("the session doesn't take this")
+            raise NamedIoError("the session doesn't take this")
 
     def write(self, name: str, array: NDArray) -> None:
         self._usable(True)
@@ -557,7 +557,7 @@ def write_collection(path: str, arrays: Sequence[NDArray]) -> None:
 
 def _collected(arrays: Sequence[NDArray]) -> NDArray:
     if not arrays:
-        raise IoError("a collection needs a member")
+        raise CollectionIoError("a collection needs a member")
     if any((a.layout, a.extra, a.dtype) != (arrays[0].layout, arrays[0].extra, arrays[0].dtype) for a in arrays):
         raise IoError("the members differ in layout, batch shape or type")
     return stack(arrays)

@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import IoError
+from ..errors import CollectionIoError, IoError
 from ..operators.array import NDArray
 from ..operators.tiles import Tiles, Tiling
 from ..plans.layout import Layout
@@ -146,7 +146,7 @@ class Store(_Folder):
     def write_collection(self, name: str, arrays: Sequence[NDArray], options: Options = Options()) -> None:
         """Members of one layout and type, under a leading member axis."""
         if not arrays or any((a.layout, a.extra, a.dtype) != (arrays[0].layout, arrays[0].extra, arrays[0].dtype) for a in arrays):
-            raise IoError("a collection needs members of one layout, batch shape and type")
+            raise CollectionIoError("a collection needs members of one layout, batch shape and type")
         self.write(name, stack(arrays), options)
 
     def read_collection(self, name: str) -> list[NDArray]:
