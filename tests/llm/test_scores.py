@@ -89,6 +89,27 @@ def test_samples_are_bounded_and_every_language_is_in(spark, monkeypatch):
     assert all(0 < sum(map(len, v)) <= langid.LEAST_CHARS for v in found.values())
 
 
+@pytest.mark.parametrize("part", [1, 7, 40, 333, 5000])
+def test_parts_of_long_texts_give_the_whole_parse(monkeypatch, part):
+    rng = random.Random(part)
+    train = {k: [" ".join(rng.choice(w.split()) for _ in range(300))] for k, w in (("a", "the of and ΣΊΣΥΦΟΣ in"), ("b", "der die und straße"), ("c", "le la et ça"))}
+    model = langid.learn(train)
+    texts = ["".join(rng.choice(["the ", "UND", "la\n", "  ", "..", "ΣΊΣ", "Σ ", "ça,", "İx "]) for _ in range(rng.randrange(0, 300))) for _ in range(12)] + ["", "x" * 900, " \n " * 300, "!" * 400]
+    whole = langid.predict(model, texts)
+    counts = langid.phrases(model, *langid.normalise(texts)[:2])
+    monkeypatch.setattr(langid, "PART", part)
+    cut = [langid.parse_long(model, t) for t in texts]
+    assert langid.predict(model, texts) == whole and np.array_equal(np.concatenate([c for c, _, _ in cut], axis=1), counts)
+
+
+def test_a_model_is_as_large_as_what_it_learned():
+    rng = random.Random(1)
+    train = {f"l{i}": ["".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(300))] for i in range(60)}
+    model = langid.learn(train)
+    held = sum(x.nbytes for x in (model.points, model.edges, model.first, model.bits))
+    assert held < 16 * 60 * len(model.points) and langid.predict(model, [train["l7"][0], train["l31"][0]])[0] == ["l7", "l31"]
+
+
 def test_normalise():
     points, ends, has = langid.normalise(["Ab--c1 ", "", "12!", "É"])
     assert "".join(map(chr, points)) == "ab c  é" and ends.tolist() == [5, 5, 6, 7] and has.tolist() == [True, False, False, True]

@@ -7,7 +7,8 @@ character), and the language with the lowest estimate wins.
 
 The automata are stored sparsely, so that alphabets of thousands of letters cost no more than small ones: every edge
 has a slot in one array, found by the state XOR the letter's code, and a slot whose owner is another state means that
-the match ends there.  Whole batches are parsed at once, a lane for each block of ``BLOCK`` characters, in all languages
+the match ends there.  The model that is broadcast takes 32 bytes for each learned character, or 16 for each language and
+letter where these are more.  Whole batches are parsed at once, a lane for each block of ``BLOCK`` characters, in all languages
 together.  A lane begins as if a phrase began with it; then each lane is parsed again from the state in which the lane
 before it really ended, until both parses agree, so phrases cross blocks and the parse is that of the whole text.
 
@@ -18,12 +19,13 @@ there are many, are held.  Every language with a labelled text is learned, and e
 
 Defined cases: ``und`` with score 0 for a null text or one without letters, and for every text when nothing could be
 learned; ties go to the language that sorts first; repeated rows are judged one by one, and of rows that repeat a
-doc_id one is learned from; a null doc_id is neither held out nor learned from; very long texts are parsed in pieces
-that hand on their state; an empty table gives an empty one; other columns are ignored, whatever their names.
+doc_id one is learned from; a null doc_id is neither held out nor learned from; very long texts are read and
+parsed in parts that hand on their state; an empty table gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,8 +39,9 @@ from .toxicity import held_out
 
 #: Sample rows of a language, characters learned of each language, and of all together (at least LEAST_CHARS of each).
 SLOTS, TRAIN_CHARS, TOTAL_CHARS, LEAST_CHARS = 128, 24_000, 400_000, 500
-#: Characters of a lane, characters of texts parsed at once, and cells (a character in a language) of a step's trace.
-BLOCK, CHUNK, CELLS = 256, 1 << 20, 1 << 22
+#: Characters of a lane, characters of texts parsed at once, of a part of a long text, and cells (a character in a language)
+#: of a step's trace.
+BLOCK, CHUNK, PART, CELLS = 256, 1 << 20, 1 << 18, 1 << 22
 UNKNOWN = "und"
 #: Rounds in which all lanes that were entered wrongly are parsed again at once.
 ROUNDS = 8
@@ -113,15 +116,14 @@ class Model:
     """Languages, known code points, and the automata.
 
     A state is a number of its own choice; its edge by code c is in ``edges[state ^ c]``, as 2**32 * state + 2 * next state.
-    ``first`` holds the start of each language; ``restart`` is, twice and plus 1, the state that a single character leads
-    to from there.  So what a step gives is twice the next state, plus 1 if a phrase ended before the character.
+    ``first`` holds the start of each language, from whose edges a phrase begins anew.  What a step gives is twice the next
+    state, plus 1 if a phrase ended before the character.
     """
 
     langs: list[str]
     points: np.ndarray
     edges: np.ndarray
     first: np.ndarray
-    restart: np.ndarray
     bits: np.ndarray
 
 
@@ -165,17 +167,13 @@ def learn(samples: dict[str, list[str]]) -> Model:
     for i in sorted(range(len(langs)), key=lambda i: -placed[i][1]):
         offsets[i] = total
         total += placed[i][1]
-    edges = np.full(total, -1, np.int64)
-    first, restart = np.zeros(len(langs), np.int64), np.zeros((len(langs), len(points) + 1), np.int64)
+    edges, first = np.full(total, -1, np.int64), np.zeros(len(langs), np.int64)
     for i, move in enumerate(moves):
         names = [x + offsets[i] for x in placed[i][0]]
         flat = np.array([(names[s] ^ c, names[s], names[t]) for s, go in enumerate(move) for c, t in go.items()], np.int64).reshape(-1, 3)
         edges[flat[:, 0]] = (flat[:, 1] << 32) | (2 * flat[:, 2])
         first[i] = names[0]
-        restart[i] = 2 * names[0] + 1
-        for c, t in move[0].items():
-            restart[i, c] = 2 * names[t] + 1
-    return Model(langs, points, edges, first, restart, np.array([np.log2(max(2, len(texts[lang]))) for lang in langs]))
+    return Model(langs, points, edges, first, np.array([np.log2(max(2, len(texts[lang]))) for lang in langs]))
 
 
 def _codes(points: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -186,10 +184,12 @@ def _codes(points: np.ndarray, text: np.ndarray) -> np.ndarray:
     return np.where(points[at] == text, at + 1, 0)
 
 
-def _step(model: Model, state: np.ndarray, code: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Twice the next states, plus 1 where a phrase ended; ``row`` is each state's row in ``restart`` (flat)."""
+def _step(model: Model, state: np.ndarray, code: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Twice the next states, plus 1 where a phrase ended; ``first`` has the start of each state's language."""
     edge = model.edges[state ^ code]
-    return np.where((edge >> 32) == state, edge & _LOW, model.restart.ravel()[row + code])
+    again = model.edges[first ^ code]
+    begun = np.where((again >> 32) == first, again & _LOW, 2 * first) + 1
+    return np.where((edge >> 32) == state, edge & _LOW, begun)
 
 
 def breaks(model: Model, codes: np.ndarray, ends: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +197,7 @@ def breaks(model: Model, codes: np.ndarray, ends: np.ndarray, begin: np.ndarray)
 
     ``begin`` holds the states in which each text is entered (languages by texts).
     """
-    n, langs, width = len(ends), len(model.langs), model.restart.shape[1]
+    n, langs = len(ends), len(model.langs)
     starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
     lengths = ends - starts
     blocks = -(-lengths // BLOCK)
@@ -210,7 +210,7 @@ def breaks(model: Model, codes: np.ndarray, ends: np.ndarray, begin: np.ndarray)
     where[order] = np.arange(len(order))
     owner, index, at, size = owner[order], index[order], at[order], size[order]
     state = np.where(index == 0, begin[:, owner], model.first[:, None])
-    rows = (np.arange(langs) * width)[:, None]
+    rows = model.first[:, None]
     trace = np.zeros((int(size[0]) if len(size) else 0, *state.shape), np.int32)
     for i, live in enumerate(np.searchsorted(-size, -np.arange(len(trace)), "left").tolist()):
         went = _step(model, state[:, :live], codes[at[:live] + i], rows)
@@ -239,7 +239,7 @@ def breaks(model: Model, codes: np.ndarray, ends: np.ndarray, begin: np.ndarray)
         entered[lang, lane] = s
         i = 0
         while len(lane):
-            went = _step(model, s, codes[at[lane] + i], lang * width)
+            went = _step(model, s, codes[at[lane] + i], model.first[lang])
             s = went >> 1
             done = trace[i, lang, lane] >> 1 == s
             trace[i, lang, lane] = went
@@ -283,21 +283,61 @@ def phrases(model: Model, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out + (ends > starts)
 
 
+_SPACES = " \n\t\r"
+_SPACE = re.compile(f"[{_SPACES}]")
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A long text cut behind white space, where lower-casing sees no further."""
+    at = 0
+    while len(text) - at > PART:
+        end = max(text.rfind(c, at, at + PART) for c in _SPACES) + 1
+        if not end:
+            found = _SPACE.search(text, at + PART)
+            end = found.end() if found else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def parse_long(model: Model, text: str) -> tuple[np.ndarray, int, bool]:
+    """Phrases in each language, length and whether there is a letter, of a text that is read part after part."""
+    state, total, length, has, last = model.first[:, None], np.zeros((len(model.langs), 1)), 0, False, 0
+    room = BLOCK * max(1, CELLS // (BLOCK * max(1, len(model.langs))))
+    for part in _parts(text):
+        points, _, letters = normalise([part])
+        if last == 32 and len(points) and points[0] == 32:  # one gap over two parts
+            points = points[1:]
+        codes = _codes(model.points, points)
+        for at in range(0, len(codes), room):
+            piece = codes[at : at + room]
+            more, state = breaks(model, piece, np.array([len(piece)]), state)
+            total += more
+        length, has, last = length + len(points), has or bool(letters.any()), points[-1] if len(points) else last
+    return total + (length > 0), length, has
+
+
 def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
     langs, scores = [], []
     at = 0
     while at < len(texts):
         some, held = [], 0
-        while at + len(some) < len(texts) and (not some or held < CHUNK):
+        # a long text is judged by itself
+        while at + len(some) < len(texts) and (not some or held < CHUNK and max(len(texts[at + len(some)]), len(some[0])) <= PART):
             some.append(texts[at + len(some)])
             held += len(some[-1])
-        text, ends, has = normalise(some)
         if not model.langs:
             langs += [UNKNOWN] * len(some)
             scores += [0.0] * len(some)
         else:
-            length = np.maximum(1, np.diff(np.concatenate(([0], ends))))
-            rate = phrases(model, text, ends) * model.bits[:, None] / length
+            if len(some) == 1 and held > PART:
+                count, n, letters = parse_long(model, some[0])
+                length, has = np.array([max(1, n)]), [letters]
+            else:
+                text, ends, has = normalise(some)
+                length = np.maximum(1, np.diff(np.concatenate(([0], ends))))
+                count = phrases(model, text, ends)
+            rate = count * model.bits[:, None] / length
             best = rate.argmin(axis=0)
             sure = 1 / np.exp(-SHARPNESS * (rate - rate.min(axis=0))).sum(axis=0)
             langs += [model.langs[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)]
