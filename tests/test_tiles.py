@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftspark.errors import ArrayError, InvalidSpectrum, PointwiseError, ReductionError, TransformError, typed
 from weftspark.functions import kernels
-from weftspark.operators import reduce
+from weftspark.operators import pointwise, reduce
 from weftspark.operators.array import NDArray
 from weftspark.operators.tiles import Tiles, Tiling, tiling_for
 from weftspark.plans import transforms as T
@@ -119,6 +119,22 @@ def test_tiles_are_kept_as_parquet_and_tables(spark, tmp_path):
             spark.sql(f"drop table if exists {n}")
 
 
+def test_cells_saved_by_coordinates_are_joined_where_they_are(spark, tmp_path):
+    x = signal(3, 9, 8, complex_=False)
+    a = load(spark, x, 1)
+    names = [f"cells_{n}_{abs(hash(str(tmp_path)))}" for n in range(3)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = pointwise.pointwise3(*(a.save(n, 4) for n in names), lambda u, v, w: u * v - w)
+        plan = made.df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("SortMergeJoin") == 2 and np.allclose(dump(made), x * x - x)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for n in names:
+            spark.sql(f"drop table if exists {n}")
+
+
 def test_tiles_move_values_alone(spark):
     x = signal(8, 8, 16, 16)
     a = load(spark, x)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import tables
 from .functions.kernels import R2R_KINDS
-from .operators import reduce
+from .operators import pointwise, reduce
 from .operators.tiles import Tiles
 from .plans.stages import Tuning
 from .plans.transforms import BACKWARD, FORWARD, C2c, MixedR2c, Options, R2c, R2r
@@ -51,6 +51,19 @@ def q_r2c_forward_prime_lines(spark, sf):
     return rounded(R2c.like(a, [0], options=Options(tuning=Tuning(line_cells=4))).forward(a))
 
 
+# tables by block
+
+
+@query(with_(ORD, final("(SELECT i0, i1, i2, v * (v + 1) - 2 * v AS v FROM ord)", E3, ["v"])))
+def q_pointwise3_saved(spark, sf):
+    """Three arrays of cells, saved in buckets by coordinates, combined without an exchange."""
+    run = uuid.uuid4().hex[:12]
+    a = tables.ord_(spark, sf).save(f"weftspark_cells_a_{run}", 8)
+    b = a.with_df(a.df.withColumn("v", F.col("v") + 1)).save(f"weftspark_cells_b_{run}", 8)
+    c = a.with_df(a.df.withColumn("v", 2 * F.col("v"))).save(f"weftspark_cells_c_{run}", 8)
+    return rounded(pointwise.pointwise3(a, b, c, lambda x, y, z: x * y - z))
+
+
 # tiles
 
 
