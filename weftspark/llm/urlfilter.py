@@ -1,8 +1,8 @@
 """URL allow and block lists as one trie over reversed host labels and path segments.
 
 Labels are walked from the top-level domain down, then path segments from the left; the last segment of a rule matches
-as a prefix, so a rule fits every url whose path starts with the rule's.  The deepest host wins, then the longest
-path; of two equal rules the block wins.  The trie is built from a rule list whose size is checked before it is
+as a prefix, so a rule fits every url whose path starts with the rule's.  The longest rule wins, host and path together;
+of equally long ones that with the deeper host, and of two equal rules the block.  The trie is built from a rule list whose size is checked before it is
 broadcast; a larger list is an error, not a truncation.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and fits no rule; an unmatched url gets
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .._ship import ship
 
-#: Characters of hosts and paths, with ``RULE_COST`` more for each rule, that may be broadcast: a trie of about 400 MB.
-MAX_COST, RULE_COST = 40_000_000, 200
+#: Characters of hosts and paths, with ``RULE_COST`` more for each rule, that may be broadcast: a trie of about 50 MB in each worker.
+MAX_COST, RULE_COST = 5_000_000, 200
 
 Rule = tuple[str, str, str]  # verdict, host, path
 
@@ -70,7 +70,9 @@ class UrlTrie:
             node = node.get(("label", label))
             if node is None:
                 break
-            best = self._path(node, path) or best
+            found = self._path(node, path)
+            if found and (best is None or len(found[1]) >= len(best[1])):
+                best = found
         return best
 
 
