@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from weftspark.errors import ArrayError, InvalidSpectrum, PointwiseError, ReductionError, TransformError, typed
+from weftspark.errors import ArrayError, InvalidSpectrum, IoError, PointwiseError, ReductionError, TransformError, typed
 from weftspark.functions import kernels
 from weftspark.operators import pointwise, reduce
 from weftspark.operators.array import NDArray
@@ -106,6 +106,13 @@ def test_tiles_are_kept_as_parquet_and_tables(spark, tmp_path):
     parquet.write_tiles(t, f"file://{tmp_path}/t", parquet.Options(partitions=3))
     back = parquet.read_tiles(spark, f"file://{tmp_path}/t")
     assert back.tiling == t.tiling and np.array_equal(dump(back), x) and np.array_equal(dump(parquet.read(spark, f"file://{tmp_path}/t")), x)
+    store = parquet.Store(spark, f"file://{tmp_path}/store")
+    store.write("as tiles", t)
+    store.write("as cells", t.to_cells())
+    assert np.array_equal(dump(store.read_tiles("as tiles")), x) and np.array_equal(dump(store.read("as tiles")), x)
+    assert {(r["name"], tuple(r["global_shape"])) for r in store.catalog().collect()} == {("as tiles", (9, 8)), ("as cells", (9, 8))}
+    with pytest.raises(IoError):
+        store.read_tiles("as cells")
     names = [f"tiles_{n}_{abs(hash(str(tmp_path)))}" for n in range(3)]
     try:
         a, b, c = (t.save(n, 4) for n in names)

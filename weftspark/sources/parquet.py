@@ -134,11 +134,18 @@ class Store(_Folder):
     def _at(self, name: str) -> str:
         return f"{self.path}/{_part(name)}"
 
-    def write(self, name: str, array: NDArray, options: Options = Options()) -> None:
+    def write(self, name: str, array: NDArray | Tiles, options: Options = Options()) -> None:
         at = self._at(name)
         if self.exists(at):
             raise IoError(f"{name!r} exists")
-        write(array, at, options)
+        if isinstance(array, Tiles):
+            write_tiles(array, at, options)
+        else:
+            write(array, at, options)
+
+    def read_tiles(self, name: str) -> Tiles:
+        """An array that was kept as tiles; ``read`` gives its cells."""
+        return read_tiles(self.spark, self._at(name))
 
     def read(self, name: str) -> NDArray:
         return read(self.spark, self._at(name))
