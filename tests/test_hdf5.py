@@ -128,7 +128,7 @@ class Encoder:
         values = {"version": [1], "commit": [commit], "n": [n], "type": [code], "width": [scalar.width], "extra_rank": [extra], "global_shape": dims[extra:], "writer_grid": [1], "writer_permutation": range(n)}
         if extra:
             values["extra_shape"] = dims[:extra]
-        messages += [self.attribute(f"pencil_io_{k}", list(v), version) for k, v in values.items()]
+        messages += [self.attribute(hdf5.ATTRIBUTE + k, list(v), version) for k, v in values.items()]
         return self.header(messages, split)
 
     def save(self, path, root, eof=None):

@@ -30,10 +30,10 @@ from . import files
 from .codec import Scalar
 from .files import COMMIT, INCOMPLETE, MAX_DATASETS, MAX_NAME, MAX_RANK, DatasetInfo
 
-# Groups, the single array's name, and the attributes of a dataset.
+# Groups, the single array's name, and what the names of a dataset's attributes begin with.
 SINGLE, NAMED, TREE, DATA = "pencil_io_v1", "pencil_io_named_v1", "pencil_io_tree_v1", "data"
 VERSION = 1
-ATTRIBUTES = ("version", "commit", "n", "type", "width", "extra_rank", "extra_shape", "global_shape", "writer_grid", "writer_permutation")
+ATTRIBUTE = "pencil_io_"
 #: Groups above an array of a hierarchy.
 MAX_DEPTH = 32
 
@@ -288,7 +288,7 @@ class H5File:
 def _info(h5: H5File, address: int, name: str | None) -> tuple[DatasetInfo, Stored]:
     """What a dataset's attributes say, checked against its place in the file."""
     messages = h5.messages(address)
-    found = {k.removeprefix("pencil_io_"): v for k, v in h5.attributes(messages).items() if k.startswith("pencil_io_")}
+    found = {k.removeprefix(ATTRIBUTE): v for k, v in h5.attributes(messages).items() if k.startswith(ATTRIBUTE)}
     one = {k: found[k][0] if len(found.get(k, [])) == 1 else None for k in ("version", "commit", "n", "type", "width", "extra_rank")}
     if None in one.values() or one["version"] != VERSION:
         raise IoError("a dataset's attributes are missing or of another version")
