@@ -61,7 +61,7 @@ def test_tiles_hold_the_cells(spark, chunk):
     assert other.df.count() == 1 * 2 * 4 * 2 and np.array_equal(dump(other), x)
 
 
-@pytest.mark.parametrize("options", [T.Options(), STAGES, T.Options(tuning=Tuning(line_cells=4))])
+@pytest.mark.parametrize("options", [T.Options(), STAGES, T.Options(tuning=Tuning(line_cells=6))])
 def test_plans_take_tiles(spark, options):
     x, y = signal(2, 5, 7, 6), signal(5, 7, 6, complex_=False)
     t, r = Tiles.from_cells(load(spark, x, 1), (1, 2, 3, 4)), Tiles.from_cells(load(spark, y), (2, 3, 2))
