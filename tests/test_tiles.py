@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftspark.errors import ArrayError, InvalidSpectrum, IoError, PointwiseError, ReductionError, TransformError, typed
 from weftspark.functions import kernels
-from weftspark.operators import pointwise, reduce
+from weftspark.operators import array, pointwise, reduce
 from weftspark.operators.array import NDArray
 from weftspark.operators.tiles import Tiles, Tiling, tiling_for
 from weftspark.plans import transforms as T
@@ -142,6 +142,29 @@ def test_cells_saved_by_coordinates_are_joined_where_they_are(spark, tmp_path):
             spark.sql(f"drop table if exists {n}")
 
 
+@pytest.mark.parametrize("tiles", [False, True])
+def test_a_large_saved_array_has_more_buckets(spark, tmp_path, monkeypatch, tiles):
+    monkeypatch.setattr(array, "BUCKET_CELLS", 20)
+    x = signal(9, 24, complex_=False)
+    a = Tiles.from_cells(load(spark, x), (1, 8)) if tiles else load(spark, x)
+    names = [f"grown_{n}_{abs(hash(str(tmp_path)))}" for n in range(2)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        u = a.save(names[0], 4)
+        v = u.with_df(u.df).save(names[1], 4)
+        # one file a bucket, of what was read bucket by bucket as well
+        assert all(spark.table(n).select(F.input_file_name()).distinct().count() <= 11 for n in names)
+        made = u.pointwise(lambda p, q: p * q, v) if tiles else pointwise.pointwise2(u, v, lambda p, q: p * q)
+        found = {r["col_name"]: r["data_type"] for r in spark.sql(f"describe formatted {names[0]}").collect()}
+        assert found["Num Buckets"] == "11" and "Exchange" not in made.df._jdf.queryExecution().executedPlan().toString()
+        assert np.allclose(dump(made), x * x)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for n in names:
+            spark.sql(f"drop table if exists {n}")
+
+
 def test_tiles_move_values_alone(spark):
     x = signal(8, 8, 16, 16)
     a = load(spark, x)

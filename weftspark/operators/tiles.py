@@ -26,7 +26,7 @@ from ..functions import kernels
 from ..functions.kernels import Step
 from ..plans import stages
 from ..plans.layout import Layout
-from .array import DTYPES, NDArray
+from .array import DTYPES, NDArray, save_buckets
 
 #: Cells of a tile, unless the lines of a stage need more.
 TILE_CELLS = 1 << 20
@@ -296,10 +296,11 @@ class Tiles:
     # tables by block
 
     def save(self, name: str, buckets: int) -> Tiles:
-        """Keep it as a table in ``buckets`` by block, sorted: joins of such tables on the block need no exchange."""
-        rows = self.df.repartition(buckets, "block_id")
-        rows.write.bucketBy(buckets, "block_id").sortBy("block_id").format("parquet").mode("errorifexists").saveAsTable(name)
-        return replace(self, df=self.df.sparkSession.table(name))
+        """Keep it as a table in ``buckets`` by block, sorted: joins of such tables on the block need no exchange.
+
+        As with cells, a large array gets more buckets.
+        """
+        return replace(self, df=save_buckets(self.df, name, self.cells, buckets, ["block_id"]))
 
 
 def apply_steps(tiles: Tiles, steps: list[Step], shape_after: dict[int, int], complex_after: bool, scale: float = 1.0, tuning: stages.Tuning = stages.Tuning()) -> Tiles:
