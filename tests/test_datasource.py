@@ -1,5 +1,6 @@
 """Array files as a data source that reads slices."""
 
+import io
 import itertools
 
 import numpy as np
@@ -101,6 +102,43 @@ def test_bounds_of_any_box(monkeypatch):
             assert (np.ravel_multi_index(box.coordinates(0, box.cells), dims) == want).all()
 
 
+class Counted(io.BytesIO):
+    """A file that knows how often it is read."""
+
+    reads = 0
+
+    def read_at(self, n, at):
+        self.reads += 1
+        return self.getvalue()[at : at + n]
+
+
+def test_runs_that_lie_close_are_one_read():
+    x = np.arange(7 + 400 * 30 * 2, dtype="<f8")
+    box = Box((400, 30, 2), (3, 4, 1), (390, 9, 2))
+    f = Counted(x.tobytes())
+    for a, b in itertools.pairwise([0, 1, 777, 778, box.cells]):
+        got = np.frombuffer(datasource.read_runs(f, 7 * 8, 8, *box.runs(a, b)))
+        assert (got == 7 + np.ravel_multi_index(box.coordinates(a, b), box.dims)).all() and len(got) == b - a
+    assert f.reads == 4
+
+
+@pytest.mark.parametrize("gap, window", [(0, 64), (100, 64), (100, 1 << 20), (4096, 1 << 20)])
+def test_runs_of_any_box_are_read(monkeypatch, gap, window):
+    monkeypatch.setattr(datasource, "GAP", gap)
+    monkeypatch.setattr(datasource, "READ", window)
+    rng = np.random.default_rng(gap + window)
+    for _ in range(60):
+        dims = tuple(int(x) for x in rng.integers(1, 7, rng.integers(1, 5)))
+        low = tuple(int(rng.integers(0, n)) for n in dims)
+        high = tuple(int(rng.integers(a, n + 1)) for a, n in zip(low, dims, strict=True))
+        box, x = Box(dims, low, high), np.arange(np.prod(dims), dtype="<f8").reshape(dims)
+        want = x[tuple(slice(a, b) for a, b in zip(low, high, strict=True))].ravel()
+        cuts = sorted({0, box.cells, *rng.integers(0, box.cells + 1, 2).tolist()})
+        f = Counted(b"head" + x.tobytes())
+        got = b"".join(datasource.read_runs(f, 4, 8, *box.runs(a, b)) for a, b in itertools.pairwise(cuts))
+        assert (np.frombuffer(got) == want).all() and box.runs(box.cells, box.cells)[0].size == 0
+
+
 def test_partitions_are_spans(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "PIECE", 50)
     stored(spark, tmp_path / "a")

@@ -1,8 +1,9 @@
 """Array files as a Spark data source: ``spark.read.format("weft_array")``.
 
 A file is a table of cells.  Options named after coordinates bound what is read of it, as an index (``i0`` = ``2``) or a
-range (``i1`` = ``3:5``, ``:5``, ``3:``): only the byte ranges of the cells within these bounds are read.  Cells within
+range (``i1`` = ``3:5``, ``:5``, ``3:``): only the byte ranges of the cells within these bounds are taken.  Cells within
 bounds are runs of consecutive bytes, as long as the axes after the last bounded one allow; partitions are spans of them.
+Runs less than a page apart are read together with what lies between them.
 
 Bounds are options and not pushed filters because Spark 4.1 keeps what was first pushed to a loaded Python source for
 all later queries of that DataFrame, so that they miss rows; ``scan`` loads anew for each slice.
@@ -13,6 +14,7 @@ Other options: ``path``; ``dataset``, a name in a container of several arrays; o
 
 from __future__ import annotations
 
+import itertools
 import math
 import sys
 from collections.abc import Iterator
@@ -32,6 +34,9 @@ from . import files
 from .codec import Scalar
 
 FORMAT = "weft_array"
+
+#: Bytes between two runs that are read over rather than skipped, and of the window whose runs are read at once.
+GAP, READ = 4096, 1 << 22
 _ARROW = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64(), "decimal(20,0)": pa.decimal128(20, 0)}
 
 
@@ -104,21 +109,41 @@ class Box:
         return size
 
     def coordinates(self, first: int, last: int) -> list[np.ndarray]:
-        found = np.unravel_index(np.arange(first, last), self.spans) if self.dims else ()
+        return self._coordinates(np.arange(first, last))
+
+    def _coordinates(self, cells: np.ndarray) -> list[np.ndarray]:
+        found = np.unravel_index(cells, self.spans) if self.dims else ()
         return [c + a for c, a in zip(found, self.low, strict=True)]
 
+    def runs(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in the file's array, and numbers, of the cells ``first`` to ``last``, run by run."""
+        run = max(1, self.run)
+        at = np.arange(first // run * run, last, run) if first < last else np.arange(0)
+        at[:1] = first
+        place = np.zeros(len(at), np.int64)
+        for c, size in zip(self._coordinates(at), self.dims, strict=True):
+            place = place * size + c
+        return place, np.diff(at, append=last)
+
     def ranges(self, first: int, last: int) -> list[tuple[int, int]]:
-        """(position in the file's array, number) of the cells ``first`` to ``last``, run by run."""
-        run, out = max(1, self.run), []
-        at = first
-        while at < last:
-            n = min(last, (at // run + 1) * run) - at
-            place = 0
-            for c, size in zip(self.coordinates(at, at + 1), self.dims, strict=True):
-                place = place * size + int(c[0])
-            out.append((place, n))
-            at += n
-        return out
+        """The runs as pairs."""
+        return list(zip(*(x.tolist() for x in self.runs(first, last)), strict=True))
+
+
+def read_runs(f, start: int, width: int, place: np.ndarray, n: np.ndarray) -> bytes:
+    """The bytes of runs of cells in ascending order, by one read for those that lie close together."""
+    gap = (place[1:] - place[:-1] - n[:-1]) * width
+    cuts = np.flatnonzero((gap > GAP) | (np.diff(place * width // READ) != 0)) + 1
+    out = []
+    for a, b in itertools.pairwise([0, *cuts.tolist(), len(place)]):
+        low, total = int(place[a]), int(place[b - 1] + n[b - 1] - place[a])
+        data = f.read_at(total * width, start + low * width)
+        if len(data) == total * width and b - a > 1:
+            size = n[a:b]
+            taken = np.arange(size.sum()) + np.repeat(place[a:b] - low - np.cumsum(size) + size, size)
+            data = np.frombuffer(data, f"V{width}")[taken].tobytes()
+        out.append(data)
+    return b"".join(out)
 
 
 @dataclass
@@ -163,7 +188,7 @@ class ArrayReader(DataSourceReader):
         with system.open_input_file(where) as f:
             for first in range(partition.first, partition.last, files.PIECE):
                 last = min(partition.last, first + files.PIECE)
-                data = b"".join(f.read_at(n * scalar.width, place.start + at * scalar.width) for at, n in self.box.ranges(first, last))
+                data = read_runs(f, place.start, scalar.width, *self.box.runs(first, last))
                 if len(data) != (last - first) * scalar.width:
                     raise IoError(f"IoError: {place.path} is too short")
                 out = [pa.array(np.asarray(c, np.int64)) for c in self.box.coordinates(first, last)]
