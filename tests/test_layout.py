@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftspark.errors import ArrayError, AxisError, GeometryError, LayoutError, ShapeError, TopologyError
+from weftspark.operators import array
 from weftspark.operators.array import MultiLayout, NDArray
 from weftspark.plans.layout import AxisPermutation, BlockGrid, Decomposition, Layout, block_of, partition_range, row_major_offset
 
@@ -99,6 +100,24 @@ def test_from_table_fills_and_refuses(spark):
         NDArray.from_dense(rows, layout).validate_dense()
 
 
+def test_from_table_combines_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(array, "TASK_CELLS", 50)
+    rows = spark.range(1200).selectExpr("id % 20 as i0", "id % 30 as i1", "cast(id as double) as v")
+    a = NDArray.from_table(rows, Layout.of((20, 30)), fill=-1.0, combine=F.sum)
+    want = {}
+    for k in range(1200):
+        want[k % 20, k % 30] = want.get((k % 20, k % 30), 0.0) + k
+    assert {(r["i0"], r["i1"]): r["v"] for r in a.df.collect()} == {(i, j): want.get((i, j), -1.0) for i in range(20) for j in range(30)}
+    # one task for each 50 cells, whatever Spark's number of shuffle partitions, and none that is put together with others
+    assert a.df.rdd.getNumPartitions() == 12
+
+
+def test_grids_of_many_cells_have_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(array, "GRID_CELLS", 50)
+    cells = NDArray.grid(spark, Layout.of((20, 30)), (2,))
+    assert cells.rdd.getNumPartitions() == 24 and cells.distinct().count() == 1200
+
+
 def test_many_layouts_share_one_array(spark):
     a = Layout.of((2, 2))
     b = a.with_permutation((1, 0))

@@ -64,8 +64,8 @@ def ord_(spark: SparkSession, sf_dir: str) -> NDArray:
     rows = table(spark, sf_dir, "lineitem")
     first, last, lines = rows.agg(F.min("l_orderkey"), F.max("l_orderkey"), F.max("l_linenumber")).first()
     both = F.explode(F.array(F.struct(F.lit(0).cast("long").alias("i2"), F.col("l_quantity").cast("double").alias("v")), F.struct(F.lit(1).cast("long").alias("i2"), F.col("l_discount").cast("double").alias("v")))).alias("b")
-    cells = rows.select((F.col("l_orderkey") - first).cast("long").alias("i0"), (F.col("l_linenumber") - 1).cast("long").alias("i1"), both).groupBy("i0", "i1", "b.i2").agg(F.sum("b.v").alias("v"))
-    return NDArray.from_table(cells, Layout.of((last - first + 1, lines, 2)), (), "f64", fill=0.0)
+    cells = rows.select((F.col("l_orderkey") - first).cast("long").alias("i0"), (F.col("l_linenumber") - 1).cast("long").alias("i1"), both).select("i0", "i1", "b.i2", "b.v")
+    return NDArray.from_table(cells, Layout.of((last - first + 1, lines, 2)), (), "f64", fill=0.0, combine=F.sum)
 
 
 def outer(spark: SparkSession, sf_dir: str) -> NDArray:
